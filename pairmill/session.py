@@ -22,6 +22,7 @@ def build_session(app: str = "pairmill", master: str | None = None, shuffle_part
         b = b.master(master).config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    b = b.config("spark.ui.showConsoleProgress", "false")
     return b.getOrCreate()
 
 

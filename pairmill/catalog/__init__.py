@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("shaping",)
+FAMILIES = ("shaping", "filtering")
 
 
 def load():

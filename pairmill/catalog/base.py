@@ -14,6 +14,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+NL = "chr(10)"
+W1, W2 = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)"
+
+# Written once in the SQL both engines read.
+CODE_COLS = [
+    "p_partkey",
+    "p_brand AS repo",
+    f"concat('src/', CASE p_size % 7 WHEN 0 THEN 'tests/' WHEN 1 THEN 'components/' WHEN 2 THEN 'cli/' WHEN 3 THEN 'config/' "
+    f"WHEN 4 THEN 'docs/' ELSE 'core/' END, {W1}, '_', {W2}, CASE p_size % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.java' "
+    "WHEN 3 THEN '.go' WHEN 4 THEN '.md' ELSE '.xyz' END) AS path",
+    f"concat('import ', {W1}, {NL}, 'from ', {W2}, ' import ', {W1}, '_tool', {NL}, {NL}, 'def ', {W1}, '_', {W2}, '(x, y):', {NL}, "
+    f"'    # part ', p_brand, {NL}, '    if x > ', CAST(p_size AS VARCHAR(9)), ':', {NL}, '        return ', {W1}, '_tool(x) + y', {NL}, "
+    f"'    return y * ', CAST(p_size AS VARCHAR(9)), {NL}, "
+    f"CASE WHEN p_size % 3 = 0 THEN concat('class ', {W2}, 'Box:', {NL}, '    import ', {W1}, {NL}) ELSE '' END, "
+    f"CASE WHEN p_size % 5 = 0 THEN concat('function show(x) {{', {NL}, '  console.log(x);', {NL}, '}}', {NL}) ELSE '' END, "
+    f"CASE WHEN p_size % 4 = 0 THEN concat('public int size(int n) {{', {NL}, '  return n;', {NL}, '}}', {NL}) ELSE '' END) AS code",
+]
+QA_COLS = [
+    "p_partkey",
+    f"CASE p_partkey % 8 WHEN 0 THEN concat({W1}, '이란?') WHEN 1 THEN concat({W2}, '란?') "
+    "WHEN 2 THEN concat(CAST(p_size AS VARCHAR(9)), ' + ', CAST(p_partkey % 90 AS VARCHAR(9)), ' 계산해줘') "
+    f"WHEN 3 THEN concat('모든 ', {W1}, ' 는 ', {W2}, '이다. 이유를 설명하라') WHEN 4 THEN concat('자기소개 해줘 ', {W1}) "
+    f"WHEN 5 THEN concat('Explain ', {W1}, ' ', p_brand) WHEN 6 THEN concat({W1}, ' 간단히 설명해줘') ELSE concat({W1}, ' 점검 방법은?') END AS input",
+    f"CASE p_partkey % 8 WHEN 0 THEN concat({W1}, '은 ', p_type, ' 종류의 부품입니다. 자세한 설명은 제조사 문서를 보세요.') "
+    "WHEN 1 THEN '이 부품은 안전하게 보관해야 합니다.' "
+    "WHEN 2 THEN concat('정답은 ', CAST(p_size + p_partkey % 90 AS VARCHAR(9)), '입니다.') "
+    f"WHEN 3 THEN concat('결론: 참입니다. 따라서 ', {W1}, '는 ', {W2}, '입니다.') "
+    f"WHEN 4 THEN concat('안녕하세요. 저는 ', {W1}, ' AI 어시스턴트입니다.') "
+    f"WHEN 5 THEN concat('The ', {W1}, ' is a ', p_type, ' part used in many products and shops.') "
+    f"WHEN 6 THEN concat('ㅋㅋㅋㅋㅋㅋㅋㅋㅋㅋㅋㅋㅋㅋㅋㅋ ', {W1}) "
+    f"ELSE concat({W1}, ' 점검은 순서대로 진행합니다. ', {W2}, ' 상태를 먼저 확인하고 결과를 기록합니다.') END AS output",
+    "CASE p_size % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'mid' WHEN 2 THEN '' END AS tier",
+    "CASE p_size % 5 WHEN 0 THEN 'MIT' WHEN 1 THEN 'mit  license' WHEN 2 THEN 'GPL' WHEN 3 THEN 'Generated in-project' END AS license",
+    "p_brand AS source_dataset",
+    "CASE WHEN p_partkey % 3 = 0 THEN 'ko' ELSE '' END AS language",
+    f"{W1} AS term",
+]
+CODE_COLS_SPARK = [c.replace("VARCHAR(9)", "STRING") for c in CODE_COLS]
+QA_COLS_SPARK = [c.replace("VARCHAR(9)", "STRING") for c in QA_COLS]
+CODE = f"code AS (SELECT {', '.join(CODE_COLS)} FROM part)"
+QA = f"qa AS (SELECT {', '.join(QA_COLS)} FROM part)"
+
+
 class Tables:
     """The driver tables as attributes, plus the pair frames that Spark derives from them."""
 
@@ -46,6 +89,16 @@ class Tables:
             .alias("task_type"),
         )
 
+    @property
+    def code(self) -> DataFrame:
+        """part rows written out as small source files."""
+        return self.part.selectExpr(*CODE_COLS_SPARK)
+
+    @property
+    def qa(self) -> DataFrame:
+        """part rows written out as Korean question and answer pairs of eight kinds."""
+        return self.part.selectExpr(*QA_COLS_SPARK)
+
     @property
     def chat(self) -> DataFrame:
         """conversations as adjacent (user, assistant) pairs."""

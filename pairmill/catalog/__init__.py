@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("shaping", "filtering")
+FAMILIES = ("shaping", "filtering", "sampling")
 
 
 def load():

@@ -71,16 +71,11 @@ def _(t):
     return t.lineitem.filter(R.label_only(o)).select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey")
 
 
-@case("f06_echo", f"""SELECT a.doc_id, b.doc_id AS other FROM documents a JOIN documents b ON a.n_chars=b.n_chars AND a.doc_id<b.doc_id
- WHERE lower({norm('a.text')})=lower({norm('b.text')})""")
+@case("f06_echo", f"""WITH p AS (SELECT doc_id, CASE WHEN doc_id%3=0 THEN '  '||replace(lower(text),' ','  ') ELSE left(text, 40) END AS i, text AS o FROM documents)
+ SELECT doc_id, lower({norm('i')})=lower({norm('o')}) AS echo FROM p""")
 def _(t):
-    a = t.documents.select(D, "text")
-    b = a.select(F.col(D).alias("other"), F.col("text").alias("t2"))
-    # Equality of the normalized texts is the join key itself, so equal copies meet by hash.
-    left = a.select(D, F.lower(X.normalize_space("text")).alias("k"), "text")
-    right = b.select("other", F.lower(X.normalize_space("t2")).alias("k"), "t2")
-    same = left.join(right, "k").filter((F.col(D) < F.col("other")) & (F.length("text") == F.length("t2")))
-    return same.filter(R.echo("text", "t2")).select(D, "other")
+    i = F.when(F.col(D) % 3 == 0, F.concat(F.lit("  "), F.replace(F.lower("text"), F.lit(" "), F.lit("  ")))).otherwise(F.substring("text", 1, 40))
+    return t.documents.select(D, R.echo(i, "text").alias("echo"))
 
 
 @case("f07_alnum_floor", rf"""WITH {PAIRS}, m AS (SELECT doc_id, {cnt('output', ALNUM)} AS a, length(output) AS n FROM pairs)
@@ -318,9 +313,9 @@ TAGGED = f"""{PAIRS}, {NP}, r AS ({runs("i||chr(10)||o", 10, 'np')}), tagged AS
 @case("f29_reject_reason", f"""WITH {TAGGED}, ranked AS (SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY reason IS NULL, lower(i), lower(o) ORDER BY doc_id)>1 THEN 'duplicate' ELSE reason END AS final FROM tagged)
  SELECT source, coalesce(final,'ok') AS reason, count(*)::BIGINT AS n FROM ranked GROUP BY ALL""")
 def _(t):
-    from pairmill.plans.curate import curate_documents, reject_counts
+    from pairmill.plans.curate import reject_report, tag_pairs
 
-    return reject_counts(curate_documents(t.pairs, LATIN))
+    return reject_report(tag_pairs(t.pairs, ["lang"], "tier", LATIN, allow_mid=True, allow_missing=True), "doc_id", "source")
 
 
 @case("f29_strict_reason", rf"""WITH {QA}, np AS (SELECT p_partkey, language='ko' AS hint, {norm('input')} AS i, {norm('output')} AS o FROM qa), r AS ({runs('o', 12, 'np', 'p_partkey')})

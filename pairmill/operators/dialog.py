@@ -52,7 +52,7 @@ def meta_score(df: DataFrame, loss: str, mtime: str, bounds: DataFrame) -> DataF
     d = df.crossJoin(F.broadcast(bounds))
     part = (3.0 - F.least(F.greatest(F.col(loss), F.lit(0.0)), F.lit(3.0))) / 3.0
     span = F.col("newest") - F.col("oldest")
-    fresh = F.when(span <= 0, 1.0).otherwise((F.col(mtime) - F.col("oldest")) / span)
+    fresh = F.when(span <= 0, 0.5).otherwise((F.col(mtime) - F.col("oldest")) / span)
     return d.withColumn("meta_score", 0.88 * part + 0.12 * fresh).drop("newest", "oldest")
 
 
@@ -95,3 +95,38 @@ def cut_at(c: Column, share: float, edge: int) -> tuple[Column, Column]:
     n = F.length(c)
     at = F.least(F.greatest(F.floor(n * share).cast("int"), F.lit(edge)), n - edge)
     return X.strip(F.substr(c, F.lit(1), at)), X.strip(F.substr(c, at + 1))
+
+
+def leaderboard(df: DataFrame, score: str, key: str) -> DataFrame:
+    """Rank by score, best first, equal scores sharing a rank.
+
+    The number of better rows is summed over score steps first, so ranks need no window over
+    the whole table.
+    """
+    d = df.withColumn("_s", F.round(-F.col(score), 9)).withColumn("_block", F.floor(F.col("_s") * 1000))
+    per = d.groupBy("_block").agg(F.count("*").alias("_n"))
+    w = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # Scores lie in [0, 1]: at most a thousand steps.
+    off = per.select("_block", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy("_block").orderBy("_s")
+    return d.join(F.broadcast(off), "_block").withColumn("place", F.rank().over(inner) + F.col("_before")).drop("_s", "_block", "_before")
+
+
+def consensus(df: DataFrame, group: str, order: Sequence[Column], tokens: str, top: int = 4) -> DataFrame:
+    """Mean overlap of the best candidate with the next ones; 1 when it is alone.
+
+    Only the first ``top`` rows per group leave their map task.
+    """
+    w = Window.partitionBy(group).orderBy(*order)
+    d = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top).select(group, "_r", tokens)
+    g = d.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_r", tokens))).alias("c"))
+    best = F.get("c", F.lit(0)).getField(tokens)
+    rest = F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(1)))
+
+    def sim(x):
+        k = x[tokens]
+        n = F.size(F.array_intersect(best, k))
+        return F.when(F.size(k) == 0, 0.0).otherwise(n.cast("double") / F.greatest(F.size(best) + F.size(k) - n, F.lit(1)))
+
+    mean = F.aggregate(F.transform(rest, sim), F.lit(0.0), lambda a, v: a + v) / F.size(rest)
+    return g.select(group, F.when(F.size("c") <= 1, 1.0).when(F.size(best) == 0, 0.0).otherwise(mean).alias("consensus"))

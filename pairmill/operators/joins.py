@@ -37,3 +37,217 @@ def rare_symbol_ratio(df: DataFrame, key: str, c: str, profile: DataFrame, scrip
         .agg((F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("rare"))
     )
     return df.join(per, key, "left").withColumn("rare", F.coalesce("rare", F.lit(0.0)))
+
+
+def index_to_files(rows: DataFrame, index: DataFrame, path: str) -> DataFrame:
+    """Rows of the files named in a field index (index broadcast when counted small)."""
+    return rows.join(small_side(index), path)
+
+
+# Vocabulary weight by grade.
+GRADE_WEIGHT = {"A": 1.0, "B": 0.7, "C": 0.45}
+OTHER_GRADE = 0.5
+
+
+def grade_weight(grade: Column) -> Column:
+    w = F.lit(OTHER_GRADE)
+    for g, v in GRADE_WEIGHT.items():
+        w = F.when(F.upper(grade) == g, v).otherwise(w)
+    return w
+
+
+def vocab_hits(df: DataFrame, key: str, terms: Column, vocab: DataFrame) -> DataFrame:
+    """Adds ``vocab_hits`` and ``vocab_score`` (sum of grade weights) from ``vocab(term, grade)``.
+
+    One vocabulary row per term (best grade) is kept first, so a row cannot multiply.
+    """
+    v = vocab.groupBy("term").agg(F.max(grade_weight(F.col("grade"))).alias("w"))
+    hit = (
+        df.select(key, F.explode(F.array_distinct(terms)).alias("term"))
+        .join(small_side(v), "term")
+        .groupBy(key).agg(F.count("*").alias("vocab_hits"), F.sum("w").alias("vocab_score"))
+    )
+    return df.join(hit, key, "left").withColumns(
+        {"vocab_hits": F.coalesce("vocab_hits", F.lit(0)), "vocab_score": F.coalesce("vocab_score", F.lit(0.0))})
+
+
+def common_symbols(profile: DataFrame, min_count: int = 3) -> DataFrame:
+    return profile.filter(F.col("n") >= min_count).select("ch")
+
+
+def unused(df: DataFrame, used: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not used yet."""
+    return df.join(used.select(key), key, "left_anti")
+
+
+# ------------------------------------------------------------------ fuzzy terms
+
+MAX_GAP = 2
+
+
+def _edits(n: Column, similarity: float) -> Column:
+    return F.floor(n * (1.0 - similarity) + 1e-9).cast("int")
+
+
+def _start(i: Column, n: Column, parts: Column) -> Column:
+    return F.floor(i * n / parts).cast("int")
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, a: str, b: str, similarity: float = 0.84) -> DataFrame:
+    """Distinct term pairs (a, b, sim): equal, or length gap <= 2 and edit similarity reached.
+
+    Exact blocking: a term cut into d + 1 pieces keeps one piece intact under d edits, at most d
+    places from where it was. Pieces of ``b`` meet substrings of ``a`` by equality.
+    """
+    r = right.select(b).filter(F.length(b) > 0).distinct().withColumn("n", F.length(b))
+    q = left.select(a).filter(F.length(a) > 0).distinct().withColumn("n", F.length(a))
+    exact = q.join(r, q[a] == r[b]).select(a, b, F.lit(1.0).alias("sim"))
+    d_r = _edits(F.col("n") + MAX_GAP, similarity)
+    parts = r.withColumn("d", d_r).filter("d > 0").withColumn("i", F.explode(F.expr("sequence(0, d)")))
+    s0, s1 = _start(F.col("i"), F.col("n"), F.col("d") + 1), _start(F.col("i") + 1, F.col("n"), F.col("d") + 1)
+    parts = parts.select(b, F.col("n").alias("len"), "i", F.substr(b, s0 + 1, s1 - s0).alias("piece"))
+    cand = q.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - MAX_GAP), F.col("n") + MAX_GAP)))
+    cand = cand.withColumn("d", _edits(F.col("len") + MAX_GAP, similarity)).filter("d > 0").withColumn("i", F.explode(F.expr("sequence(0, d)")))
+    c0, c1 = _start(F.col("i"), F.col("len"), F.col("d") + 1), _start(F.col("i") + 1, F.col("len"), F.col("d") + 1)
+    cand = cand.withColumn("c0", c0).withColumn("w", c1 - c0)
+    lo, hi = F.greatest(F.lit(0), F.col("c0") - F.col("d")), F.least(F.col("n") - F.col("w"), F.col("c0") + F.col("d"))
+    cand = cand.withColumn("lo", lo).withColumn("hi", hi).filter("hi >= lo").withColumn("p", F.explode(F.expr("sequence(lo, hi)")))
+    cand = cand.select(a, "len", "i", F.substr(a, F.col("p") + 1, F.col("w")).alias("piece")).distinct()
+    sim = X.edit_ratio(F.col(a), F.col(b))
+    near = cand.join(parts, ["len", "i", "piece"]).filter(F.col(a) != F.col(b)).select(a, b).distinct()
+    return exact.unionByName(near.withColumn("sim", sim).filter((F.col("sim") >= similarity) & (F.abs(F.length(a) - F.length(b)) <= MAX_GAP)))
+
+
+def fuzzy_term_join(queries: DataFrame, cache: DataFrame, query: str, term: str, answer: str, pos: str, similarity: float = 0.84) -> DataFrame:
+    """Best cache row per query term: exact = 10, else similarity, plus a short-answer bonus.
+
+    Rows of one term share its similarity, so each term first keeps its best answer; only
+    distinct terms are compared.
+    """
+    bonus = F.least(F.lit(0.35), 24.0 / F.greatest(F.lit(24), F.length(answer)))
+    best = cache.withColumn("_bonus", bonus).groupBy(F.col(term).alias("_t")).agg(
+        F.max(F.struct(F.col("_bonus"), (-F.col(pos)).alias("_np"), F.col(answer).alias("_a"))).alias("m"))
+    pairs = fuzzy_pairs(queries, best, query, "_t", similarity).join(best, "_t")
+    score = F.when(F.col(query) == F.col("_t"), 10.0).otherwise(F.col("sim")) + F.col("m._bonus")
+    top = pairs.groupBy(query).agg(F.max(F.struct(F.round(score, 9).alias("score"), F.col("m._np").alias("np"), F.col("_t").alias("t"), F.col("m._a").alias("a"))).alias("b"))
+    return queries.join(top, query).select(*queries.columns, F.col("b.t").alias("matched"), F.col("b.a").alias("answer"), F.col("b.score").alias("score"))
+
+
+# ------------------------------------------------------------------ top-k by keyword overlap
+
+HOT_RULE_TOKENS = 12
+HOT_RULE_ROWS = 256
+
+
+def use_bonus(uses: Column, cap: float, step: float) -> Column:
+    return F.least(F.lit(cap), step * F.log1p(F.greatest(uses, F.lit(0)).cast("double")))
+
+
+def overlap_scores(queries: DataFrame, items: DataFrame, qid: str, q_tokens: str, item: str, keywords: str,
+                   base: str, pos: str, k: int, always: DataFrame | None = None) -> DataFrame:
+    """(qid, item, overlap, base, pos) containing every true top-``k`` item of each query.
+
+    Rare tokens meet through the inverted index and are only counted, texts never travel. The
+    few tokens that occur in very many items do not meet there: items that share only those
+    with a query have an overlap fixed by (their hot tokens, their size), so the best ``k`` by
+    (base score, position) of each such class are enough. An item with a rare token in common
+    is found through that token anyway, and its hot tokens are added from its class.
+    """
+    it = items.select(item, F.array_distinct(keywords).alias("_kw"), F.col(base).alias("_base"), F.col(pos).alias("_pos"))
+    ex = it.select(item, F.explode("_kw").alias("tok"))
+    hot = ex.groupBy("tok").agg(F.count("*").alias("c")).filter(F.col("c") > HOT_RULE_ROWS).orderBy(F.col("c").desc(), "tok").limit(HOT_RULE_TOKENS)
+    listed = F.broadcast(hot.agg(F.array_sort(F.collect_list("tok")).alias("_hot")))
+    it = it.crossJoin(listed).select(item, "_base", "_pos", F.size("_kw").alias("_nk"), F.array_intersect("_hot", "_kw").alias("_sig"), F.array_except("_kw", "_hot").alias("_cold"))
+    q = queries.crossJoin(listed).select(qid, F.array_distinct(q_tokens).alias("_q"), "_hot").select(
+        qid, F.size("_q").alias("_nq"), F.array_intersect("_hot", "_q").alias("_qh"), F.array_except("_q", "_hot").alias("_qc"))
+    rare = q.select(qid, F.explode("_qc").alias("tok")).join(it.select(item, F.explode("_cold").alias("tok")), "tok").groupBy(qid, item).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("_sig", "_nk").orderBy(F.col("_base").desc(), "_pos")
+    top = it.filter(F.size("_sig") > 0).select(item, "_sig", "_nk", "_base", "_pos").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    warm = q.select(qid, F.explode("_qh").alias("tok")).join(top.select(item, F.explode("_sig").alias("tok")), "tok").select(qid, item).distinct()
+    cand = rare.unionByName(warm.withColumn("_n", F.lit(0).cast("long")))
+    if always is not None:
+        cand = cand.unionByName(queries.select(qid).crossJoin(F.broadcast(always.select(item))).withColumn("_n", F.lit(0).cast("long")))
+    cand = cand.groupBy(qid, item).agg(F.max("_n").alias("_n"))
+    d = cand.join(q.select(qid, "_nq", "_qh"), qid).join(it.select(item, "_nk", "_sig", "_base", "_pos"), item)
+    inter = F.col("_n") + F.size(F.array_intersect("_sig", "_qh"))
+    both = F.col("_nk") + F.col("_nq") - inter
+    return d.select(qid, item, F.when(both == 0, 1.0).otherwise(inter.cast("double") / both).alias("overlap"), "_base", "_pos")
+
+
+def _top(d: DataFrame, qid: str, item: str, k: int) -> DataFrame:
+    w = Window.partitionBy(qid).orderBy(F.col("score").desc(), "_pos")
+    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(qid, item, "rank", "score")
+
+
+def topk_jaccard(queries: DataFrame, rules: DataFrame, qid: str, q_tokens: str, rid: str, keywords: str, uses: str, pos: str, k: int = 3) -> DataFrame:
+    """Active rules by keyword overlap > 0 plus min(0.08, 0.01 ln(1 + uses)), top ``k`` per query."""
+    r = rules.withColumn("_bonus", use_bonus(F.col(uses), 0.08, 0.01))
+    d = overlap_scores(queries, r, qid, q_tokens, rid, keywords, "_bonus", pos, k).filter("overlap > 0")
+    return _top(d.withColumn("score", F.round(F.col("overlap") + F.col("_base"), 9)), qid, rid, k)
+
+
+def topk_vectors(queries: DataFrame, recs: DataFrame, qid: str, q_tokens: str, vid: str, keywords: str, score: str, uses: str, pos: str, k: int = 3) -> DataFrame:
+    """0.60 overlap + 0.30 clipped score + min(0.15, 0.02 ln(1 + uses)), positive, top ``k``.
+
+    Rows without overlap compete by the static part alone, so their global best ``k`` are the
+    only ones that can appear in any answer.
+    """
+    static = 0.30 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(score))) + use_bonus(F.col(uses), 0.15, 0.02)
+    r = recs.withColumn("_static", static)
+    always = r.orderBy(F.col("_static").desc(), pos).limit(k)
+    d = overlap_scores(queries, r, qid, q_tokens, vid, keywords, "_static", pos, k, always)
+    return _top(d.withColumn("score", F.round(0.60 * F.col("overlap") + F.col("_base"), 9)).filter("score > 0"), qid, vid, k)
+
+
+def compose_layers(hits: DataFrame, recs: DataFrame, qid: str, vid: str, layer: str, vector: str, weight: Column, max_norm: float = 2.0) -> DataFrame:
+    """Weighted vector sum per query and layer, norm clipped; (qid, layer, pos, value).
+
+    At most k vectors meet per query, so the sums stay small; the join is on the vector id.
+    """
+    d = hits.join(recs.select(vid, layer, vector, weight.alias("_w")), vid)
+    s = d.select(qid, layer, (F.col("score") * F.col("_w")).alias("_c"), F.posexplode(vector).alias("pos", "x")).groupBy(qid, layer, "pos").agg(
+        F.sum(F.col("x").cast("double") * F.col("_c")).alias("value"))
+    n = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(qid, layer)))
+    return s.withColumn("value", F.when(n > max_norm, F.col("value") * (max_norm / n)).otherwise(F.col("value")))
+
+
+# ------------------------------------------------------------------ expectations
+
+
+def expectation_frame(spark, table: dict) -> DataFrame:
+    rows = [(k, [x.lower() for x in v.get("all", [])], [x.lower() for x in v.get("any", [])], int(v.get("max_len", 0))) for k, v in table.items()]
+    return spark.createDataFrame(rows, "id string, need_all array<string>, need_any array<string>, max_len int")
+
+
+def matches_expectation(text: Column, need_all: Column, need_any: Column, max_len: Column) -> Column:
+    """All terms, any term and length bound; an item without expectations passes."""
+    low = F.lower(X.normalize_space(text))
+    ok = (
+        ((max_len == 0) | (F.length(low) <= max_len))
+        & F.forall(need_all, lambda x: F.contains(low, x))
+        & ((F.size(need_any) == 0) | F.exists(need_any, lambda x: F.contains(low, x)))
+    )
+    return F.when(need_all.isNull(), True).otherwise(ok)
+
+
+def with_expectations(answers: DataFrame, expectations: DataFrame, item: str = "id", text: str = "stdout") -> DataFrame:
+    e = small_side(expectations.select(F.col("id").alias(item), "need_all", "need_any", "max_len"))
+    d = answers.join(e, item, "left")
+    return d.withColumn("matches", matches_expectation(F.col(text), F.col("need_all"), F.col("need_any"), F.col("max_len")))
+
+
+def canonical_join(suite: DataFrame, canonical: DataFrame, item: str = "id") -> DataFrame:
+    return suite.join(small_side(canonical), item)
+
+
+def term_summaries(terms: DataFrame, summaries: DataFrame, term: str, lang: str, summary: str, order: Sequence[str] = ("ko", "en"),
+                   closed: str = "은", opened: str = "는", min_chars: int = 20, max_chars: int = 220) -> DataFrame:
+    """First summary of each distinct term by language preference, as an answer that names the term."""
+    rank = F.lit(len(order))
+    for i, g in reversed(list(enumerate(order))):
+        rank = F.when(F.col(lang) == g, i).otherwise(rank)
+    best = summaries.withColumn("_rank", rank).filter(F.col("_rank") < len(order)).groupBy(term).agg(F.min(F.struct("_rank", summary)).alias("s"))
+    d = terms.select(term).distinct().join(best, term)
+    s = X.first_sentence(F.col("s").getField(summary), max_chars)
+    answer = F.when(F.contains(F.lower(s), F.lower(F.col(term))), s).otherwise(F.concat(X.with_particle(term, closed, opened), F.lit(" "), s))
+    return d.select(term, answer.alias("answer")).filter(F.length("answer") >= min_chars)

@@ -101,7 +101,7 @@ def _(t):
  s AS (SELECT o.conv_id, o.turn, o.doc_id, round((n::DOUBLE/(len(q.q)+len(r.k)-n)+b)::DOUBLE, 9) AS sc FROM o JOIN q USING (conv_id, turn) JOIN r USING (doc_id)),
  t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY sc DESC, doc_id) rk FROM s) SELECT conv_id, turn, doc_id, rk::BIGINT AS rank, {rnd('sc')} AS score FROM t WHERE rk<=3""")
 def _(t):
-    q = t.conversations.filter("role = 'user'").select(F.concat_ws("|", "conv_id", "turn").alias("qid"), "conv_id", "turn", X.words("text", LATIN).alias("q"))
+    q = t.conversations.filter("role = 'user'").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("qid"), "conv_id", "turn", X.words("text", LATIN).alias("q"))
     r = t.documents.filter("n_chars < 3000").select(D, X.words("text", LATIN).alias("kw"), (F.col(D) % 50).alias("uses"))
     top = J.topk_jaccard(q, r, "qid", "q", D, "kw", "uses", D, 3)
     return top.join(q.select("qid", "conv_id", "turn"), "qid").select("conv_id", "turn", D, F.col("rank").cast("long").alias("rank"), r6(F.col("score")).alias("score"))
@@ -419,8 +419,8 @@ def _(t):
 # ------------------------------------------------------------------ scores
 
 
-@case("q01_quality_score", rf"""WITH {CHAT}, m AS (SELECT conv_id, turn, {norm('input')} AS q, {norm('output')} AS a, {kterms(norm('input'), WST.fillers)} AS qt, {kterms(norm('output'), WST.fillers)} AS at, CASE conv_id%3 WHEN 0 THEN 'high' WHEN 1 THEN 'mid' ELSE '' END AS tier FROM chat),
- b AS (SELECT *, q||chr(10)||a AS b FROM m) SELECT conv_id, turn, {rnd(f"least(length(a),260)/260.0+0.9*({div(cnt('b', SYM), cnt('b', LET))})+1.1*({div('len(list_intersect(qt,at))', 'len(qt)')})+CASE tier WHEN 'high' THEN 0.45 WHEN 'mid' THEN 0.20 ELSE 0 END+CASE WHEN {rx('q', WST.logic)} AND {rx('a', WST.reason_words)} THEN 0.30 ELSE 0 END+CASE WHEN {rx('q', WST.math)} AND regexp_matches(a,'[0-9]') THEN 0.22 ELSE 0 END+CASE WHEN {rx('q', WST.syllogism)} AND {rx('a', WST.syllogism_score_words)} THEN 0.22 ELSE 0 END")} AS score FROM b""")
+@case("q01_quality_score", rf"""WITH {CHAT}, m AS (SELECT conv_id, turn, {norm('input')} AS q, {norm('output')} AS a, {kterms(norm('input'), WST.fillers)} AS qt, {kterms(norm('output'), WST.fillers)} AS ot, CASE conv_id%3 WHEN 0 THEN 'high' WHEN 1 THEN 'mid' ELSE '' END AS tier FROM chat),
+ b AS (SELECT *, q||chr(10)||a AS b FROM m) SELECT conv_id, turn, {rnd(f"least(length(a),260)/260.0+0.9*({div(cnt('b', SYM), cnt('b', LET))})+1.1*({div('len(list_intersect(qt,ot))', 'len(qt)')})+CASE tier WHEN 'high' THEN 0.45 WHEN 'mid' THEN 0.20 ELSE 0 END+CASE WHEN {rx('q', WST.logic)} AND {rx('a', WST.reason_words)} THEN 0.30 ELSE 0 END+CASE WHEN {rx('q', WST.math)} AND regexp_matches(a,'[0-9]') THEN 0.22 ELSE 0 END+CASE WHEN {rx('q', WST.syllogism)} AND {rx('a', WST.syllogism_score_words)} THEN 0.22 ELSE 0 END")} AS score FROM b""")
 def _(t):
     tier = F.when(F.col("conv_id") % 3 == 0, "high").when(F.col("conv_id") % 3 == 1, "mid").otherwise("")
     return t.chat.select("conv_id", "turn", r6(Q.quality_score("input", "output", tier, LATIN, WST)).alias("score"))

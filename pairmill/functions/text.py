@@ -311,12 +311,17 @@ def sentences(c) -> Column:
 
 
 def strip_particle(tok: Column, script: Script = HANGUL) -> Column:
-    """First matching suffix in list order; the stem keeps at least two characters."""
-    out = tok
-    for p in reversed(script.particles):
-        fits = tok.endswith(p) & (F.length(tok) > len(p) + 1)
-        out = F.when(fits, F.substring(tok, 1, F.length(tok) - len(p))).otherwise(out)
-    return out
+    """First matching suffix in list order; the stem keeps at least two characters.
+
+    With longer suffixes listed before the shorter ones they contain, list order equals the
+    shortest stem, which one lazy match finds.
+    """
+    p = script.particles
+    if not p:
+        return tok
+    if any(later.endswith(early) and later != early for i, early in enumerate(p) for later in p[i + 1:]):
+        raise ValueError("list longer particles before the ones they end with")
+    return F.regexp_replace(tok, rf"\A(.{{2,}}?){any_of(p)}\z", "$1")
 
 
 def retrieval_tokens(c, script: Script = HANGUL) -> Column:

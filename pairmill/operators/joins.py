@@ -135,7 +135,7 @@ def fuzzy_term_join(queries: DataFrame, cache: DataFrame, query: str, term: str,
 
 # ------------------------------------------------------------------ top-k by keyword overlap
 
-HOT_RULE_TOKENS = 12
+HOT_RULE_TOKENS = 32
 HOT_RULE_ROWS = 256
 
 

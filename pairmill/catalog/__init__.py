@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("shaping", "filtering", "sampling", "joining", "tasks")
+FAMILIES = ("shaping", "filtering", "sampling", "joining", "tasks", "inout")
 
 
 def load():

@@ -57,6 +57,16 @@ CODE = f"code AS (SELECT {', '.join(CODE_COLS)} FROM part)"
 QA = f"qa AS (SELECT {', '.join(QA_COLS)} FROM part)"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores (one small file) is dealt out to all cores.
+
+    Text work is per row and costs far more than moving a small table once. Tables of a real
+    cluster have many splits and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
+
+
 class Tables:
     """The driver tables as attributes, plus the pair frames that Spark derives from them."""
 
@@ -67,7 +77,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
 
     @property
     def pairs(self) -> DataFrame:

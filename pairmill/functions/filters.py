@@ -57,7 +57,7 @@ def corrupt_text(c, language: Column, script: Script = HANGUL, jamo: str = "ㄱ-
     """Question noise for any language; for the script's language also jamo or CJK heavy text."""
     s = X.text(c)
     syl, jam, han = X.count_in(s, script.symbols), X.count_in(s, jamo), X.count_in(s, cjk)
-    wide = X.count_re(s, r"[^\x00-\x7f]")
+    wide = X.count_in(s, r"^\x00-\x7f")
     script_bad = (
         ((syl == 0) & (wide >= 10) & (jam + han >= 8))
         | ((han >= 6) & (han > F.greatest(F.lit(2), syl)))

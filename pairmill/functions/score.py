@@ -244,7 +244,7 @@ def case_score(prompt, response, expect: Column, min_chars: Column, expect_unkno
 
 
 # Characters of a normal short answer, arithmetic marks, unknown marks, expected terms.
-ANSWER_CHARS = r"\s0-9A-Za-z{script},?!:;()\-_/\"'~`"
+ANSWER_CHARS = r" \t\n\r0-9A-Za-z{script},?!:;()\-_/\"'~`"
 ARITHMETIC_MARKS = ("최종답", "정답:", "부분곱", "검산", "일의 자리", "십의 자리")
 UNKNOWN_MARKS = ("모르겠습니다", "확실하지 않", "알 수 없습니다")
 GENERAL_EXPECTATIONS = {
@@ -289,7 +289,7 @@ def collapse_flag(item, c, matches: Column, script: Script = HANGUL) -> Column:
     """Broken stored answer: empty, arithmetic marks, long numbers, odd characters, repetition, wrong script or
     missed expectations."""
     s = X.normalize_space(c)
-    odd = X.count_re(s, "[^" + ANSWER_CHARS.format(script=script.symbols) + "]")
+    odd = X.count_in(s, "^" + ANSWER_CHARS.format(script=script.symbols))
     return (
         (s == "")
         | R.has_any(s, ARITHMETIC_MARKS)

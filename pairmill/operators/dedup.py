@@ -63,7 +63,7 @@ def cross_pool_unique(pools: Sequence[tuple[str, DataFrame]], key: str, order: S
 
 
 HOT_TOKENS = 512
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 
 
 def _prefix(df: DataFrame, threshold: float) -> DataFrame:
@@ -89,7 +89,7 @@ def novelty_filter(df: DataFrame, pos: str, keywords: str, rule_text: str, thres
     """Greedy in ``pos`` order: a row is dropped when a kept earlier row has keyword overlap of
     at least ``threshold`` or the same normalized text. Exact, without comparing whole groups.
 
-    1. Rows with equal keyword sets: only the first can survive, whatever happens to it.
+    1. Rows with equal keywords and equal text: only the first can survive, whatever happens to it.
     2. Star rounds: the first undecided row of all its prefix groups is kept, and its group
        members are tested against it alone. A cluster of near copies goes in one round.
     3. What is left joins on shared prefix tokens and compatible sizes; the verified edges
@@ -102,7 +102,7 @@ def novelty_filter(df: DataFrame, pos: str, keywords: str, rule_text: str, thres
         F.xxhash64(F.lower(X.normalize_space(rule_text))).alias("_txt"),
         (F.lower(X.normalize_space(rule_text)) != "").alias("_has"),
     )
-    reps = base.withColumn("_k", F.md5(F.to_json("_set"))).groupBy("_k").agg(
+    reps = base.withColumn("_k", F.md5(F.to_json("_set"))).groupBy("_k", "_txt", "_has").agg(
         F.min(F.struct("_p", "_set", "_txt", "_has")).alias("r")).select("r.*")
     left = cut_lineage(_prefix(reps, threshold))
     kept = None
@@ -224,10 +224,13 @@ def vector_merge(df: DataFrame, vid: str, groups: Sequence[str], order: str, vec
     lead = v.groupBy(*keys, "_cell").agg(F.min(F.struct("_o", "_id", "_v")).alias("l"))
     j = v.join(lead, [*keys, "_cell"]).withColumn("_lead", F.when(dot(F.col("_v"), F.col("l._v")) >= math.cos(eps), F.col("l._id")).otherwise(F.col("_id")))
     lead_rows = j.filter(F.col("_lead") == F.col("_id")).select("_id", *keys, "_v")
-    b = lead_rows.select("_id", *keys, "_v", F.posexplode(_bands("_v", dim)).alias("band", "bits"))
-    c = b.select(F.col("_id").alias("_id2"), *keys, F.col("_v").alias("_v2"), "band", "bits")
-    near = b.join(c, [*keys, "band", "bits"]).filter((F.col("_id") < F.col("_id2")) & (dot(F.col("_v"), F.col("_v2")) >= link))
-    edges = near.select(F.col("_id").alias("u"), F.col("_id2").alias("v")).distinct()
+    # Bands carry ids only; vectors join once per distinct candidate pair.
+    b = lead_rows.select("_id", *keys, F.posexplode(_bands("_v", dim)).alias("band", "bits"))
+    c = b.withColumnRenamed("_id", "_id2")
+    cand = b.join(c, [*keys, "band", "bits"]).filter(F.col("_id") < F.col("_id2")).select("_id", "_id2").distinct()
+    left, right = lead_rows.select("_id", "_v"), lead_rows.select(F.col("_id").alias("_id2"), F.col("_v").alias("_v2"))
+    near = cand.join(left, "_id").join(right, "_id2").filter(dot(F.col("_v"), F.col("_v2")) >= link)
+    edges = near.select(F.col("_id").alias("u"), F.col("_id2").alias("v"))
     comp = components(lead_rows, edges, "_id")
     tagged = cut_lineage(j.join(comp.withColumnRenamed("_id", "_lead"), "_lead").drop("l", "_cell"))
     # Tight set: all rows within half the merge angle of the set's first row.

@@ -29,16 +29,17 @@ def dialog_pairs(df: DataFrame, conv: str, turn: str, role: str, content: str) -
 
 
 def alternating_pairs(items: Column) -> Column:
-    """Array elements (0,1), (2,3), .. as an array of (input, output) structs."""
-    n = F.floor(F.size(items) / 2).cast("int")
-    return F.when(n < 1, F.array().cast("array<struct<pos:int,input:string,output:string>>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.struct(
-                i.alias("pos"), F.get(items, i * 2).alias("input"), F.get(items, i * 2 + 1).alias("output")
-            ),
+    """Array elements (0,1), (2,3), .. as an array of (pos, input, output) structs."""
+    def pairs(a):
+        n = F.floor(F.size(a) / 2).cast("int")
+        two = F.transform(
+            F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+            lambda i: F.struct(i.alias("pos"), F.get(a, i * 2).alias("input"), F.get(a, i * 2 + 1).alias("output")),
         )
-    )
+        return F.slice(two, F.lit(1), n)
+
+    # Bound as a lambda variable: the array is built once, not once per element.
+    return F.get(F.transform(F.array(items), pairs), F.lit(0))
 
 
 def best_of(df: DataFrame, keys: Sequence[str], score: Column | str, position: Column | str) -> DataFrame:
@@ -62,7 +63,7 @@ def total_score(meta: Column, probe: Column) -> Column:
 
 
 def paragraphs(c, min_len: int) -> Column:
-    parts = F.split(X.text(c), r"(?U)\n[\s\x1c-\x1f]*\n+")
+    parts = F.split(X.text(c), rf"\n[ {X.ODD_BLANK}]*\n+")
     return F.filter(F.transform(parts, X.normalize_space), lambda p: F.length(p) >= min_len)
 
 

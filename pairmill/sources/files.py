@@ -22,11 +22,14 @@ def excluded_path(path, tokens: Sequence[str] = EXCLUDE_TOKENS):
 
 
 def discover(spark: SparkSession, root: str, glob: str = "*.jsonl", tokens: Sequence[str] = EXCLUDE_TOKENS) -> DataFrame:
-    """(path, size_bytes, reason): files under ``root``; reason null = selected. Contents are not read."""
+    """(path, rel, size_bytes, reason): files under ``root``; reason null = selected.
+
+    Contents are not read. Spark's listing already leaves out empty files.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     rel = F.regexp_replace("path", r"\A[a-z]+:/*", "/")
     rel = F.substr(rel, F.length(F.lit(root.rstrip("/"))) + 1)
-    why = F.when(excluded_path(rel, tokens), "excluded_by_path_token").when(F.col("length") <= 0, "empty_file")
+    why = F.when(excluded_path(rel, tokens), "excluded_by_path_token")
     return f.select("path", rel.alias("rel"), F.col("length").alias("size_bytes"), why.alias("reason"))
 
 

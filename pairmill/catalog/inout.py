@@ -130,7 +130,7 @@ def _(t):
 OKROWS = f"ok AS (SELECT source, doc_id, lang, left(text,200) AS i, CASE WHEN doc_id%3>0 THEN substr(text,201,300) END AS o, doc_id%2=0 AS tier FROM documents WHERE {STATUS}='ok')"
 
 
-@case("s08_bounded_probe", f"""WITH {OKROWS}, m AS (SELECT source, {norm('i')} AS i, {norm('o')} AS o, lang, tier FROM ok), b AS (SELECT *, CASE WHEN i<>'' AND o<>'' THEN i||chr(10)||o ELSE chr(10) END AS b FROM m)
+@case("s08_bounded_probe", f"""WITH {OKROWS}, m AS (SELECT source, {norm('i')} AS i, {norm('o')} AS o, lang, tier FROM ok), b AS (SELECT *, i||chr(10)||o AS b FROM m)
  SELECT source, count(*)::BIGINT AS parsed, {rnd("avg((i<>'' AND o<>'')::INT)")} AS chat_ratio, {rnd('avg(tier::INT)')} AS tier_ratio, {rnd(f"avg((lang='fr' OR ({div(cnt('b', SYM), cnt('b', LET))})>=0.16)::INT)")} AS script_ratio FROM b GROUP BY source""")
 def _(t):
     path = K.shared_folder(t.spark, "probe")

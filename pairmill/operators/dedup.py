@@ -108,8 +108,10 @@ def novelty_filter(df: DataFrame, pos: str, keywords: str, rule_text: str, thres
     kept = None
 
     def groups(d):
-        keys = F.concat(F.col("_sig"), F.when(F.col("_has"), F.array(F.concat(F.lit("\x00"), F.col("_txt").cast("string")))).otherwise(F.array().cast("array<string>")))
-        return d.select("_p", "_set", "_txt", "_has", F.explode(F.when(F.size(keys) == 0, F.array(F.lit("\x01"))).otherwise(keys)).alias("g"))
+        none = F.array().cast("array<string>")
+        same_text = F.when(F.col("_has"), F.array(F.concat(F.lit("\x00"), F.col("_txt").cast("string")))).otherwise(none)
+        no_words = F.when(F.size("_set") == 0, F.array(F.lit("\x01"))).otherwise(none)
+        return d.select("_p", "_set", "_txt", "_has", F.explode(F.concat("_sig", same_text, no_words)).alias("g"))
 
     for _ in range(STAR_ROUNDS):
         g = groups(left)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairmill.functions import classify as C
 from pairmill.functions import filters as R
 from pairmill.functions import text as X
-from pairmill.schema import HANGUL, Script
+from pairmill.schema import HANGUL, INPUT_KEYS, OUTPUT_KEYS, Script
 
 # Path parts that exclude a file.
 EXCLUDE_TOKENS = ("quality/", "sources_", "smoke", "resumecheck", "bg_test", "_test", "/test/", "stages_")
@@ -42,7 +42,7 @@ def first_lines(scan: DataFrame, n: int) -> DataFrame:
 def probe(scan: DataFrame, n: int = 180, script: Script = HANGUL, share: float = 0.16) -> DataFrame:
     """Chat, tier, language and code ratios of the first ``n`` lines per file."""
     rows = first_lines(scan, n).filter("status = 'ok'").select("path", "row.*")
-    inp, out = X.extract_pair([c for c in rows.columns if c not in ("term", "path")])
+    inp, out = X.pick_first_non_empty(INPUT_KEYS), X.pick_first_non_empty(OUTPUT_KEYS)
     both = R.merged(inp, out)
     hint = R.language_hint(["language", "segment_tag", "task_type"], script)
     d = rows.select(

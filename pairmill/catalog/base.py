@@ -77,7 +77,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return spread(self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
+        return spread(self.raw(name))
+
+    def raw(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     @property
     def pairs(self) -> DataFrame:

@@ -104,7 +104,7 @@ def novelty_filter(df: DataFrame, pos: str, keywords: str, rule_text: str, thres
     )
     reps = base.withColumn("_k", F.md5(F.to_json("_set"))).groupBy("_k", "_txt", "_has").agg(
         F.min(F.struct("_p", "_set", "_txt", "_has")).alias("r")).select("r.*")
-    left = cut_lineage(_prefix(reps, threshold))
+    left = cut_lineage(_prefix(cut_lineage(reps), threshold))
     kept = None
 
     def groups(d):

@@ -233,7 +233,7 @@ def operands(d: Draw, kind: str, tries: int = 128) -> Column:
         return F.get(F.filter(some, good), F.lit(0))
 
     # Most rows succeed in the first tries; later ones are only evaluated when those fail.
-    return F.coalesce(first_good(0, 4), first_good(4, 16), first_good(16, n))
+    return F.coalesce(first_good(0, 8), first_good(8, n))
 
 
 def arithmetic(df: DataFrame, key: str, kind: str, seed) -> DataFrame:

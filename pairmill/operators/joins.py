@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairmill.functions import text as X
 from pairmill.schema import HANGUL, Script
+from pairmill.session import cut_lineage
 
 # A side is broadcast only below this many rows, counted first; larger sides shuffle.
 BROADCAST_ROWS = 200_000
@@ -153,7 +154,9 @@ def overlap_scores(queries: DataFrame, items: DataFrame, qid: str, q_tokens: str
     (base score, position) of each such class are enough. An item with a rare token in common
     is found through that token anyway, and its hot tokens are added from its class.
     """
-    it = items.select(item, F.array_distinct(keywords).alias("_kw"), F.col(base).alias("_base"), F.col(pos).alias("_pos"))
+    # Both sides are read several times below: tokens are computed once and kept as narrow tables.
+    it = cut_lineage(items.select(item, F.array_distinct(keywords).alias("_kw"), F.col(base).alias("_base"), F.col(pos).alias("_pos")))
+    queries = cut_lineage(queries.select(qid, F.array_distinct(q_tokens).alias(q_tokens)))
     ex = it.select(item, F.explode("_kw").alias("tok"))
     hot = ex.groupBy("tok").agg(F.count("*").alias("c")).filter(F.col("c") > HOT_RULE_ROWS).orderBy(F.col("c").desc(), "tok").limit(HOT_RULE_TOKENS)
     listed = F.broadcast(hot.agg(F.array_sort(F.collect_list("tok")).alias("_hot")))

@@ -422,9 +422,11 @@ def curriculum_stages(df: DataFrame, budgets: Sequence[tuple[str, int]], seed, k
     from pairmill.session import cut_lineage
 
     pools = stage_pools(df, curriculum, distill)
+    # Texts are read once: the stages work on (key, tokens, pool flags).
+    narrow = cut_lineage(df.select(key, "tokens", *[pools[name].alias(name) for name, _ in budgets]))
     done = None
     for i, (name, budget) in enumerate(budgets):
-        cand = df.filter(pools[name]).select(key, "tokens")
+        cand = narrow.filter(name).select(key, "tokens")
         if done is not None:
             cand = cand.join(done, key, "left_anti")
         sel = cut_lineage(fill_budget(cand, "tokens", budget, f"{seed}{i}", key, max_tokens).withColumn("stage", F.lit(name)))

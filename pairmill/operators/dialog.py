@@ -10,22 +10,35 @@ from pyspark.sql import functions as F
 from pairmill.functions import text as X
 
 
+TURN_BLOCK = 4096
+
+
 def dialog_pairs(df: DataFrame, conv: str, turn: str, role: str, content: str) -> DataFrame:
     """Latest user text followed by the next assistant text, in turn order.
 
-    One lag over the turns of a conversation; other roles and empty texts are skipped
-    first, so the previous remaining row decides. Sorting spills, nothing is collected.
+    Other roles and empty texts are skipped first, so the previous remaining row decides: one
+    lag. The lag runs per block of turns, which bounds a window whatever a conversation holds;
+    only the first row of a later block looks at the last row of the block before it.
     """
     rows = df.select(
-        conv, turn, F.lower(X.strip(role)).alias("_role"), X.clean_text(content).alias("_text")
+        conv, turn, F.lower(X.strip(role)).alias("_role"), X.clean_text(content).alias("_text"), F.floor(F.col(turn) / TURN_BLOCK).alias("_b")
     ).filter((F.col("_text") != "") & F.col("_role").isin("user", "assistant"))
-    w = Window.partitionBy(conv).orderBy(turn)
-    return (
+    w = Window.partitionBy(conv, "_b").orderBy(turn)
+    inside = (
         rows.withColumn("_prev", F.lag("_role").over(w))
         .withColumn("input", F.lag("_text").over(w))
         .filter((F.col("_role") == "assistant") & (F.col("_prev") == "user"))
         .select(conv, turn, "input", F.col("_text").alias("output"))
     )
+    later = df.filter(F.col(turn) >= TURN_BLOCK).select(conv)
+    if later.limit(1).count() == 0:
+        return inside
+    long = rows.join(later.distinct(), conv, "left_semi")
+    row = F.struct(F.col(turn).alias("t"), "_role", "_text")
+    ends = long.groupBy(conv, "_b").agg(F.min(row).alias("head"), F.max(row).alias("tail"))
+    before = F.lag("tail").over(Window.partitionBy(conv).orderBy("_b"))
+    across = ends.withColumn("prev", before).filter((F.col("head._role") == "assistant") & (F.col("prev._role") == "user"))
+    return inside.unionByName(across.select(conv, F.col("head.t").alias(turn), F.col("prev._text").alias("input"), F.col("head._text").alias("output")))
 
 
 def alternating_pairs(items: Column) -> Column:

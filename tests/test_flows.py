@@ -133,3 +133,27 @@ def test_generated_rows_do_not_depend_on_partitions(spark):
 def test_suite_relevance(spark):
     d = spark.createDataFrame([("def_http", "HTTP는 웹 프로토콜, 요청과 응답"), ("def_jwt", "토큰"), ("chat_hi", "x")], "id string, s string")
     assert [r[0] for r in d.select(Q.definition_relevance("id", "s")).collect()] == pytest.approx([1.0, 1 / 3, None])
+
+
+def test_dialog_pairs_across_blocks(spark, monkeypatch):
+    import random
+
+    from pairmill.operators import dialog as W
+
+    monkeypatch.setattr(W, "TURN_BLOCK", 5)
+    rnd = random.Random(3)
+    rows = [(c, t, rnd.choice(["user", "assistant", "system", " User "]), rnd.choice(["", f"text {c} {t}"])) for c in range(4) for t in range(0, 120 if c == 0 else 12, rnd.choice([1, 2, 7]))]
+    want = []
+    for c in range(4):
+        pending = ""
+        for _, t, r, x in sorted(r for r in rows if r[0] == c):
+            r = r.strip().lower()
+            if not x:
+                continue
+            if r == "user":
+                pending = x
+            elif r == "assistant" and pending:
+                want.append((c, t, pending, x))
+                pending = ""
+    d = spark.createDataFrame(rows, "c long, t long, role string, body string").repartition(6)
+    assert sorted(tuple(r) for r in W.dialog_pairs(d, "c", "t", "role", "body").collect()) == sorted(want)

@@ -36,14 +36,15 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 
 
 def exact_pairs(df: DataFrame, inp: str, out: str, order: Sequence[str], min_inp: int = 2, min_out: int = 1) -> DataFrame:
-    """Status per row: short, duplicate or kept, by exact stripped pair."""
+    """Status per row: short, duplicate or kept, by exact stripped pair; ``order`` is unique per row."""
     d = df.withColumn("_k", task_key(X.strip(inp), X.strip(out)))
     short = (F.length(X.strip(inp)) < min_inp) | (F.length(X.strip(out)) < min_out)
     long_rows = d.filter(~short)
-    # The first row per key is found on (key, order) only; texts are not sorted.
-    lead = long_rows.groupBy("_k").agg(F.min(F.struct(*order)).alias("_lead"))
-    flag = F.when(F.struct(*order) == F.col("_lead"), "kept").otherwise("duplicate")
-    tagged = long_rows.join(lead, "_k").withColumn("status", flag).drop("_lead")
+    # The first row per key is found on (key, order) only, with partial minima. Rows then meet it by
+    # their own unique position, so a key shared by a third of the rows does not gather anywhere.
+    lead = long_rows.groupBy("_k").agg(F.min(F.struct(*order)).alias("_lead")).select("_lead.*", F.lit(True).alias("_first"))
+    flag = F.when(F.col("_first"), "kept").otherwise("duplicate")
+    tagged = long_rows.join(lead, list(order), "left").withColumn("status", flag).drop("_first").select(*d.columns, "status")
     return d.filter(short).withColumn("status", F.lit("short")).unionByName(tagged).drop("_k")
 
 

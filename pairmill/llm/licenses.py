@@ -27,7 +27,6 @@ SHINGLE = 5
 LEAST = 0.8
 #: One-row bands: a window and a template of resemblance j meet with probability 1 - (1 - j)^BANDS, 0.9998 at j = 0.5.
 BANDS = 12
-SEEDS = [(0x9E3779B97F4A7C15 * (k + 1)) % (1 << 63) for k in range(BANDS)]
 
 
 def collision(j: float) -> float:
@@ -44,9 +43,10 @@ def shingles(w) -> Column:
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda k: F.xxhash64(F.slice(w, k, SHINGLE)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def scale_of(n: int) -> int:
-    """Windows hold 2^k shingles, the least that takes the template whole."""
-    return 1 << max(0, n - 1).bit_length()
+def once(df: DataFrame, *drop: str, **cols: Column) -> DataFrame:
+    """``df`` with ``cols``, which later expressions refer to instead of computing them again for every element."""
+    out = df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))).alias("_once"))
+    return out.select(*[c for c in df.columns if c not in drop], *[F.col(f"_once.{k}").alias(k) for k in cols])
 
 
 def template_frame(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -61,7 +61,7 @@ def template_frame(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
 
 def _bands(grams: Column) -> Column:
     """(band, least value) of the shingles of one window under each of the seeded permutations."""
-    return F.array(*[F.struct(F.lit(k).alias("band"), F.array_min(F.transform(grams, lambda g, s=s: g.bitwiseXOR(F.lit(s)))).alias("low")) for k, s in enumerate(SEEDS)])
+    return F.array(*[F.struct(F.lit(k).alias("band"), F.array_min(F.transform(grams, lambda g, k=k: F.xxhash64(F.lit(k), g))).alias("low")) for k in range(BANDS)])
 
 
 def cue_words(templates=TEMPLATES) -> list[str]:
@@ -86,31 +86,36 @@ def cue_words(templates=TEMPLATES) -> list[str]:
 def license_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES) -> DataFrame:
     """(key, ``license``, ``containment``): notices of which at least 80 % of the five-word shingles occur in the text.
 
-    Texts that hold a cue word are cut into windows of 1, 2, 4, ... shingles, one size per template size, each
-    overlapping the next by at least seven eighths; MinHash bands of the windows are joined with those of the
-    templates, and the share of a template's shingles in the whole document decides. One row per key and licence, the
-    best of its notices; equal keys count as one document each time, so repeated rows give one row. Null or empty
-    texts and texts of under five words have none. Only the key and the hashes of texts with a cue are kept.
+    Texts are cut into overlapping windows of 1, 2, 4, ... shingles, one size per template size, each a quarter further on.
+    Windows without a cue word are passed over: they lack more than a fifth of every notice. MinHash bands of the
+    others are joined with those of the templates, and the share of a template's shingles in the whole text decides.
+    One row per key and licence, the best of its notices; rows that repeat a key give one row. Null or empty texts
+    and texts of under five words have none. Only hashes of windows and of texts with a cue are shuffled.
     """
-    spark = docs.sparkSession
-    t = template_frame(spark, templates)
-    scales = sorted({r["scale"] for r in t.select("scale").distinct().collect()})
+    t = template_frame(docs.sparkSession, templates)
+    sizes = sorted({r["scale"] for r in t.select("scale").distinct().collect()})
+    cues = F.array(*[F.lit(c) for c in cue_words(templates)])
     low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    some = docs.where(low.rlike("|".join(cue_words(templates)))).select(F.col(key).alias("_key"), shingles(words(F.col(text))).alias("grams"))
+    some = docs.where(low.rlike("|".join(cue_words(templates)))).select(F.col(key).alias("_key"), words(F.col(text)).alias("w"))
+    some = once(some, "w", words=F.col("w"))
+    at = F.filter(F.transform("words", lambda w, k: F.when(F.array_contains(cues, w), k + 1)), lambda k: k.isNotNull())
+    some = once(some, "words", grams=shingles(F.col("words")), cue=at).where(F.size("grams") > 0)
+
+    def windows(n: int) -> Column:
+        """Windows of ``n`` shingles on a grid of a quarter of it; those that hold a cue word."""
+        step = max(1, n // 4)
+        cell = lambda k: F.floor((k - 1) / step).cast("int")
+        last = cell(F.size("grams"))
+        starts = F.array_distinct(F.flatten(F.transform("cue", lambda c: F.sequence(F.greatest(cell(c - (n + SHINGLE - 2)), F.lit(0)), F.least(cell(c), last)))))
+        return F.transform(starts, lambda k: F.struct(F.lit(n).alias("scale"), F.slice("grams", k * step + 1, n).alias("g")))
+
+    seen = some.where(F.size("cue") > 0).select("_key", F.explode(F.concat(*[windows(n) for n in sizes])).alias("win"))
+    seen = seen.select("_key", "win.scale", F.explode(_bands(F.col("win.g"))).alias("b")).select("_key", "scale", "b.band", "b.low")
     t_bands = t.select("t", "scale", F.explode(_bands(F.col("t_grams"))).alias("b")).select("t", "scale", "b.band", "b.low")
-
-    def window(n: int) -> Column:
-        step = max(1, n // 8)
-        at = F.sequence(F.lit(1), F.greatest(F.size("grams") - (n - step), F.lit(1)), F.lit(step))
-        bands = (lambda k: F.array(F.struct(F.lit(0).alias("band"), F.get(F.col("grams"), k - 1).bitwiseXOR(F.lit(SEEDS[0])).alias("low")))) if n == 1 else (lambda k: _bands(F.slice("grams", k, n)))
-        return F.flatten(F.transform(at, lambda k: F.transform(bands(k), lambda b: F.struct(F.lit(n).alias("scale"), b["band"].alias("band"), b["low"].alias("low")))))
-
-    windows = some.where(F.size("grams") > 0).select("_key", "grams", F.explode(F.array_distinct(F.concat(*[window(n) for n in scales]))).alias("w"))
-    found = windows.select("_key", "grams", "w.*").join(F.broadcast(t_bands), ["scale", "band", "low"])
-    checked = found.join(F.broadcast(t.select("t", "license", "t_grams")), "t").withColumn(
-        "containment", F.size(F.array_intersect("t_grams", "grams")) / F.size("t_grams")
-    )
-    best = checked.where(F.col("containment") >= LEAST).groupBy("_key", "license").agg(F.max("containment").alias("containment"))
+    found = seen.join(F.broadcast(t_bands), ["scale", "band", "low"]).select("_key", "t").distinct()
+    checked = found.join(F.broadcast(t.select("t", "license", "t_grams")), "t").join(some.select("_key", "grams"), "_key")
+    share = F.size(F.array_intersect("t_grams", "grams")) / F.size("t_grams")
+    best = checked.withColumn("containment", share).where(F.col("containment") >= LEAST).groupBy("_key", "license").agg(F.max("containment").alias("containment"))
     return best.select(F.col("_key").alias(key), "license", "containment")
 
 

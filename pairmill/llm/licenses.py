@@ -59,9 +59,13 @@ def template_frame(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return rows.withColumn("scale", F.when(n > 0, power).otherwise(F.raise_error(F.lit("a notice needs five words")).cast("int")))
 
 
+def _least(grams: Column, seed: int) -> Column:
+    return F.array_min(F.transform(grams, lambda g: F.xxhash64(F.lit(seed), g)))
+
+
 def _bands(grams: Column) -> Column:
     """(band, least value) of the shingles of one window under each of the seeded permutations."""
-    return F.array(*[F.struct(F.lit(k).alias("band"), F.array_min(F.transform(grams, lambda g, k=k: F.xxhash64(F.lit(k), g))).alias("low")) for k in range(BANDS)])
+    return F.array(*[F.struct(F.lit(k).alias("band"), _least(grams, k).alias("low")) for k in range(BANDS)])
 
 
 def cue_words(templates=TEMPLATES) -> list[str]:

@@ -8,6 +8,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space; everything else belongs to a word.
@@ -179,3 +180,13 @@ def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def list_array(values: np.ndarray, ptr: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(values, type=kind))
+
+
+def bites(batches, column: int = 1, size: int = 4 << 20):
+    """The batches cut at rows into slices of about ``size`` bytes of text, so that work arrays stay small."""
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // size, prepend=0)).tolist() if len(lengths) else []
+        edges = [0, *[c for c in cuts if c], b.num_rows]
+        for at, to in zip(edges, edges[1:], strict=False):
+            yield b.slice(at, to - at)

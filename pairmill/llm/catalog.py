@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmill.llm import dart, licenses, mixing, urls
+from pairmill.llm import dart, decontaminate, licenses, mixing, urls
 from pairmill.llm.common import stored, table
 
 
@@ -13,6 +13,10 @@ def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
     return urls.url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -30,6 +34,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_dart_minhash": op2_dart_minhash,
+    "op4_decontaminate": op4_decontaminate,
     "op8_url_filter": op8_url_filter,
     "op9_source_mix": op9_source_mix,
     "op10_license_scan": op10_license_scan,

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmill.llm import dart, decontaminate, licenses, mixing, urls
+from pairmill.llm import dart, decontaminate, licenses, mixing, toxicity, urls
 from pairmill.llm.common import stored, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    scored = toxicity.score_texts(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -33,6 +40,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_dart_minhash": op2_dart_minhash,
     "op4_decontaminate": op4_decontaminate,
     "op8_url_filter": op8_url_filter,

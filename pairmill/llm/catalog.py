@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmill.llm import dart, decontaminate, licenses, mixing, toxicity, urls
+from pairmill.llm import dart, decontaminate, licenses, mixing, planes, spotsigs, toxicity, urls
 from pairmill.llm.common import stored, table
 
 
@@ -24,6 +24,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.read_digests(planes.write_files(table(spark, sf_dir, "documents"), planes.default_tokenizer()))
+
+
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
     return urls.url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -43,6 +51,8 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_dart_minhash": op2_dart_minhash,
     "op4_decontaminate": op4_decontaminate,
+    "op5_bit_planes": op5_bit_planes,
+    "op6_spotsigs": op6_spotsigs,
     "op8_url_filter": op8_url_filter,
     "op9_source_mix": op9_source_mix,
     "op10_license_scan": op10_license_scan,

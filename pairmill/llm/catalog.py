@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmill.llm import dart, decontaminate, licenses, mixing, planes, spotsigs, toxicity, urls
+from pairmill.llm import dart, decontaminate, licenses, mixing, planes, spotsigs, toxicity, trie_lm, urls
 from pairmill.llm.common import stored, table
 
 
@@ -32,6 +32,13 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = toxicity.held_out(parts=7, rest=2)
+    scored = trie_lm.score_texts(docs, trie_lm.train(docs.where(~rest)))
+    return scored.withColumn("held_out", rest)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
     return urls.url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -53,6 +60,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_bit_planes": op5_bit_planes,
     "op6_spotsigs": op6_spotsigs,
+    "op7_trie_lm": op7_trie_lm,
     "op8_url_filter": op8_url_filter,
     "op9_source_mix": op9_source_mix,
     "op10_license_scan": op10_license_scan,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmill.llm import dart, decontaminate, licenses, mixing, planes, spotsigs, toxicity, trie_lm, urls
+from pairmill.llm import dart, decontaminate, html_text, licenses, mixing, planes, spotsigs, toxicity, trie_lm, urls
 from pairmill.llm.common import stored, table
 
 
@@ -20,6 +20,10 @@ def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +61,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_dart_minhash": op2_dart_minhash,
+    "op3_html_text": op3_html_text,
     "op4_decontaminate": op4_decontaminate,
     "op5_bit_planes": op5_bit_planes,
     "op6_spotsigs": op6_spotsigs,

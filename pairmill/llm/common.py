@@ -51,7 +51,7 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 @cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(_MULT), -1, 1 << 64))
     out = []
     with np.errstate(over="ignore"):
@@ -142,7 +142,7 @@ class Words:
         last[rows[rows > 0] - 1] = True
         s, e = np.flatnonzero(w & first), np.flatnonzero(w & last) + 1
         size = max(_STEP, 1 << int(len(b)).bit_length()) + 1
-        up, down = _powers(size)
+        up, down = powers(size)
         with np.errstate(over="ignore"):
             sums = np.zeros(len(b) + 1, dtype=np.uint64)
             np.cumsum(values[b] * up[: len(b)], out=sums[1:])

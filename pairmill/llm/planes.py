@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,24 +16,63 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairmill.llm.common import bites, shared_folder, stored
+from pairmill.llm.common import powers, bites, mix, shared_folder, stored
 
 #: Ids of a block.
 BLOCK = 1 << 16
 MAGIC = b"PMPLANE1"
 #: Distinct pieces of text whose ids a worker remembers; beyond, it starts anew.
-CACHE = 300_000
+CACHE = 800_000
 END = 0
-
-_BLANK = r" \t\n\r\x0b\x0c"
-#: Cuts a text where the pre-tokenizer of byte-level BPE always cuts: before the last blank of each run of blanks, and behind the run.
-_PIECE = re.compile(rf" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
-#: Other white space, which Python and the tokenizer may see differently; such texts are encoded in one go.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+#: Texts of more bytes are encoded in one go, without pieces.
+LONG = 8 << 20
+
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[list(b" \t\n\r\x0b\x0c")] = True
+_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+_SIGN = np.array([32 < b < 127 and not chr(b).isalpha() for b in range(256)])
+_RAW = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64)
+
+
+def _odd(buf: np.ndarray) -> np.ndarray:
+    """Places of white space other than the six blanks, which the tokenizer may join with them."""
+    found = [np.flatnonzero((buf >= 0x1C) & (buf <= 0x1F))]
+    for lead, rest in ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A, 0xA0)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)), (0xEF, (0xBB,))):
+        at = np.flatnonzero(buf[:-1] == lead)
+        at = at[np.isin(buf[at + 1], rest)]
+        if lead == 0xE2:  # not the dashes and quotes of the same range
+            third = buf[np.minimum(at + 2, len(buf) - 1)]
+            at = at[(third <= 0x8F) | (third >= 0xA8) & (third <= 0xAF) | (third == 0x9F)]
+        found.append(at)
+    return np.concatenate(found)
+
+
+def pieces(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Starts of the pieces of texts at ``offs`` (first 0, last the length of ``buf``).
+
+    The pre-tokenizer of byte-level BPE cuts a text at these places whatever stands around them: behind every word, before the last
+    blank of a run in front of a word, behind that blank unless it is a space, and where an ASCII sign follows a letter.
+    """
+    word = ~_BLANK[buf]
+    row = np.zeros(len(buf) + 1, dtype=bool)
+    row[offs] = True
+    before = np.concatenate([[False], word[:-1]])
+    cut = row[:-1].copy()
+    begins = np.flatnonzero(word & (~before | cut))
+    behind = np.flatnonzero(word) + 1
+    cut[behind[(behind < len(buf)) & ~word[np.minimum(behind, len(buf) - 1)]]] = True
+    letter = _LETTER[buf]
+    wide = np.flatnonzero(buf[:-1] == 0xC3)
+    letter[wide[(buf[wide + 1] != 0x97) & (buf[wide + 1] != 0xB7)] + 1] = True
+    cut[1:] |= letter[:-1] & _SIGN[buf[1:]]
+    blank = begins[~row[begins]]
+    cut[blank - 1] = True
+    cut[blank[buf[blank - 1] != 32]] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """The ids of whole texts. Pieces that white space sets apart are encoded once and remembered."""
+    """The ids of whole texts. Pieces that always stand apart are encoded once and remembered by a 64-bit hash."""
 
     def __init__(self, path: str, limit: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,18 +80,63 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[int, bytes] = {}
         self.limit = limit
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [_PIECE.findall(t) if not _ODD.search(t) else [t] for t in texts]
-        new = set().union(*pieces) - self.known.keys()
-        if len(self.known) + len(new) > self.limit:
-            self.known, new = {}, set().union(*pieces)
-        new = list(new)
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join([self.known[p] for p in ps]), dtype="<u4") for ps in pieces]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = texts.cast(pa.large_string()).fill_null("")
+        n = len(texts)
+        if not n:
+            return []
+        offs = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
+        buf = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offs[0] : offs[-1]]
+        offs = offs - offs[0]
+        if not len(buf):
+            return [np.zeros(0, dtype="<u4")] * n
+        whole = np.zeros(n, dtype=bool)
+        whole[np.searchsorted(offs, _odd(buf), side="right") - 1] = True
+        whole |= np.diff(offs) > LONG
+        out: list = [None] * n
+        for k in np.flatnonzero(whole):
+            out[k] = np.frombuffer(self._ids([texts[int(k)].as_py()])[0], dtype="<u4")
+        rest = np.flatnonzero(~whole)
+        if len(rest) < n:
+            texts = texts.take(pa.array(rest))
+            for k, x in zip(rest, self.encode(texts), strict=True):
+                out[k] = x
+            return out
+        start = pieces(buf, offs)
+        stop = np.append(start[1:], len(buf))
+        up, down = powers(1 << int(len(buf)).bit_length())
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_RAW[buf] * up[: len(buf)], dtype=np.uint64)])
+            hashes = mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+        uniq, first, slot = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = uniq.tolist()
+        if len(self.known) > self.limit:
+            self.known = {}
+        new = [k for k, h in enumerate(keys) if h not in self.known]
+        if new:
+            raw = buf.tobytes()
+            for k, ids in zip(new, self._ids([raw[start[first[k]] : stop[first[k]]].decode() for k in new]), strict=True):
+                self.known[keys[k]] = ids
+        found = [self.known[h] for h in keys]
+        size = np.array([len(f) // 4 for f in found])
+        flat, at = np.frombuffer(b"".join(found), dtype="<u4"), np.concatenate([[0], np.cumsum(size)])
+        count = size[slot]
+        ends = np.cumsum(count)
+        ids = flat[np.arange(ends[-1]) + np.repeat(at[slot] - (ends - count), count)]
+        upto = np.concatenate([[0], ends])[np.searchsorted(start, offs)]
+        return [ids[a:b] for a, b in zip(upto, upto[1:], strict=False)]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One per worker process, whatever the number of tasks it runs."""
+    return Encoder(path)
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -183,14 +267,14 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str | None = None, key:
 
     def write(batches):
         part, uri = TaskContext.get().partitionId(), f"{folder}/part-{uuid.uuid4().hex}.planes"
-        enc, out, sink = None, None, None
-        for b in bites(batches):
+        out = sink = None
+        for b in bites(batches, size=1 << 20):
             if not b.num_rows:
                 continue
             if out is None:
-                enc, sink = Encoder(tokenizer), _open(uri, write=True)
+                sink = _open(uri, write=True)
                 out = Writer(sink, bits)
-            ids = enc.encode([t or "" for t in b.column(1).to_pylist()])
+            ids = encoder(tokenizer).encode(b.column(1))
             for doc, x in zip(b.column(0).to_pylist(), ids, strict=True):
                 out.add(doc, np.append(x, np.uint32(END)))
         if out is not None:

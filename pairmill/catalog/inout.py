@@ -18,15 +18,16 @@ D = "doc_id"
 
 def raw_lines(t):
     """documents as JSON lines with broken, blank and non-object lines mixed in by id."""
-    obj = F.to_json(F.struct(F.col(D).cast("string").alias("id"), F.col("lang").alias("language"), "source", F.substring("text", 1, 200).alias("input"),
-                             F.when(F.col(D) % 3 > 0, F.substring("text", 201, 300)).alias("output"), F.when(F.col(D) % 2 == 0, "high").alias("_meta_quality_tier")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    obj = F.to_json(F.struct(F.col(D).cast("string").alias("id"), F.col("lang").alias("language"), "source", F.substr("text", F.lit(1), half).alias("input"),
+                             F.when(F.col(D) % 3 > 0, F.substr("text", half + 1)).alias("output"), F.when(F.col(D) % 2 == 0, "high").alias("_meta_quality_tier")))
     line = F.when(F.col(D) % 11 == 0, F.substr(obj, F.lit(1), (F.length(obj) / 2).cast("int"))).when(F.col(D) % 13 == 0, F.concat(F.lit("["), F.col(D).cast("string"), F.lit("]"))).when(F.col(D) % 17 == 0, "   ").otherwise(obj)
-    return t.documents.select("source", line.alias("value"))
+    return t.documents.select("source", D, line.alias("value"))
 
 
 def written(t):
     path = K.shared_folder(t.spark, "raw")
-    raw_lines(t).write.partitionBy("source").text(path)
+    raw_lines(t).drop(D).write.partitionBy("source").text(path)
     return path
 
 
@@ -39,7 +40,7 @@ def _(t):
     return s.groupBy(F.regexp_extract("path", r"source=([^/]+)/", 1).alias("source"), "status").agg(F.count("*").alias("n"))
 
 
-@case("s01_jsonl_rows", f"SELECT doc_id::VARCHAR AS id, lang AS language, source, left(text,200) AS input, CASE WHEN doc_id%3>0 THEN substr(text,201,300) END AS output FROM documents WHERE {STATUS}='ok'")
+@case("s01_jsonl_rows", f"SELECT doc_id::VARCHAR AS id, lang AS language, source, left(text,length(text)//2) AS input, CASE WHEN doc_id%3>0 THEN substr(text,length(text)//2+1) END AS output FROM documents WHERE {STATUS}='ok'")
 def _(t):
     return J.jsonl_rows(t.spark, written(t)).select("id", "language", "source", "input", "output")
 
@@ -117,7 +118,7 @@ def _(t):
 def _(t):
     path = K.shared_folder(t.spark, "tree")
     d = t.documents.withColumn("dir", F.when(F.col("source").isin("src1", "src2"), F.concat(F.lit("smoke_"), "source")).otherwise(F.col("source")))
-    d.select("dir", F.to_json(F.struct("doc_id", "lang")).alias("value")).repartition("dir").write.partitionBy("dir").text(path)
+    d.select("dir", F.to_json(F.struct("doc_id", "lang")).alias("value")).write.partitionBy("dir").text(path)
     f = FL.discover(t.spark, path, "*.txt", ("smoke_",))
     return f.select(F.regexp_extract("rel", r"dir=(?:smoke_)?([^/]+)/", 1).alias("source"), "reason").distinct()
 
@@ -127,25 +128,32 @@ def _(t):
     return t.pages.filter(~FL.excluded_path("url", ("/FR/", "page=2"))).select("page_id")
 
 
-OKROWS = f"ok AS (SELECT source, doc_id, lang, left(text,200) AS i, CASE WHEN doc_id%3>0 THEN substr(text,201,300) END AS o, doc_id%2=0 AS tier FROM documents WHERE {STATUS}='ok')"
+def okrows(bound):
+    """The parsed rows among the first ``bound`` lines of every file."""
+    return f"""f AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id//5000 ORDER BY doc_id) AS line FROM documents),
+ ok AS (SELECT source||'-'||doc_id//5000 AS file, doc_id, lang, left(text,length(text)//2) AS i, CASE WHEN doc_id%3>0 THEN substr(text,length(text)//2+1) END AS o, doc_id%2=0 AS tier FROM f WHERE line<={bound} AND {STATUS}='ok')"""
 
 
-@case("s08_bounded_probe", f"""WITH {OKROWS}, m AS (SELECT source, {norm('i')} AS i, {norm('o')} AS o, lang, tier FROM ok), b AS (SELECT *, i||chr(10)||o AS b FROM m)
- SELECT source, count(*)::BIGINT AS parsed, {rnd("avg((i<>'' AND o<>'')::INT)")} AS chat_ratio, {rnd('avg(tier::INT)')} AS tier_ratio, {rnd(f"avg((lang='fr' OR ({div(cnt('b', SYM), cnt('b', LET))})>=0.16)::INT)")} AS script_ratio FROM b GROUP BY source""")
+def block_files(t, name):
+    """One file for each source and 5,000 ids, lines in the order of their ids."""
+    path = K.shared_folder(t.spark, name)
+    d = raw_lines(t).withColumn("file", F.concat_ws("-", "source", F.floor(F.col(D) / 5000)))
+    d.repartition("file").sortWithinPartitions("file", D).select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+@case("s08_bounded_probe", f"""WITH {okrows(180)}, m AS (SELECT file, {norm('i')} AS i, {norm('o')} AS o, lang, tier FROM ok), b AS (SELECT *, i||chr(10)||o AS b FROM m)
+ SELECT file, count(*)::BIGINT AS parsed, {rnd("avg((i<>'' AND o<>'')::INT)")} AS chat_ratio, {rnd('avg(tier::INT)')} AS tier_ratio, {rnd(f"avg((lang='fr' OR ({div(cnt('b', SYM), cnt('b', LET))})>=0.16)::INT)")} AS script_ratio FROM b GROUP BY file""")
 def _(t):
-    path = K.shared_folder(t.spark, "probe")
-    raw_lines(t).repartition("source").write.partitionBy("source").text(path)
-    p = FL.probe(J.jsonl_scan(t.spark, path), 100_000, LATIN)
-    return p.select(F.regexp_extract("path", r"source=([^/]+)/", 1).alias("source"), "parsed", *[r6(F.col(c)).alias(c) for c in ("chat_ratio", "tier_ratio", "script_ratio")])
+    p = FL.probe(J.jsonl_scan(t.spark, block_files(t, "probe")), 180, LATIN)
+    return p.select(F.regexp_extract("path", r"file=([^/]+)/", 1).alias("file"), "parsed", *[r6(F.col(c)).alias(c) for c in ("chat_ratio", "tier_ratio", "script_ratio")])
 
 
-@case("s08_probe_keys", f"""WITH {OKROWS}, k AS (SELECT source, unnest(CASE WHEN o IS NULL AND NOT tier THEN ['id','language','source','input'] WHEN o IS NULL THEN ['id','language','source','input','_meta_quality_tier'] WHEN NOT tier THEN ['id','language','source','input','output'] ELSE ['id','language','source','input','output','_meta_quality_tier'] END) AS key FROM ok)
- SELECT source, key, count(*)::BIGINT AS n FROM k GROUP BY ALL""")
+@case("s08_probe_keys", f"""WITH {okrows(160)}, k AS (SELECT file, unnest(CASE WHEN o IS NULL AND NOT tier THEN ['id','language','source','input'] WHEN o IS NULL THEN ['id','language','source','input','_meta_quality_tier'] WHEN NOT tier THEN ['id','language','source','input','output'] ELSE ['id','language','source','input','output','_meta_quality_tier'] END) AS key FROM ok)
+ SELECT file, key, count(*)::BIGINT AS n FROM k GROUP BY ALL""")
 def _(t):
-    path = K.shared_folder(t.spark, "keys")
-    raw_lines(t).repartition("source").write.partitionBy("source").text(path)
-    k = FL.top_keys(J.jsonl_scan(t.spark, path), 100_000)
-    return k.select(F.regexp_extract("path", r"source=([^/]+)/", 1).alias("source"), "key", "n")
+    k = FL.top_keys(J.jsonl_scan(t.spark, block_files(t, "keys")))
+    return k.select(F.regexp_extract("path", r"file=([^/]+)/", 1).alias("file"), "key", "n")
 
 
 @case("s09_source_spec", """SELECT doc_id, source, CASE source WHEN 'src5' THEN 0 WHEN 'src2' THEN 1 ELSE 2 END::BIGINT AS src_rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) rn FROM documents WHERE source IN ('src5','src2','src9'))

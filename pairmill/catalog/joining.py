@@ -76,17 +76,17 @@ ASC = "[a-z]{7,}"
 
 
 @case("j04_fuzzy_term_join", f"""WITH q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text),'{ASC}')) AS k FROM benchmark),
- c0 AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text),'{ASC}'))) AS term, text FROM documents WHERE lang='en' AND n_chars<1500),
- c AS (SELECT term, doc_id, left(text, (20+doc_id%30)::INT) AS answer FROM c0),
- s AS (SELECT q.k, c.term, c.answer, c.doc_id, CASE WHEN q.k=c.term THEN 10.0 ELSE 1.0-levenshtein(q.k,c.term)::DOUBLE/greatest(length(q.k),length(c.term)) END AS sim, least(0.35, 24.0/greatest(24,length(c.answer))) AS b
-   FROM q JOIN c ON abs(length(q.k)-length(c.term))<=2),
+ c0 AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text),'{ASC}'))) AS term, text FROM documents),
+ c AS (SELECT term, doc_id, length(text) AS size FROM c0),
+ d AS (SELECT q.k, x.term, CASE WHEN q.k=x.term THEN 10.0 ELSE 1.0-levenshtein(q.k,x.term)::DOUBLE/greatest(length(q.k),length(x.term)) END AS sim
+   FROM q JOIN (SELECT DISTINCT term FROM c) x ON abs(length(q.k)-length(x.term))<=2),
+ s AS (SELECT k, c.term, c.doc_id, sim, least(0.35, 24.0/greatest(24,size)) AS b FROM (SELECT * FROM d WHERE sim>=0.84-1e-12) d JOIN c USING (term)),
  r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round((sim+b)::DOUBLE,9) DESC, doc_id, term DESC) rn FROM s WHERE sim>=0.84-1e-12)
  SELECT k, term AS matched, {rnd('sim+b')} AS score FROM r WHERE rn=1""")
 def _(t):
     q = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(ASC), F.lit(0))).alias("k")).distinct()
-    docs = t.documents.filter("lang = 'en' AND n_chars < 1500")
-    c = docs.select(D, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(ASC), F.lit(0)))).alias("term"),
-                    F.substr("text", F.lit(1), (20 + F.col(D) % 30).cast("int")).alias("answer"))
+    c = t.documents.select(D, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(ASC), F.lit(0)))).alias("term"),
+                    F.col("text").alias("answer"))
     return J.fuzzy_term_join(q, c, "k", "term", "answer", D).select("k", "matched", r6(F.col("score")).alias("score"))
 
 
@@ -394,10 +394,10 @@ def _(t):
     return W.leaderboard(s, "score", "user_id").select("user_id", r6(F.col("score")).alias("score"), F.col("place").cast("long").alias("place"))
 
 
-@case("w07_consensus", f"""WITH c AS (SELECT source, doc_id, {rtoks('left(text,300)')} AS k, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) r FROM documents), a AS (SELECT source, k FROM c WHERE r=1)
+@case("w07_consensus", f"""WITH c AS (SELECT source, doc_id, {rtoks('text')} AS k, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) r FROM documents), a AS (SELECT source, k FROM c WHERE r=1)
  SELECT a.source, {rnd(f"CASE WHEN len(a.k)=0 THEN 0 ELSE avg(CASE WHEN len(c.k)=0 THEN 0 ELSE len(list_intersect(a.k,c.k))::DOUBLE/greatest(1,len(a.k)+len(c.k)-len(list_intersect(a.k,c.k))) END) END")} AS consensus FROM a JOIN c ON c.source=a.source AND c.r BETWEEN 2 AND 4 GROUP BY a.source, a.k""")
 def _(t):
-    c = t.documents.select("source", D, X.retrieval_tokens(F.substring("text", 1, 300), LATIN).alias("k"), "n_chars")
+    c = t.documents.select("source", D, X.retrieval_tokens("text", LATIN).alias("k"), "n_chars")
     return W.consensus(c, "source", [F.col("n_chars").desc(), F.col(D)], "k").select("source", r6(F.col("consensus")).alias("consensus"))
 
 
@@ -547,11 +547,11 @@ def ell(c, n):
     return f"CASE WHEN length({norm(c)})<={n} THEN {norm(c)} ELSE rtrim(left({norm(c)},{max(20, n - 3)}))||'...' END"
 
 
-@case("q13_rule_candidate_rank", f"""WITH {CHAT}, m AS (SELECT conv_id, turn, {ell('output',220)} AS t, {ell('input',120)} AS p, {ell("left(output,400)",120)} AS r, {SW.format(c='output')} AS tt, {SW.format(c="'exact_mismatch'")} AS rt FROM chat),
+@case("q13_rule_candidate_rank", f"""WITH {CHAT}, m AS (SELECT conv_id, turn, {ell('output',220)} AS t, {ell('input',120)} AS p, {ell('output',120)} AS r, {SW.format(c='output')} AS tt, {SW.format(c="'exact_mismatch'")} AS rt FROM chat),
  c AS (SELECT conv_id, turn, tt, rt, unnest([0,1,2]) AS pos, unnest(['If the query is similar to: '||p||chr(10)||'Return content aligned with: '||t, 'Rule from failure(exact_mismatch): prioritize target constraints.'||chr(10)||'Target anchor: '||t,
   'Fix incorrect output pattern.'||chr(10)||'Bad output snippet: '||r||chr(10)||'Expected style/content: '||t]) AS x FROM m), w AS (SELECT *, {SW.format(c='x')} AS w FROM c),
  s AS (SELECT *, round((0.75*{jac('w','tt')}+0.25*{jac('w','rt')}-0.001*greatest(0,length(x)-260))::DOUBLE,9) AS s FROM w), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY s DESC, pos) rn FROM s)
  SELECT conv_id, turn, x AS rule, {rnd('s')} AS score FROM b WHERE rn=1""")
 def _(t):
-    b = Q.best_rule("input", "output", F.substring("output", 1, 400), F.lit("exact_mismatch"), LATIN)
+    b = Q.best_rule("input", "output", F.col("output"), F.lit("exact_mismatch"), LATIN)
     return t.chat.select("conv_id", "turn", b.alias("b")).select("conv_id", "turn", F.col("b.text").alias("rule"), r6(F.col("b.score")).alias("score"))

@@ -65,14 +65,14 @@ def longest_first(c, n, script):
     return F.slice(F.transform(k, lambda y: F.substr(y, F.lit(5))), 1, n)
 
 
-@case("d05_novelty_filter", f"""WITH RECURSIVE b AS (SELECT doc_id, {KW} AS ks, lower({norm("substr(text,1,60)")}) AS tx, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+@case("d05_novelty_filter", f"""WITH RECURSIVE b AS (SELECT doc_id, {KW} AS ks, lower({norm('text')}) AS tx, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
  ex AS (SELECT i, unnest(ks) AS k FROM b), ov AS (SELECT x.i AS u, y.i AS v, count(*) AS n FROM ex x JOIN ex y ON x.k=y.k AND x.i<y.i GROUP BY ALL),
  e AS (SELECT u, v FROM ov JOIN b p ON p.i=u JOIN b q ON q.i=v WHERE n::DOUBLE/(len(p.ks)+len(q.ks)-n)>=0.90 UNION SELECT p.i, q.i FROM b p JOIN b q ON p.tx=q.tx AND p.tx<>'' AND p.i<q.i
    UNION SELECT p.i, q.i FROM b p JOIN b q ON len(p.ks)=0 AND len(q.ks)=0 AND p.i<q.i),
  g AS (SELECT 1::BIGINT AS i, [1::BIGINT] AS kept UNION ALL SELECT g.i+1, CASE WHEN (SELECT count(*) FROM e WHERE e.v=g.i+1 AND list_contains(g.kept, e.u))>0 THEN kept ELSE list_append(kept, g.i+1) END FROM g WHERE g.i<(SELECT max(i) FROM b)),
  fin AS (SELECT unnest(kept) AS i FROM g WHERE i=(SELECT max(i) FROM b)) SELECT doc_id FROM b JOIN fin USING (i)""")
 def _(t):
-    d = t.documents.select(ID, longest_first("text", 14, LATIN).alias("kw"), F.substring("text", 1, 60).alias("rule"))
+    d = t.documents.select(ID, longest_first("text", 14, LATIN).alias("kw"), F.col("text").alias("rule"))
     return D.novelty_filter(d, ID, "kw", "rule").select(ID)
 
 
@@ -212,13 +212,13 @@ def _(t):
     return m.select(ID, F.col("_mix_source").alias("component"))
 
 
-@case("m16_ratio_mix_fill", f"""WITH p AS (SELECT doc_id, 'en' AS component, 0 AS p, 420 AS want, r, n FROM {pool("lang='en'", 42)} UNION ALL SELECT doc_id, 'fr', 1, 240, r, n FROM {pool("lang='fr'", 42)} UNION ALL SELECT doc_id, 'de', 2, 140, r, n FROM {pool("lang='de'", 42)}),
+@case("m16_ratio_mix_fill", f"""WITH p AS (SELECT doc_id, 'en' AS component, 0 AS p, 320 AS want, r, n FROM {pool("lang='en'", 42)} UNION ALL SELECT doc_id, 'fr', 1, 240, r, n FROM {pool("lang='fr'", 42)} UNION ALL SELECT doc_id, 'de', 2, 140, r, n FROM {pool("lang='de'", 42)} UNION ALL SELECT doc_id, 'es', 3, 100, r, n FROM {pool("lang='es'", 42)}),
  s AS (SELECT *, CASE WHEN r<=want THEN 0 ELSE n-r+1 END AS rd FROM p), k AS (SELECT 800-count(*) AS rest FROM s WHERE rd=0), e AS (SELECT doc_id, component, row_number() OVER (ORDER BY rd, p) g FROM s WHERE rd>0)
  SELECT doc_id, component FROM s WHERE rd=0 UNION ALL SELECT doc_id, component FROM e, k WHERE g<=rest""")
 def _(t):
     d = t.documents.select(ID, "lang")
-    pools = [(g, d.filter(F.col("lang") == g)) for g in ("en", "fr", "de")]
-    return S.ratio_mix_fill(pools, (52.5, 30, 17.5), 800, 42, ID).select(ID, F.col("_mix_source").alias("component"))
+    pools = [(g, d.filter(F.col("lang") == g)) for g in ("en", "fr", "de", "es")]
+    return S.ratio_mix_fill(pools, (40, 30, 17.5, 12.5), 800, 42, ID).select(ID, F.col("_mix_source").alias("component"))
 
 
 @case("m17_replay_ratio", f"""WITH b AS {pool("lang='es'", 42)}, k AS (SELECT (SELECT count(*) FROM documents WHERE lang='en') na, (SELECT count(*) FROM b) nb), w AS (SELECT round_even(na*0.25/0.75, 0)::BIGINT AS want, nb FROM k)

@@ -287,10 +287,10 @@ def _(t):
     return s.select("id", "tier", "prompt", "target", F.col("verifier.max_token_nll").cast("double").alias("max_token_nll"), F.element_at("meta", "language").alias("language"))
 
 
-@case("x22_distill_rows", """SELECT 'patch_'||doc_id AS patch_id, 'Apply verified rules when relevant and answer the user query.'||chr(10)||chr(10)||'Verified rule:'||chr(10)||left(text,40)||chr(10)||chr(10)||'User query:'||chr(10)||source AS input, lang AS output, (n_chars%40)::BIGINT AS uses
+@case("x22_distill_rows", """SELECT 'patch_'||doc_id AS patch_id, 'Apply verified rules when relevant and answer the user query.'||chr(10)||chr(10)||'Verified rule:'||chr(10)||text||chr(10)||chr(10)||'User query:'||chr(10)||source AS input, lang AS output, (n_chars%40)::BIGINT AS uses
  FROM documents ORDER BY n_chars%40 DESC, doc_id DESC LIMIT 60""")
 def _(t):
-    r = t.documents.select(F.concat(F.lit("patch_"), F.col(D).cast("string")).alias("patch_id"), F.substring("text", 1, 40).alias("rule_text"), F.col("source").alias("prompt"), F.col("lang").alias("target"),
+    r = t.documents.select(F.concat(F.lit("patch_"), F.col(D).cast("string")).alias("patch_id"), F.col("text").alias("rule_text"), F.col("source").alias("prompt"), F.col("lang").alias("target"),
                            (F.col("n_chars") % 40).alias("uses"), F.col(D).alias("created_step"))
     return G.distill_rows(r, 60).select("patch_id", "input", "output", "uses")
 
@@ -496,11 +496,11 @@ def _(t):
     return G.tokenizer_lines(c, "k", "input", "output").withColumn("part", F.col("part").cast("long"))
 
 
-@case("x35_premise_closure", f"""WITH RECURSIVE e AS (SELECT DISTINCT p_brand, lower({W1}) AS a, lower({W2}) AS b FROM part WHERE p_size%4=0 AND {W1}<>{W2}), n AS (SELECT p_brand, a FROM e UNION SELECT p_brand, b FROM e),
+@case("x35_premise_closure", f"""WITH RECURSIVE e AS (SELECT DISTINCT p_brand, lower({W1}) AS a, lower({W2}) AS b FROM part WHERE {W1}<>{W2}), n AS (SELECT p_brand, a FROM e UNION SELECT p_brand, b FROM e),
  r AS (SELECT p_brand, a, a AS b FROM n UNION SELECT r.p_brand, r.a, e.b FROM r JOIN e ON e.p_brand=r.p_brand AND e.a=r.b) SELECT DISTINCT p_brand, a, b FROM r""")
 def _(t):
     w1, w2 = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
     said = F.when(F.col(P) % 2 == 0, F.concat(F.lit("Note. All "), w1, F.lit(" are "), w2, F.lit(". Done."))).otherwise(F.concat(F.lit("모든 "), w1, F.lit("는 "), w2, F.lit("이다.")))
-    facts = G.subset_facts(t.part.filter("p_size % 4 = 0").select("p_brand", said.alias("text")), "p_brand", "text")
+    facts = G.subset_facts(t.part.select("p_brand", said.alias("text")), "p_brand", "text")
     low = facts.select("p_brand", F.lower("a").alias("a"), F.lower("b").alias("b")).distinct()
     return G.subset_closure(low, "p_brand")

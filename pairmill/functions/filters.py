@@ -200,12 +200,11 @@ def license_source(df: DataFrame, trusted: DataFrame, license_col: str, file_col
 
     ``trusted(file)`` lists files by name; the join broadcasts it only when counted small.
     """
-    from pairmill.operators.joins import small_side
 
     rows = F.when(is_mit(license_col), "row_license")
     if strict:
         return df.withColumn("mit_source", rows)
-    names = small_side(trusted.select(F.col(trusted.columns[0]).alias(file_col), F.lit(True).alias("_trusted")).distinct())
+    names = trusted.select(F.col(trusted.columns[0]).alias(file_col), F.lit(True).alias("_trusted")).distinct()
     return (
         df.join(names, file_col, "left")
         .withColumn("mit_source", F.coalesce(rows, F.when(F.col("_trusted"), "file_allowlist")))

@@ -37,7 +37,9 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 
 def exact_pairs(df: DataFrame, inp: str, out: str, order: Sequence[str], min_inp: int = 2, min_out: int = 1) -> DataFrame:
     """Status per row: short, duplicate or kept, by exact stripped pair; ``order`` is unique per row."""
-    d = df.withColumn("_k", task_key(X.strip(inp), X.strip(out)))
+    i, o = X.strip(inp), X.strip(out)
+    # The length of the first part keeps pairs apart that differ only in where a newline falls.
+    d = df.withColumn("_k", F.sha2(F.concat_ws("\n", F.length(i).cast("string"), i, o), 256))
     short = (F.length(X.strip(inp)) < min_inp) | (F.length(X.strip(out)) < min_out)
     long_rows = d.filter(~short)
     # The first row per key is found on (key, order) only, with partial minima. Rows then meet it by
@@ -100,7 +102,7 @@ def novelty_filter(df: DataFrame, pos: str, keywords: str, rule_text: str, thres
     base = df.select(
         F.col(pos).alias("_p"),
         F.array_sort(F.array_distinct(keywords)).alias("_set"),
-        F.xxhash64(F.lower(X.normalize_space(rule_text))).alias("_txt"),
+        F.sha2(F.lower(X.normalize_space(rule_text)), 256).alias("_txt"),
         (F.lower(X.normalize_space(rule_text)) != "").alias("_has"),
     )
     reps = base.withColumn("_k", F.md5(F.to_json("_set"))).groupBy("_k", "_txt", "_has").agg(

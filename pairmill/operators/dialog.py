@@ -31,8 +31,6 @@ def dialog_pairs(df: DataFrame, conv: str, turn: str, role: str, content: str) -
         .select(conv, turn, "input", F.col("_text").alias("output"))
     )
     later = df.filter(F.col(turn) >= TURN_BLOCK).select(conv)
-    if later.limit(1).count() == 0:
-        return inside
     long = rows.join(later.distinct(), conv, "left_semi")
     row = F.struct(F.col(turn).alias("t"), "_role", "_text")
     ends = long.groupBy(conv, "_b").agg(F.min(row).alias("head"), F.max(row).alias("tail"))
@@ -114,16 +112,17 @@ def cut_at(c: Column, share: float, edge: int) -> tuple[Column, Column]:
 def leaderboard(df: DataFrame, score: str, key: str) -> DataFrame:
     """Rank by score, best first, equal scores sharing a rank.
 
-    The number of better rows is summed over score steps first, so ranks need no window over
-    the whole table.
+    Rows are counted per distinct score first, and only distinct scores are ranked, in steps of a
+    thousandth: any number of rows may share a score.
     """
-    d = df.withColumn("_s", F.round(-F.col(score), 9)).withColumn("_block", F.floor(F.col("_s") * 1000))
-    per = d.groupBy("_block").agg(F.count("*").alias("_n"))
+    d = df.withColumn("_s", F.round(-F.col(score), 9))
+    per = d.groupBy("_s").agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("_s") * 1000))
     w = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     # Scores lie in [0, 1]: at most a thousand steps.
-    off = per.select("_block", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("_block").orderBy("_s")
-    return d.join(F.broadcast(off), "_block").withColumn("place", F.rank().over(inner) + F.col("_before")).drop("_s", "_block", "_before")
+    off = per.groupBy("_block").agg(F.sum("_n").alias("_m")).select("_block", F.coalesce(F.sum("_m").over(w), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy("_block").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    places = per.join(off, "_block").select("_s", (F.coalesce(F.sum("_n").over(inner), F.lit(0)) + F.col("_before") + 1).alias("place"))
+    return d.join(places, "_s").drop("_s")
 
 
 def consensus(df: DataFrame, group: str, order: Sequence[Column], tokens: str, top: int = 4) -> DataFrame:

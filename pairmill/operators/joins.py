@@ -11,18 +11,6 @@ from pairmill.functions import text as X
 from pairmill.schema import HANGUL, Script
 from pairmill.session import cut_lineage
 
-# A side is broadcast only below this many rows, counted first; larger sides shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint when a bounded count proves it small, else ``df``.
-
-    The probe stops after ``limit`` rows, so it stays cheap on a large side.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def rare_symbol_ratio(df: DataFrame, key: str, c: str, profile: DataFrame, script: Script = HANGUL) -> DataFrame:
     """Share of script symbols of ``c`` outside ``profile(ch)``; 0 where the text has none.
 
@@ -41,8 +29,8 @@ def rare_symbol_ratio(df: DataFrame, key: str, c: str, profile: DataFrame, scrip
 
 
 def index_to_files(rows: DataFrame, index: DataFrame, path: str) -> DataFrame:
-    """Rows of the files named in a field index (index broadcast when counted small)."""
-    return rows.join(small_side(index), path)
+    """Rows of the files named in a field index (adaptive execution broadcasts the index when its bytes are few)."""
+    return rows.join(index, path)
 
 
 # Vocabulary weight by grade.
@@ -65,7 +53,7 @@ def vocab_hits(df: DataFrame, key: str, terms: Column, vocab: DataFrame) -> Data
     v = vocab.groupBy("term").agg(F.max(grade_weight(F.col("grade"))).alias("w"))
     hit = (
         df.select(key, F.explode(F.array_distinct(terms)).alias("term"))
-        .join(small_side(v), "term")
+        .join(v, "term")
         .groupBy(key).agg(F.count("*").alias("vocab_hits"), F.sum("w").alias("vocab_score"))
     )
     return df.join(hit, key, "left").withColumns(
@@ -234,13 +222,13 @@ def matches_expectation(text: Column, need_all: Column, need_any: Column, max_le
 
 
 def with_expectations(answers: DataFrame, expectations: DataFrame, item: str = "id", text: str = "stdout") -> DataFrame:
-    e = small_side(expectations.select(F.col("id").alias(item), "need_all", "need_any", "max_len"))
+    e = expectations.select(F.col("id").alias(item), "need_all", "need_any", "max_len")
     d = answers.join(e, item, "left")
     return d.withColumn("matches", matches_expectation(F.col(text), F.col("need_all"), F.col("need_any"), F.col("max_len")))
 
 
 def canonical_join(suite: DataFrame, canonical: DataFrame, item: str = "id") -> DataFrame:
-    return suite.join(small_side(canonical), item)
+    return suite.join(canonical, item)
 
 
 def term_summaries(terms: DataFrame, summaries: DataFrame, term: str, lang: str, summary: str, order: Sequence[str] = ("ko", "en"),

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 # Hash blocks: the first hex digits of the md5 order key. A block holds an even share of its
 # group because the order key is a hash: 1/65,536 of a whole table, 1/4,096 of one group.
 GLOBAL_DIGITS, GROUP_DIGITS = 4, 3
-# Spark pushes a row_number limit below the exchange up to this size (its default threshold).
-PUSHED_LIMIT = 1000
 POSITION_BLOCK = 65_536
 
 
@@ -93,18 +91,11 @@ def position_ranked(df: DataFrame, pos: str, groups: Sequence[str] = (), rank: s
 
 def take(df: DataFrame, n: int, seed, key, groups: Sequence[str] = ()) -> DataFrame:
     """``n`` rows in seeded random order, per group if given."""
-    if groups and n <= PUSHED_LIMIT:
-        keys = [key] if isinstance(key, str) else list(key)
-        w = Window.partitionBy(*groups).orderBy(order_key(seed, *keys), *keys)
-        return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
     return hash_ranked(df, seed, key, groups, "_r", limit=F.lit(n)).drop("_r")
 
 
 def take_first(df: DataFrame, n: int, pos: str, groups: Sequence[str] = ()) -> DataFrame:
     """First ``n`` rows by position, per group if given (running caps in input order)."""
-    if groups and n <= PUSHED_LIMIT:
-        w = Window.partitionBy(*groups).orderBy(pos)
-        return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
     return position_ranked(df, pos, groups, "_r", limit=F.lit(n)).drop("_r")
 
 
@@ -219,13 +210,13 @@ def backfill_targets(cap: int, ratio: float, main: int, other: int) -> tuple[int
 def weighted_take(df: DataFrame, n: int, weight: Column, seed, key: str) -> DataFrame:
     """Weighted sample without replacement: the ``n`` largest u^(1/w), u from the row hash.
 
-    log(u)/w keeps the same order. Blocks cut that score at fixed steps, so the ranking stays
-    spread whatever the weights are.
+    log(u)/w keeps the same order. Blocks are cut in the logarithm of that score, which one weight or another
+    only shifts: a block holds about a thousandth of the rows of equal weight, be it small or huge.
     """
     u = uniform(order_key(seed, key))
     score = F.round(F.log(u) / F.greatest(weight.cast("double"), F.lit(1e-6)), 9)
     d = df.withColumn("_s", -score)
-    block = F.least(F.floor(F.col("_s") * 256), F.lit(1_000_000))
+    block = F.floor(F.log2(F.greatest(F.col("_s"), F.lit(1e-9))) * 1024)
     return ranked(d, [], ["_s", key], block, "_r", limit=F.lit(n)).drop("_s", "_r")
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairmill.functions import text as X
-from pairmill.operators.joins import small_side
 from pairmill.schema import RAW_SCHEMA
 
 
@@ -122,4 +121,4 @@ def source_table(spark: SparkSession, specs: Sequence[str], sep: str = ":") -> D
 
 def with_source(df: DataFrame, sources: DataFrame, path: str) -> DataFrame:
     """Rows of the listed sources with their rank and limit."""
-    return df.join(small_side(sources.withColumnRenamed("path", path)), path)
+    return df.join(sources.withColumnRenamed("path", path), path)

@@ -149,6 +149,14 @@ def _(t):
     return p.select(F.regexp_extract("path", r"file=([^/]+)/", 1).alias("file"), "parsed", *[r6(F.col(c)).alias(c) for c in ("chat_ratio", "tier_ratio", "script_ratio")])
 
 
+@case("s08_probe_reason", f"""WITH {okrows(180)}, m AS (SELECT file, {norm('i')} AS i, {norm('o')} AS o, lang, tier FROM ok), b AS (SELECT *, i||chr(10)||o AS b FROM m),
+ p AS (SELECT file, avg((i<>'' AND o<>'')::INT) AS chat, avg(tier::INT) AS tier, avg((lang='fr' OR ({div(cnt('b', SYM), cnt('b', LET))})>=0.16)::INT) AS script FROM b GROUP BY file)
+ SELECT file, CASE WHEN chat<0.66 THEN 'probe_not_chat' WHEN script<0.30 THEN 'probe_not_ko' WHEN tier<=0 THEN 'probe_no_tier' END AS reason FROM p""")
+def _(t):
+    p = FL.probe(J.jsonl_scan(t.spark, block_files(t, "probe")), 180, LATIN)
+    return p.select(F.regexp_extract("path", r"file=([^/]+)/", 1).alias("file"), FL.probe_reason(0.66).alias("reason"))
+
+
 @case("s08_probe_keys", f"""WITH {okrows(160)}, k AS (SELECT file, unnest(CASE WHEN o IS NULL AND NOT tier THEN ['id','language','source','input'] WHEN o IS NULL THEN ['id','language','source','input','_meta_quality_tier'] WHEN NOT tier THEN ['id','language','source','input','output'] ELSE ['id','language','source','input','output','_meta_quality_tier'] END) AS key FROM ok)
  SELECT file, key, count(*)::BIGINT AS n FROM k GROUP BY ALL""")
 def _(t):

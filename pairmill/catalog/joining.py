@@ -97,18 +97,18 @@ def _(t):
 
 
 @case("j06_topk_jaccard_join", f"""WITH q AS (SELECT conv_id, turn, list_distinct({toks('text')}) AS q FROM conversations WHERE role='user'),
- r AS (SELECT doc_id, list_transform(list_sort(list_transform(list_distinct({toks('text')}), lambda x: lpad((1000-length(x))::VARCHAR,4,'0')||x))[1:14], lambda y: substr(y,5)) AS k, least(0.08, 0.01*ln(1.0+doc_id%50)) AS b FROM documents),
+ r AS (SELECT doc_id, list_transform(list_sort(list_transform(list_distinct({toks('text')}), lambda x: lpad((1000-length(x))::VARCHAR,4,'0')||x))[1:14], lambda y: substr(y,5)) AS k, least(0.08, 0.01*ln(1.0+doc_id%50)) AS b FROM documents WHERE doc_id%9<>0),
  qe AS (SELECT conv_id, turn, unnest(q) AS w FROM q), re AS (SELECT doc_id, unnest(k) AS w FROM r), o AS (SELECT conv_id, turn, doc_id, count(*) AS n FROM qe JOIN re USING (w) GROUP BY ALL),
  s AS (SELECT o.conv_id, o.turn, o.doc_id, round((n::DOUBLE/(len(q.q)+len(r.k)-n)+b)::DOUBLE, 9) AS sc FROM o JOIN q USING (conv_id, turn) JOIN r USING (doc_id)),
  t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY sc DESC, doc_id) rk FROM s) SELECT conv_id, turn, doc_id, rk::BIGINT AS rank, {rnd('sc')} AS score FROM t WHERE rk<=3""")
 def _(t):
     q = t.conversations.filter("role = 'user'").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("qid"), "conv_id", "turn", X.words("text", LATIN).alias("q"))
-    r = t.documents.select(D, longest_first("text", 14, LATIN).alias("kw"), (F.col(D) % 50).alias("uses"))
-    top = J.topk_jaccard(q, r, "qid", "q", D, "kw", "uses", D, 3)
+    r = t.documents.select(D, longest_first("text", 14, LATIN).alias("kw"), (F.col(D) % 50).alias("uses"), F.when(F.col(D) % 9 == 0, "retired").otherwise("active").alias("status"))
+    top = J.topk_jaccard(q, r, "qid", "q", D, "kw", "uses", D, 3, "status")
     return top.join(q.select("qid", "conv_id", "turn"), "qid").select("conv_id", "turn", D, F.col("rank").cast("long").alias("rank"), r6(F.col("score")).alias("score"))
 
 
-VEC = "vec AS (SELECT vec_id, embedding, label, ['w'||(vec_id%11), 'x'||(vec_id%5), 'y'||(vec_id%3)] AS kw, (vec_id%13)/12.0 AS sc, vec_id%40 AS uses FROM embeddings)"
+VEC = "vec AS (SELECT vec_id, embedding, label, ['w'||(vec_id%11), 'x'||(vec_id%5), 'y'||(vec_id%3)] AS kw, (vec_id%13)/12.0 AS sc, vec_id%40 AS uses FROM embeddings WHERE vec_id%8<>0 AND vec_id%5 IN (0,1,2))"
 PQ = "pq AS (SELECT p_partkey, list_distinct(['w'||(p_partkey%23), 'x'||(p_size%5), 'z'||p_size]) AS q FROM part)"
 TOPV = f"""{VEC}, {PQ}, s AS (SELECT p_partkey, vec_id, round((0.60*{jac('q', 'kw')}+0.30*least(1.0,greatest(0.0,sc))+least(0.15,0.02*ln(1.0+uses)))::DOUBLE,9) AS sc FROM pq, vec),
  hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY sc DESC, vec_id) rk FROM s WHERE sc>0) WHERE rk<=3)"""
@@ -116,7 +116,9 @@ TOPV = f"""{VEC}, {PQ}, s AS (SELECT p_partkey, vec_id, round((0.60*{jac('q', 'k
 
 def vec_frames(t):
     v = t.embeddings.select("vec_id", "embedding", F.col("label").cast("long").alias("label"), F.array(*[F.concat(F.lit(p), (F.col("vec_id") % m).cast("string")) for p, m in (("w", 11), ("x", 5), ("y", 3))]).alias("kw"),
-                            (F.col("vec_id") % 13 / 12.0).alias("sc"), (F.col("vec_id") % 40).alias("uses"))
+                            (F.col("vec_id") % 13 / 12.0).alias("sc"), (F.col("vec_id") % 40).alias("uses"),
+                            F.when(F.col("vec_id") % 8 == 0, "merged").otherwise("active").alias("status"),
+                            F.element_at(F.array(*[F.lit(x) for x in ("Skill", " fact ", "skill", "style", "tool")]), (F.col("vec_id") % 5 + 1).cast("int")).alias("kind"))
     q = t.part.select("p_partkey", F.array(F.concat(F.lit("w"), (F.col("p_partkey") % 23).cast("string")), F.concat(F.lit("x"), (F.col("p_size") % 5).cast("string")),
                                            F.concat(F.lit("z"), F.col("p_size").cast("string"))).alias("q"))
     return v, q
@@ -125,7 +127,7 @@ def vec_frames(t):
 @case("j07_topk_vector_meta_join", f"WITH {TOPV} SELECT p_partkey, vec_id, rk::BIGINT AS rank, {rnd('sc')} AS score FROM hits")
 def _(t):
     v, q = vec_frames(t)
-    return J.topk_vectors(q, v, "p_partkey", "q", "vec_id", "kw", "sc", "uses", "vec_id", 3).select("p_partkey", "vec_id", F.col("rank").cast("long").alias("rank"), r6(F.col("score")).alias("score"))
+    return J.topk_vectors(q, v, "p_partkey", "q", "vec_id", "kw", "sc", "uses", "vec_id", 3, "status", "kind", ("skill", "FACT")).select("p_partkey", "vec_id", F.col("rank").cast("long").alias("rank"), r6(F.col("score")).alias("score"))
 
 
 @case("j07_compose_layers", f"""WITH {TOPV}, x AS (SELECT p_partkey, h.vec_id, h.sc, label%4 AS layer, embedding, unnest(range(0,64)) AS pos FROM hits h JOIN vec USING (vec_id)),
@@ -133,7 +135,7 @@ def _(t):
  n AS (SELECT *, sqrt(sum(val*val) OVER (PARTITION BY p_partkey, layer)) AS nn FROM v) SELECT p_partkey, layer::BIGINT AS layer, pos::BIGINT AS pos, {rnd('CASE WHEN nn>2.0 THEN val*(2.0/nn) ELSE val END')} AS value FROM n WHERE pos<4""")
 def _(t):
     v, q = vec_frames(t)
-    top = J.topk_vectors(q, v, "p_partkey", "q", "vec_id", "kw", "sc", "uses", "vec_id", 3)
+    top = J.topk_vectors(q, v, "p_partkey", "q", "vec_id", "kw", "sc", "uses", "vec_id", 3, "status", "kind", ("skill", "FACT"))
     v = v.withColumn("layer", F.col("label") % 4)
     c = J.compose_layers(top, v, "p_partkey", "vec_id", "layer", "embedding", F.when(F.col("vec_id") % 2 == 0, 3.0).otherwise(2.0))
     return c.filter("pos < 4").select("p_partkey", "layer", F.col("pos").cast("long").alias("pos"), r6(F.col("value")).alias("value"))

@@ -249,8 +249,8 @@ def vector_merge(df: DataFrame, vid: str, groups: Sequence[str], order: str, vec
         F.min_by("_id", "_o").alias("_id"), F.max("_sc").alias("_sc"), F.count("*").alias("members"))
     # A keyword repeated by every copy is counted once per map task, not gathered per row.
     kw = t.filter("_tight").select("comp", F.explode("_kw").alias("k")).distinct().groupBy("comp").agg(F.array_sort(F.collect_set("k")).alias("_kw"))
-    schema = T.StructType([f for f in df.select(*keys).schema.fields] + [T.StructField("comp", T.LongType())] + [
-        T.StructField("_id", T.LongType()), T.StructField("_sc", T.DoubleType()), T.StructField("_kw", T.ArrayType(T.StringType())),
+    schema = T.StructType([f for f in df.select(*keys).schema.fields] + [T.StructField("comp", df.schema[vid].dataType)] + [
+        T.StructField("_id", df.schema[vid].dataType), T.StructField("_sc", T.DoubleType()), T.StructField("_kw", T.ArrayType(T.StringType())),
         T.StructField("members", T.LongType()), T.StructField("_v", T.ArrayType(T.DoubleType()))])
 
     def norm(x):

@@ -170,19 +170,31 @@ def _top(d: DataFrame, qid: str, item: str, k: int) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(qid, item, "rank", "score")
 
 
-def topk_jaccard(queries: DataFrame, rules: DataFrame, qid: str, q_tokens: str, rid: str, keywords: str, uses: str, pos: str, k: int = 3) -> DataFrame:
-    """Active rules by keyword overlap > 0 plus min(0.08, 0.01 ln(1 + uses)), top ``k`` per query."""
-    r = rules.withColumn("_bonus", use_bonus(F.col(uses), 0.08, 0.01))
+def active(df: DataFrame, status: str | None) -> DataFrame:
+    return df if status is None else df.filter(F.col(status) == "active")
+
+
+def topk_jaccard(queries: DataFrame, rules: DataFrame, qid: str, q_tokens: str, rid: str, keywords: str, uses: str, pos: str, k: int = 3, status: str | None = None) -> DataFrame:
+    """Active rules by keyword overlap > 0 plus min(0.08, 0.01 ln(1 + uses)), top ``k`` per query.
+
+    With ``status``, only rules whose column of that name is "active" take part.
+    """
+    r = active(rules, status).withColumn("_bonus", use_bonus(F.col(uses), 0.08, 0.01))
     d = overlap_scores(queries, r, qid, q_tokens, rid, keywords, "_bonus", pos, k).filter("overlap > 0")
     return _top(d.withColumn("score", F.round(F.col("overlap") + F.col("_base"), 9)), qid, rid, k)
 
 
-def topk_vectors(queries: DataFrame, recs: DataFrame, qid: str, q_tokens: str, vid: str, keywords: str, score: str, uses: str, pos: str, k: int = 3) -> DataFrame:
+def topk_vectors(queries: DataFrame, recs: DataFrame, qid: str, q_tokens: str, vid: str, keywords: str, score: str, uses: str, pos: str, k: int = 3, status: str | None = None,
+                 kind: str | None = None, kind_allow: Sequence[str] = ()) -> DataFrame:
     """0.60 overlap + 0.30 clipped score + min(0.15, 0.02 ln(1 + uses)), positive, top ``k``.
 
     Rows without overlap compete by the static part alone, so their global best ``k`` are the
-    only ones that can appear in any answer.
+    only ones that can appear in any answer. ``status`` as in ``topk_jaccard``; with ``kind_allow``, only records
+    whose ``kind`` is among these, case and outer spaces aside.
     """
+    recs = active(recs, status)
+    if kind and kind_allow:
+        recs = recs.filter(F.lower(X.strip(kind)).isin([x.strip().lower() for x in kind_allow]))
     static = 0.30 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(score))) + use_bonus(F.col(uses), 0.15, 0.02)
     r = recs.withColumn("_static", static)
     always = r.orderBy(F.col("_static").desc(), pos).limit(k)

@@ -40,7 +40,7 @@ def local_path(uri: str) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, and executors can be lost."""
     path = shared_folder(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

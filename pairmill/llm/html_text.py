@@ -31,6 +31,7 @@ _BOILER_NAMES = set(
     "navigation breadcrumb breadcrumbs footer comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe popup modal overlay "
     "widget login signup search pagination pager toolbar masthead topbar complementary contentinfo".split()
 )
+_TEASER_NAMES = {"ad", "ads", "advert", "sponsored", "promo", "related", "recommended", "teaser"}
 _COMMENT_NAMES = {"comment", "comments", "reply", "replies", "respond", "disqus"}
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -120,7 +121,11 @@ def blocks_of(html: str) -> list[tuple[str, int, float]]:
         names = {w for a in _NAMED.findall(attrs) for w in re.split(r"[\s_-]+", "".join(a).lower())} if attrs else set()
         remarks = bool(names & _COMMENT_NAMES) or any(s[2] for s in stack)
         inside = any(s[1] == MAIN for s in stack)
-        if tag in _BOILER_TAGS or names & _BOILER_NAMES or remarks or ((tag == "header" or "header" in names) and not inside):
+        if tag in ("article", "main"):
+            boiler = bool(names & _TEASER_NAMES)
+        else:
+            boiler = tag in _BOILER_TAGS or tag not in ("html", "body") and bool(names & _BOILER_NAMES)
+        if boiler or remarks or ((tag == "header" or "header" in names) and not inside and tag != "body"):
             new = SKIP
         elif tag in ("article", "main") or "main" in names:
             new = MAIN if inside and zone == MAIN or not inside else zone

@@ -275,6 +275,8 @@ def test_blocks_of_a_page():
     assert main == ["A & B", "First para goes on.", "Second one <x>", "item", "Last"]
     assert html_text.blocks_of("") == [] and html_text.blocks_of("<p") == []
     assert [b[0] for b in html_text.blocks_of("1 < 2 and <b>3</b><p>x<scr")] == ["1 < 2 and 3", "x"]
+    named = "<body class='has-sidebar'><div class='main sidebar-left'><article class='post share'>a</article><article class='related'>b</article></div>c"
+    assert [b[:2] for b in html_text.blocks_of(named)] == [("a", html_text.MAIN), ("b", html_text.SKIP), ("c", html_text.PLAIN)]
     assert [b[0] for b in html_text.blocks_of("<div class=ad>x<p>y<article>z") if b[1] == html_text.MAIN] == ["z"]
 
 

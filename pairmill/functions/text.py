@@ -277,7 +277,7 @@ def top_count(items: Column) -> Column:
         run = F.when(acc["v"].eqNullSafe(x), acc["run"] + 1).otherwise(F.lit(1))
         return F.struct(x.alias("v"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    return F.aggregate(F.array_sort(items), start, step, lambda a: a["best"]).cast("long")
+    return F.aggregate(F.sort_array(items), start, step, lambda a: a["best"]).cast("long")
 
 
 def bigrams(toks: Column) -> Column:

@@ -76,8 +76,8 @@ def counted(toks: Column, n: int) -> Column:
         return bind(starts, lambda st: F.transform(st, lambda b, k: F.struct(
             (b - F.coalesce(F.get(st, k + 1), size)).alias("neg"), F.get(s, b)["i"].alias("i"), F.get(s, b)["t"].alias("t"))))
 
-    pairs = F.array_sort(F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-    return F.transform(F.slice(F.array_sort(bind(pairs, runs)), 1, n), lambda x: x["t"])
+    pairs = F.sort_array(F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    return F.transform(F.slice(F.sort_array(bind(pairs, runs)), 1, n), lambda x: x["t"])
 
 
 def identifiers(c, n: int = 12, script: Script = HANGUL) -> Column:
@@ -95,7 +95,7 @@ def keywords(c, n: int = 6, script: Script = HANGUL) -> Column:
 def longest_keywords(*cols, n: int = 14, script: Script = HANGUL) -> Column:
     """Union of words, longest first, then by text."""
     words = F.array_distinct(F.flatten(F.array(*[Q.simple_words(c, script) for c in cols])))
-    s = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
+    s = F.sort_array(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
     return F.transform(F.slice(s, 1, n), lambda x: x["w"])
 
 
@@ -555,17 +555,16 @@ def subset_facts(df: DataFrame, prompt: str, c: str) -> DataFrame:
 
 
 def subset_closure(edges: DataFrame, prompt: str) -> DataFrame:
-    """Reflexive-transitive closure per prompt. Path lengths double each round, so the rounds
-    grow with the logarithm of the longest chain; lineage is cut every round."""
+    """Reflexive-transitive closure per prompt. Only the pairs of the last round are joined with all pairs
+    so far, and path lengths double each round: rounds grow with the logarithm of the longest chain and end
+    when nothing is new; lineage is cut every round."""
     from pairmill.session import cut_lineage
 
     nodes = edges.select(prompt, F.col("a")).unionByName(edges.select(prompt, F.col("b").alias("a"))).distinct()
     reach = cut_lineage(edges.select(prompt, "a", "b").unionByName(nodes.select(prompt, "a", F.col("a").alias("b"))).distinct())
-    n = reach.count()
-    while True:
-        step = reach.select(prompt, F.col("a"), F.col("b").alias("m")).join(reach.select(prompt, F.col("a").alias("m"), F.col("b")), [prompt, "m"])
-        reach = cut_lineage(step.select(prompt, "a", "b").distinct())
-        m = reach.count()
-        if m == n:
-            return reach
-        n = m
+    new = reach.filter("a <> b")
+    while not new.isEmpty():
+        step = new.select(prompt, "a", F.col("b").alias("m")).join(reach.select(prompt, F.col("a").alias("m"), "b"), [prompt, "m"])
+        new = cut_lineage(step.select(prompt, "a", "b").distinct().join(reach, [prompt, "a", "b"], "left_anti"))
+        reach = cut_lineage(reach.unionByName(new))
+    return reach

@@ -44,8 +44,8 @@ def write_tsv(df: DataFrame, path: str) -> None:
 
 
 def write_field_lists(files: DataFrame, path: str) -> None:
-    """Classified file table -> one listing folder per field."""
-    files.repartition("field").sortWithinPartitions("path").write.mode("overwrite").partitionBy("field").csv(path, sep="\t", header=True)
+    """Classified file table -> one listing folder per field; every task adds a file of its own, in the order of paths."""
+    files.sortWithinPartitions("field", "path").write.mode("overwrite").partitionBy("field").csv(path, sep="\t", header=True)
 
 
 def append_log(df: DataFrame, path: str) -> None:

@@ -135,3 +135,38 @@ def test_components(spark):
     nodes = spark.createDataFrame([(i,) for i in [*range(51), 100, 101, 102, 200]], "node long")
     got = {r["node"]: r["comp"] for r in D.components(nodes, spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {got[i] for i in range(51)} == {0} and got[102] == 100 and got[200] == 200
+
+
+def test_exact_pairs_keep_the_parts_apart(spark):
+    rows = [(1, "line one\nline two", "c"), (2, "line one", "line two\nc"), (3, " line one", "line two\nc "), (4, "x", "")]
+    d = spark.createDataFrame(rows, "pos long, i string, o string")
+    got = {r["pos"]: r["status"] for r in D.exact_pairs(d, "i", "o", ["pos"]).collect()}
+    assert got == {1: "kept", 2: "kept", 3: "duplicate", 4: "short"}
+
+
+def test_vector_merge_with_text_ids(spark):
+    rows = [(f"vec_{k:03d}", "skill", 0, k, [1.0, 2.0 + 1e-4 * (k % 4), float(k // 4)], ["a"], 0.5) for k in range(12)]
+    d = spark.createDataFrame(rows, "vid string, kind string, layer long, step long, vector array<double>, keywords array<string>, score double")
+    got = {r["vid"]: r["members"] for r in D.vector_merge(d, "vid", ["kind", "layer"], "step", "vector", "keywords", "score", dim=3).collect()}
+    assert got == {"vec_000": 4, "vec_004": 4, "vec_008": 4}
+
+
+def test_leaderboard_of_equal_scores(spark):
+    from pairmill.operators.dialog import leaderboard
+
+    d = spark.createDataFrame([(k, 0.5 if k < 500 else k / 1000) for k in range(600)], "k long, s double")
+    got = {r["k"]: r["place"] for r in leaderboard(d, "s", "k").collect()}
+    assert got[599] == 1 and got[501] == 99 and {got[k] for k in range(501)} == {100}
+
+
+def test_weighted_blocks_follow_any_weight(spark):
+    from pyspark.sql import functions as F
+
+    from pairmill.operators import sample as S
+
+    d = spark.range(20_000)
+    for weight in (1e-3, 1.0, 50_000.0):
+        score = F.greatest(-F.log(S.uniform(S.order_key(1, "id"))) / weight, F.lit(1e-9))
+        most = d.groupBy(F.floor(F.log2(score) * 1024).alias("b")).count().agg(F.max("count")).first()[0]
+        assert most < 200
+        assert S.weighted_take(d, 7, F.lit(weight), 1, "id").count() == 7

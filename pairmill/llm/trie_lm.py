@@ -21,6 +21,10 @@ DISCOUNT = 0.75
 END = np.uint64(0x5851F42D4C957F2D)
 #: Words of a file of the first level, tokens counted for a file of the second, distinct pairs that a task holds.
 WORDS_PER_FILE, TOKENS_PER_FILE, HELD = 1 << 20, 1 << 22, 1 << 21
+#: Words of the longest runs.
+ORDER = 3
+#: Stands for the key of a token whose run no level has.
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ONE = np.uint64(1)
 _POP = np.array([bin(b).count("1") for b in range(256)], dtype=np.int64)
 _NTH = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], dtype=np.int64)
@@ -138,28 +142,38 @@ class Level:
     def __getstate__(self):
         return {**self.__dict__, "open": {}}
 
-    def search(self, keys: np.ndarray, payload: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number of smaller keys in all files, whether the key is there, payload where it is) for sorted keys."""
-        pos, found, value = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool), np.zeros(len(keys))
-        which = np.searchsorted(self.firsts, keys, side="right") - 1
-        cuts = np.flatnonzero(np.diff(which, prepend=-1, append=len(self.paths))) if len(keys) else []
+    def _file(self, f: int) -> tuple[EliasFano, dict[str, np.ndarray]]:
+        if f not in self.open:
+            arrays = map_arrays(self.paths[f])
+            self.open[f] = (EliasFano(arrays), arrays)
+        return self.open[f]
+
+    def _each(self, which: np.ndarray):
+        """(file, from, to) of the stretches of a rising array of file numbers."""
+        cuts = np.flatnonzero(np.diff(which, prepend=-2, append=len(self.paths))) if len(which) else []
         for a, b in zip(cuts, cuts[1:], strict=False):
-            f = which[a]
-            if f < 0:
-                continue
-            if f not in self.open:
-                arrays = map_arrays(self.paths[f])
-                self.open[f] = (EliasFano(arrays), arrays)
-            ef, arrays = self.open[f]
+            if which[a] >= 0:
+                yield which[a], a, b
+
+    def search(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of smaller keys in all files, whether the key is there, its probability if it is) for sorted keys."""
+        pos, found, prob = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool), np.zeros(len(keys))
+        for f, a, b in self._each(np.searchsorted(self.firsts, keys, side="right") - 1):
+            ef, arrays = self._file(f)
             p, ok = ef.search(keys[a:b])
             pos[a:b], found[a:b] = p + self.offsets[f], ok
-            if payload == "count":
-                cum, q = arrays["cum"], p[ok]
-                value[a:b][ok] = cum[q + 1] - cum[q]
-            elif payload == "prob" and ok.any():
+            if "prob" in arrays and ok.any():
                 low, step = arrays["scale"]
-                value[a:b][ok] = 10.0 ** (low + step * arrays["prob"][p[ok]])
-        return pos, found, value
+                prob[a:b][ok] = 10.0 ** (low + step * arrays["prob"][p[ok]])
+        return pos, found, prob
+
+    def counts(self, places: np.ndarray) -> np.ndarray:
+        """How often the entries at these rising places were seen."""
+        out = np.zeros(len(places))
+        for f, a, b in self._each(np.searchsorted(self.offsets, places, side="right") - 1):
+            arrays, at = self._file(f)[1], places[a:b] - self.offsets[f]
+            out[a:b] = arrays["count"][at] if "count" in arrays else arrays["cum"][at + 1] - arrays["cum"][at]
+        return out
 
 
 def quantised(logs: np.ndarray) -> dict[str, np.ndarray]:
@@ -170,29 +184,47 @@ def quantised(logs: np.ndarray) -> dict[str, np.ndarray]:
 
 
 class Tokens:
-    """Word ids of the texts of one batch in a trie, with the end token behind each text: contexts and successors."""
+    """The texts of one batch in a trie: every token's key in the first level that is not given, on the way there all it meets.
 
-    def __init__(self, texts: pa.Array, words: Level):
+    A key is the place of the context in the level below, times ``size``, plus the successor relative to its context: its rank
+    among the successors that the level below has behind the same context without its first word.
+    """
+
+    def __init__(self, texts: pa.Array, levels: list[Level]):
         w = Words(texts)
         rows, m = len(w.ptr) - 1, len(w.hash)
         self.ptr = w.ptr + np.arange(rows + 1)
         self.hash = np.full(m + rows, END, dtype=np.uint64)
         at = np.arange(m) + w.rows
         self.hash[at] = w.hash
+        first = np.zeros(m + rows, dtype=bool)
+        first[self.ptr[:-1]] = True
         uniq, self.slot = np.unique(self.hash, return_inverse=True)
-        self.id, self.known, self.count = words.search(uniq, "count")
-        size = int(words.offsets[-1]) + 1  # the last context is the start of a text
-        self.size = np.uint64(size)
-        ids = np.where(self.known, self.id, -1)[self.slot]
-        self.next = ids
-        self.context = np.full(len(ids), size - 1, dtype=np.int64)
-        self.context[at + 1] = ids[at]
+        ident, self.known, _ = levels[0].search(uniq)
+        self.count = np.zeros(len(uniq))
+        by_place = np.argsort(ident[self.known], kind="stable")
+        self.count[np.flatnonzero(self.known)[by_place]] = levels[0].counts(ident[self.known][by_place])
+        self.start = int(levels[0].offsets[-1])  # the last context is the start of a text
+        self.size = np.uint64(self.start + 1)
+        self.relative = np.where(self.known, ident, -1)[self.slot]
+        self.context = np.where(first, self.start, np.roll(self.relative, 1))
+        self.met = []
+        for level in levels[1:]:
+            keys, slot = np.unique(self.keys(), return_inverse=True)
+            place, found, prob = level.search(keys)
+            contexts, where = np.unique(self.context, return_inverse=True)
+            live = np.maximum(contexts, 0).astype(np.uint64) * self.size
+            begin, end = level.search(live)[0], level.search(live + self.size)[0]
+            self.met.append((prob[slot], contexts, where, np.where(contexts >= 0, end - begin, 0)))
+            place = np.where(found, place, -1)[slot]
+            self.relative = np.where(place >= 0, place - begin[where], -1)
+            self.context = np.where(first, -1, np.roll(place, 1))
 
     def keys(self) -> np.ndarray:
-        """context * size + successor for every token whose context and word are known, else the largest number."""
-        ok = (self.next >= 0) & (self.context >= 0)
+        """context * size + successor for every token that has both, else the largest number."""
+        ok = (self.relative >= 0) & (self.context >= 0)
         with np.errstate(over="ignore"):
-            return np.where(ok, self.context.astype(np.uint64) * self.size + self.next.astype(np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF))
+            return np.where(ok, self.context.astype(np.uint64) * self.size + self.relative.astype(np.uint64), NONE)
 
 
 # ---------------------------------------------------------------- training
@@ -245,55 +277,46 @@ def _expand(raw: bytes) -> np.ndarray:
 
 
 class Model:
-    """Levels of words and of word pairs. ``total``: training tokens, ``distinct``: different ones, ``texts``: training texts."""
-
-    def __init__(self, words: Level, pairs: Level | None, total: int, texts: int):
-        self.words, self.pairs, self.total, self.texts, self.distinct = words, pairs, total, texts, int(words.offsets[-1])
+    """Levels of words, pairs and longer runs. ``total``: training tokens, ``texts``: training texts."""
 
-    def single(self, count: np.ndarray) -> np.ndarray:
-        """Probability of a word by its count; the unknown word has one of all."""
-        return (count + 1) / (self.total + self.distinct + 1)
+    def __init__(self, levels: list[Level], total: int, texts: int):
+        self.levels, self.total, self.texts, self.distinct = levels, total, texts, int(levels[0].offsets[-1])
 
     def scores(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Per text: n_tokens, n_known, base_score, score.
 
-        score sums log10 of max(c - d, 0) / c(v) + d T / c(v) * p(w) over words w behind v: c counts the pair, c(v) the context,
-        T its different successors - the stretch of the pair level that the pointers of v and of the next context bound.
-        Where v is unknown, p(w) alone stands.
+        The base is p(w) = (c + 1) / (N + V + 1). Each level then gives max(c - d, 0) / c(v) + d T / c(v) * p of the level below
+        for w behind the context v: c counts the run, c(v) the context, T its different successors - the stretch of the level that
+        the pointers of v and of the next context bound. Where v is unknown, the level below stands.
         """
-        t = Tokens(texts, self.words)
-        p = self.single(t.count)
+        t = Tokens(texts, self.levels)
+        p = ((t.count + 1) / (self.total + self.distinct + 1))[t.slot]
         row = np.repeat(np.arange(len(t.ptr) - 1), np.diff(t.ptr))
         total = lambda x: np.bincount(row, weights=x, minlength=len(t.ptr) - 1)
-        base = np.log10(p)[t.slot]
-        out = {"n_tokens": np.diff(t.ptr), "n_known": total(t.known[t.slot].astype(float)).astype(np.int64), "base_score": total(base), "score": total(base)}
-        if self.pairs is None:
-            return out
-        keys, key_slot = np.unique(t.keys(), return_inverse=True)
-        _, _, seen = self.pairs.search(keys, "prob")
-        contexts, ctx_slot = np.unique(t.context, return_inverse=True)
-        live = contexts >= 0
-        first = contexts[live].astype(np.uint64) * t.size
-        begin, end = self.pairs.search(first)[0], self.pairs.search(first + t.size)[0]
-        by_id = np.zeros(len(contexts))
-        where = np.searchsorted(ids := np.sort(t.id[t.known]), contexts[live])
-        word = (where < len(ids)) & (ids[np.minimum(where, max(0, len(ids) - 1))] == contexts[live]) if len(ids) else np.zeros(live.sum(), dtype=bool)
-        counts = t.count[t.known][np.argsort(t.id[t.known], kind="stable")]
-        by_id[np.flatnonzero(live)[word]] = counts[where[word]]
-        by_id[contexts == int(t.size) - 1] = self.texts
-        kinds = np.zeros(len(contexts))
-        kinds[live] = end - begin
-        rest = np.where(by_id > 0, DISCOUNT * kinds / np.maximum(by_id, 1), 1.0)
-        out["score"] = total(np.log10(np.minimum(seen[key_slot] + rest[ctx_slot] * p[t.slot], 1.0)))
-        return out
-
-
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """Model of all texts of ``docs``; its files stand below the shared folder, which all machines mount.
-
-    Words are counted per task, summed by hash and written in files of about a million words each, ranges of the hash. Then pairs
-    are counted per task as numbers (context, successor), cut where the count of contexts so far has grown by four
-    million tokens, packed, and summed file by file: a context of any size spreads over as many files as it needs.
+        out = {"n_tokens": np.diff(t.ptr), "n_known": total(t.known[t.slot].astype(float)).astype(np.int64), "base_score": total(np.log10(p))}
+        for below, (seen, contexts, where, kinds) in zip(self.levels[:-1], t.met, strict=True):
+            times = np.zeros(len(contexts))
+            real = (contexts >= 0) & ((contexts != t.start) | (below is not self.levels[0]))
+            times[real] = below.counts(contexts[real])
+            if below is self.levels[0]:
+                times[contexts == t.start] = self.texts
+            rest = np.where(times > 0, DISCOUNT * kinds / np.maximum(times, 1), 1.0)
+            p = np.minimum(seen + rest[where] * p, 1.0)
+        return {**out, "score": total(np.log10(p))}
+
+
+def _parts(files: DataFrame) -> tuple[Level, list]:
+    rows = sorted(files.collect(), key=lambda r: r["shard"])
+    return Level([(r["path"], r["first"] % (1 << 64), r["n"]) for r in rows]), rows
+
+
+def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
+    """Model of all texts of ``docs``, runs of up to ``order`` words; its files stand below the shared folder, which all machines mount.
+
+    Words are counted per task, summed by hash and written in files of about a million words each, ranges of the hash. Then level
+    by level, runs are counted per task as numbers (context, successor), packed, and summed file by file. A file of pairs takes
+    contexts of about four million tokens, and a context of any size spreads over as many files as it needs; a file of longer runs
+    takes an even share of the contexts.
     """
     spark = docs.sparkSession
     folder = local_path(shared_folder(spark, "trie"))
@@ -302,7 +325,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     sums = counts.agg(F.count("*").alias("v"), F.sum("n").alias("n"), F.sum(F.when(F.col("h") == end, F.col("n"))).alias("d")).first()
     distinct, total, texts = sums["v"], sums["n"] or 0, sums["d"] or 0
     if not distinct:
-        return Model(Level([]), None, 0, 0)
+        return Model([Level([])], 0, 0)
     bits = max(0, math.ceil(math.log2(distinct / WORDS_PER_FILE)))
 
     def words(t: pa.Table) -> pa.Table:
@@ -314,39 +337,42 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
     schema = "shard long, path string, first long, n long, sum long"
     shard = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
-    rows = sorted(stored(counts.withColumn("shard", shard).groupBy("shard").applyInArrow(words, schema), "words").collect(), key=lambda r: r["shard"])
-    level = Level([(r["path"], r["first"] % (1 << 64), r["n"]) for r in rows])
+    level, rows = _parts(stored(counts.withColumn("shard", shard).groupBy("shard").applyInArrow(words, schema), "words"))
     before = np.concatenate([[0], np.cumsum([r["sum"] for r in rows])]).astype(np.float64)
-    files = max(1, math.ceil(total / TOKENS_PER_FILE))
-    held = spark.sparkContext.broadcast((level, before))
-
-    def places(keys: np.ndarray, size: np.uint64) -> np.ndarray:
-        """File of each key, rising with the key: by the tokens that stand in contexts before it."""
-        level, before = held.value
-        context, word = (keys // size).astype(np.int64), (keys % size).astype(np.float64) / float(size)
-        which = np.minimum(np.searchsorted(level.offsets, context, side="right") - 1, len(level.paths) - 1)
+    levels, files = [level], max(1, math.ceil(total / TOKENS_PER_FILE))
+    while len(levels) < order:
+        levels.append(_runs(docs.select(text), levels, before, texts, files, folder, schema))
+    return Model(levels, total, texts)
+
+
+def _runs(docs: DataFrame, levels: list[Level], before: np.ndarray, texts: int, files: int, folder: str, schema: str) -> Level:
+    """The level above ``levels``. ``before``: tokens in the files of the first level before each."""
+    held = docs.sparkSession.sparkContext.broadcast((levels, before))
+    size = np.uint64(int(levels[0].offsets[-1]) + 1)
+    contexts = int(levels[-1].offsets[-1])
+
+    def places(keys: np.ndarray) -> np.ndarray:
+        """File of each key, rising with the key."""
+        levels, before = held.value
+        context, part = (keys // size).astype(np.int64), (keys % size).astype(np.float64) / float(size)
+        if len(levels) > 1:
+            return np.minimum((context + part) * files / contexts, files - 1).astype(np.int64)
         upto, own = np.full(len(keys), before[-1]), np.full(len(keys), float(texts))
-        for f in np.unique(which):
-            if f not in level.open:
-                arrays = map_arrays(level.paths[f])
-                level.open[f] = (EliasFano(arrays), arrays)
-            cum = level.open[f][1]["cum"]
-            of = (which == f) & (context < level.offsets[-1])
-            at = context[of] - level.offsets[f]
-            upto[of] = before[f] + cum[at]
-            own[of] = cum[at + 1] - cum[at]
-        return np.minimum((upto + own * word) * files / (before[-1] + texts), files - 1).astype(np.int64)
-
-    def pairs(batches):
-        size = np.uint64(int(held.value[0].offsets[-1]) + 1)
+        for f, a, b in levels[0]._each(np.minimum(np.searchsorted(levels[0].offsets, context, side="right") - 1, len(levels[0].paths))):
+            if f < len(levels[0].paths):
+                cum, at = levels[0]._file(f)[1]["cum"], context[a:b] - levels[0].offsets[f]
+                upto[a:b], own[a:b] = before[f] + cum[at], cum[at + 1] - cum[at]
+        return np.minimum((upto + own * part) * files / (before[-1] + texts), files - 1).astype(np.int64)
 
+    def count(batches):
         def parts():
-            for b in bites(batches, 0):
-                yield Tokens(b.column(0), held.value[0]).keys()
+            for b in bites(batches, 0, 2 << 20):
+                keys = Tokens(b.column(0), held.value[0]).keys()
+                yield keys[keys != NONE]
 
         for keys, n in _gathered(parts()):
-            file = places(keys, size)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(file)) + 1, [len(file)]])
+            file = places(keys)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(file)) + 1, [len(file)]]) if len(file) else []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 yield pa.RecordBatch.from_arrays([pa.array([int(file[a])]), pa.array([_squeeze(np.diff(keys[a:b], prepend=np.uint64(0)))], pa.binary()), pa.array([_squeeze(n[a:b])], pa.binary())], ["shard", "keys", "counts"])
 
@@ -354,22 +380,17 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         k = np.concatenate([np.cumsum(_expand(x.as_py()), dtype=np.uint64) for x in t.column("keys")])
         c = np.concatenate([_expand(x.as_py()) for x in t.column("counts")])
         k, c = _summed(k, c)
-        level, _ = held.value
-        size = int(level.offsets[-1]) + 1
-        context = (k // np.uint64(size)).astype(np.int64)
-        uniq, slot = np.unique(context, return_inverse=True)
+        levels, _ = held.value
+        uniq, slot = np.unique((k // size).astype(np.int64), return_inverse=True)
         own = np.full(len(uniq), float(texts))
-        for f in range(len(level.paths)):
-            of = (uniq >= level.offsets[f]) & (uniq < level.offsets[f + 1])
-            if of.any():
-                cum = map_arrays(level.paths[f])["cum"]
-                own[of] = cum[uniq[of] - level.offsets[f] + 1] - cum[uniq[of] - level.offsets[f]]
-        path = write_arrays(folder, {**ef_build(k), **quantised(np.log10((c - DISCOUNT) / own[slot]))})
+        real = uniq < contexts
+        own[real] = levels[-1].counts(uniq[real])
+        counted = {"count": c.astype(np.min_scalar_type(int(c.max())))}
+        path = write_arrays(folder, {**ef_build(k), **quantised(np.log10((c - DISCOUNT) / own[slot])), **counted})
         return pa.table({"shard": [t.column("shard")[0].as_py()], "path": [path], "first": k[:1].view(np.int64), "n": [len(k)], "sum": [int(c.sum())]})
 
-    packed = docs.select(text).mapInArrow(pairs, "shard long, keys binary, counts binary")
-    rows = sorted(stored(packed.groupBy("shard").applyInArrow(merge, schema), "pairs").collect(), key=lambda r: r["shard"])
-    return Model(level, Level([(r["path"], r["first"] % (1 << 64), r["n"]) for r in rows]), total, texts)
+    packed = docs.mapInArrow(count, "shard long, keys binary, counts binary")
+    return _parts(stored(packed.groupBy("shard").applyInArrow(merge, schema), "runs"))[0]
 
 
 def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -382,7 +403,7 @@ def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in bites(batches):
+        for b in bites(batches, size=2 << 20):
             s = held.value.scores(b.column(1))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(s["n_tokens"], pa.int64()), pa.array(s["n_known"], pa.int64()), pa.array(np.full(b.num_rows, held.value.total), pa.int64()), pa.array(s["base_score"]), pa.array(s["score"])],

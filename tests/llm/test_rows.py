@@ -230,30 +230,41 @@ def test_elias_fano_search():
         assert (pos == np.searchsorted(keys, ask)).all() and (found == np.isin(ask, keys)).all()
 
 
-def test_language_model_equals_plain_counts(spark, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_equals_plain_counts(spark, monkeypatch, order):
     monkeypatch.setattr(trie_lm, "WORDS_PER_FILE", 40)
     monkeypatch.setattr(trie_lm, "TOKENS_PER_FILE", 700)
     rng = random.Random(7)
-    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randrange(80)))) for k in range(120)] + [(500, None), (501, "Never Seen before")]
+    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.6)) % 90}" for _ in range(rng.randrange(80)))) for k in range(120)] + [(500, None), (501, "Never Seen before"), (502, rng.choice("ab"))]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    learn = d.where("doc_id < 100")
-    m = trie_lm.train(learn)
-    assert len(m.words.paths) > 3 and len(m.pairs.paths) > 3
+    m = trie_lm.train(d.where("doc_id < 100"), order=order)
+    assert len(m.levels) == order and all(len(x.paths) > 1 for x in m.levels)
     tokens = {i: [*WORD.findall(low(t)), None] for i, t in rows}
-    one, two, follow, before = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
+    runs, follow, before = collections.Counter(), collections.Counter(), collections.Counter()
+    one = collections.Counter(w for i in range(100) for w in tokens[i])
     for i in range(100):
-        for v, w in zip(["^", *tokens[i]], tokens[i], strict=False):
-            follow[v] += two[v, w] == 0
-            one[w] += 1
-            two[v, w] += 1
-            before[v] += 1
-    n, v_ = sum(one.values()), len(one)
+        t = ["^", *tokens[i]]
+        for k in range(1, len(t)):
+            for n in range(2, order + 1):
+                if k - n + 1 >= 0:
+                    r = tuple(t[k - n + 1 : k + 1])
+                    follow[r[:-1]] += runs[r] == 0
+                    runs[r] += 1
+                    before[r[:-1]] += 1
+    total, distinct = sum(one.values()), len(one)
     for r in trie_lm.score_texts(d, m).collect():
-        t = tokens[r.doc_id]
-        p = lambda w: (one[w] + 1) / (n + v_ + 1)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(one[w] > 0 for w in t), n)
-        assert math.isclose(r.base_score, sum(math.log10(p(w)) for w in t), rel_tol=1e-9)
-        score = sum(math.log10((max(two[v, w] - 0.75, 0) + 0.75 * follow[v] * p(w)) / before[v] if before[v] else p(w)) for v, w in zip(["^", *t], t, strict=False))
+        t = ["^", *tokens[r.doc_id]]
+        base = score = 0.0
+        for k in range(1, len(t)):
+            p = (one[t[k]] + 1) / (total + distinct + 1)
+            base += math.log10(p)
+            for n in range(2, order + 1):
+                run = tuple(t[max(0, k - n + 1) : k + 1])
+                if k - n + 1 >= 0 and before[run[:-1]]:
+                    p = (max(runs[run] - 0.75, 0) + 0.75 * follow[run[:-1]] * p) / before[run[:-1]]
+            score += math.log10(p)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t) - 1, sum(one[w] > 0 for w in t[1:]), total)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9)
         assert abs(r.score - score) < 0.02 * len(t)
     nothing = trie_lm.score_texts(d, trie_lm.train(d.limit(0))).collect()
     assert all(r.base_score == r.score == 0 and r.train_tokens == 0 for r in nothing)

@@ -26,8 +26,6 @@ ORDER = 3
 #: Stands for the key of a token whose run no level has.
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ONE = np.uint64(1)
-_POP = np.array([bin(b).count("1") for b in range(256)], dtype=np.int64)
-_NTH = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], dtype=np.int64)
 
 
 # ---------------------------------------------------------------- Elias-Fano sequence
@@ -60,22 +58,34 @@ class EliasFano:
         n, bits, self.first = a["meta"]
         self.n, self.bits, self.high, self.low, self.zeros = int(n), int(bits), a["high"], a["low"], a["zeros"]
 
-    def _below(self, part: np.ndarray) -> np.ndarray:
-        """Number of keys whose upper part is below ``part``: the place of the part-th zero, less the zeros."""
+    def _zero(self, nth: np.ndarray) -> np.ndarray:
+        """Place of the nth zero of ``high``, counted from 1; -1 for 0."""
+        w = np.maximum(np.searchsorted(self.zeros, nth, side="left") - 1, 0)
+        left, gaps = nth - self.zeros[w].astype(np.int64), ~self.high[w]
+        at = w * 64
+        for width in (32, 16, 8, 4, 2, 1):
+            c = np.bitwise_count(gaps & np.uint64((1 << width) - 1)).astype(np.int64)
+            on = left > c
+            left -= c * on
+            at += width * on
+            gaps >>= (width * on).astype(np.uint64)
+        return np.where(nth > 0, at, -1)
+
+    def _bucket(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First key of each upper part and the first behind it: the ones between a zero and the next."""
         part = np.minimum(part, np.int64(self.zeros[-1]))
-        w = np.maximum(np.searchsorted(self.zeros, part, side="left") - 1, 0)
-        left, gaps = part - self.zeros[w].astype(np.int64), ~self.high[w]
-        at = np.zeros(len(part), dtype=np.int64)
-        byte, open_ = np.zeros(len(part), dtype=np.int64), part > 0
-        for k in range(8):
-            b = ((gaps >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)
-            c = _POP[b]
-            here = open_ & (left <= c)
-            at[here], byte[here] = k, b[here]
-            open_ &= ~here
-            left = np.where(open_, left - c, left)
-        place = w * 64 + at * 8 + _NTH[byte, np.clip(left - 1, 0, 7)]
-        return np.where(part > 0, np.minimum(place - part + 1, self.n), 0)
+        start = self._zero(part) + 1
+        lo = start - part
+        w, s = start >> 6, (start & 63).astype(np.uint64)
+        rest = ~(self.high[np.minimum(w, len(self.high) - 1)] >> s)
+        with np.errstate(over="ignore"):
+            run = np.bitwise_count((rest & (~rest + _ONE)) - _ONE).astype(np.int64)
+        over = (run >= 64 - s.astype(np.int64)) & (w < len(self.high))
+        run[w >= len(self.high)] = 0
+        if over.any():  # the run goes on in the next word
+            last = np.minimum(part[over] + 1, np.int64(self.zeros[-1]))
+            run[over] = self._zero(last) - last + 1 - lo[over]
+        return np.minimum(lo, self.n), np.minimum(lo + run, self.n)
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -90,7 +100,7 @@ class EliasFano:
         rel = np.where(keys >= self.first, keys - self.first, np.uint64(0))
         part = np.minimum(rel >> np.uint64(self.bits), np.uint64(1 << 62)).astype(np.int64)
         want = rel & np.uint64((1 << self.bits) - 1)
-        lo, hi = self._below(part), self._below(part + 1)
+        lo, hi = self._bucket(part)
         end = hi.copy()
         while (live := np.flatnonzero(lo < hi)).size:
             mid = (lo[live] + hi[live]) >> 1
@@ -190,7 +200,7 @@ class Tokens:
     among the successors that the level below has behind the same context without its first word.
     """
 
-    def __init__(self, texts: pa.Array, levels: list[Level]):
+    def __init__(self, texts: pa.Array, levels: list[Level], kinds: bool = True):
         w = Words(texts)
         rows, m = len(w.ptr) - 1, len(w.hash)
         self.ptr = w.ptr + np.arange(rows + 1)
@@ -214,8 +224,9 @@ class Tokens:
             place, found, prob = level.search(keys)
             contexts, where = np.unique(self.context, return_inverse=True)
             live = np.maximum(contexts, 0).astype(np.uint64) * self.size
-            begin, end = level.search(live)[0], level.search(live + self.size)[0]
-            self.met.append((prob[slot], contexts, where, np.where(contexts >= 0, end - begin, 0)))
+            begin = level.search(live)[0]
+            if kinds:
+                self.met.append((prob[slot], contexts, where, np.where(contexts >= 0, level.search(live + self.size)[0] - begin, 0)))
             place = np.where(found, place, -1)[slot]
             self.relative = np.where(place >= 0, place - begin[where], -1)
             self.context = np.where(first, -1, np.roll(place, 1))
@@ -366,8 +377,8 @@ def _runs(docs: DataFrame, levels: list[Level], before: np.ndarray, texts: int,
 
     def count(batches):
         def parts():
-            for b in bites(batches, 0, 2 << 20):
-                keys = Tokens(b.column(0), held.value[0]).keys()
+            for b in bites(batches, 0):
+                keys = Tokens(b.column(0), held.value[0], kinds=False).keys()
                 yield keys[keys != NONE]
 
         for keys, n in _gathered(parts()):
@@ -403,7 +414,7 @@ def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in bites(batches, size=2 << 20):
+        for b in bites(batches):
             s = held.value.scores(b.column(1))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(s["n_tokens"], pa.int64()), pa.array(s["n_known"], pa.int64()), pa.array(np.full(b.num_rows, held.value.total), pa.int64()), pa.array(s["base_score"]), pa.array(s["score"])],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,46 +105,129 @@ def _signature_batches(batches):
         )
 
 
-def _gram_batches(batches):
-    """(id, grams): the shingle hashes of a text, sorted, repeats kept."""
-    for b in bites(batches):
-        g, ptr = Words(b.column(1)).grams(SHINGLE)
-        row = np.repeat(np.arange(b.num_rows), np.diff(ptr))
-        yield pa.RecordBatch.from_arrays([b.column(0), list_array(g[np.lexsort((g, row))].view(np.int64), ptr, pa.int64())], ["id", "grams"])
+def elements(g: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counted shingles of each row as a sorted set of 32-bit numbers, one per (shingle, occurrence), and the row pointer."""
+    row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    order = np.lexsort((g, row))
+    g, row = g[order], row[order]
+    new = np.ones(len(g), dtype=bool)
+    new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    nth = np.arange(len(g)) - first[np.cumsum(new) - 1]
+    with np.errstate(over="ignore"):
+        e = mix(g + _A * nth.astype(np.uint64)) >> np.uint64(32)
+    key = np.unique((row.astype(np.uint64) << np.uint64(32)) | e)
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.searchsorted(key >> np.uint64(32), np.arange(len(ptr), dtype=np.uint64))
 
 
-def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted arrays with repeats: sum of lesser counts over sum of greater counts. Two empty ones: 1."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = np.concatenate([a, b])
-    values, at = np.unique(both, return_inverse=True)
-    ca = np.bincount(at[: len(a)], minlength=len(values))
-    cb = np.bincount(at[len(a) :], minlength=len(values))
-    return float(np.minimum(ca, cb).sum() / np.maximum(ca, cb).sum())
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two element sets, that is the weighted Jaccard of the counted shingles. Two empty ones: 1."""
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    either = len(a) + len(b) - same
+    return same / either if either else 1.0
 
 
-def _similar_batches(batches):
-    for b in batches:
-        a, c = b.column(2), b.column(3)
-        keep = pa.array([weighted_jaccard(x.values.to_numpy(), y.values.to_numpy()) >= LEAST for x, y in zip(a, c, strict=True)], type=pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(keep)
+#: Roles of the keys under which members of a hub meet.
+EXTRA, FAR, SHRUNK = 0, 1, 2
 
 
-def _schema(docs: DataFrame, key: str, *fields) -> T.StructType:
-    return T.StructType([T.StructField("id", docs.schema[key].dataType), *fields])
+def hub_keys(a: np.ndarray, hub: np.ndarray, linked: bool) -> list[tuple[int, np.ndarray]]:
+    """(role, elements): keys under which ``a`` meets every b with jaccard(a, b) >= 0.8 where a or b is not linked with the hub.
 
+    Let D be the elements of a that the hub h lacks, and M those of h that a lacks. Similarity needs |a & b| >= 0.8 |a|, of which
+    h can give |h| - |Ma|, so Da and Db share at least s = 0.8 |Da| - 0.2 (|h| - |Ma|) elements, and one of their first |D| - s + 1 in
+    any fixed order (role EXTRA; the caller takes the rarest, as what many texts share beside the hub is no sign). If s is not
+    positive, they may share none; then |a & b| = |h| - |Ma | Mb|, and similarity needs
+    0.2 |h| + 1.8 |Ma & Mb| >= |Ma| + |Mb| + 0.8 (|Da| + |Db|). If a is not linked, |Ma| + 0.8 |Da| > 0.2 |h|, from which follows
+    that |Mb| > |Db|, and that |Ma & Mb| >= t = (|Ma| + 0.8 |Da| - 0.2 |h|) / 0.8. So a, with role FAR, meets b, with role SHRUNK, under one of
+    the first |Ma| - t + 1 elements of Ma. Independent edits of one text share no extra elements, and those that keep
+    its length are not shrunk: they do not meet.
+    """
+    own, lacking = np.setdiff1d(a, hub, assume_unique=True), np.setdiff1d(hub, a, assume_unique=True)
+    out = [(EXTRA, own)]
+    if not linked:
+        least = max(1, int(np.ceil((len(lacking) + 0.8 * len(own) - 0.2 * len(hub)) / 0.8 - 1e-9)))
+        if least <= len(lacking):
+            out.append((FAR, lacking[: len(lacking) - least + 1]))
+    if len(lacking) > len(own):
+        out.append((SHRUNK, lacking))
+    return out
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose texts have a weighted Jaccard similarity of at least 0.8, written out."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    some = docs.select(F.col(key).alias("id"), text).join(ids, "id", "left_semi").dropDuplicates(["id"])
-    g = some.mapInArrow(_gram_batches, _schema(docs, key, T.StructField("grams", T.ArrayType(T.LongType()))))
-    g = stored(g, "grams")
-    both = pairs.join(g.withColumnsRenamed({"id": "a", "grams": "ga"}), "a").join(g.withColumnsRenamed({"id": "b", "grams": "gb"}), "b")
-    kind = docs.schema[key].dataType
-    out = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    return stored(both.select("a", "b", "ga", "gb").mapInArrow(_similar_batches, out), "links")
+
+def may_be_similar(role, h, ma, da, mb, db):
+    """Column: what the sizes of D and M still allow of two members of a hub of size ``h``; without a shared extra element, the bound of ``hub_keys``."""
+    apart = F.abs((ma + da) - (mb + db)) * 9 <= h * 2 - ma + da - mb + db
+    alone = h * 0.2 + F.least(ma, mb) * 0.8 >= F.greatest(ma, mb) + (da + db) * 0.8 - 1e-6
+    return F.when(role == EXTRA, apart).otherwise(alone)
+
+
+def _schema(docs: DataFrame, key: str, *fields, name: str = "id") -> T.StructType:
+    return T.StructType([T.StructField(name, docs.schema[key].dataType), *fields])
+
+
+#: A Bloom filter of ids has 2^16 to 2^28 bits (32 MB), 16 for each id while that is enough.
+BLOOM = (16, 28)
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, set) of the texts with these ids, and of a few others; written out.
+
+    A Bloom filter of bounded size lets the tasks that read texts pass over those that cannot be meant, so that texts are not shuffled.
+    """
+    place = lambda c, k: F.xxhash64(c, F.lit(k))
+    bits = min(BLOOM[1], max(BLOOM[0], (16 * ids.count()).bit_length()))
+    spots = ids.select(F.explode(F.array(*[place(F.col("id"), k) for k in range(2)])).alias("h")).select(F.expr(f"h & {(1 << bits) - 1}L").alias("at"))
+    words = spots.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits")).toArrow()
+    bloom = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    bloom[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    held = docs.sparkSession.sparkContext.broadcast(bloom)
+
+    def sets(batches):
+        for b in bites(batches):
+            hit = np.ones(b.num_rows, dtype=bool)
+            for k in (2, 3):
+                at = b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << bits) - 1)
+                hit &= (held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            b = b.filter(pa.array(hit, pa.bool_()))
+            e, ptr = elements(*Words(b.column(1)).grams(SHINGLE))
+            yield pa.RecordBatch.from_arrays([b.column(0), list_array(e.view(np.int32), ptr, pa.int32())], ["id", "set"])
+
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), text, *[place(F.col(key), k).alias(f"h{k}") for k in range(2)])
+    return stored(rows.mapInArrow(sets, _schema(docs, key, T.StructField("set", T.ArrayType(T.IntegerType())))), "sets")
+
+
+def _slices(batches, rows: int = 500):
+    for b in batches:
+        for k in range(0, max(1, b.num_rows), rows):
+            yield b.slice(k, rows)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, key_type, keys: bool) -> DataFrame:
+    """Pairs (a, b) with ``linked``; with ``keys``, b is a hub, and |h|, |M|, |D| and the keys of a as (role, element) are added."""
+    entry = T.StructType([T.StructField("role", T.IntegerType()), T.StructField("element", T.IntegerType())])
+    counts = [T.StructField(c, T.IntegerType()) for c in ("h", "m", "d")]
+    fields = [T.StructField("a", key_type), T.StructField("b", key_type), T.StructField("linked", T.BooleanType()), *counts, T.StructField("keys", T.ArrayType(entry))]
+
+    def compare(batches):
+        for b in _slices(batches):
+            linked, sizes, ends, roles, found = [], [], [0], [np.zeros(0, np.int32)], [np.zeros(0, np.uint32)]
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (v.values.to_numpy().view(np.uint32) for v in (x, y))
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(same >= LEAST * (len(x) + len(y) - same))
+                sizes.append((len(y), len(y) - same, len(x) - same))
+                own = hub_keys(x, y, linked[-1]) if keys else []
+                roles += [np.full(len(e), role, np.int32) for role, e in own]
+                found += [e for _, e in own]
+                ends.append(ends[-1] + sum(len(e) for _, e in own))
+            entries = pa.StructArray.from_arrays([pa.array(np.concatenate(roles)), pa.array(np.concatenate(found).view(np.int32))], ["role", "element"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+            three = [pa.array(c, pa.int32()) for c in (zip(*sizes, strict=True) if sizes else ([], [], []))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), *three, lists], [f.name for f in fields])
+
+    unique = sets.dropDuplicates(["id"])
+    both = pairs.join(unique.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(unique.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
+    return stored(both.select("a", "b", "sa", "sb").mapInArrow(compare, T.StructType(fields)), "compared")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -169,41 +252,97 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     """(key, ``class_id``) for every row of ``docs``: documents linked by a similarity of at least 0.8 share a class,
     named by its least key.
 
-    Similarity is the weighted Jaccard of counted five-word shingles (words split at white space, A-Z in lower
-    case; a text of fewer words is one shingle). Texts of equal shingles collapse first, so copies cost nothing further. Band
-    buckets of the others are not expanded into pairs: every member meets the bucket's least member; the exact
-    similarity of these pairs is checked and linked texts become components. Then only pairs of different
-    components that still share a bucket meet, all of them, so that no link between buckets' members is lost.
-    Null texts count as empty, and all texts without words form one class. Null keys get a null class. Rows that
-    repeat a key share its class; an empty frame gives an empty one.
+    Similarity is the weighted Jaccard of counted five-word shingles (words split at white space, A-Z in lower case; a
+    text of fewer words is one shingle). Texts of equal shingles collapse first, so copies cost nothing further. Band
+    buckets of the others are not expanded into pairs: every member meets the bucket's hub, its most crowded member,
+    the exact similarity decides, and linked texts become components. Members of different components that share a
+    hub then meet under keys made of their differences to a centre that the hub is linked with (``hub_keys``), which loses no
+    link and keeps independent edits of one text apart. Null texts count as empty, and all texts without words form one class. Null
+    keys get a null class. Rows that repeat a key share its class; an empty frame gives an empty one.
     """
     kind = docs.schema[key].dataType
     fields = [T.StructField(c, T.LongType()) for c in ("h1", "h2", "n")] + [T.StructField("bands", T.ArrayType(T.LongType()))]
     sig = stored(docs.select(F.col(key), F.col(text)).mapInArrow(_signature_batches, _schema(docs, key, *fields)), "signatures")
     same = stored(sig.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "copies")
     reps = sig.join(same.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    bands = reps.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
-    hubs = bands.groupBy("band", "bucket").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
-    crowded = stored(bands.join(hubs, ["band", "bucket"]), "bands")
-    first = stored(crowded.where(F.col("id") != F.col("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    links = _verified(first, docs, key, text)
+    bands = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
+    members = bands.groupBy("band", "bucket").agg(F.count("*").alias("members")).where("members > 1")
+    crowded = stored(bands.join(members, ["band", "bucket"]), "bands")
+    crowd = stored(crowded.groupBy("id").agg(F.sum("members").alias("crowd")), "crowd")
+    order = F.struct(F.col("crowd"), F.xxhash64("id"))
+    hubs = crowded.join(crowd, "id").groupBy("band", "bucket").agg(F.max_by("id", order).alias("hub"))
+    pairs = crowded.join(hubs, ["band", "bucket"]).where(F.col("id") != F.col("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = stored(pairs, "pairs")
+    sets = _sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), key, text)
+    links = _compared(pairs, sets, kind, keys=False).where("linked").select("a", "b")
     root = components(links)
 
-    at = crowded.join(root, "id", "left").select("id", "n", "band", "bucket", F.coalesce("root", "id").alias("root"))
-    mixed = at.groupBy("band", "bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band", "bucket")
-    left = stored(at.join(mixed, ["band", "bucket"]), "mixed")
-    other = left.withColumnsRenamed({"id": "b", "n": "nb", "root": "rb"})
-    cross = left.join(other, ["band", "bucket"]).where((F.col("root") < F.col("rb")) & (F.least("n", "nb") - SHINGLE + 1 >= LEAST * (F.greatest("n", "nb") - SHINGLE + 1) - SHINGLE))
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = stored(cross.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "cross")
-    if not cross.isEmpty():
-        more = _verified(cross, docs, key, text)
-        if not more.isEmpty():
-            root = components(links.union(more))
+    # Members of a hub are held against its centre, the most crowded hub that it is linked with, so that few centres serve all.
+    known = pairs.select(F.col("b").alias("id")).distinct().join(root, "id", "left").select("id", F.coalesce("root", "id").alias("own"))
+    near = known.select("id", F.col("id").alias("c")).union(links.select(F.col("a").alias("id"), F.col("b").alias("c")))
+    crowds = crowd.select(F.col("id").alias("c"), F.struct(F.col("crowd"), F.xxhash64("id")).alias("order"))
+    centre = near.join(crowds, "c").groupBy("id").agg(F.max_by("c", "order").alias("c"))
+    of_hub = known.join(centre, "id").select(F.col("id").alias("b"), "own", "c")
+    member = pairs.join(of_hub, "b").select("a", "c", "own").distinct().join(root.withColumnRenamed("id", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    mixed = member.groupBy("c").agg(F.max((F.col("root") != F.col("own")).cast("int")).alias("mixed")).where("mixed = 1").select("c")
+    group = stored(member.join(mixed, "c", "left_semi").where("a <> c").select("a", F.col("c").alias("b")), "members")
+    if not group.isEmpty():
+        root, links = _rest(group, links, root, sets, kind)
     named = same.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("class_id"))
     return sig.select("id", "h1", "h2", "n").join(named, ["h1", "h2", "n"], "left").select(F.col("id").alias(key), F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"))
 
 
+def _recentred(near: DataFrame, sets: DataFrame, key_type) -> DataFrame:
+    """``near``, compared with a better centre where there is one.
+
+    Elements that more than half of a centre's members have and it lacks say that the centre itself is edited. Then the member
+    that has most of these and least else takes its place; an unedited text, if the group has one, has all of them and nothing else.
+    """
+    extra = near.select("a", "b", F.explode("keys").alias("k")).where(F.col("k.role") == EXTRA).select("a", "b", F.col("k.element").alias("element"))
+    often = extra.groupBy("b", "element").agg(F.count("*").alias("n")).join(near.groupBy("b").agg(F.count("*").alias("all")), "b").where("2 * n > all").select("b", "element")
+    hits = extra.join(often, ["b", "element"]).groupBy("a", "b").agg(F.count("*").alias("hits"))
+    gain = hits.join(near.select("a", "b", "d"), ["a", "b"]).select("a", "b", (2 * F.col("hits") - F.col("d")).alias("gain")).where("gain > 0")
+    better = stored(gain.groupBy("b").agg(F.max_by("a", F.struct("gain", F.xxhash64("a"))).alias("c")), "centres")
+    if better.isEmpty():
+        return near
+    moved = near.select("a", "b").join(better, "b").select("a", F.col("c").alias("b")).union(better.select("b", "c")).where("a <> b").distinct()
+    return near.join(better.select("b"), "b", "left_anti").select(*near.columns).union(_compared(moved, sets, key_type, keys=True).select(*near.columns))
+
+
+def _rest(group: DataFrame, links: DataFrame, root: DataFrame, sets: DataFrame, key_type) -> tuple[DataFrame, DataFrame]:
+    """(components, links) with the links between members (a, b: a and its centre) that the hubs alone have not shown."""
+    near = stored(_recentred(_compared(group, sets, key_type, keys=True), sets, key_type), "near")
+    links = links.union(near.where("linked").select("a", "b"))
+    root = components(links)
+    at = near.join(root.withColumnRenamed("id", "a"), "a", "left").select("a", "b", "h", "m", "d", F.coalesce("root", "a").alias("root"), "keys")
+    keyed = at.select("a", "b", "h", "m", "d", "root", F.explode("keys").alias("k"))
+    keyed = keyed.select("a", "b", "root", "h", "m", "d", F.col("k.role").alias("role"), F.xxhash64("b", "k.element", F.col("k.role") == EXTRA).alias("k"))
+    keyed = stored(keyed, "all-keys")
+    # Of the elements that a hub lacks, the rarest |D| - s + 1.
+    often = keyed.where(F.col("role") == EXTRA).groupBy("k").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("n", "k"))
+    must = F.greatest(F.lit(1), F.ceil(F.col("d") * 0.8 - (F.col("h") - F.col("m")) * 0.2 - 1e-9))
+    extra = keyed.where(F.col("role") == EXTRA).join(often, "k").withColumn("rank", rank).where((F.col("rank") <= F.col("d") - must + 1) & (F.col("n") > 1))
+    names = ["a", "root", "h", "m", "d", "role", "k"]
+    keyed = extra.select(*names).union(keyed.where(F.col("role") != EXTRA).select(*names))
+    keyed = stored(keyed, "keys")
+    # Only keys under which different components meet, and, of elements that the hub alone has, both roles.
+    shared = keyed.groupBy("k").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("role").alias("p0"), F.max("role").alias("p1"))
+    shared = shared.where(f"r0 <> r1 AND (p0 = {EXTRA} OR p0 <> p1)").select("k")
+    keyed = keyed.join(shared, "k", "left_semi")
+    other = keyed.where(F.col("role") != FAR).withColumnsRenamed({"a": "b", "root": "rb", "m": "mb", "d": "db", "role": "role_b", "h": "hb"})
+    fits = may_be_similar(F.col("role"), F.col("h"), F.col("m"), F.col("d"), F.col("mb"), F.col("db"))
+    meet = (F.col("root") != F.col("rb")) & ((F.col("role") == FAR) | ((F.col("role") == EXTRA) & (F.col("a") < F.col("b"))))
+    cross = keyed.where(F.col("role") != SHRUNK).join(other, "k").where(meet & fits)
+    cross = stored(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
+    if not cross.isEmpty():
+        more = _compared(cross, sets, key_type, keys=False).where("linked").select("a", "b")
+        if not more.isEmpty():
+            links = links.union(more)
+            root = components(links)
+    return root, links
+
+
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` (same columns) without all but one document of each class: the one with the least key.
 

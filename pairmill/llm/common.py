@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from functools import cache
@@ -182,11 +184,18 @@ def list_array(values: np.ndarray, ptr: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(values, type=kind))
 
 
-def bites(batches, column: int = 1, size: int = 4 << 20):
-    """The batches cut at rows into slices of about ``size`` bytes of text, so that work arrays stay small."""
+def bites(batches, column: int = 1, size: int = 1 << 20):
+    """The batches cut at rows into slices of about ``size`` bytes of text, so that work arrays stay small.
+
+    Python workers outlive their tasks; what a task has freed goes back to the system at its end.
+    """
     for b in batches:
         lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
         cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // size, prepend=0)).tolist() if len(lengths) else []
         edges = [0, *[c for c in cuts if c], b.num_rows]
         for at, to in zip(edges, edges[1:], strict=False):
             yield b.slice(at, to - at)
+        del b
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)

@@ -21,6 +21,8 @@ DISCOUNT = 0.75
 END = np.uint64(0x5851F42D4C957F2D)
 #: Words of a file of the first level, tokens counted for a file of the second, distinct pairs that a task holds.
 WORDS_PER_FILE, TOKENS_PER_FILE, HELD = 1 << 20, 1 << 22, 1 << 21
+#: Bytes of text that are looked up together.
+TEXT = 4 << 20
 #: Words of the longest runs.
 ORDER = 3
 #: Stands for the key of a token whose run no level has.
@@ -266,7 +268,7 @@ def _gathered(parts):
 
 def _word_counts(batches):
     def parts():
-        for b in bites(batches, 0):
+        for b in bites(batches, 0, TEXT):
             yield np.concatenate([Words(b.column(0)).hash, np.full(b.num_rows, END, dtype=np.uint64)])
 
     for keys, counts in _gathered(parts()):
@@ -377,7 +379,7 @@ def _runs(docs: DataFrame, levels: list[Level], before: np.ndarray, texts: int,
 
     def count(batches):
         def parts():
-            for b in bites(batches, 0):
+            for b in bites(batches, 0, TEXT):
                 keys = Tokens(b.column(0), held.value[0], kinds=False).keys()
                 yield keys[keys != NONE]
 
@@ -414,7 +416,7 @@ def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in bites(batches):
+        for b in bites(batches, size=TEXT):
             s = held.value.scores(b.column(1))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(s["n_tokens"], pa.int64()), pa.array(s["n_known"], pa.int64()), pa.array(np.full(b.num_rows, held.value.total), pa.int64()), pa.array(s["base_score"]), pa.array(s["score"])],

@@ -22,7 +22,7 @@ from pairmill.llm.common import powers, bites, mix, shared_folder, stored
 BLOCK = 1 << 16
 MAGIC = b"PMPLANE1"
 #: Distinct pieces of text whose ids a worker remembers; beyond, it starts anew.
-CACHE = 800_000
+CACHE = 500_000
 END = 0
 #: Texts of more bytes are encoded in one go, without pieces.
 LONG = 8 << 20

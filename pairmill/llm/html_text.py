@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmill.llm.common import Words, bites, stored
+from pairmill.llm.common import Words, bites, grams, mix, stored
 from pairmill.llm.urls import url_parts
 
 #: Tokens of a repeat: substrings of at least so many that stand on several pages of a host are boilerplate.
 REPEAT = 8
-#: Pages on which text outside of an article must repeat; share of a chunk's pages (five at least) within an article.
+#: Pages on which text outside of an article must repeat; share of a host's pages (five at least) within an article.
 PAGES, SHARE, SHARE_PAGES = 2, 0.5, 5
 #: Text of one suffix array, and of a host's part: hosts with more are split by a hash of their pages.
 CHUNK_CHARS, PART_CHARS = 1 << 20, 1 << 22
@@ -144,15 +146,24 @@ def blocks_of(html: str) -> list[tuple[str, int, float]]:
 
 
 def repeats(tokens: np.ndarray, page: np.ndarray, length: int = REPEAT) -> np.ndarray:
-    """For each token the number of distinct pages that share a substring of at least ``length`` tokens that covers it; 1 where none is shared.
+    """For each token the number of distinct pages that share a substring of at least ``length`` tokens that covers it; 1 where none is shared."""
+    shared = sharing(tokens, page, length)
+    out = np.ones(len(tokens), dtype=np.int64)
+    for k in range(min(length, len(tokens))):
+        np.maximum(out[k:], shared[: len(tokens) - k], out=out[k:])
+    return out
+
+
+def sharing(tokens: np.ndarray, page: np.ndarray, length: int = REPEAT) -> np.ndarray:
+    """For each token the number of distinct pages with the run of ``length`` tokens that begins there; 1 where the page ends before.
 
     The suffixes of the concatenated pages are sorted by prefix doubling until ``length`` tokens are compared; suffixes of equal rank
     stand side by side in the suffix array with a common prefix of at least that, and every longer repeat is a chain of such.
     """
     n = len(tokens)
-    out = np.ones(n, dtype=np.int64)
+    shared = np.ones(n, dtype=np.int64)
     if n < length:
-        return out
+        return shared
     _, rank = np.unique(tokens, return_inverse=True)
     done = 1
     while done < length:
@@ -174,74 +185,206 @@ def repeats(tokens: np.ndarray, page: np.ndarray, length: int = REPEAT) -> np.nd
     new_rank = np.concatenate([[True], r[1:] != r[:-1]])
     new_page = new_rank | np.concatenate([[True], p[1:] != p[:-1]])
     pages = np.add.reduceat(new_page.astype(np.int64), np.flatnonzero(new_rank))[np.cumsum(new_rank) - 1]
-    shared = np.ones(n, dtype=np.int64)
     shared[array] = pages
-    for k in range(length):
-        np.maximum(out[k:], shared[: n - k], out=out[k:])
+    return shared
+
+
+def _limit(pages: int) -> int:
+    """Pages of a host of so many from which on a run is boilerplate within an article."""
+    return max(SHARE_PAGES, int(SHARE * pages) + 1)
+
+
+def _content(texts: list[str]) -> int:
+    """Hash of a page's token stream; pages of the same stream count as one."""
+    return int.from_bytes(hashlib.blake2b(" ".join(texts).encode().lower(), digest_size=8).digest(), "little", signed=True)
+
+
+def _tokens(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of the pages, whose blocks are given, and the row pointer."""
+    w = Words(pa.array([" ".join(p) for p in pages], pa.string()))
+    return w.hash, w.ptr
+
+
+def _covered(begins: np.ndarray) -> np.ndarray:
+    """Tokens of a page that lie in the runs that begin where ``begins`` is set."""
+    out = np.zeros(len(begins), dtype=bool)
+    for k in range(min(REPEAT, len(begins))):
+        out[k:] |= begins[: len(begins) - k]
     return out
 
 
+def _kept(blocks: list[tuple[str, int, float]], wide: np.ndarray, twice: np.ndarray) -> str:
+    """Text of a page; ``wide`` tokens stand on the host's share of pages, ``twice`` tokens on two pages at least."""
+    has_main = any(b[1] == MAIN for b in blocks)
+    at = np.concatenate([[0], np.cumsum([len(b[0].split(" ")) for b in blocks])]).astype(int)
+    used = [k for k, b in enumerate(blocks) if b[1] == MAIN or not has_main and b[2] <= 0.6]
+    drop = wide.copy()
+    if not has_main and used:
+        drop |= twice
+    out = []
+    for k in used:
+        gone = drop[at[k] : at[k + 1]]
+        if not gone.any():
+            out.append(blocks[k][0])
+        elif not gone.all():
+            out.append(" ".join(x for x, c in zip(blocks[k][0].split(" "), gone, strict=True) if not c))
+    return "\n".join(out)
+
+
 def main_texts(pages: list[list[tuple[str, int, float]]]) -> list[str]:
-    """Main texts of pages of one host, whose blocks are given.
+    """Main texts of all pages of one host, whose blocks are given.
 
-    The token streams of all pages form one suffix array. In an article, runs that more than half of the pages (of five
-    at least) share are removed; elsewhere runs that two pages share, and blocks that are mostly links. What is left of the
+    The token streams of the pages form one suffix array; pages of the same stream are one. Runs that more than half of the
+    pages (of five at least) share are removed. Outside of articles, so are runs that two pages share, and blocks that are mostly links. What is left of the
     article's blocks is the text, or of the other blocks where there is no article.
     """
-    flat = [(p, b) for p, blocks in enumerate(pages) for b in blocks if b[1] != SKIP]
-    w = Words(pa.array([b[0] for _, b in flat], pa.string()))
-    page = np.repeat(np.array([p for p, _ in flat], dtype=np.int64), np.diff(w.ptr)) if flat else np.zeros(0, np.int64)
-    many = repeats(w.hash, page)
-    limit = max(SHARE_PAGES, int(SHARE * len(pages)) + 1)
-    has_main = {p for p, b in flat if b[1] == MAIN}
-    kept: list[list[str]] = [[] for _ in pages]
-    for k, (p, (text, zone, links)) in enumerate(flat):
-        if zone != MAIN and (p in has_main or links > 0.6):
-            continue
-        covered = many[w.ptr[k] : w.ptr[k + 1]] >= (limit if zone == MAIN else PAGES)
-        if not covered.any():
-            kept[p].append(text)
-        elif not covered.all():
-            kept[p].append(" ".join(x for x, c in zip(text.split(" "), covered, strict=True) if not c))
-    return ["\n".join(k) for k in kept]
+    pages = [[b for b in blocks if b[1] != SKIP] for blocks in pages]
+    content = [_content([b[0] for b in blocks]) for blocks in pages]
+    first = {c: k for k, c in reversed(list(enumerate(content)))}
+    slot = {c: k for k, c in enumerate(first)}
+    tokens, ptr = _tokens([[b[0] for b in pages[k]] for k in first.values()])
+    many = repeats(tokens, np.repeat(np.arange(len(slot)), np.diff(ptr)))
+    limit = _limit(len(slot))
+    out = []
+    for blocks, c in zip(pages, content, strict=True):
+        m = many[ptr[slot[c]] : ptr[slot[c] + 1]]
+        out.append(_kept(blocks, m >= limit, m >= PAGES))
+    return out
 
 
 def _parsed(batches):
     kinds = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.float32())]
-    for b in bites(batches, 4):
-        rows = [[x for x in blocks_of(h or "") if x[1] != SKIP] for h in b.column(4).to_pylist()]
+    for b in bites(batches, 5):
+        rows = [[x for x in blocks_of(h or "") if x[1] != SKIP] for h in b.column(5).to_pylist()]
         lists = [pa.array([[x[k] for x in r] for r in rows], kinds[k]) for k in range(3)]
-        yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(4)], *lists], ["page_id", "url", "host", "part", "texts", "zones", "links"])
+        content = pa.array([_content([x[0] for x in r]) for r in rows], pa.int64())
+        yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(5)], content, *lists], ["page_id", "url", "host", "part", "whole", "content", "texts", "zones", "links"])
 
 
 def _chunks(batches):
-    held, size, group = [], 0, None
+    """Pages in order; those of a host that is one chunk have their text, the others their blocks and a number of their own."""
+    held, size, group, cut, last, n = [], 0, None, False, None, TaskContext.get().partitionId() << 40
 
-    def done():
-        texts = main_texts([h[2] for h in held])
-        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], id_kind), pa.array([h[1] for h in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    def done(alone):
+        texts = main_texts([list(zip(*h[6:], strict=True)) for h in held]) if alone else [None] * len(held)
+        lists = [pa.array([None if alone else h[k] for h in held], kinds[k]) for k in range(6, 9)]
+        cols = [pa.array([h[k] for h in held], kinds[k]) for k in range(6)]
+        return pa.RecordBatch.from_arrays([*cols, *lists, pa.array(texts, pa.string())], ["page_id", "url", "host", "row", "content", "first", "texts", "zones", "links", "text"])
 
     for b in batches:
-        id_kind = b.column(0).type
-        for page, url, host, part, texts, zones, links in zip(*[c.to_pylist() for c in b.columns], strict=True):
+        kinds = [b.column(0).type, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[b.column(k).type for k in (6, 7, 8)]]
+        for page, url, host, part, whole, content, *blocks in zip(*[c.to_pylist() for c in b.columns], strict=True):
             if held and ((host, part) != group or size >= CHUNK_CHARS):
-                yield done()
-                held, size = [], 0
-            group = (host, part)
+                more = (host, part) == group
+                yield done(not more and not cut and all_here)
+                held, size, cut = [], 0, more
+            if (host, part) != group:
+                last = None
+            group, all_here = (host, part), whole
             # White space within a block is one plain space by now, so that words and tokens agree.
-            held.append((page, url, list(zip(texts, zones, links, strict=True))))
-            size += sum(map(len, texts))
+            held.append((page, url, host, n, content, content != last, *blocks))
+            last, n = content, n + 1
+            size += sum(map(len, blocks[0]))
     if held:
-        yield done()
+        yield done(not cut and all_here)
+
+
+def _runs(asking: bool):
+    """Runs of chunks of a host's pages, by suffix array: those to ask the host's other chunks for, or all with their pages.
+
+    To ask for: runs of pages without an article, and runs on more than the share of a chunk's pages. A run on more than the share of
+    all pages of the host is on more than the share in one of its chunks, so none is missed.
+    """
+
+    def chunk(host, held):
+        salt = np.frombuffer(hashlib.blake2b(host.encode(), digest_size=8).digest(), np.uint64)[0]
+        tokens, ptr = _tokens([h[2] for h in held])
+        page = np.repeat(np.arange(len(held)), np.diff(ptr))
+        g, gptr = grams(tokens, ptr, REPEAT, short=False)
+        key, of = mix(g ^ salt).view(np.int64), np.repeat(np.arange(len(held)), np.diff(gptr))
+        begin = ptr[of] + (np.arange(len(g)) - gptr[of])
+        counts = np.array([h[1] for h in held], dtype=bool)
+        # Pages that do not count (copies of one that does) are left out of the suffix array.
+        place = np.cumsum(counts[page]) - 1
+        n = np.where(counts[of], sharing(tokens[counts[page]], page[counts[page]])[place[begin]] if counts.any() else 0, 0)
+        if asking:
+            plain = np.array([MAIN not in h[3] for h in held], dtype=bool)[of]
+            ask = np.flatnonzero(counts[of] & (plain | (n > SHARE * counts.sum())))
+            order = ask[np.lexsort((~plain[ask], key[ask]))]
+            order = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])] if len(order) else order
+            return pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array([host] * len(order), pa.string()), pa.array(plain[order])], ["run", "host", "plain"])
+        order = np.lexsort((of, key))
+        order = order[np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (of[order][1:] != of[order][:-1])])] if len(order) else order
+        head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(order) else order
+        rows = np.array([h[0] for h in held], dtype=np.int64)[of[order]]
+        pages = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), pa.array(rows))
+        most = np.maximum.reduceat(n[order], head) if len(order) else n
+        return pa.RecordBatch.from_arrays([pa.array(key[order][head]), pa.array(most.astype(np.int64)), pages], ["run", "n", "rows"])
+
+    def runs(batches):
+        held, size, group = [], 0, None
+        for b in batches:
+            for host, row, counts, texts, zones in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if held and (host != group or size >= CHUNK_CHARS):
+                    yield chunk(group, held)
+                    held, size = [], 0
+                group = host
+                held.append((row, counts, texts, zones))
+                size += sum(map(len, texts))
+        if held:
+            yield chunk(group, held)
+
+    return runs
+
+
+def _resolved(batches):
+    for b in batches:
+        texts = []
+        names = ["host", "wide", "twice", "texts", "zones", "links"]
+        for host, wide, twice, *blocks in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in names], strict=True):
+            salt = np.frombuffer(hashlib.blake2b(host.encode(), digest_size=8).digest(), np.uint64)[0]
+            begins = [np.zeros(sum(t.count(" ") + 1 for t in blocks[0]), dtype=bool) for _ in range(2)]
+            if wide or twice:
+                tokens, ptr = _tokens([blocks[0]])
+                key = mix(grams(tokens, ptr, REPEAT, short=False)[0] ^ salt).view(np.int64)
+                for x, found in zip(begins, (wide or [], twice or []), strict=True):
+                    x[: len(key)] = np.isin(key, np.array(found, dtype=np.int64))
+            wide, twice = (_covered(x) for x in begins)
+            texts.append(_kept(list(zip(*blocks, strict=True)), wide, wide | twice))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+
+def _joint_runs(open_: DataFrame) -> DataFrame | None:
+    """(row, wide, twice): the boilerplate runs of each page, counted over all chunks of its host; None where there are none."""
+    same = open_.where("first").groupBy("host", "content").agg(F.min("row").alias("own"), F.collect_list("row").alias("rows"))
+    same = stored(same, "contents")
+    pages = open_.select("host", "row", F.col("first").alias("counts"), "texts", "zones")
+    # A page stands once per part of its host at most among the first ones.
+    again = stored(same.where(F.size("rows") > 1).select(F.explode("rows").alias("row"), "own").where("row <> own").select("row", F.lit(True).alias("again")), "copies")
+    if not again.isEmpty():
+        pages = pages.join(again, "row", "left").select("host", "row", (F.col("counts") & F.col("again").isNull()).alias("counts"), "texts", "zones").sortWithinPartitions("host", "row")
+    asked = pages.mapInArrow(_runs(True), "run long, host string, plain boolean").groupBy("run").agg(F.min("host").alias("host"), F.max("plain").alias("plain"))
+    asked = stored(asked, "asked-runs")
+    if asked.isEmpty():
+        return None
+    counted = stored(pages.mapInArrow(_runs(False), "run long, n long, rows array<long>").join(asked.select("run"), "run", "left_semi"), "counted-runs")
+    n_pages = same.groupBy("host").agg(F.count("*").alias("pages"))
+    limit = F.greatest(F.lit(SHARE_PAGES), F.floor(F.col("pages") * SHARE) + 1)
+    totals = counted.groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES).join(asked, "run").join(n_pages, "host")
+    kept = totals.select("run", (F.col("n") >= limit).alias("wide"), "plain").where("wide OR plain").drop("plain")
+    of_rows = counted.select("run", "rows").join(stored(kept, "boilerplate"), "run").select("run", "wide", F.explode("rows").alias("row"))
+    lists = of_rows.groupBy("row").agg(F.collect_list(F.when(F.col("wide"), F.col("run"))).alias("wide"), F.collect_list(F.when(~F.col("wide"), F.col("run"))).alias("twice"))
+    return stored(lists, "page-runs")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
     Pages are parsed where they are read, and their blocks are dealt out by host; a host with over four million
-    characters goes to several tasks by a hash of its pages. Each task takes the pages of a host in the order of their ids, in chunks of
-    about a million characters, one suffix array each, so that no host is too large. Null html is empty, urls
-    without a host share the empty one; pages without text give the empty string; repeated rows are pages like others.
+    characters goes to several tasks by a hash of its pages. A host of less than about a million characters of text is one suffix array.
+    A larger one has an array per million characters; the pages of its runs are summed over all of them, and the runs come
+    back to its pages, so that results do not depend on the chunks. Null html is empty, urls
+    without a host share the empty one; pages without text give the empty string; repeated rows, and pages with the same words, count as one page.
     """
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), url_parts(F.col(url))[0].alias("host"), F.col(html).alias("html"))
     size = rows.groupBy("host").agg(F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("n")).where(F.col("n") > PART_CHARS)
@@ -249,8 +392,19 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     rows = rows.join(large, F.col("host") == F.col("large"), "left")
     part = F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("parts")), F.lit(0)).cast("long")
     kind = pages.schema[key].dataType.simpleString()
-    parsed = rows.select("page_id", "url", "host", part.alias("part"), "html").mapInArrow(
-        _parsed, f"page_id {kind}, url string, host string, part long, texts array<string>, zones array<int>, links array<float>"
+    blocks = "texts array<string>, zones array<int>, links array<float>"
+    parsed = rows.select("page_id", "url", "host", part.alias("part"), F.col("parts").isNull().alias("whole"), "html").mapInArrow(
+        _parsed, f"page_id {kind}, url string, host string, part long, whole boolean, content long, {blocks}"
     )
-    dealt = parsed.repartition("host", "part").sortWithinPartitions("host", "part", "page_id", "url")
-    return dealt.mapInArrow(_chunks, f"page_id {kind}, url string, text string, n_chars long")
+    dealt = parsed.repartition("host", "part").sortWithinPartitions("host", "part", "content", "page_id", "url")
+    done = stored(dealt.mapInArrow(_chunks, f"page_id {kind}, url string, host string, row long, content long, first boolean, {blocks}, text string"), "page-blocks")
+    open_ = done.where("text IS NULL").drop("text")
+    lists = _joint_runs(open_)
+    if lists is None:
+        none = F.lit(None).cast("array<long>")
+        open_ = open_.withColumns({"wide": none, "twice": none})
+    else:
+        open_ = open_.join(lists, "row", "left")
+    open_ = open_.select("page_id", "url", "host", "wide", "twice", "zones", "links", "texts")
+    rest = open_.mapInArrow(_resolved, f"page_id {kind}, url string, text string")
+    return done.where("text IS NOT NULL").select("page_id", "url", "text").unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))

@@ -319,3 +319,26 @@ def test_extract(spark, monkeypatch):
     assert [k for k in range(80) if by[k] != f"{k}a own text number {k} says {k * 7}\nend"] == []
     assert by[100].startswith("A & B") and by[101] == by[102] == "" and by[103] == bar
     assert html_text.extract(got.limit(0)).count() == 0
+
+
+def _words(rng, n):
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+
+@pytest.mark.parametrize("part", [1500, 6000, 1 << 22])
+def test_boilerplate_of_a_large_host_is_counted_over_all_its_chunks(spark, monkeypatch, part):
+    monkeypatch.setattr(html_text, "PART_CHARS", part)
+    rng = random.Random(4)
+    pair, bar = _words(rng, 9), _words(rng, 12)
+    own = [_words(rng, 30) for _ in range(60)]
+    # Pages 2k and 2k + 1 share nine words outside of an article; pages of the other host share a line within their articles.
+    pairs = [_words(rng, 9) for _ in range(30)]
+    rows = [(k, f"http://plain.net/{k}", f"<div>{pairs[k // 2]}</div><p>{own[k]}</p>") for k in range(60)]
+    rows += [(100 + k, f"http://art.net/{k}", f"<article><p>{own[k]}</p><p>{bar}</p>{'<p>' + pair + '</p>' if k < 30 else ''}</article>") for k in range(60)]
+    rows += [(200, "http://art.net/copy", rows[60][2]), (100, "http://art.net/0", rows[60][2])]
+    got = collections.defaultdict(set)
+    for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        got[r.page_id].add(r.text)
+    assert [k for k in range(60) if got[k] != {own[k]}] == []
+    want = {100 + k: {own[k] + ("\n" + pair if k < 30 else "")} for k in range(60)}
+    assert {k: got[k] for k in want} == want and got[200] == got[100]

@@ -8,6 +8,7 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -201,6 +202,7 @@ def _content(texts: list[str]) -> int:
 
 def _tokens(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of the pages, whose blocks are given, and the row pointer."""
+    # White space within a block is one plain space by now, so that words and tokens agree.
     w = Words(pa.array([" ".join(p) for p in pages], pa.string()))
     return w.hash, w.ptr
 
@@ -220,7 +222,11 @@ def _kept(blocks: list[tuple[str, int, float]], wide: np.ndarray, twice: np.ndar
     used = [k for k, b in enumerate(blocks) if b[1] == MAIN or not has_main and b[2] <= 0.6]
     drop = wide.copy()
     if not has_main and used:
-        drop |= twice
+        rest = np.zeros(len(wide), dtype=bool)
+        for k in used:
+            rest[at[k] : at[k + 1]] = ~wide[at[k] : at[k + 1]]
+        if 2 * (rest & twice).sum() <= rest.sum():
+            drop |= twice
     out = []
     for k in used:
         gone = drop[at[k] : at[k + 1]]
@@ -235,7 +241,8 @@ def main_texts(pages: list[list[tuple[str, int, float]]]) -> list[str]:
     """Main texts of all pages of one host, whose blocks are given.
 
     The token streams of the pages form one suffix array; pages of the same stream are one. Runs that more than half of the
-    pages (of five at least) share are removed. Outside of articles, so are runs that two pages share, and blocks that are mostly links. What is left of the
+    pages (of five at least) share are removed. Outside of articles, so are runs that two pages share, where they make up no more than half
+    of what is left of the page (else they are a copy of its text), and blocks that are mostly links. What is left of the
     article's blocks is the text, or of the other blocks where there is no article.
     """
     pages = [[b for b in blocks if b[1] != SKIP] for blocks in pages]
@@ -252,13 +259,23 @@ def main_texts(pages: list[list[tuple[str, int, float]]]) -> list[str]:
     return out
 
 
+def _packed(blocks: list[tuple[str, int, float]], pack) -> bytes:
+    """Blocks of a page, compressed: a letter for each (m in an article, l mostly links, p others), then their texts, line by line."""
+    return pack("\n".join(["".join("m" if z == MAIN else "l" if x > 0.6 else "p" for _, z, x in blocks), *[t for t, _, _ in blocks]]).encode())
+
+
+def _unpacked(blob: bytes) -> list[tuple[str, int, float]]:
+    kinds, *texts = zstandard.decompress(blob).decode().split("\n")
+    return [(t, MAIN if k == "m" else PLAIN, float(k == "l")) for k, t in zip(kinds, texts, strict=True)]
+
+
 def _parsed(batches):
-    kinds = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.float32())]
+    pack = zstandard.ZstdCompressor(level=3).compress
     for b in bites(batches, 5):
         rows = [[x for x in blocks_of(h or "") if x[1] != SKIP] for h in b.column(5).to_pylist()]
-        lists = [pa.array([[x[k] for x in r] for r in rows], kinds[k]) for k in range(3)]
         content = pa.array([_content([x[0] for x in r]) for r in rows], pa.int64())
-        yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(5)], content, *lists], ["page_id", "url", "host", "part", "whole", "content", "texts", "zones", "links"])
+        blocks = pa.array([_packed(r, pack) for r in rows], pa.binary())
+        yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(5)], content, blocks], ["page_id", "url", "host", "part", "whole", "content", "blocks"])
 
 
 def _chunks(batches):
@@ -266,14 +283,14 @@ def _chunks(batches):
     held, size, group, cut, last, n = [], 0, None, False, None, TaskContext.get().partitionId() << 40
 
     def done(alone):
-        texts = main_texts([list(zip(*h[6:], strict=True)) for h in held]) if alone else [None] * len(held)
-        lists = [pa.array([None if alone else h[k] for h in held], kinds[k]) for k in range(6, 9)]
+        texts = main_texts([_unpacked(h[6]) for h in held]) if alone else [None] * len(held)
         cols = [pa.array([h[k] for h in held], kinds[k]) for k in range(6)]
-        return pa.RecordBatch.from_arrays([*cols, *lists, pa.array(texts, pa.string())], ["page_id", "url", "host", "row", "content", "first", "texts", "zones", "links", "text"])
+        blocks = pa.array([None if alone else h[6] for h in held], pa.binary())
+        return pa.RecordBatch.from_arrays([*cols, blocks, pa.array(texts, pa.string())], ["page_id", "url", "host", "row", "content", "first", "blocks", "text"])
 
     for b in batches:
-        kinds = [b.column(0).type, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[b.column(k).type for k in (6, 7, 8)]]
-        for page, url, host, part, whole, content, *blocks in zip(*[c.to_pylist() for c in b.columns], strict=True):
+        kinds = [b.column(0).type, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+        for page, url, host, part, whole, content, blocks in zip(*[c.to_pylist() for c in b.columns], strict=True):
             if held and ((host, part) != group or size >= CHUNK_CHARS):
                 more = (host, part) == group
                 yield done(not more and not cut and all_here)
@@ -281,10 +298,9 @@ def _chunks(batches):
             if (host, part) != group:
                 last = None
             group, all_here = (host, part), whole
-            # White space within a block is one plain space by now, so that words and tokens agree.
-            held.append((page, url, host, n, content, content != last, *blocks))
+            held.append((page, url, host, n, content, content != last, blocks))
             last, n = content, n + 1
-            size += sum(map(len, blocks[0]))
+            size += zstandard.frame_content_size(blocks)
     if held:
         yield done(not cut and all_here)
 
@@ -308,7 +324,7 @@ def _runs(asking: bool):
         place = np.cumsum(counts[page]) - 1
         n = np.where(counts[of], sharing(tokens[counts[page]], page[counts[page]])[place[begin]] if counts.any() else 0, 0)
         if asking:
-            plain = np.array([MAIN not in h[3] for h in held], dtype=bool)[of]
+            plain = np.array([not h[3] for h in held], dtype=bool)[of]
             ask = np.flatnonzero(counts[of] & (plain | (n > SHARE * counts.sum())))
             order = ask[np.lexsort((~plain[ask], key[ask]))]
             order = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])] if len(order) else order
@@ -324,12 +340,14 @@ def _runs(asking: bool):
     def runs(batches):
         held, size, group = [], 0, None
         for b in batches:
-            for host, row, counts, texts, zones in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for host, row, counts, blob in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if held and (host != group or size >= CHUNK_CHARS):
                     yield chunk(group, held)
                     held, size = [], 0
                 group = host
-                held.append((row, counts, texts, zones))
+                blocks = _unpacked(blob)
+                texts = [x[0] for x in blocks]
+                held.append((row, counts, texts, any(x[1] == MAIN for x in blocks)))
                 size += sum(map(len, texts))
         if held:
             yield chunk(group, held)
@@ -340,17 +358,17 @@ def _runs(asking: bool):
 def _resolved(batches):
     for b in batches:
         texts = []
-        names = ["host", "wide", "twice", "texts", "zones", "links"]
-        for host, wide, twice, *blocks in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in names], strict=True):
+        for host, wide, twice, blob in zip(*[c.to_pylist() for c in b.columns[2:]], strict=True):
+            blocks = _unpacked(blob)
             salt = np.frombuffer(hashlib.blake2b(host.encode(), digest_size=8).digest(), np.uint64)[0]
-            begins = [np.zeros(sum(t.count(" ") + 1 for t in blocks[0]), dtype=bool) for _ in range(2)]
+            begins = [np.zeros(sum(x[0].count(" ") + 1 for x in blocks), dtype=bool) for _ in range(2)]
             if wide or twice:
-                tokens, ptr = _tokens([blocks[0]])
+                tokens, ptr = _tokens([[x[0] for x in blocks]])
                 key = mix(grams(tokens, ptr, REPEAT, short=False)[0] ^ salt).view(np.int64)
                 for x, found in zip(begins, (wide or [], twice or []), strict=True):
                     x[: len(key)] = np.isin(key, np.array(found, dtype=np.int64))
             wide, twice = (_covered(x) for x in begins)
-            texts.append(_kept(list(zip(*blocks, strict=True)), wide, wide | twice))
+            texts.append(_kept(blocks, wide, wide | twice))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -358,11 +376,11 @@ def _joint_runs(open_: DataFrame) -> DataFrame | None:
     """(row, wide, twice): the boilerplate runs of each page, counted over all chunks of its host; None where there are none."""
     same = open_.where("first").groupBy("host", "content").agg(F.min("row").alias("own"), F.collect_list("row").alias("rows"))
     same = stored(same, "contents")
-    pages = open_.select("host", "row", F.col("first").alias("counts"), "texts", "zones")
+    pages = open_.select("host", "row", F.col("first").alias("counts"), "blocks")
     # A page stands once per part of its host at most among the first ones.
     again = stored(same.where(F.size("rows") > 1).select(F.explode("rows").alias("row"), "own").where("row <> own").select("row", F.lit(True).alias("again")), "copies")
     if not again.isEmpty():
-        pages = pages.join(again, "row", "left").select("host", "row", (F.col("counts") & F.col("again").isNull()).alias("counts"), "texts", "zones").sortWithinPartitions("host", "row")
+        pages = pages.join(again, "row", "left").select("host", "row", (F.col("counts") & F.col("again").isNull()).alias("counts"), "blocks").sortWithinPartitions("host", "row")
     asked = pages.mapInArrow(_runs(True), "run long, host string, plain boolean").groupBy("run").agg(F.min("host").alias("host"), F.max("plain").alias("plain"))
     asked = stored(asked, "asked-runs")
     if asked.isEmpty():
@@ -380,7 +398,7 @@ def _joint_runs(open_: DataFrame) -> DataFrame | None:
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
-    Pages are parsed where they are read, and their blocks are dealt out by host; a host with over four million
+    Pages are parsed where they are read, and their blocks, compressed page by page, are dealt out by host; a host with over four million
     characters goes to several tasks by a hash of its pages. A host of less than about a million characters of text is one suffix array.
     A larger one has an array per million characters; the pages of its runs are summed over all of them, and the runs come
     back to its pages, so that results do not depend on the chunks. Null html is empty, urls
@@ -392,12 +410,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     rows = rows.join(large, F.col("host") == F.col("large"), "left")
     part = F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("parts")), F.lit(0)).cast("long")
     kind = pages.schema[key].dataType.simpleString()
-    blocks = "texts array<string>, zones array<int>, links array<float>"
     parsed = rows.select("page_id", "url", "host", part.alias("part"), F.col("parts").isNull().alias("whole"), "html").mapInArrow(
-        _parsed, f"page_id {kind}, url string, host string, part long, whole boolean, content long, {blocks}"
+        _parsed, f"page_id {kind}, url string, host string, part long, whole boolean, content long, blocks binary"
     )
     dealt = parsed.repartition("host", "part").sortWithinPartitions("host", "part", "content", "page_id", "url")
-    done = stored(dealt.mapInArrow(_chunks, f"page_id {kind}, url string, host string, row long, content long, first boolean, {blocks}, text string"), "page-blocks")
+    done = stored(dealt.mapInArrow(_chunks, f"page_id {kind}, url string, host string, row long, content long, first boolean, blocks binary, text string"), "page-blocks")
     open_ = done.where("text IS NULL").drop("text")
     lists = _joint_runs(open_)
     if lists is None:
@@ -405,6 +422,6 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         open_ = open_.withColumns({"wide": none, "twice": none})
     else:
         open_ = open_.join(lists, "row", "left")
-    open_ = open_.select("page_id", "url", "host", "wide", "twice", "zones", "links", "texts")
+    open_ = open_.select("page_id", "url", "host", "wide", "twice", "blocks")
     rest = open_.mapInArrow(_resolved, f"page_id {kind}, url string, text string")
     return done.where("text IS NOT NULL").select("page_id", "url", "text").unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))

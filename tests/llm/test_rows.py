@@ -342,3 +342,19 @@ def test_boilerplate_of_a_large_host_is_counted_over_all_its_chunks(spark, monke
     assert [k for k in range(60) if got[k] != {own[k]}] == []
     want = {100 + k: {own[k] + ("\n" + pair if k < 30 else "")} for k in range(60)}
     assert {k: got[k] for k in want} == want and got[200] == got[100]
+
+
+@pytest.mark.parametrize("part", [1500, 1 << 22])
+def test_copies_without_an_article_keep_their_text(spark, monkeypatch, part):
+    monkeypatch.setattr(html_text, "PART_CHARS", part)
+    rng = random.Random(5)
+    bar = _words(rng, 12)
+    own = [_words(rng, 40) for _ in range(20)]
+    rows = [(k, f"http://plain.net/{k}", f"<div>{bar}</div><p>{t}</p>") for k, t in enumerate(own)]
+    # The same page under two urls, mirrored with another date, and as a repeated row.
+    rows += [(100, "http://plain.net/copy", rows[0][2]), (101, "http://plain.net/mirror", f"<div>{bar}</div><p>{own[1]}</p><p>seen on monday</p>"), rows[2], rows[2]]
+    got = collections.defaultdict(list)
+    for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        got[r.page_id].append(r.text)
+    want = {**{k: [t] * (3 if k == 2 else 1) for k, t in enumerate(own)}, 100: [own[0]], 101: [own[1] + "\nseen on monday"]}
+    assert got == want

@@ -30,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of all texts in plane files below the shared folder; per document what the files hold of it."""
-    return planes.read_digests(planes.write_files(docs, planes.default_tokenizer()))
+    return planes.read_digests(planes.write_files(docs, planes.default_tokenizer(), added=True))
 
 
 STAGES = [

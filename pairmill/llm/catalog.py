@@ -29,7 +29,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planes.read_digests(planes.write_files(table(spark, sf_dir, "documents"), planes.default_tokenizer()))
+    return planes.read_digests(planes.write_files(table(spark, sf_dir, "documents"), planes.default_tokenizer(), added=True))
 
 
 def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -11,6 +12,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -72,14 +74,20 @@ def pieces(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """The ids of whole texts. Pieces that always stand apart are encoded once and remembered by a 64-bit hash."""
+    """The ids of whole texts. Pieces that always stand apart are encoded once and remembered by a 64-bit hash.
 
-    def __init__(self, path: str, limit: int = CACHE):
+    With ``added``, an added token's content in a text (``<|endoftext|>``) is that token, as in the tokenizer's own ``encode``; texts
+    with one are encoded whole. Without, it is text like other text.
+    """
+
+    def __init__(self, path: str, limit: int = CACHE, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not added
+        contents = sorted({t.content for t in self.tok.get_added_tokens_decoder().values() if t.content and (added or not t.special)})
+        self.marks = "|".join(map(re.escape, contents))
         self.known: dict[int, bytes] = {}
         self.limit = limit
 
@@ -99,6 +107,8 @@ class Encoder:
         whole = np.zeros(n, dtype=bool)
         whole[np.searchsorted(offs, _odd(buf), side="right") - 1] = True
         whole |= np.diff(offs) > LONG
+        if self.marks:
+            whole |= pc.match_substring_regex(texts, self.marks).to_numpy(zero_copy_only=False)
         out: list = [None] * n
         for k in np.flatnonzero(whole):
             out[k] = np.frombuffer(self._ids([texts[int(k)].as_py()])[0], dtype="<u4")
@@ -134,9 +144,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """One per worker process, whatever the number of tasks it runs."""
-    return Encoder(path)
+    return Encoder(path, added=added)
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -255,11 +265,11 @@ def _open(uri: str, write: bool = False):
     return fs.open_output_stream(path)
 
 
-def write_files(docs: DataFrame, tokenizer: str, folder: str | None = None, key: str = "doc_id", text: str = "text", bits: bool = False) -> DataFrame:
+def write_files(docs: DataFrame, tokenizer: str, folder: str | None = None, key: str = "doc_id", text: str = "text", bits: bool = False, added: bool = False) -> DataFrame:
     """Manifest (part, file, n_docs, n_ids) of files that hold the ids of all texts in ascending key order, nulls first.
 
     Each document's ids end with id 0; null texts are empty and have the end id only; rows that repeat a key stand in the
-    order of their texts. The key is a long. Texts are dealt out by ranges of the key; each task writes one file under a new name, and
+    order of their texts. ``added`` is the encoder's. The key is a long. Texts are dealt out by ranges of the key; each task writes one file under a new name, and
     the manifest names the files of the tasks that succeeded, so repeated attempts do no harm.
     """
     spark = docs.sparkSession
@@ -274,7 +284,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str | None = None, key:
             if out is None:
                 sink = _open(uri, write=True)
                 out = Writer(sink, bits)
-            ids = encoder(tokenizer).encode(b.column(1))
+            ids = encoder(tokenizer, added).encode(b.column(1))
             for doc, x in zip(b.column(0).to_pylist(), ids, strict=True):
                 out.add(doc, np.append(x, np.uint32(END)))
         if out is not None:

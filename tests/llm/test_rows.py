@@ -358,3 +358,23 @@ def test_copies_without_an_article_keep_their_text(spark, monkeypatch, part):
         got[r.page_id].append(r.text)
     want = {**{k: [t] * (3 if k == 2 else 1) for k, t in enumerate(own)}, 100: [own[0]], 101: [own[1] + "\nseen on monday"]}
     assert got == want
+
+
+def test_token_queries_take_added_tokens_in_texts_as_the_tokenizer_does(spark, tmp_path):
+    import corpus_pipeline
+    from pairmill.llm import catalog
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(planes.default_tokenizer())
+    rng = random.Random(12)
+    texts = ["end of one <|endoftext|> start", "<|endoftext|><|endoftext|>b", "a  <|endoftext|>", "<|endoftext|x", "<|ENDOFTEXT|>", None]
+    texts += ["".join(rng.choices(["ab", " ", "  ", "\n", "\xa0", "é", ".", "<|", "|>", "<|endoftext|>"], k=rng.randrange(20))) for _ in range(200)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    want, at = [], 0
+    for k, t in enumerate(texts):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    for got in (catalog.op5_bit_planes(spark, str(tmp_path)), dict(corpus_pipeline.STAGES)["token_output"](spark, d, str(tmp_path))):
+        assert sorted(map(tuple, got.collect())) == want

@@ -286,7 +286,8 @@ def vector_merge(df: DataFrame, vid: str, groups: Sequence[str], order: str, vec
         rows = [head + [r[0], r[1], sorted(r[2]), r[3], mat[n].tolist()] for n, r in enumerate(recs)]
         return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
-    folded = tail.groupBy("comp").applyInPandas(fold_tail, "comp long, _v array<double>")
+    tail_schema = T.StructType([T.StructField("comp", df.schema[vid].dataType), T.StructField("_v", T.ArrayType(T.DoubleType()))])
+    folded = tail.groupBy("comp").applyInPandas(fold_tail, tail_schema)
     gk = t.filter("_tight").groupBy("comp").agg(*[F.first(k).alias(k) for k in keys])
     whole = facts.join(kw, "comp", "left").join(folded, "comp").join(gk, "comp").select(*[f.name for f in schema.fields])
     rest = t.filter(~F.col("_tight")).select(*keys, "comp", "_id", "_o", "_v", "_kw", "_sc").groupBy("comp").applyInPandas(fold_all, schema)

@@ -151,6 +151,16 @@ def test_vector_merge_with_text_ids(spark):
     assert got == {"vec_000": 4, "vec_004": 4, "vec_008": 4}
 
 
+def test_vector_merge_of_far_vectors_with_text_ids(spark):
+    axes = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    rows = [(f"vec_{k:03d}", "skill", 0, k, axes[k % 3], [f"w{k}"], k / 10) for k in range(8)]
+    d = spark.createDataFrame(rows, "vid string, kind string, layer long, step long, vector array<double>, keywords array<string>, score double")
+    got = {r["vid"]: (r["members"], r["keywords"], r["score"], r["vector"]) for r in D.vector_merge(d, "vid", ["kind", "layer"], "step", "vector", "keywords", "score", dim=3).collect()}
+    assert got == {
+        "vec_000": (3, ["w0", "w3", "w6"], 0.6, axes[0]), "vec_001": (3, ["w1", "w4", "w7"], 0.7, axes[1]), "vec_002": (2, ["w2", "w5"], 0.5, axes[2]),
+    }
+
+
 def test_leaderboard_of_equal_scores(spark):
     from pairmill.operators.dialog import leaderboard
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmill.llm import dart, decontaminate, html_text, licenses, mixing, planes, spotsigs, toxicity, trie_lm, urls
+from pairmill.llm import dart, decontaminate, html_text, licenses, mixing, planes, ranked, runs, spotsigs, token_cache, toxicity, trie_lm, urls
 from pairmill.llm.common import stored, table
 
 
@@ -58,6 +58,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(table(spark, sf_dir, "documents"))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.find_runs(docs.withColumn("text", runs.repeat_tail(F.col("text"), F.col("doc_id"))))
+    return found.select("doc_id", *[c.alias(k) for k, c in runs.run_digests(F.col("_runs")).items()])
+
+
+def op12_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_cache.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), token_cache.new_cache(spark))
+    return counted.select("doc_id", "_tokens.n_bytes", "_tokens.n_tokens", (F.col("_tokens.n_tokens") > 4096).alias("over_limit"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked.build_index(table(spark, sf_dir, "documents"))
+    return ranked.search(index, table(spark, sf_dir, "benchmark")).withColumnRenamed("key", "doc_id")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_dart_minhash": op2_dart_minhash,
@@ -69,5 +85,8 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_source_mix": op9_source_mix,
     "op10_license_scan": op10_license_scan,
+    "op11_word_runs": op11_word_runs,
+    "op12_token_cache": op12_token_cache,
+    "op13_ranked_search": op13_ranked_search,
 }
-ORACLE = {"op8_url_filter": urls.SQL, "op9_source_mix": mixing.SQL, "op10_license_scan": licenses.oracle_sql()}
+ORACLE = {"op8_url_filter": urls.SQL, "op9_source_mix": mixing.SQL, "op10_license_scan": licenses.oracle_sql(), "op13_ranked_search": ranked.SQL}

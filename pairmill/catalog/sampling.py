@@ -8,6 +8,7 @@ from pairmill.catalog.base import CHAT, PAIRS, QA, case, cln, jac, norm, r6, rnd
 from pairmill.functions import text as X
 from pairmill.operators import dedup as D
 from pairmill.operators import sample as S
+from pairmill.operators import vectors as V
 from pairmill.schema import HANGUL, LATIN
 
 ID = "doc_id"
@@ -76,16 +77,28 @@ def _(t):
     return D.novelty_filter(d, ID, "kw", "rule").select(ID)
 
 
-@case("d06_vector_merge")
+@case("d06_vector_merge", """WITH RECURSIVE e AS (SELECT vec_id, label::BIGINT AS layer, unnest([0, 1, 2]) AS copy, embedding FROM embeddings),
+ s AS (SELECT copy * 10000000 + vec_id AS vid, layer, ['c' || copy, 'k' || (vec_id % 7)] AS kw, vec_id % 100 / 100.0::DOUBLE AS sc,
+   list_transform(embedding, lambda x, k: x::DOUBLE + copy * 0.006::DOUBLE * sin((k - 1 + vec_id)::DOUBLE)) AS v FROM e),
+ x AS (SELECT vid::BIGINT AS vid, layer, kw, sc, list_transform(v, lambda y: y / sqrt(list_dot_product(v, v))) AS v, row_number() OVER (PARTITION BY layer ORDER BY vid) AS i FROM s),
+ g AS (SELECT DISTINCT layer, 0::BIGINT AS i, []::STRUCT(vid BIGINT, v DOUBLE[], kw VARCHAR[], sc DOUBLE, n BIGINT)[] AS r FROM x
+  UNION ALL SELECT layer, i, CASE WHEN spot IS NULL OR c[spot] < 0.985 THEN list_append(r, {'vid': vid, 'v': v, 'kw': kw, 'sc': sc, 'n': 1::BIGINT})
+    ELSE list_transform(r, lambda o, k: CASE WHEN k = spot THEN {'vid': o.vid, 'v': list_transform(u, lambda y: y / sqrt(list_dot_product(u, u))), 'kw': list_sort(list_distinct(list_concat(o.kw, kw))),
+      'sc': greatest(o.sc, sc), 'n': o.n + 1} ELSE o END) END
+  FROM (SELECT *, list_transform(r[spot].v, lambda y, k: 0.7::DOUBLE * y + 0.3::DOUBLE * v[k]) AS u
+   FROM (SELECT *, list_position(c, list_max(c)) AS spot FROM (SELECT g.layer, g.i + 1 AS i, g.r, x.vid, x.v, x.kw, x.sc, list_transform(g.r, lambda o: list_dot_product(o.v, x.v)) AS c
+    FROM g JOIN x ON x.layer = g.layer AND x.i = g.i + 1)))),
+ f AS (SELECT layer, unnest(r) AS o FROM g WHERE i = (SELECT max(i) FROM x WHERE x.layer = g.layer))
+ SELECT o.vid AS vid, 'skill' AS kind, layer, round(o.sc, 6) AS score, array_to_string(o.kw, ' ') AS keywords, o.n AS members, round(o.v[1], 6) AS v0 FROM f""")
 def _(t):
     # Three nearby copies of every vector, so that merges happen; the shift depends on the copy.
     e = t.embeddings.withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(3)])))
     shift = F.transform("embedding", lambda v, i: v.cast("double") + F.col("copy") * 0.006 * F.sin(i.cast("double") + F.col("vec_id")))
-    d = e.select((F.col("copy") * 10_000_000 + F.col("vec_id")).alias("vid"), F.lit("skill").alias("kind"), F.col("label").cast("long").alias("layer"),
+    d = e.select((F.col("copy") * 10_000_000 + F.col("vec_id")).alias("vid"), F.lit(" Skill ").alias("kind"), F.col("label").cast("long").alias("layer"),
                  (F.col("copy") * 10_000_000 + F.col("vec_id")).alias("step"), shift.alias("vector"),
-                 F.array(F.concat(F.lit("k"), (F.col("vec_id") % 7).cast("string")), F.concat(F.lit("c"), F.col("copy").cast("string"))).alias("keywords"),
+                 F.array(F.concat(F.lit("K"), (F.col("vec_id") % 7).cast("string")), F.concat(F.lit("c"), F.col("copy").cast("string")), F.lit(" ")).alias("keywords"),
                  (F.col("vec_id") % 100 / 100.0).alias("score"))
-    m = D.vector_merge(d, "vid", ["kind", "layer"], "step", "vector", "keywords", "score")
+    m = V.vector_merge(d, "vid", ["kind", "layer"], "step", "vector", "keywords", "score")
     return m.select("vid", "kind", "layer", r6(F.col("score")).alias("score"), F.array_join("keywords", " ").alias("keywords"), "members",
                     r6(F.get("vector", F.lit(0))).alias("v0"))
 

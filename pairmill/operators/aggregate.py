@@ -142,7 +142,7 @@ def compare_averages(df: DataFrame, checkpoint: str, score: str, candidate: str,
 
 def group_mean_vectors(df: DataFrame, group: str, vector: str) -> DataFrame:
     """(group, pos, value): normalized mean of the unit vectors of each group, all in partial sums."""
-    from pairmill.operators.dedup import unit
+    from pairmill.operators.vectors import unit
 
     m = df.select(group, F.posexplode(unit(vector)).alias("pos", "x")).groupBy(group, "pos").agg(F.avg("x").alias("m"))
     n = F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy(group)))
@@ -160,7 +160,7 @@ def group_principal_vectors(df: DataFrame, group: str, vector: str, dim: int) ->
     import pandas as pd
     from pyspark.sql import types as T
 
-    from pairmill.operators.dedup import unit
+    from pairmill.operators.vectors import unit
 
     key_type = df.schema[group].dataType
     width = dim * dim + dim + 1

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pairmill.functions import text as X
 from pairmill.session import cut_lineage
@@ -152,149 +148,6 @@ def novelty_filter(df: DataFrame, pos: str, keywords: str, rule_text: str, thres
     return df.join(kept.withColumnRenamed("_p", pos), pos, "left_semi")
 
 
-# ------------------------------------------------------------------ connected components
-
-
-def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
-    """(node, comp): smallest node reachable over ``edges(u, v)``.
-
-    Each round lets a node take the smallest label among itself, its neighbours and its
-    label's label, so long chains halve; lineage is cut every round.
-    """
-    both = cut_lineage(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    lab = nodes.select(F.col(node).alias("node"), F.col(node).alias("comp"))
-    while True:
-        near = both.join(lab.withColumnRenamed("node", "u"), "u").groupBy("v").agg(F.min("comp").alias("c1"))
-        step = lab.join(near, lab["node"] == near["v"], "left").select("node", "comp", F.least("comp", F.coalesce("c1", "comp")).alias("c"))
-        jump = step.select(F.col("node").alias("c"), F.col("c").alias("c2"))
-        new = cut_lineage(step.join(jump, "c", "left").select("node", F.col("comp").alias("old"), F.least("c", F.coalesce("c2", "c")).alias("comp")))
-        changed = new.filter("old <> comp").limit(1).count()
-        lab = new.select("node", "comp")
-        if not changed:
-            return lab.withColumnRenamed("node", node)
-
-
-# ------------------------------------------------------------------ vector merge
-
-FOLD_TAIL = 128
-BANDS, BITS = 64, 14
-
-
-def unit(c: str) -> Column:
-    x = F.transform(F.col(c), lambda v: v.cast("double"))
-    n = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
-    return F.when(n <= 1e-8, x).otherwise(F.transform(x, lambda v: v / n))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-
-
-def _bands(c: str, dim: int, seed: int = 7):
-    """Sign bits of fixed random directions, grouped into bands, as one array of longs (Arrow batch)."""
-    planes = np.random.default_rng(seed).standard_normal((dim, BANDS * BITS)).astype("float32")
-    powers = (1 << np.arange(BITS)).astype("int64")
-
-    @F.pandas_udf("array<long>")
-    def bands(v: pd.Series) -> pd.Series:
-        m = np.asarray(v.tolist(), dtype="float32")
-        bits = (m @ planes > 0).reshape(len(m), BANDS, BITS)
-        return pd.Series(list((bits * powers).sum(axis=2)))
-
-    return bands(F.col(c))
-
-
-def vector_merge(df: DataFrame, vid: str, groups: Sequence[str], order: str, vector: str, keywords: str, score: str,
-                 cosine: float = 0.985, dim: int = 64) -> DataFrame:
-    """Ordered merge of near-parallel vectors of the same kind and layer.
-
-    A row joins the closest kept vector at ``cosine`` or more (kept = norm(0.7 old + 0.3 new),
-    best score, keyword union), else it is inserted.
-
-    A merged vector is never further than 0.7 of the merge angle from its last member, so two
-    rows can only meet if a chain of rows within 1.7 times the merge angle links them. Rows are
-    split into those linked sets first; each set is folded in order on its own, with the same
-    result as one sequential pass. Sets in which every pair is within the merge angle form one
-    vector by definition: only their last ``FOLD_TAIL`` rows can still influence it (older
-    shares shrink by 0.7 per step), so such a set is never collected, however large.
-    """
-    theta = math.acos(cosine)
-    eps = theta / 2
-    link = math.cos(1.7 * theta + 2 * eps)
-    keys = list(groups)
-    v = df.select(F.col(vid).alias("_id"), *keys, F.col(order).alias("_o"), unit(vector).alias("_v"), F.col(keywords).alias("_kw"), F.col(score).cast("double").alias("_sc"))
-    cell = F.md5(F.to_json(F.transform("_v", lambda x: F.round(x, 2))))
-    v = cut_lineage(v.withColumn("_cell", cell))
-    # Rounding-equal copies hang on their first member; only leaders look for neighbours.
-    lead = v.groupBy(*keys, "_cell").agg(F.min(F.struct("_o", "_id", "_v")).alias("l"))
-    j = v.join(lead, [*keys, "_cell"]).withColumn("_lead", F.when(dot(F.col("_v"), F.col("l._v")) >= math.cos(eps), F.col("l._id")).otherwise(F.col("_id")))
-    lead_rows = j.filter(F.col("_lead") == F.col("_id")).select("_id", *keys, "_v")
-    # Bands carry ids only; vectors join once per distinct candidate pair.
-    b = lead_rows.select("_id", *keys, F.posexplode(_bands("_v", dim)).alias("band", "bits"))
-    c = b.withColumnRenamed("_id", "_id2")
-    cand = b.join(c, [*keys, "band", "bits"]).filter(F.col("_id") < F.col("_id2")).select("_id", "_id2").distinct()
-    left, right = lead_rows.select("_id", "_v"), lead_rows.select(F.col("_id").alias("_id2"), F.col("_v").alias("_v2"))
-    near = cand.join(left, "_id").join(right, "_id2").filter(dot(F.col("_v"), F.col("_v2")) >= link)
-    edges = near.select(F.col("_id").alias("u"), F.col("_id2").alias("v"))
-    comp = components(lead_rows, edges, "_id")
-    tagged = cut_lineage(j.join(comp.withColumnRenamed("_id", "_lead"), "_lead").drop("l", "_cell"))
-    # Tight set: all rows within half the merge angle of the set's first row.
-    head = tagged.groupBy("comp").agg(F.min(F.struct("_o", "_v")).alias("h"), F.count("*").alias("_n"))
-    t = tagged.join(head, "comp").withColumn("_close", dot(F.col("_v"), F.col("h._v")) >= math.cos(eps))
-    tight = t.groupBy("comp").agg(F.min("_close").alias("_tight"))
-    t = t.join(tight, "comp")
-    w = Window.partitionBy("comp").orderBy(F.col("_o").desc())
-    tail = t.filter("_tight").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= FOLD_TAIL)
-    facts = t.filter("_tight").groupBy("comp").agg(
-        F.min_by("_id", "_o").alias("_id"), F.max("_sc").alias("_sc"), F.count("*").alias("members"))
-    # A keyword repeated by every copy is counted once per map task, not gathered per row.
-    kw = t.filter("_tight").select("comp", F.explode("_kw").alias("k")).distinct().groupBy("comp").agg(F.array_sort(F.collect_set("k")).alias("_kw"))
-    schema = T.StructType([f for f in df.select(*keys).schema.fields] + [T.StructField("comp", df.schema[vid].dataType)] + [
-        T.StructField("_id", df.schema[vid].dataType), T.StructField("_sc", T.DoubleType()), T.StructField("_kw", T.ArrayType(T.StringType())),
-        T.StructField("members", T.LongType()), T.StructField("_v", T.ArrayType(T.DoubleType()))])
-
-    def norm(x):
-        n = np.linalg.norm(x)
-        return x if n <= 1e-8 else x / n
-
-    def fold_tail(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_o")
-        acc = None
-        for x in pdf["_v"]:
-            x = np.asarray(x)
-            acc = x if acc is None else norm(0.7 * acc + 0.3 * x)
-        return pd.DataFrame([(pdf["comp"].iloc[0], acc.tolist())], columns=["comp", "_v"])
-
-    def fold_all(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_o")
-        head = [pdf[k].iloc[0] for k in keys] + [pdf["comp"].iloc[0]]
-        recs: list[list] = []
-        mat = np.zeros((0, dim))
-        for i, x, ks, s in zip(pdf["_id"], pdf["_v"], pdf["_kw"], pdf["_sc"]):
-            x = norm(np.asarray(x))
-            if len(recs):
-                sims = mat @ x
-                b = int(sims.argmax())
-                if sims[b] >= cosine:
-                    mat[b] = norm(0.7 * mat[b] + 0.3 * x)
-                    recs[b][1] = max(recs[b][1], s)
-                    recs[b][2] |= set(ks)
-                    recs[b][3] += 1
-                    continue
-            mat = np.vstack([mat, x])
-            recs.append([i, s, set(ks), 1])
-        rows = [head + [r[0], r[1], sorted(r[2]), r[3], mat[n].tolist()] for n, r in enumerate(recs)]
-        return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-
-    tail_schema = T.StructType([T.StructField("comp", df.schema[vid].dataType), T.StructField("_v", T.ArrayType(T.DoubleType()))])
-    folded = tail.groupBy("comp").applyInPandas(fold_tail, tail_schema)
-    gk = t.filter("_tight").groupBy("comp").agg(*[F.first(k).alias(k) for k in keys])
-    whole = facts.join(kw, "comp", "left").join(folded, "comp").join(gk, "comp").select(*[f.name for f in schema.fields])
-    rest = t.filter(~F.col("_tight")).select(*keys, "comp", "_id", "_o", "_v", "_kw", "_sc").groupBy("comp").applyInPandas(fold_all, schema)
-    return whole.unionByName(rest).select(
-        F.col("_id").alias(vid), *keys, F.col("_sc").alias(score), F.col("_kw").alias(keywords), "members", F.col("_v").alias(vector))
-
-
 def best_per_term(df: DataFrame, term: str, score: Sequence[Column], pos: str) -> DataFrame:
     """One row per term: highest score tuple, first position wins ties."""
     return first_wins(df, [term], [*[s.desc() for s in score], F.col(pos)])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,30 @@ def build_session(app: str = "pairmill", master: str | None = None, shuffle_part
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = b.config("spark.ui.showConsoleProgress", "false")
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    if master and master.startswith("local[") and not _root(spark):  # one machine: its own folder is shared by all
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pairmill-"))
+    return spark
+
+
+def _root(spark: SparkSession) -> str | None:
+    sc = spark.sparkContext
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new path below ``spark.checkpoint.dir``, which all machines of the cluster share."""
+    root = _root(spark)
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, column by column: for wide rows that several steps read in part."""
+    path = shared_folder(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -32,9 +56,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Iterative operators call this once per round so that neither the plan nor the
     recovery cost after a lost executor grows with the number of rounds.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pairmill-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint(eager=True)

@@ -3,24 +3,12 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder every executor can see: under ``spark.checkpoint.dir`` of the cluster.
-
-    A temporary folder of this machine is used only where that is unset, as in local tests.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="pairmill-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from pairmill.session import shared_folder as shared_folder
 
 
 def write_jsonl(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pairmill.operators import augment as G
 from pairmill.operators import dedup as D
 from pairmill.operators import joins as J
+from pairmill.operators import vectors as V
+from pairmill.operators.graph import components
 
 
 def jac(a, b):
@@ -56,7 +58,9 @@ def sequential_merge(rows, cosine=0.985):
     return recs
 
 
-def test_vector_merge_equals_sequential(spark):
+@pytest.mark.parametrize("fold_rows", [4096, 40])
+def test_vector_merge_equals_sequential(spark, fold_rows):
+    """With 40 rows a task, large sets are checked range by range, and those of several vectors are streamed."""
     rng = np.random.default_rng(0)
     centers = rng.standard_normal((12, 16))
     centers /= np.linalg.norm(centers, axis=1, keepdims=True)
@@ -68,7 +72,7 @@ def test_vector_merge_equals_sequential(spark):
         rows.append((i, int(i % 2), x.tolist(), [f"k{i % 9}"], float(i % 17)))
     want = sequential_merge(rows)
     d = spark.createDataFrame(rows, "vid long, layer long, vector array<double>, keywords array<string>, score double").withColumn("step", F.col("vid"))
-    got = {r["vid"]: r for r in D.vector_merge(d, "vid", ["layer"], "step", "vector", "keywords", "score", dim=16).collect()}
+    got = {r["vid"]: r for r in V.vector_merge(d, "vid", ["layer"], "step", "vector", "keywords", "score", dim=16, fold_rows=fold_rows).collect()}
     assert sorted(got) == sorted(r["id"] for r in want)
     for r in want:
         g = got[r["id"]]
@@ -76,6 +80,35 @@ def test_vector_merge_equals_sequential(spark):
         assert np.allclose(g["vector"], r["v"], atol=1e-9)
 
 
+def test_merge_steps_and_link_angle():
+    """An older vector is below the last bit after so many merges, and no merge leads further from its newcomer."""
+    theta = math.acos(0.985)
+    x, y = np.array([1.0, 0.0]), np.array([math.cos(theta), math.sin(theta)])
+    merged = 0.7 * x + 0.3 * y
+    away = math.acos(merged @ y / np.linalg.norm(merged))
+    assert abs(V.link_angle(0.985) - theta - away) < 1e-12
+    a, b = np.array([1.0, 0.0]), np.array([math.cos(0.05), math.sin(0.05)])
+    for k in range(V.merge_steps(0.985)):
+        x = np.array([math.cos(0.02 * (k % 3)), math.sin(0.02 * (k % 3))])
+        a, b = (0.7 * z + 0.3 * x for z in (a, b))
+        a, b = a / np.linalg.norm(a), b / np.linalg.norm(b)
+    assert np.abs(a - b).max() < 1e-16
+
+
+def test_linked_sets_of_crowded_buckets(spark):
+    """Groups of copies, chains and far vectors: every pair within the angle shares its set, found by comparing all."""
+    rng = np.random.default_rng(3)
+    centers = rng.standard_normal((60, 24))
+    x = np.concatenate([centers, centers[0] + 0.02 * rng.standard_normal((300, 24)), centers[1] + np.cumsum(0.06 * rng.standard_normal((120, 24)), axis=0)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame([(k, 0, v.tolist()) for k, v in enumerate(x)], "_id long, g int, _v array<double>")
+    angle = V.link_angle(0.985)
+    comp = {r["_id"]: r["comp"] for r in V.linked_sets(d, ["g"], angle, 24).collect()}
+    near = np.argwhere(np.triu(x @ x.T >= math.cos(angle), 1))
+    assert len(near) > 40_000 and all(a in comp and comp[a] == comp.get(b) for a, b in near.tolist())
+    assert len(set(comp.values())) > 1 and not {0, 59} <= {k for k in comp if comp[k] == comp.get(0)}
+
+
 def edits(a, b):
     prev = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -133,7 +166,7 @@ def test_subset_closure_on_a_chain_and_a_loop(spark):
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, 101), (101, 102)]
     nodes = spark.createDataFrame([(i,) for i in [*range(51), 100, 101, 102, 200]], "node long")
-    got = {r["node"]: r["comp"] for r in D.components(nodes, spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r["node"]: r["comp"] for r in components(nodes, spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {got[i] for i in range(51)} == {0} and got[102] == 100 and got[200] == 200
 
 
@@ -147,7 +180,7 @@ def test_exact_pairs_keep_the_parts_apart(spark):
 def test_vector_merge_with_text_ids(spark):
     rows = [(f"vec_{k:03d}", "skill", 0, k, [1.0, 2.0 + 1e-4 * (k % 4), float(k // 4)], ["a"], 0.5) for k in range(12)]
     d = spark.createDataFrame(rows, "vid string, kind string, layer long, step long, vector array<double>, keywords array<string>, score double")
-    got = {r["vid"]: r["members"] for r in D.vector_merge(d, "vid", ["kind", "layer"], "step", "vector", "keywords", "score", dim=3).collect()}
+    got = {r["vid"]: r["members"] for r in V.vector_merge(d, "vid", ["kind", "layer"], "step", "vector", "keywords", "score", dim=3).collect()}
     assert got == {"vec_000": 4, "vec_004": 4, "vec_008": 4}
 
 
@@ -155,7 +188,7 @@ def test_vector_merge_of_far_vectors_with_text_ids(spark):
     axes = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
     rows = [(f"vec_{k:03d}", "skill", 0, k, axes[k % 3], [f"w{k}"], k / 10) for k in range(8)]
     d = spark.createDataFrame(rows, "vid string, kind string, layer long, step long, vector array<double>, keywords array<string>, score double")
-    got = {r["vid"]: (r["members"], r["keywords"], r["score"], r["vector"]) for r in D.vector_merge(d, "vid", ["kind", "layer"], "step", "vector", "keywords", "score", dim=3).collect()}
+    got = {r["vid"]: (r["members"], r["keywords"], r["score"], r["vector"]) for r in V.vector_merge(d, "vid", ["kind", "layer"], "step", "vector", "keywords", "score", dim=3).collect()}
     assert got == {
         "vec_000": (3, ["w0", "w3", "w6"], 0.6, axes[0]), "vec_001": (3, ["w1", "w4", "w7"], 0.7, axes[1]), "vec_002": (2, ["w2", "w5"], 0.5, axes[2]),
     }

@@ -82,12 +82,12 @@ ASC = "[a-z]{7,}"
    FROM q JOIN (SELECT DISTINCT term FROM c) x ON abs(length(q.k)-length(x.term))<=2),
  s AS (SELECT k, c.term, c.doc_id, sim, least(0.35, 24.0/greatest(24,size)) AS b FROM (SELECT * FROM d WHERE sim>=0.84-1e-12) d JOIN c USING (term)),
  r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round((sim+b)::DOUBLE,9) DESC, doc_id, term DESC) rn FROM s WHERE sim>=0.84-1e-12)
- SELECT k, term AS matched, {rnd('sim+b')} AS score FROM r WHERE rn=1""")
+ SELECT k, term AS matched, {rnd('sim+b')} AS score, md5(text) AS answer_md5 FROM r JOIN documents USING (doc_id) WHERE rn=1""")
 def _(t):
     q = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(ASC), F.lit(0))).alias("k")).distinct()
-    c = t.documents.select(D, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(ASC), F.lit(0)))).alias("term"),
-                    F.col("text").alias("answer"))
-    return J.fuzzy_term_join(q, c, "k", "term", "answer", D).select("k", "matched", r6(F.col("score")).alias("score"))
+    c = t.documents.select(D, F.length("text").alias("size"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(ASC), F.lit(0)))).alias("term"))
+    best = J.fuzzy_term_join(q, c, "k", "term", "size", D)
+    return best.join(t.documents.select(D, F.md5("text").alias("answer_md5")), D).select("k", "matched", r6(F.col("score")).alias("score"), "answer_md5")
 
 
 @case("j05_used_key_anti", """SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 7 = 0)""")

@@ -17,7 +17,10 @@ def hot_lookup(left: DataFrame, right: DataFrame, key: str, share: float = HOT_S
     Keys that hold more than ``share`` of ``left``'s rows, fewer than 1 / ``share`` keys, meet their row by broadcast; all
     others by a join on the key, so that no task gets a hot key's rows. ``left`` is read several times: store it first.
     """
-    limit = max(least, int(left.count() * share))
+    rows = left.count()
+    if rows <= least:
+        return left.join(right, key)
+    limit = max(least, int(rows * share))
     hot = cut_lineage(left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(key))
     if hot.isEmpty():
         return left.join(right, key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -82,44 +83,69 @@ def _start(i: Column, n: Column, parts: Column) -> Column:
     return F.floor(i * n / parts).cast("int")
 
 
+def _without_one(piece: Column) -> Column:
+    """All ways to take one letter out of a piece."""
+    return F.transform(F.sequence(F.lit(1), F.length(piece)), lambda k: F.concat(F.substr(piece, F.lit(1), k - 1), F.substr(piece, k + 1)))
+
+
+def _pieces(df: DataFrame, size: str, similarity: float) -> DataFrame:
+    """Adds d, the most edits a partner of a term of ``size`` letters can have, and each piece's number, begin and width.
+
+    d edits fall on d // 2 + 1 pieces, so one of these takes one edit at most; pieces have five letters or more.
+    """
+    d = df.withColumn("d", _edits(F.col(size) + MAX_GAP, similarity)).filter("d > 0").withColumn("parts", F.floor(F.col("d") / 2).cast("int") + 1)
+    d = d.withColumn("i", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("c0", _start(F.col("i"), F.col(size), F.col("parts")))
+    return d.withColumn("w", _start(F.col("i") + 1, F.col(size), F.col("parts")) - F.col("c0"))
+
+
 def fuzzy_pairs(left: DataFrame, right: DataFrame, a: str, b: str, similarity: float = 0.84) -> DataFrame:
     """Distinct term pairs (a, b, sim): equal, or length gap <= 2 and edit similarity reached.
 
-    Exact blocking: a term cut into d + 1 pieces keeps one piece intact under d edits, at most d
-    places from where it was. Pieces of ``b`` meet substrings of ``a`` by equality.
+    A deletion index: terms of ``b`` are cut into pieces of which one takes at most one edit, and stand under each piece and
+    each piece less one letter. Terms of ``a`` look up what lies at most d places from there, with up to one letter less or
+    more, whole and less one letter: two strings one edit apart have such a form in common. Whole pieces of five letters
+    and more in their place are the keys, so there are no short, hot ones. Candidates are then measured.
     """
-    r = right.select(b).filter(F.length(b) > 0).distinct().withColumn("n", F.length(b))
-    q = left.select(a).filter(F.length(a) > 0).distinct().withColumn("n", F.length(a))
+    return _near_terms(left.select(a).distinct(), right.select(b).distinct(), a, b, similarity)
+
+
+def _near_terms(left: DataFrame, right: DataFrame, a: str, b: str, similarity: float) -> DataFrame:
+    r = right.filter(F.length(b) > 0).select(b, F.length(b).alias("len"))
+    q = left.filter(F.length(a) > 0).select(a, F.length(a).alias("n"))
     exact = q.join(r, q[a] == r[b]).select(a, b, F.lit(1.0).alias("sim"))
-    d_r = _edits(F.col("n") + MAX_GAP, similarity)
-    parts = r.withColumn("d", d_r).filter("d > 0").withColumn("i", F.explode(F.expr("sequence(0, d)")))
-    s0, s1 = _start(F.col("i"), F.col("n"), F.col("d") + 1), _start(F.col("i") + 1, F.col("n"), F.col("d") + 1)
-    parts = parts.select(b, F.col("n").alias("len"), "i", F.substr(b, s0 + 1, s1 - s0).alias("piece"))
-    cand = q.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - MAX_GAP), F.col("n") + MAX_GAP)))
-    cand = cand.withColumn("d", _edits(F.col("len") + MAX_GAP, similarity)).filter("d > 0").withColumn("i", F.explode(F.expr("sequence(0, d)")))
-    c0, c1 = _start(F.col("i"), F.col("len"), F.col("d") + 1), _start(F.col("i") + 1, F.col("len"), F.col("d") + 1)
-    cand = cand.withColumn("c0", c0).withColumn("w", c1 - c0)
-    lo, hi = F.greatest(F.lit(0), F.col("c0") - F.col("d")), F.least(F.col("n") - F.col("w"), F.col("c0") + F.col("d"))
-    cand = cand.withColumn("lo", lo).withColumn("hi", hi).filter("hi >= lo").withColumn("p", F.explode(F.expr("sequence(lo, hi)")))
-    cand = cand.select(a, "len", "i", F.substr(a, F.col("p") + 1, F.col("w")).alias("piece")).distinct()
-    sim = X.edit_ratio(F.col(a), F.col(b))
-    near = cand.join(parts, ["len", "i", "piece"]).filter(F.col(a) != F.col(b)).select(a, b).distinct()
-    return exact.unionByName(near.withColumn("sim", sim).filter((F.col("sim") >= similarity) & (F.abs(F.length(a) - F.length(b)) <= MAX_GAP)))
-
-
-def fuzzy_term_join(queries: DataFrame, cache: DataFrame, query: str, term: str, answer: str, pos: str, similarity: float = 0.84) -> DataFrame:
-    """Best cache row per query term: exact = 10, else similarity, plus a short-answer bonus.
-
-    Rows of one term share its similarity, so each term first keeps its best answer; only
-    distinct terms are compared.
+    piece = F.substr(b, F.col("c0") + 1, F.col("w"))
+    forms = _pieces(r, "len", similarity).select(b, "len", "i", F.explode(F.concat(F.array(piece), _without_one(piece))).alias("form"))
+    asked = _pieces(q.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - MAX_GAP), F.col("n") + MAX_GAP))), "len", similarity)
+    asked = asked.withColumn("size", F.explode(F.expr("sequence(greatest(w - 1, 1), least(w + 1, n))")))
+    asked = asked.withColumn("lo", F.greatest(F.lit(0), F.col("c0") - F.col("d"))).withColumn("hi", F.least(F.col("n") - F.col("size"), F.col("c0") + F.col("d")))
+    asked = asked.filter("hi >= lo").withColumn("p", F.explode(F.expr("sequence(lo, hi)")))
+    part = F.substr(a, F.col("p") + 1, F.col("size"))
+    whole = F.when(F.col("size") <= F.col("w"), F.array(part)).otherwise(F.array().cast("array<string>"))
+    less = F.when(F.col("size") >= F.col("w"), _without_one(part)).otherwise(F.array().cast("array<string>"))
+    asked = asked.select(a, "len", "i", F.explode(F.concat(whole, less)).alias("form"))
+    key = F.xxhash64("len", "i", "form").alias("key")
+    near = asked.select(a, key).distinct().join(forms.select(b, key), "key").filter((F.col(a) != F.col(b)) & (F.abs(F.length(a) - F.length(b)) <= MAX_GAP))
+    near = near.select(a, b, X.edit_ratio(F.col(a), F.col(b)).alias("sim")).filter(F.col("sim") >= similarity)
+    return exact.unionByName(near.distinct())
+
+
+# A cached answer's bonus is this, or this many characters over its length if that is less.
+BONUS, BONUS_CHARS = 0.35, 24
+
+
+def fuzzy_term_join(queries: DataFrame, cache: DataFrame, query: str, term: str, size: str, pos: str, similarity: float = 0.84) -> DataFrame:
+    """Best cache row per query term: exact = 10, else similarity, plus a short-answer bonus; (query, matched, pos, score).
+
+    ``cache`` has the length of each answer, not the answer: fetch that by ``pos`` for the winners. Rows of one term share
+    its similarity, so each term first keeps its shortest answer, the first of equal ones; only distinct terms are compared.
     """
-    bonus = F.least(F.lit(0.35), 24.0 / F.greatest(F.lit(24), F.length(answer)))
-    best = cache.withColumn("_bonus", bonus).groupBy(F.col(term).alias("_t")).agg(
-        F.max(F.struct(F.col("_bonus"), (-F.col(pos)).alias("_np"), F.col(answer).alias("_a"))).alias("m"))
-    pairs = fuzzy_pairs(queries, best, query, "_t", similarity).join(best, "_t")
-    score = F.when(F.col(query) == F.col("_t"), 10.0).otherwise(F.col("sim")) + F.col("m._bonus")
-    top = pairs.groupBy(query).agg(F.max(F.struct(F.round(score, 9).alias("score"), F.col("m._np").alias("np"), F.col("_t").alias("t"), F.col("m._a").alias("a"))).alias("b"))
-    return queries.join(top, query).select(*queries.columns, F.col("b.t").alias("matched"), F.col("b.a").alias("answer"), F.col("b.score").alias("score"))
+    least = math.floor(BONUS_CHARS / BONUS)  # answers up to this length have the same bonus
+    best = cut_lineage(cache.groupBy(F.col(term).alias("_t")).agg(F.min(F.struct(F.greatest(F.col(size), F.lit(least)).alias("size"), F.col(pos).alias("pos"))).alias("m")))
+    pairs = _near_terms(queries.select(query).distinct(), best, query, "_t", similarity).join(best, "_t")
+    bonus = F.least(F.lit(BONUS), BONUS_CHARS / F.col("m.size"))
+    score = F.when(F.col(query) == F.col("_t"), 10.0).otherwise(F.col("sim")) + bonus
+    top = pairs.groupBy(query).agg(F.max(F.struct(F.round(score, 9).alias("score"), (-F.col("m.pos")).alias("np"), F.col("_t").alias("t"))).alias("b"))
+    return top.select(query, F.col("b.t").alias("matched"), (-F.col("b.np")).alias(pos), F.col("b.score").alias("score"))
 
 
 # ------------------------------------------------------------------ top-k by keyword overlap

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairmill.functions import text as X
-from pairmill.operators.graph import HOT_SHARE, components, hot_lookup
+from pairmill.operators.graph import HOT_ROWS, HOT_SHARE, components, hot_lookup
 from pairmill.session import cut_lineage, stored
 
 #: Share of the older vector and of the newcomer in a merge.
@@ -102,10 +102,11 @@ def linked_sets(v: DataFrame, keys: Sequence[str], angle: float, dim: int) -> Da
 
     def met(rows: DataFrame, hubs: DataFrame) -> DataFrame:
         """Each row of a bucket next to its hub; buckets of very many rows meet it by broadcast."""
-        total = hubs.agg(F.sum("n")).first()[0] or 0
-        hot = hubs.filter(F.col("n") > max(10_000, total * HOT_SHARE))
-        if hot.isEmpty():
+        total, most = hubs.agg(F.sum("n"), F.max("n")).first()
+        limit = max(HOT_ROWS, total * HOT_SHARE)
+        if most <= limit:
             return rows.join(hubs, bucket)
+        hot = hubs.filter(F.col("n") > limit)
         cold = rows.join(F.broadcast(hot.select(*bucket)), bucket, "left_anti").join(hubs, bucket)
         return rows.join(F.broadcast(hot), bucket).select(*cold.columns).unionByName(cold)
 

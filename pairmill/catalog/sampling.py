@@ -9,6 +9,7 @@ from pairmill.functions import text as X
 from pairmill.operators import dedup as D
 from pairmill.operators import sample as S
 from pairmill.operators import vectors as V
+from pairmill.operators.novelty import novelty_filter
 from pairmill.schema import HANGUL, LATIN
 
 ID = "doc_id"
@@ -66,15 +67,14 @@ def longest_first(c, n, script):
     return F.slice(F.transform(k, lambda y: F.substr(y, F.lit(5))), 1, n)
 
 
-@case("d05_novelty_filter", f"""WITH RECURSIVE b AS (SELECT doc_id, {KW} AS ks, lower({norm('text')}) AS tx, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+@case("d05_novelty_filter", f"""WITH RECURSIVE b AS (SELECT doc_id, CASE WHEN len({KW})=0 THEN ['rule'] ELSE {KW} END AS ks, lower({norm('text')}) AS tx, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
  ex AS (SELECT i, unnest(ks) AS k FROM b), ov AS (SELECT x.i AS u, y.i AS v, count(*) AS n FROM ex x JOIN ex y ON x.k=y.k AND x.i<y.i GROUP BY ALL),
- e AS (SELECT u, v FROM ov JOIN b p ON p.i=u JOIN b q ON q.i=v WHERE n::DOUBLE/(len(p.ks)+len(q.ks)-n)>=0.90 UNION SELECT p.i, q.i FROM b p JOIN b q ON p.tx=q.tx AND p.tx<>'' AND p.i<q.i
-   UNION SELECT p.i, q.i FROM b p JOIN b q ON len(p.ks)=0 AND len(q.ks)=0 AND p.i<q.i),
+ e AS (SELECT u, v FROM ov JOIN b p ON p.i=u JOIN b q ON q.i=v WHERE n::DOUBLE/(len(p.ks)+len(q.ks)-n)>=0.90 UNION SELECT p.i, q.i FROM b p JOIN b q ON p.tx=q.tx AND p.tx<>'' AND p.i<q.i),
  g AS (SELECT 1::BIGINT AS i, [1::BIGINT] AS kept UNION ALL SELECT g.i+1, CASE WHEN (SELECT count(*) FROM e WHERE e.v=g.i+1 AND list_contains(g.kept, e.u))>0 THEN kept ELSE list_append(kept, g.i+1) END FROM g WHERE g.i<(SELECT max(i) FROM b)),
  fin AS (SELECT unnest(kept) AS i FROM g WHERE i=(SELECT max(i) FROM b)) SELECT doc_id FROM b JOIN fin USING (i)""")
 def _(t):
     d = t.documents.select(ID, longest_first("text", 14, LATIN).alias("kw"), F.col("text").alias("rule"))
-    return D.novelty_filter(d, ID, "kw", "rule").select(ID)
+    return novelty_filter(d, ID, "kw", "rule", prompt_tokens=X.words("rule", LATIN)).select(ID)
 
 
 @case("d06_vector_merge", """WITH RECURSIVE e AS (SELECT vec_id, label::BIGINT AS layer, unnest([0, 1, 2]) AS copy, embedding FROM embeddings),

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairmill.functions import text as X
-from pairmill.session import cut_lineage
 
 
 def pair_key(inp, out) -> Column:
@@ -58,96 +57,6 @@ def cross_pool_unique(pools: Sequence[tuple[str, DataFrame]], key: str, order: S
     return first_wins(u, [key], ["_rank", *order]).drop("_rank")
 
 
-# ------------------------------------------------------------------ novelty
-
-
-HOT_TOKENS = 512
-STAR_ROUNDS = 3
-
-
-def _prefix(df: DataFrame, threshold: float) -> DataFrame:
-    """Adds ``_sig``: the tokens any set within ``threshold`` must share one of.
-
-    Tokens are ordered by hash with the most frequent ones last. The frequent list has a
-    fixed size, so it is broadcast; the rest needs no frequency join at all.
-    """
-    toks = df.select(F.explode("_set").alias("tok"))
-    hot = toks.groupBy("tok").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "tok").limit(HOT_TOKENS)
-    listed = hot.agg(F.map_from_entries(F.collect_list(F.struct("tok", "n"))).alias("_hot"))
-    d = df.crossJoin(F.broadcast(listed))
-    ordered = F.transform(
-        F.array_sort(F.transform("_set", lambda t: F.struct(F.coalesce(F.try_element_at("_hot", t), F.lit(0)).alias("n"), F.xxhash64(t).alias("h"), t.alias("t")))),
-        lambda s: s["t"],
-    )
-    n = F.size("_set")
-    size = F.greatest(F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
-    return d.withColumn("_sig", F.slice(ordered, F.lit(1), size)).drop("_hot")
-
-
-def novelty_filter(df: DataFrame, pos: str, keywords: str, rule_text: str, threshold: float = 0.90) -> DataFrame:
-    """Greedy in ``pos`` order: a row is dropped when a kept earlier row has keyword overlap of
-    at least ``threshold`` or the same normalized text. Exact, without comparing whole groups.
-
-    1. Rows with equal keywords and equal text: only the first can survive, whatever happens to it.
-    2. Star rounds: the first undecided row of all its prefix groups is kept, and its group
-       members are tested against it alone. A cluster of near copies goes in one round.
-    3. What is left joins on shared prefix tokens and compatible sizes; the verified edges
-       are resolved round by round (keep rows without undecided earlier neighbours).
-    """
-    spark = df.sparkSession
-    base = df.select(
-        F.col(pos).alias("_p"),
-        F.array_sort(F.array_distinct(keywords)).alias("_set"),
-        F.sha2(F.lower(X.normalize_space(rule_text)), 256).alias("_txt"),
-        (F.lower(X.normalize_space(rule_text)) != "").alias("_has"),
-    )
-    reps = base.withColumn("_k", F.md5(F.to_json("_set"))).groupBy("_k", "_txt", "_has").agg(
-        F.min(F.struct("_p", "_set", "_txt", "_has")).alias("r")).select("r.*")
-    left = cut_lineage(_prefix(cut_lineage(reps), threshold))
-    kept = None
-
-    def groups(d):
-        none = F.array().cast("array<string>")
-        same_text = F.when(F.col("_has"), F.array(F.concat(F.lit("\x00"), F.col("_txt").cast("string")))).otherwise(none)
-        no_words = F.when(F.size("_set") == 0, F.array(F.lit("\x01"))).otherwise(none)
-        return d.select("_p", "_set", "_txt", "_has", F.explode(F.concat("_sig", same_text, no_words)).alias("g"))
-
-    for _ in range(STAR_ROUNDS):
-        g = groups(left)
-        heads = g.groupBy("g").agg(F.min(F.struct("_p", "_set", "_txt", "_has")).alias("h"))
-        m = g.join(heads, "g")
-        lead = m.groupBy("_p").agg(F.min((F.col("h._p") == F.col("_p")).cast("int")).alias("ok")).filter("ok = 1").select("_p")
-        near = (X.jaccard(F.col("_set"), F.col("h._set")) >= threshold) | (F.col("_has") & F.col("h._has") & (F.col("_txt") == F.col("h._txt")))
-        hit = m.filter((F.col("h._p") < F.col("_p")) & near).select("_p", F.col("h._p").alias("by"))
-        gone = hit.join(lead.select(F.col("_p").alias("by")), "by", "left_semi").select("_p").distinct()
-        lead = cut_lineage(lead)
-        kept = lead if kept is None else kept.unionByName(lead)
-        left = cut_lineage(left.join(lead.unionByName(gone), "_p", "left_anti"))
-    # Remaining candidates meet on (token, exact size of the smaller set).
-    n = F.size("_set")
-    g = groups(left).withColumn("n", n)
-    top = F.floor(F.col("n") / threshold + 1e-9).cast("int")
-    a = g.select(F.col("_p").alias("pa"), F.col("_set").alias("sa"), F.col("_txt").alias("ta"), F.col("_has").alias("ha"), "g",
-                 F.explode(F.when(F.col("g").startswith("\x00"), F.array(F.lit(-1))).otherwise(F.sequence(F.col("n"), top))).alias("m"))
-    b = g.select(F.col("_p").alias("pb"), F.col("_set").alias("sb"), F.col("_txt").alias("tb"), F.col("_has").alias("hb"), "g",
-                 F.when(F.col("g").startswith("\x00"), -1).otherwise(F.col("n")).alias("m"))
-    near = (X.jaccard(F.col("sa"), F.col("sb")) >= threshold) | (F.col("ha") & F.col("hb") & (F.col("ta") == F.col("tb")))
-    pairs = a.join(b, ["g", "m"]).filter((F.col("pa") != F.col("pb")) & near)
-    edges = cut_lineage(pairs.select(F.least("pa", "pb").alias("u"), F.greatest("pa", "pb").alias("v")).distinct())
-    open_ = cut_lineage(left.select("_p"))
-    while edges.limit(1).count():
-        blocked = edges.select(F.col("v").alias("_p")).distinct()
-        free = cut_lineage(open_.join(blocked, "_p", "left_anti"))
-        gone = edges.join(free.select(F.col("_p").alias("u")), "u", "left_semi").select(F.col("v").alias("_p")).distinct()
-        kept = kept.unionByName(free)
-        done = cut_lineage(free.unionByName(gone))
-        open_ = cut_lineage(open_.join(done, "_p", "left_anti"))
-        edges = cut_lineage(
-            edges.join(done.select(F.col("_p").alias("u")), "u", "left_anti").join(done.select(F.col("_p").alias("v")), "v", "left_anti"))
-    kept = kept.unionByName(open_)
-    return df.join(kept.withColumnRenamed("_p", pos), pos, "left_semi")
-
-
 def best_per_term(df: DataFrame, term: str, score: Sequence[Column], pos: str) -> DataFrame:
     """One row per term: highest score tuple, first position wins ties."""
     return first_wins(df, [term], [*[s.desc() for s in score], F.col(pos)])

@@ -12,13 +12,19 @@ from pairmill.operators import dedup as D
 from pairmill.operators import joins as J
 from pairmill.operators import vectors as V
 from pairmill.operators.graph import components
+from pairmill.operators.novelty import novelty_filter, rule_keywords, shared_keys
 
 
 def jac(a, b):
     return 1.0 if not a and not b else len(a & b) / len(a | b)
 
 
-def test_novelty_equals_greedy(spark):
+@pytest.mark.parametrize("pair_rows", [64, 4])
+def test_novelty_equals_greedy(spark, monkeypatch, pair_rows):
+    """With 4 rows a group, clusters go by their first rows; equal texts, sets of one word and blank keywords take part."""
+    from pairmill.operators import novelty
+
+    monkeypatch.setattr(novelty, "PAIR_ROWS", pair_rows)
     rnd = random.Random(4)
     words = [f"w{i}" for i in range(60)]
     rows = []
@@ -29,13 +35,35 @@ def test_novelty_equals_greedy(spark):
             k.discard(rnd.choice(sorted(k)))
         if i % 5 == 0:
             k.add(rnd.choice(words))
-        rows.append((i, sorted(k), f"Rule {i // 4 if i % 7 == 0 else i}"))
+        rows.append((i, sorted(k) + (["", " "] if i % 11 == 0 else []), f"Rule {i // 4 if i % 7 == 0 else i}" if i % 13 else " "))
     kept = []
     for i, k, t in rows:
-        if not any(jac(set(k), set(k2)) >= 0.9 or t.lower() == t2.lower() for _, k2, t2 in kept):
+        k = {x.strip() for x in k} - {""} or {"rule"}
+        if not any(jac(k, k2) >= 0.9 or (t.strip() and t.lower() == t2.lower()) for _, k2, t2 in kept):
             kept.append((i, k, t))
     d = spark.createDataFrame(rows, "id long, kw array<string>, rule string").repartition(5)
-    assert sorted(r[0] for r in D.novelty_filter(d, "id", "kw", "rule").select("id").collect()) == [r[0] for r in kept]
+    assert sorted(r[0] for r in novelty_filter(d, "id", "kw", "rule").select("id").collect()) == [r[0] for r in kept]
+
+
+def test_frequent_tokens_make_no_large_groups(spark):
+    """One word in half of the rows: every near pair has a common key, and no key has many rows."""
+    rnd = random.Random(6)
+    rows = [(i, sorted({*(["the"] if i % 2 else []), *(f"v{rnd.randrange(4000)}" for _ in range(12))})) for i in range(3000)]
+    rows += [(3000 + i, sorted({*rows[i][1], "more"})) for i in range(0, 400, 2)]
+    d = spark.createDataFrame(rows, "id long, s array<string>")
+    keys = {r["id"]: set(r["_keys"]) for r in shared_keys(d, "id", "s", 0.9).collect()}
+    for i in range(0, 400, 2):
+        assert keys[i] & keys[3000 + i] or jac(set(rows[i][1]), set(rows[i][1]) | {"more"}) < 0.9
+    count = {}
+    for ks in keys.values():
+        for k in ks:
+            count[k] = count.get(k, 0) + 1
+    assert max(count.values()) <= 8
+
+
+def test_rule_keywords(spark):
+    d = spark.createDataFrame([(["B ", "a", "b"], ["p"]), (["", " "], ["p", "q", "p"]), ([], [])], "k array<string>, t array<string>")
+    assert [r[0] for r in d.select(rule_keywords(F.col("k"), F.col("t"))).collect()] == [["b", "a"], ["p", "q"], ["rule"]]
 
 
 def sequential_merge(rows, cosine=0.985):

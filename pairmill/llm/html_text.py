@@ -36,22 +36,93 @@ _BOILER_NAMES = set(
 )
 _TEASER_NAMES = {"ad", "ads", "advert", "sponsored", "promo", "related", "recommended", "teaser"}
 _COMMENT_NAMES = {"comment", "comments", "reply", "replies", "respond", "disqus"}
+#: Words that go with the names above in a name of several words, where an article's own elements are named.
+_FILLERS = set(
+    "area bar block body box button buttons container content form inline inner item items link links list module reader readers row section slot thread top unit user users "
+    "visitor wrap wrapper icon icons bottom left right".split()
+)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
+def _boiler_within(attrs: str) -> tuple[bool, bool]:
+    """(boilerplate, reader comments) of an element within an article, by the names in its attributes.
+
+    An article names its parts as it likes ("related work", "notice-of-intent", "alert-1"), so only an attribute all of whose names
+    are made of boilerplate words and fillers counts ("ad-slot", "share buttons"); of comments one such name, numbered or
+    not, is enough ("comment even", "comment-12").
+    """
+    boiler = remarks = False
+    for a in _NAMED.findall(attrs):
+        parts = [re.split(r"[_-]+", w) for w in "".join(a).lower().split()]
+        words = [x for p in parts for x in p]
+        boiler |= any(x in _BOILER_NAMES for x in words) and all(x in _BOILER_NAMES or x in _FILLERS for x in words)
+        remarks |= any(any(x in _COMMENT_NAMES for x in p) and all(x in _COMMENT_NAMES or x in _FILLERS or x.isdigit() for x in p) for p in parts)
+    return boiler, remarks
+
+
+class _Open:
+    """Open elements (tag, zone, remarks) with counts, so that no tag looks through them all."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, bool] | None] = []
+        self.tags: dict[str, int] = {}
+        self.skips: list[int] = []  # places of skipped zones
+        self.mains = self.remarks = 0
+
+    @property
+    def zone(self) -> int:
+        return self.stack[-1][1] if self.stack else PLAIN
+
+    @property
+    def tag(self) -> str | None:
+        return self.stack[-1][0] if self.stack else None
+
+    def push(self, tag: str, zone: int, remarks: bool) -> None:
+        if zone == SKIP:
+            self.skips.append(len(self.stack))
+        self.stack.append((tag, zone, remarks))
+        self._count(tag, zone, remarks, 1)
+
+    def _count(self, tag: str, zone: int, remarks: bool, n: int) -> None:
+        self.tags[tag] = self.tags.get(tag, 0) + n
+        self.mains += n * (zone == MAIN)
+        self.remarks += n * remarks
+
+    def pop(self) -> str:
+        top = self.stack.pop()
+        self._count(*top, -1)
+        if top[1] == SKIP:
+            self.skips.pop()
+        self._tidy()
+        return top[0]
+
+    def end_skips(self) -> None:
+        """Skipped zones that are still open end; their places stay empty until what stands above them ends."""
+        for k in self.skips:
+            self._count(*self.stack[k], -1)
+            self.stack[k] = None
+        self.skips.clear()
+        self._tidy()
+
+    def _tidy(self) -> None:
+        while self.stack and self.stack[-1] is None:
+            self.stack.pop()
+
+
 def blocks_of(html: str) -> list[tuple[str, int, float]]:
     """(text, zone, share of its characters in links) of the blocks of a page, in order; blocks without text are left out.
 
     Zones: text within menus, footers, side bars, notices, adverts, forms, comments and page headers is SKIP; within an
-    article or main element MAIN; else PLAIN. Unclosed elements end where an enclosing one does; an article ends skipped zones
+    article or main element MAIN; else PLAIN. Outside of articles any word of an element's names tells, within them see
+    ``_boiler_within``. Time goes with the page's length, however deep its elements stand. Unclosed elements end where an enclosing one does; an article ends skipped zones
     that were left open before it. Contents of scripts, styles and the like, comments and tags are dropped; a tag or comment cut
     off at the end of the page is too. Character references are decoded, white space is one space, ends are trimmed.
     """
     out: list[tuple[str, int, float]] = []
     held: list[str] = []
-    stack: list[tuple[str, int, bool]] = []
+    opened = _Open()
     linked = in_link = 0
     zone, n, at = PLAIN, len(html), 0
 
@@ -102,45 +173,48 @@ def blocks_of(html: str) -> list[tuple[str, int, float]]:
             if tag == "br":
                 held.append(" ")
             if not attrs or tag in _VOID:
-                if close and stack and stack[-1][0] == tag:
+                if close and opened.tag == tag:
                     flush()
-                    stack.pop()
-                    zone = stack[-1][1] if stack else PLAIN
+                    opened.pop()
+                    zone = opened.zone
                 continue
         else:
             flush()
         if tag in _VOID:
             continue
         if close:
-            if any(s[0] == tag for s in stack):
+            if opened.tags.get(tag):
                 flush()
-                while stack.pop()[0] != tag:
+                while opened.pop() != tag:
                     pass
-                zone = stack[-1][1] if stack else PLAIN
+                zone = opened.zone
             continue
-        if tag in _CLOSES_SELF and stack and stack[-1][0] == tag:
-            stack.pop()
-            zone = stack[-1][1] if stack else PLAIN
+        if tag in _CLOSES_SELF and opened.tag == tag:
+            opened.pop()
+            zone = opened.zone
         names = {w for a in _NAMED.findall(attrs) for w in re.split(r"[\s_-]+", "".join(a).lower())} if attrs else set()
-        remarks = bool(names & _COMMENT_NAMES) or any(s[2] for s in stack)
-        inside = any(s[1] == MAIN for s in stack)
+        inside = opened.mains > 0
+        remarks, boiler = bool(names & _COMMENT_NAMES), bool(names & _BOILER_NAMES)
+        if inside and names:
+            boiler, remarks = _boiler_within(attrs)
+        remarks = remarks or opened.remarks > 0
         if tag in ("article", "main"):
             boiler = bool(names & _TEASER_NAMES)
         else:
-            boiler = tag in _BOILER_TAGS or tag not in ("html", "body") and bool(names & _BOILER_NAMES)
+            boiler = tag in _BOILER_TAGS or tag not in ("html", "body") and boiler
         if boiler or remarks or ((tag == "header" or "header" in names) and not inside and tag != "body"):
             new = SKIP
         elif tag in ("article", "main") or "main" in names:
             new = MAIN if inside and zone == MAIN or not inside else zone
             if not inside:
-                stack = [s for s in stack if s[1] != SKIP]
+                opened.end_skips()
         else:
             new = zone
         if tag in _INLINE or tag in _CLOSES_SELF:
             if new == zone:
                 continue
             flush()
-        stack.append((tag, new, remarks))
+        opened.push(tag, new, remarks)
         zone = new
     flush()
     return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairmill.llm.common import stored
+
 #: Fixed values: (id, public licence notice).
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
@@ -93,17 +95,21 @@ def license_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", te
     Texts are cut into overlapping windows of 1, 2, 4, ... shingles, one size per template size, each a quarter further on.
     Windows without a cue word are passed over: they lack more than a fifth of every notice. MinHash bands of the
     others are joined with those of the templates, and the share of a template's shingles in the whole text decides.
-    One row per key and licence, the best of its notices; rows that repeat a key give one row. Null or empty texts
-    and texts of under five words have none. Only hashes of windows and of texts with a cue are shuffled.
+    One row per key and licence, the best of its notices; rows that repeat a key give one row, and null is a key like any
+    other. Null or empty texts and texts of under five words have none. Hashes of texts with a cue are stored once and
+    read for the windows and for the check; only such hashes are shuffled.
     """
     t = template_frame(docs.sparkSession, templates)
     sizes = sorted({r["scale"] for r in t.select("scale").distinct().collect()})
     cues = F.array(*[F.lit(c) for c in cue_words(templates)])
     low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    some = docs.where(low.rlike("|".join(cue_words(templates)))).select(F.col(key).alias("_key"), words(F.col(text)).alias("w"))
+    some = docs.where(low.rlike("|".join(cue_words(templates)))).select(F.col(key).alias("_key"), F.md5(F.col(text)).alias("_md5"), words(F.col(text)).alias("w"))
     some = once(some, "w", words=F.col("w"))
     at = F.filter(F.transform("words", lambda w, k: F.when(F.array_contains(cues, w), k + 1)), lambda k: k.isNotNull())
-    some = once(some, "words", grams=shingles(F.col("words")), cue=at).where(F.size("grams") > 0)
+    some = once(some, "words", grams=shingles(F.col("words")), cue=at).where((F.size("grams") > 0) & (F.size("cue") > 0))
+    # A row is known by key and text, so null keys and keys that repeat with other texts keep their own shingles.
+    row = F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col("_key").cast("string")), F.lit("")), F.lit("|"), F.col("_md5")))
+    some = stored(some.select("_key", row.alias("_row"), "grams", "cue"), "shingles")
 
     def windows(n: int) -> Column:
         """Windows of ``n`` shingles on a grid of a quarter of it; those that hold a cue word."""
@@ -113,11 +119,11 @@ def license_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", te
         starts = F.array_distinct(F.flatten(F.transform("cue", lambda c: F.sequence(F.greatest(cell(c - (n + SHINGLE - 2)), F.lit(0)), F.least(cell(c), last)))))
         return F.transform(starts, lambda k: F.struct(F.lit(n).alias("scale"), F.slice("grams", k * step + 1, n).alias("g")))
 
-    seen = some.where(F.size("cue") > 0).select("_key", F.explode(F.concat(*[windows(n) for n in sizes])).alias("win"))
-    seen = seen.select("_key", "win.scale", F.explode(_bands(F.col("win.g"))).alias("b")).select("_key", "scale", "b.band", "b.low")
+    seen = some.select("_row", F.explode(F.concat(*[windows(n) for n in sizes])).alias("win"))
+    seen = seen.select("_row", "win.scale", F.explode(_bands(F.col("win.g"))).alias("b")).select("_row", "scale", "b.band", "b.low")
     t_bands = t.select("t", "scale", F.explode(_bands(F.col("t_grams"))).alias("b")).select("t", "scale", "b.band", "b.low")
-    found = seen.join(F.broadcast(t_bands), ["scale", "band", "low"]).select("_key", "t").distinct()
-    checked = found.join(F.broadcast(t.select("t", "license", "t_grams")), "t").join(some.select("_key", "grams"), "_key")
+    found = seen.join(F.broadcast(t_bands), ["scale", "band", "low"]).select("_row", "t").distinct()
+    checked = found.join(F.broadcast(t.select("t", "license", "t_grams")), "t").join(some.select("_row", "_key", "grams"), "_row")
     share = F.size(F.array_intersect("t_grams", "grams")) / F.size("t_grams")
     best = checked.withColumn("containment", share).where(F.col("containment") >= LEAST).groupBy("_key", "license").agg(F.max("containment").alias("containment"))
     return best.select(F.col("_key").alias(key), "license", "containment")

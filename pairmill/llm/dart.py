@@ -100,8 +100,8 @@ def _signature_batches(batches):
                 np.add.at(t, row, mix(g * m + c.astype(np.uint64)))
         ptr = np.concatenate([[0], np.cumsum(some * BANDS)])
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(total[0].view(np.int64)), pa.array(total[1].view(np.int64)), pa.array(np.diff(w.ptr)), list_array(keys[some].reshape(-1).view(np.int64), ptr, pa.int64())],
-            ["id", "h1", "h2", "n", "bands"],
+            [b.column(0), b.column(2), pa.array(total[0].view(np.int64)), pa.array(total[1].view(np.int64)), pa.array(np.diff(w.ptr)), list_array(keys[some].reshape(-1).view(np.int64), ptr, pa.int64())],
+            ["id", "key", "h1", "h2", "n", "bands"],
         )
 
 
@@ -248,6 +248,11 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _row_id(key: str, text: str):
+    """One id per key and text: rows that repeat a key with other texts are told apart, copies under other keys too."""
+    return F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))
+
+
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ``class_id``) for every row of ``docs``: documents linked by a similarity of at least 0.8 share a class,
     named by its least key.
@@ -258,12 +263,19 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     the exact similarity decides, and linked texts become components. Members of different components that share a
     hub then meet under keys made of their differences to a centre that the hub is linked with (``hub_keys``), which loses no
     link and keeps independent edits of one text apart. Null texts count as empty, and all texts without words form one class. Null
-    keys get a null class. Rows that repeat a key share its class; an empty frame gives an empty one.
+    keys get a null class. Rows are told apart by key and text, so rows that repeat a key with different texts have the classes of
+    their texts, whatever the partitions; an empty frame gives an empty one.
     """
-    kind = docs.schema[key].dataType
+    return _classes(docs, key, text).select(F.col("key").alias(key), F.when(F.col("key").isNotNull(), F.col("class_id")).alias("class_id"))
+
+
+def _classes(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, id, root, class_id) for every row: its own id, the least id of its class and the least key."""
+    kind = T.LongType()
+    docs = rows.select(_row_id(key, text).alias("id"), F.col(text).alias("text"), F.col(key).alias("key"))
     fields = [T.StructField(c, T.LongType()) for c in ("h1", "h2", "n")] + [T.StructField("bands", T.ArrayType(T.LongType()))]
-    sig = stored(docs.select(F.col(key), F.col(text)).mapInArrow(_signature_batches, _schema(docs, key, *fields)), "signatures")
-    same = stored(sig.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "copies")
+    sig = stored(docs.mapInArrow(_signature_batches, T.StructType([docs.schema["id"], docs.schema["key"], *fields])), "signatures")
+    same = stored(sig.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.min("key").alias("least")), "copies")
     reps = sig.join(same.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     bands = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
     members = bands.groupBy("band", "bucket").agg(F.count("*").alias("members")).where("members > 1")
@@ -273,7 +285,7 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     hubs = crowded.join(crowd, "id").groupBy("band", "bucket").agg(F.max_by("id", order).alias("hub"))
     pairs = crowded.join(hubs, ["band", "bucket"]).where(F.col("id") != F.col("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = stored(pairs, "pairs")
-    sets = _sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), key, text)
+    sets = _sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "text")
     links = _compared(pairs, sets, kind, keys=False).where("linked").select("a", "b")
     root = components(links)
 
@@ -288,8 +300,9 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     group = stored(member.join(mixed, "c", "left_semi").where("a <> c").select("a", F.col("c").alias("b")), "members")
     if not group.isEmpty():
         root, links = _rest(group, links, root, sets, kind)
-    named = same.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("class_id"))
-    return sig.select("id", "h1", "h2", "n").join(named, ["h1", "h2", "n"], "left").select(F.col("id").alias(key), F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"))
+    named = stored(same.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"), "least"), "classes")
+    least = named.groupBy("root").agg(F.min("least").alias("class_id"))
+    return sig.select("key", "id", "h1", "h2", "n").join(named.join(least, "root").drop("least"), ["h1", "h2", "n"]).select("key", "id", "root", "class_id")
 
 
 def _recentred(near: DataFrame, sets: DataFrame, key_type) -> DataFrame:
@@ -346,9 +359,10 @@ def _rest(group: DataFrame, links: DataFrame, root: DataFrame, sets: DataFrame,
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` (same columns) without all but one document of each class: the one with the least key.
 
-    Rows that repeat its key are dropped too. Rows whose key is null are kept, as nothing names them.
+    Rows that repeat its key and text are dropped too; of rows that repeat its key with different texts of the class, one stays.
+    Rows whose key is null are kept, as nothing names them. The result does not depend on the partitions.
     """
-    classes = near_duplicate_classes(docs, key, text)
-    kept = classes.where(F.col(key) == F.col("class_id")).select(key).distinct()
-    named = docs.join(kept, key, "left_semi").dropDuplicates([key])
-    return named.unionByName(docs.where(F.col(key).isNull()))
+    first = _classes(docs, key, text).where(F.col("key").isNotNull()).groupBy("root").agg(F.min(F.struct("key", "id")).alias("first"))
+    kept = first.select(F.col("first.id").alias("_dart_id"))
+    named = docs.where(F.col(key).isNotNull()).withColumn("_dart_id", _row_id(key, text)).join(kept, "_dart_id", "left_semi").dropDuplicates(["_dart_id"])
+    return named.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))

@@ -97,6 +97,29 @@ def test_edges_of_classes(spark):
     assert dart.keep_first(d.limit(0)).columns == d.columns
 
 
+def test_keys_that_repeat_with_other_texts(spark):
+    """Keys 1, 1, 2, 3 with texts A, B, A', B': two classes, one row of each stays, whatever the partitions."""
+    a, b = (" ".join(f"{x}{k}" for k in range(80)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (3, a), (None, b), (7, a), (7, a)]
+    base = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 3, 9):
+        d = base.repartition(parts)
+        got = sorted(map(repr, (tuple(r) for r in dart.near_duplicate_classes(d).collect())))
+        assert got == sorted(map(repr, [(1, 1), (1, 1), (2, 1), (3, 1), (3, 1), (None, None), (7, 1), (7, 1)]))
+        assert sorted(map(repr, (tuple(r) for r in dart.keep_first(d).collect()))) == sorted(map(repr, [(1, a), (1, b), (None, b)]))
+    rng = random.Random(1)
+    texts = _variants(40, 5)
+    many = [(rng.randrange(30), rng.choice(texts)) for _ in range(120)]
+    want = classes(list(enumerate(t for _, t in many)))
+    least = {}
+    for k, (i, _) in enumerate(many):
+        least[want[k]] = min(i, least.get(want[k], i))
+    for parts in (1, 5):
+        got = dart.near_duplicate_classes(spark.createDataFrame(many, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted(tuple(r) for r in got) == sorted((i, least[want[k]]) for k, (i, _) in enumerate(many))
+        assert dart.keep_first(spark.createDataFrame(many, "doc_id long, text string").repartition(parts)).count() == len(set(want.values()))
+
+
 def _paraphrase(words, rng, share):
     return [w if rng.random() > share else f"new{rng.randrange(999)}" for w in words]
 

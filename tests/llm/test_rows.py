@@ -117,6 +117,16 @@ def test_license_matches(spark):
     assert licenses.collision(0.5) > 0.999
 
 
+def test_licenses_of_null_and_repeated_keys(spark):
+    name, notice = licenses.TEMPLATES[0]
+    other, text = next((n, t) for n, t in licenses.TEMPLATES if n != name and not n.startswith(name[:3]))
+    rows = [(None, notice), (None, "nothing here"), (1, notice), (1, text), (1, notice), (2, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("clash")).withColumn("_key", F.lit(9))
+    got = {(r.doc_id, r.license) for r in licenses.license_matches(d.repartition(3)).collect()}
+    assert {(None, name), (1, name), (1, other)} <= got and not any(i == 2 for i, _ in got)
+    assert licenses.license_matches(d).count() == len(got)
+
+
 def licenses_words(text):
     import regex
 
@@ -307,6 +317,25 @@ def test_repeats_equal_brute_force():
         assert (html_text.repeats(tokens, page, 5) == want).all()
 
 
+@pytest.mark.parametrize("html", ["<div>x" * 200_000, "<nav><article>x</article>" * 200_000, "<div>" * 200_000 + "<nav><article>x</article>" * 100_000, "<b class=x>y" * 200_000, "<p class='a" * 200_000])
+def test_deep_pages_take_linear_time(html):
+    import time
+
+    start = time.process_time()
+    html_text.blocks_of(html)
+    assert time.process_time() - start < 15  # a parser that looks through all open elements takes an hour
+
+
+def test_names_within_articles():
+    kept = ["h2 id='notice-of-intent'", "p id='alert-1'", "p class='share-holders'", "p class='social-proof study'", "p class='related work'"]
+    for x in kept:
+        assert html_text.blocks_of(f"<article><{x}>a") == [("a", html_text.MAIN, 0.0)]
+    gone = ["div class='ad-slot'", "div class='comment even'", "section id='comments'", "div class=cookie-notice", "div id=comment-12", "aside", "div class='share buttons'", "ul class='user-comments'"]
+    for x in gone:
+        assert [z for _, z, _ in html_text.blocks_of(f"<article><{x}>a")] == [html_text.SKIP]
+        assert [z for _, z, _ in html_text.blocks_of(f"<{x}>a")] == [html_text.SKIP]
+
+
 def test_extract(spark, monkeypatch):
     monkeypatch.setattr(html_text, "PART_CHARS", 2000)
     bar = "these ten words stand above the text of every page"

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairmill.functions import text as X
+from pairmill.operators.graph import hot_lookup
 from pairmill.schema import HANGUL, Script
 from pairmill.session import cut_lineage
 
@@ -150,8 +151,10 @@ def fuzzy_term_join(queries: DataFrame, cache: DataFrame, query: str, term: str,
 
 # ------------------------------------------------------------------ top-k by keyword overlap
 
-HOT_RULE_TOKENS = 32
+#: Items of a token that all meet its queries; lists of more frequent tokens are opened as far as a query's best ones ask for.
 HOT_RULE_ROWS = 256
+#: Steps of the base score, and places, of one block of a long list.
+BASE_STEPS, PLACES = 256, 65_536
 
 
 def use_bonus(uses: Column, cap: float, step: float) -> Column:
@@ -159,36 +162,60 @@ def use_bonus(uses: Column, cap: float, step: float) -> Column:
 
 
 def overlap_scores(queries: DataFrame, items: DataFrame, qid: str, q_tokens: str, item: str, keywords: str,
-                   base: str, pos: str, k: int, always: DataFrame | None = None) -> DataFrame:
-    """(qid, item, overlap, base, pos) containing every true top-``k`` item of each query.
-
-    Rare tokens meet through the inverted index and are only counted, texts never travel. The
-    few tokens that occur in very many items do not meet there: items that share only those
-    with a query have an overlap fixed by (their hot tokens, their size), so the best ``k`` by
-    (base score, position) of each such class are enough. An item with a rare token in common
-    is found through that token anyway, and its hot tokens are added from its class.
+                   base: str, pos: str, k: int, always: DataFrame | None = None, weight: float = 1.0) -> DataFrame:
+    """(qid, item, overlap, base, pos) containing every item that can be among a query's ``k`` best by weight * overlap + base.
+
+    Tokens of up to ``HOT_RULE_ROWS`` items meet through the inverted index and are only counted. Longer lists are kept in
+    blocks of one token, item size, step of the base and stretch of places, with their best base. The ``k`` best bases of
+    each (token, size) and the items found so far give each query a k-th score. A list is then opened block by block only: an
+    item that a query's i-th frequent token brings, rare ones first, shares at most the tokens from there on, so its size bounds
+    the overlap, and blocks whose bound stays below the k-th score, or equals it with later places only, are left shut.
+    Any number of tokens may be frequent, and no list is read whole because one is.
     """
     # Both sides are read several times below: tokens are computed once and kept as narrow tables.
     it = cut_lineage(items.select(item, F.array_distinct(keywords).alias("_kw"), F.col(base).alias("_base"), F.col(pos).alias("_pos")))
-    queries = cut_lineage(queries.select(qid, F.array_distinct(q_tokens).alias(q_tokens)))
-    ex = it.select(item, F.explode("_kw").alias("tok"))
-    hot = ex.groupBy("tok").agg(F.count("*").alias("c")).filter(F.col("c") > HOT_RULE_ROWS).orderBy(F.col("c").desc(), "tok").limit(HOT_RULE_TOKENS)
-    listed = F.broadcast(hot.agg(F.array_sort(F.collect_list("tok")).alias("_hot")))
-    it = it.crossJoin(listed).select(item, "_base", "_pos", F.size("_kw").alias("_nk"), F.array_intersect("_hot", "_kw").alias("_sig"), F.array_except("_kw", "_hot").alias("_cold"))
-    q = queries.crossJoin(listed).select(qid, F.array_distinct(q_tokens).alias("_q"), "_hot").select(
-        qid, F.size("_q").alias("_nq"), F.array_intersect("_hot", "_q").alias("_qh"), F.array_except("_q", "_hot").alias("_qc"))
-    rare = q.select(qid, F.explode("_qc").alias("tok")).join(it.select(item, F.explode("_cold").alias("tok")), "tok").groupBy(qid, item).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy("_sig", "_nk").orderBy(F.col("_base").desc(), "_pos")
-    top = it.filter(F.size("_sig") > 0).select(item, "_sig", "_nk", "_base", "_pos").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-    warm = q.select(qid, F.explode("_qh").alias("tok")).join(top.select(item, F.explode("_sig").alias("tok")), "tok").select(qid, item).distinct()
-    cand = rare.unionByName(warm.withColumn("_n", F.lit(0).cast("long")))
+    it = it.withColumn("_nk", F.size("_kw"))
+    queries = cut_lineage(queries.select(qid, F.array_distinct(q_tokens).alias("_q")))
+    ex = cut_lineage(it.select(item, "_nk", "_base", "_pos", F.explode("_kw").alias("tok")))
+    counts = ex.groupBy("tok").agg(F.count("*").alias("_df"))
+    ex = cut_lineage(hot_lookup(ex, counts, "tok"))
+    asked = cut_lineage(queries.select(qid, F.size("_q").alias("_nq"), F.explode("_q").alias("tok")))
+    asked = cut_lineage(hot_lookup(asked, counts, "tok"))
+    often = F.col("_df") > HOT_RULE_ROWS
+    rare = asked.filter(~often).select(qid, "tok").join(ex.filter(~often).select(item, "tok"), "tok").groupBy(qid, item).agg(F.count("*").alias("_n"))
+    block = [F.floor(F.col("_base") * BASE_STEPS).alias("_step"), F.floor(F.col("_pos") / PLACES).alias("_place")]
+    lists = ex.filter(often).select("tok", item, "_nk", "_base", "_pos", *block)
+    # A query's frequent tokens in order, rare ones first, and how many it has from each one on.
+    order = Window.partitionBy(qid).orderBy(F.col("_df").desc(), F.col("tok").desc())
+    long = asked.filter(often).withColumn("_left", F.row_number().over(order)).select(qid, "_nq", "tok", "_left")
+    best = Window.partitionBy("tok", "_nk").orderBy(F.col("_base").desc(), "_pos")
+    champions = lists.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).select("tok", item)
+    none = F.lit(0).cast("long").alias("_n")
+    found = rare.unionByName(long.join(champions, "tok").select(qid, item).distinct().select(qid, item, none))
     if always is not None:
-        cand = cand.unionByName(queries.select(qid).crossJoin(F.broadcast(always.select(item))).withColumn("_n", F.lit(0).cast("long")))
-    cand = cand.groupBy(qid, item).agg(F.max("_n").alias("_n"))
-    d = cand.join(q.select(qid, "_nq", "_qh"), qid).join(it.select(item, "_nk", "_sig", "_base", "_pos"), item)
-    inter = F.col("_n") + F.size(F.array_intersect("_sig", "_qh"))
-    both = F.col("_nk") + F.col("_nq") - inter
-    return d.select(qid, item, F.when(both == 0, 1.0).otherwise(inter.cast("double") / both).alias("overlap"), "_base", "_pos")
+        found = found.unionByName(queries.select(qid).crossJoin(F.broadcast(always.select(item))).select(qid, item, none))
+    signs = it.join(lists.groupBy(item).agg(F.collect_list("tok").alias("_sig")), item, "left").select(item, "_nk", "_base", "_pos", "_sig")
+    mine = queries.join(long.groupBy(qid).agg(F.collect_list("tok").alias("_qh")), qid, "left").select(qid, F.size("_q").alias("_nq"), "_qh")
+    signs, mine = cut_lineage(signs), cut_lineage(mine)
+
+    def scored(cand: DataFrame) -> DataFrame:
+        d = cand.groupBy(qid, item).agg(F.max("_n").alias("_n")).join(mine, qid).join(signs, item)
+        inter = F.col("_n") + F.coalesce(F.size(F.array_intersect("_sig", "_qh")), F.lit(0))
+        both = F.col("_nk") + F.col("_nq") - inter
+        return d.select(qid, item, F.when(both == 0, 1.0).otherwise(inter.cast("double") / both).alias("overlap"), "_base", "_pos", "_n")
+
+    first = cut_lineage(scored(found))
+    total = weight * F.col("overlap") + F.col("_base")
+    kth = Window.partitionBy(qid).orderBy(F.round(total, 9).desc(), "_pos")
+    least = first.withColumn("_r", F.row_number().over(kth)).filter(F.col("_r") == k).select(qid, F.round(total, 9).alias("_least"), F.col("_pos").alias("_last"))
+    blocks = lists.groupBy("tok", "_nk", "_step", "_place").agg(F.max("_base").alias("_most"), F.min("_pos").alias("_first"))
+    shared = F.least("_left", "_nk")
+    bound = F.round(weight * shared / (F.col("_nq") + F.col("_nk") - shared) + F.col("_most"), 9)
+    open_ = F.col("_least").isNull() | (bound > F.col("_least")) | ((bound == F.col("_least")) & (F.col("_first") < F.col("_last")))
+    opened = long.join(least, qid, "left").join(blocks, "tok").filter(open_).select(qid, "tok", "_nk", "_step", "_place")
+    more = opened.join(lists.select("tok", "_nk", "_step", "_place", item), ["tok", "_nk", "_step", "_place"]).select(qid, item).distinct()
+    more = more.join(first.select(qid, item), [qid, item], "left_anti").select(qid, item, none)
+    return first.unionByName(scored(more)).drop("_n")
 
 
 def _top(d: DataFrame, qid: str, item: str, k: int) -> DataFrame:
@@ -224,7 +251,7 @@ def topk_vectors(queries: DataFrame, recs: DataFrame, qid: str, q_tokens: str, v
     static = 0.30 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(score))) + use_bonus(F.col(uses), 0.15, 0.02)
     r = recs.withColumn("_static", static)
     always = r.orderBy(F.col("_static").desc(), pos).limit(k)
-    d = overlap_scores(queries, r, qid, q_tokens, vid, keywords, "_static", pos, k, always)
+    d = overlap_scores(queries, r, qid, q_tokens, vid, keywords, "_static", pos, k, always, 0.60)
     return _top(d.withColumn("score", F.round(0.60 * F.col("overlap") + F.col("_base"), 9)).filter("score > 0"), qid, vid, k)
 
 

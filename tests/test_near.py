@@ -164,9 +164,11 @@ def test_fuzzy_pairs_miss_nothing(spark):
     assert {(r["a"], r["b"]) for r in J.fuzzy_pairs(q, c, "a", "b").collect()} == want
 
 
-@pytest.mark.parametrize("hot_rows", [10, 10**9])
+@pytest.mark.parametrize("hot_rows", [0, 10, 10**9])
 def test_topk_jaccard_with_and_without_hot_tokens(spark, monkeypatch, hot_rows):
+    """All tokens frequent, some, or none."""
     monkeypatch.setattr(J, "HOT_RULE_ROWS", hot_rows)
+    monkeypatch.setattr(J, "PLACES", 40)
     rnd = random.Random(2)
     words = [f"t{i}" for i in range(40)]
     rules = [(i, sorted({"the", *(["of"] if i % 2 else []), *rnd.sample(words, rnd.randint(0, 4))}), rnd.randint(0, 60)) for i in range(300)]

@@ -397,34 +397,26 @@ def dig(x, i):
     return f"({x}//{10 ** i}%10)"
 
 
+def operands_sql(i, kind):
+    """The pair at the drawn place, cell by cell; each cell's lists are unfolded from the last one on."""
+    cells = N.operand_cells(kind)
+    sizes = N.cell_sizes(cells)
+    arms, before = [], 0
+    for cell, size in zip(cells, sizes, strict=True):
+        parts, below = [], 1
+        for f, t in reversed(cell):
+            parts.append(f"[{','.join(f'({x * f},{y * f})' for x, y in t)}][(r-{before})//{below}%{len(t)}+1]")
+            below *= len(t)
+        a, b = (" + ".join(p + f"[{j}]" for p in parts) for j in (1, 2))
+        arms.append((before + size, a, b))
+        before += size
+    pick = lambda j: "CASE " + " ".join(f"WHEN r<{hi} THEN {x[j]}" for hi, *x in arms) + " END"
+    return f"SELECT {K}, ({pick(0)})::BIGINT AS a, ({pick(1)})::BIGINT AS b FROM (SELECT {K}, ('0x'||substr({md5(42, chr(39) + kind + chr(39), K)},1,15))::BIGINT % {sum(sizes)} AS r FROM orders WHERE {K}%13={i})"
+
+
 def arith_sql(i, kind):
-    h = md5(42, f"'{kind}'", K, "k")
-    h0 = md5(42, f"'{kind}'", K)
-    plain = kind in ("addsub_d1", "mul_1x1", "mul_2x1", "mul_2x2_easy")
-    bits = h0 if plain else h
     n = int(kind[-1]) if kind[:3] in ("add", "sub") else 0
-    rng = {"addsub_d1": ((0, 9), (0, 9)), "mul_1x1": ((2, 9), (2, 9)), "mul_2x1": ((12, 99), (2, 9)), "mul_2x2_easy": ((10, 99), (10, 99)), "mul_2x2_hard": ((10, 99), (10, 99))}.get(kind)
-    if rng is None:
-        rng = ((2, 99), (2, 9)) if kind.startswith("div") else ((10 ** (n - 1), 10**n - 1),) * 2
-    a, b = slot(bits, 1, *rng[0]), slot(bits, 9, *rng[1])
-    if kind.startswith("div"):
-        a = f"{a}*{b}"
-    if kind.startswith("sub_borrow"):
-        a, b = f"greatest({a},{b})", f"least({a},{b})"
-    if plain:
-        src = f"SELECT {K}, {a} AS a, {b} AS b FROM orders WHERE {K}%13={i}"
-    else:
-        if kind.startswith("add_carry"):
-            good = " OR ".join(f"{dig('a', j)}+{dig('b', j)}>=10" for j in range(n))
-        elif kind.startswith("sub_borrow"):
-            good = " OR ".join(f"{dig('a', j)}<{dig('b', j)}" for j in range(n))
-        elif kind == "mul_2x2_hard":
-            good = "NOT ((a%10)*(b%10)<10 AND (a//10)*(b%10)<10)"
-        else:
-            m = int(kind[4])
-            good = f"a>={10 ** (m - 1)} AND a<{10 ** m}"
-        tries = 128 if kind.startswith("div") else 64
-        src = f"SELECT {K}, arg_min(a, k) AS a, arg_min(b, k) AS b FROM (SELECT {K}, k, {a} AS a, {b} AS b FROM orders, range({tries}) r(k) WHERE {K}%13={i}) WHERE {good} GROUP BY {K}"
+    src = operands_sql(i, kind)
     if kind == "addsub_d1":
         src = f"SELECT {K}, CASE WHEN pl THEN a ELSE greatest(a,b) END AS a, CASE WHEN pl THEN b ELSE least(a,b) END AS b, CASE WHEN pl THEN '+' ELSE '-' END AS op FROM (SELECT *, {below('op', 2)}=0 AS pl FROM ({src}))"
         ans, ask, share = "CASE WHEN op='+' THEN a+b ELSE a-b END", "CASE WHEN op='+' THEN a||'와 '||b||'를 더하면?' ELSE a||'에서 '||b||'를 빼면?' END", 0
@@ -467,12 +459,8 @@ def arith_sql(i, kind):
 
 @case("x31_gen_arithmetic", " UNION ALL ".join(arith_sql(i, k) for i, k in enumerate(N.ARITHMETIC_KINDS)))
 def _(t):
-    o = t.raw("orders").select(K)  # thirteen branches already fill the cores
-    out = None
-    for i, kind in enumerate(N.ARITHMETIC_KINDS):
-        p = N.arithmetic(o.filter(F.col(K) % len(N.ARITHMETIC_KINDS) == i), K, kind, 42)
-        out = p if out is None else out.unionByName(p)
-    return out
+    kind = F.element_at(F.array(*[F.lit(k) for k in N.ARITHMETIC_KINDS]), (F.col(K) % len(N.ARITHMETIC_KINDS) + 1).cast("int"))
+    return N.arithmetic(t.orders.select(K), K, kind, 42)
 
 
 def mix_sql():

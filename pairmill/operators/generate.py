@@ -4,6 +4,7 @@ table, or from ``spark.range`` for free-standing sets."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import permutations
 
@@ -139,7 +140,11 @@ def _power(i: Column) -> Column:
     return F.round(F.pow(F.lit(10.0), i)).cast("long")
 
 
-def add_steps(a: Column, b: Column, digits: int) -> Column:
+def _whole(digits: int | Column) -> Column:
+    return F.lit(digits) if isinstance(digits, int) else digits
+
+
+def add_steps(a: Column, b: Column, digits: int | Column) -> Column:
     """One line per place; the carry into a place is read off the lower digits directly."""
     def line(i):
         p = _power(i)
@@ -150,11 +155,11 @@ def add_steps(a: Column, b: Column, digits: int) -> Column:
         return F.concat(_place(i), F.lit(": "), da.cast("string"), F.lit("+"), db.cast("string"), F.when(carry > 0, "+올림 1").otherwise(""), F.lit("="), total.cast("string"),
                         F.when(up > 0, F.concat(F.lit(", "), (total % 10).cast("string"), F.lit("를 쓰고 1 올림"))).otherwise(F.concat(F.lit(", "), total.cast("string"), F.lit("를 쓴다"))))
 
-    body = F.transform(F.sequence(F.lit(0), F.lit(digits - 1)), line)
-    return F.concat(body, F.when(a + b >= 10**digits, F.array(F.lit("남은 올림 1을 앞에 붙인다"))).otherwise(F.array().cast("array<string>")))
+    body = F.transform(F.sequence(F.lit(0), _whole(digits) - 1), line)
+    return F.concat(body, F.when(a + b >= _power(_whole(digits)), F.array(F.lit("남은 올림 1을 앞에 붙인다"))).otherwise(F.array().cast("array<string>")))
 
 
-def sub_steps(a: Column, b: Column, digits: int) -> Column:
+def sub_steps(a: Column, b: Column, digits: int | Column) -> Column:
     def line(i):
         p = _power(i)
         da, db = F.floor(a / p) % 10, F.floor(b / p) % 10
@@ -164,7 +169,7 @@ def sub_steps(a: Column, b: Column, digits: int) -> Column:
         low = F.concat(F.lit("가 "), db.cast("string"), F.lit("보다 작아 10을 빌려 "), (cur + 10).cast("string"), F.lit("-"), db.cast("string"), F.lit("="), (cur + 10 - db).cast("string"))
         return F.concat(head, F.when(cur < db, low).otherwise(F.concat(F.lit("-"), db.cast("string"), F.lit("="), (cur - db).cast("string"))))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(digits - 1)), line)
+    return F.transform(F.sequence(F.lit(0), _whole(digits) - 1), line)
 
 
 def mul_steps(a: Column, b: Column, digits: int) -> Column:
@@ -175,106 +180,119 @@ def mul_steps(a: Column, b: Column, digits: int) -> Column:
         other = F.concat(F.lit("부분곱"), (i + 1).cast("string"), F.lit(": "), a.cast("string"), F.lit("×"), d.cast("string"), F.lit("×"), p.cast("string"), F.lit("="), (a * d * p).cast("string"))
         return F.when(i == 0, first).otherwise(other)
 
-    body = F.transform(F.sequence(F.lit(0), F.lit(digits - 1)), line)
+    body = F.transform(F.sequence(F.lit(0), _whole(digits) - 1), line)
     if digits == 1:
         return body
     parts = [(a * (F.floor(b / 10**i) % 10) * 10**i).cast("string") for i in range(digits)]
     return F.concat(body, F.array(F.concat(F.lit("합: "), F.concat_ws(" + ", *parts), F.lit(" = "), (a * b).cast("string"))))
 
 
-def operands(d: Draw, kind: str, tries: int = 128) -> Column:
-    """struct(a, b) of the first try that meets the kind's condition (carry, borrow, digits)."""
-    def slot(bits, at, lo, hi):
-        return F.conv(F.substring(bits, at, 8), 16, 10).cast("long") % (hi - lo + 1) + lo
-
-    def pair(bits):
-        if kind == "addsub_d1":
-            return slot(bits, 1, 0, 9), slot(bits, 9, 0, 9)
-        if kind.startswith(("add_carry", "sub_borrow")):
-            n = int(kind[-1])
-            return slot(bits, 1, 10 ** (n - 1), 10**n - 1), slot(bits, 9, 10 ** (n - 1), 10**n - 1)
-        if kind == "mul_1x1":
-            return slot(bits, 1, 2, 9), slot(bits, 9, 2, 9)
-        if kind == "mul_2x1":
-            return slot(bits, 1, 12, 99), slot(bits, 9, 2, 9)
-        if kind.startswith("mul_2x2"):
-            return slot(bits, 1, 10, 99), slot(bits, 9, 10, 99)
-        q = slot(bits, 1, 2, 99)
-        b = slot(bits, 9, 2, 9)
-        return q * b, b
-
-    def good(s):
-        a, b = s["a"], s["b"]
-        if kind.startswith("add_carry"):
-            ok = F.lit(False)
-            for i in range(int(kind[-1])):
-                ok = ok | ((F.floor(a / 10**i) % 10) + (F.floor(b / 10**i) % 10) >= 10)
-            return ok
-        if kind.startswith("sub_borrow"):
-            ok = F.lit(False)
-            for i in range(int(kind[-1])):
-                ok = ok | ((F.floor(a / 10**i) % 10) < (F.floor(b / 10**i) % 10))
-            return ok
-        if kind == "mul_2x2_hard":
-            return ~(((a % 10) * (b % 10) < 10) & (F.floor(a / 10) * (b % 10) < 10))
-        n = int(kind[4])
-        return (a >= 10 ** (n - 1)) & (a < 10**n)
-
-    def ordered(a, b):
-        lo_first = kind.startswith("sub_borrow")
-        return F.struct((F.greatest(a, b) if lo_first else a).alias("a"), (F.least(a, b) if lo_first else b).alias("b"))
-
-    if kind in ("addsub_d1", "mul_1x1", "mul_2x1", "mul_2x2_easy"):
-        return ordered(*pair(d.bits(kind)))
-    n = tries if kind.startswith("div") else 64
-
-    def first_good(lo, hi):
-        some = F.transform(F.sequence(F.lit(lo), F.lit(hi - 1)), lambda k: ordered(*pair(order_key(d.seed, F.lit(kind), d.key, k))))
-        return F.get(F.filter(some, good), F.lit(0))
-
-    # Most rows succeed in the first tries; later ones are only evaluated when those fail.
-    return F.coalesce(first_good(0, 8), first_good(8, n))
-
-
-def arithmetic(df: DataFrame, key: str, kind: str, seed) -> DataFrame:
-    """Arithmetic rows of one kind for the ids of ``df``: prompt style, worked steps, answer mode."""
+def _digits(ok, low: int = 0) -> tuple[tuple[int, int], ...]:
+    """Pairs of digits, the upper operand's first."""
+    return tuple((x, y) for x in range(low, 10) for y in range(low, 10) if ok(x, y))
+
+
+def operand_cells(kind: str) -> list[list[tuple[int, tuple[tuple[int, int], ...]]]]:
+    """All operand pairs of a kind as disjoint cells: products of (factor, pairs), whose pairs times factor add up to (a, b).
+
+    A sum with a carry has a first place, from the top, whose digits make ten: none above, any below. A difference with a
+    borrow has a first place that differs and, under it, a first place whose upper digit is less.
+    """
+    n = int(kind[-1]) if kind[:3] in ("add", "sub") else 0
+    at = lambda i, ok: (10 ** (n - 1 - i), _digits(ok, int(i == 0)))  # noqa: E731  i counts from the top, which is no zero
+    if kind.startswith("add_carry"):
+        return [[at(i, lambda x, y: x + y < 10) for i in range(j)] + [at(j, lambda x, y: x + y >= 10)] + [at(i, lambda x, y: True) for i in range(j + 1, n)] for j in range(n)]
+    if kind.startswith("sub_borrow"):
+        return [
+            [at(i, lambda x, y: x == y) for i in range(j)] + [at(j, lambda x, y: x > y)] + [at(i, lambda x, y: x >= y) for i in range(j + 1, k)]
+            + [at(k, lambda x, y: x < y)] + [at(i, lambda x, y: True) for i in range(k + 1, n)]
+            for j in range(n) for k in range(j + 1, n)
+        ]
+    if kind == "mul_2x2_hard":
+        hard = lambda u: tuple((a, u) for a in range(10, 100) if a % 10 * u >= 10 or a // 10 * u >= 10)
+        return [[(1, hard(u)), (10, tuple((0, t) for t in range(1, 10)))] for u in range(10) if hard(u)]
+    if kind.startswith("div"):
+        m = int(kind[4])
+        return [[(1, tuple((q * b, b) for q in range(2, 100) if len(str(q * b)) == m))] for b in range(2, 10)]
+    lo, hi = {"addsub_d1": (range(10), range(10)), "mul_1x1": (range(2, 10), range(2, 10)), "mul_2x1": (range(12, 100), range(2, 10))}.get(kind, (range(10, 100), range(10, 100)))
+    return [[(1, tuple((x, 0) for x in lo)), (1, tuple((0, y) for y in hi))]]
+
+
+def cell_sizes(cells: list) -> list[int]:
+    return [math.prod(len(t) for _, t in c) for c in cells]
+
+
+#: Both operands in one number.
+_PACK = 100_000
+
+
+def operands(d: Draw, kind: Column, kinds: Sequence[str] = ARITHMETIC_KINDS) -> Column:
+    """struct(a, b): the pair at one drawn place among all pairs of the row's kind (carry, borrow, digits), each as likely.
+
+    The place is unranked by tables, so no draw is ever repeated: the cell by its bound, then one list after the other.
+    """
+    cells = [c for k in kinds for c in operand_cells(k)]
+    totals = [sum(cell_sizes(operand_cells(k))) for k in kinds]
+    lists = list(dict.fromkeys(t for c in cells for _, t in c)) + [((0, 0),)]
+    longest = max(len(c) for c in cells)
+    padded = [[(1, lists[-1])] * (longest - len(c)) + c for c in cells]
+    ints = lambda values: F.expr(f"array({', '.join(map(str, values))})")
+    table = F.expr(f"array({', '.join('array(' + ', '.join(str(x * _PACK + y) for x, y in t) + ')' for t in lists)})")
+    ends = [sum(cell_sizes(cells)[: k + 1]) for k in range(len(cells))]
+    which = (F.array_position(F.array(*[F.lit(k) for k in kinds]), kind) - 1).cast("int")
+    place = F.conv(F.substring(order_key(d.seed, kind, d.key), 1, 15), 16, 10).cast("long") % F.get(ints(f"{t}L" for t in totals), which) + F.get(ints(f"{sum(totals[:k])}L" for k in range(len(totals))), which)
+
+    def unranked(place: Column, cell: Column) -> Column:
+        rest, packed = place - F.get(ints(f"{e - s}L" for e, s in zip(ends, cell_sizes(cells), strict=True)), cell), F.lit(0)
+        for i in reversed(range(longest)):
+            t = F.get(table, F.get(ints(lists.index(c[i][1]) for c in padded), cell))
+            packed = packed + F.get(t, (rest % F.size(t)).cast("int")) * F.get(ints(f"{c[i][0]}L" for c in padded), cell)
+            rest = F.floor(rest / F.size(t))
+        return packed
+
+    at = F.transform(F.array(F.struct(place.alias("p"))), lambda s: F.struct(s["p"].alias("p"), F.size(F.filter(ints(f"{e}L" for e in ends), lambda e: e <= s["p"])).alias("c")))
+    both = F.transform(at, lambda s: unranked(s["p"], s["c"]))
+    return F.transform(both, lambda x: F.struct(F.floor(x / _PACK).alias("a"), (x % _PACK).alias("b")))[0]
+
+
+def arithmetic(df: DataFrame, key: str, kind: str | Column, seed) -> DataFrame:
+    """Arithmetic rows for the ids of ``df``: prompt style, worked steps, answer mode. ``kind`` is one of
+    ``ARITHMETIC_KINDS``, or a column with one for each row, which takes one scan and one projection for all of them."""
     d = Draw(seed, key)
-    r = df.select(key, operands(d, kind).alias("_o")).select(key, F.col("_o.a").alias("a"), F.col("_o.b").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    if kind == "addsub_d1":
-        plus = d.below("op", 2) == 0
-        r = r.withColumns({"a": F.when(plus, a).otherwise(F.greatest(a, b)), "b": F.when(plus, b).otherwise(F.least(a, b)), "op": F.when(plus, "+").otherwise("-")})
-        ans = F.when(F.col("op") == "+", a + b).otherwise(a - b)
-        ask = F.when(F.col("op") == "+", text(a, "와 ", b, "를 더하면?")).otherwise(text(a, "에서 ", b, "를 빼면?"))
-        steps, share = F.array().cast("array<string>"), 0.0
-    elif kind.startswith("add_carry"):
-        n = int(kind[-1])
-        r, ans, ask = r.withColumn("op", F.lit("+")), a + b, text(a, "에 ", b, "를 더하면?")
-        steps, share = add_steps(a, b, n), 1.0 if n >= 4 else 0.35
-    elif kind.startswith("sub_borrow"):
-        n = int(kind[-1])
-        r, ans, ask = r.withColumn("op", F.lit("-")), a - b, text(a, "에서 ", b, "를 빼면?")
-        steps, share = sub_steps(a, b, n), 1.0 if n >= 4 else 0.35
-    elif kind.startswith("mul"):
-        r, ans = r.withColumn("op", F.lit("*")), a * b
-        ask = text(a, " 곱하기 ", b, "는?") if kind == "mul_1x1" else text(a, "에 ", b, "를 곱하면?")
-        steps, share = (F.array().cast("array<string>"), 0.0) if kind == "mul_1x1" else (mul_steps(a, b, 1 if kind == "mul_2x1" else 2), 0.75 if kind == "mul_2x1" else 0.60)
-    else:
-        r, ans, ask = r.withColumn("op", F.lit("/")), (a / b).cast("long"), text(a, "을 ", b, "로 나누면?")
-        q = (a / b).cast("long")
-        steps, share = F.array(text(a, "÷", b, "=", q), text("검산: ", b, "×", q, "=", a)), 0.50
-    worked = F.lit(share >= 1.0) if share in (0.0, 1.0) else d.chance("steps") < share
-    u = d.chance("mode")
+    kinds = [kind] if isinstance(kind, str) else list(ARITHMETIC_KINDS)
+    c = F.col("category")
+
+    def by_kind(value) -> Column:
+        out = None
+        for k in kinds:
+            out = F.when(c == k, value(k)) if out is None else out.when(c == k, value(k))
+        return out
+
+    r = df.withColumn("category", F.lit(kind) if isinstance(kind, str) else kind).select(key, "category")
+    r = r.withColumn("_o", operands(d, c, kinds)).withColumn("_op", by_kind(lambda k: F.when(d.below("op", 2) == 0, "+").otherwise("-") if k == "addsub_d1" else F.lit({"add": "+", "sub": "-", "mul": "*", "div": "/"}[k[:3]])))
+    swap = (c == "addsub_d1") & (F.col("_op") == "-")
+    r = r.select(key, "category", F.col("_op").alias("op"), F.when(swap, F.greatest("_o.a", "_o.b")).otherwise(F.col("_o.a")).alias("a"), F.when(swap, F.least("_o.a", "_o.b")).otherwise(F.col("_o.b")).alias("b"))
+    a, b, op = F.col("a"), F.col("b"), F.col("op")
+    ans = F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).otherwise((a / b).cast("long"))
+    one = c == "addsub_d1"
+    ask = F.when(op == "+", text(a, F.when(one, "와 ").otherwise("에 "), b, "를 더하면?")).when(op == "-", text(a, "에서 ", b, "를 빼면?"))
+    ask = ask.when(op == "*", F.when(c == "mul_1x1", text(a, " 곱하기 ", b, "는?")).otherwise(text(a, "에 ", b, "를 곱하면?"))).otherwise(text(a, "을 ", b, "로 나누면?"))
+    none = F.array().cast("array<string>")
+
+    size = by_kind(lambda k: F.lit(int(k[-1]) if k[:3] in ("add", "sub") else 1))
+    steps = F.when(one, none).when(op == "+", add_steps(a, b, size)).when(op == "-", sub_steps(a, b, size)).when(c == "mul_2x1", mul_steps(a, b, 1)).when(c.startswith("mul_2x2"), mul_steps(a, b, 2))
+    steps = steps.when(op == "/", F.array(text(a, "÷", b, "=", ans), text("검산: ", b, "×", ans, "=", a))).otherwise(none)
+    share = by_kind(lambda k: F.lit(1.0 if k[-2:] == "d4" else 0.35 if k[:3] in ("add", "sub") and k != "addsub_d1" else {"mul_2x1": 0.75, "mul_2x2_easy": 0.60, "mul_2x2_hard": 0.60}.get(k, 0.50 if k.startswith("div") else 0.0)))
+    r = r.withColumns({"_ans": ans, "_ask": ask, "_worked": (share >= 1.0) | (d.chance("steps") < share), "_u": d.chance("mode"), "_style": d.below("style", 3)})
+    ans, worked, u, style = F.col("_ans"), F.col("_worked"), F.col("_u"), F.col("_style")
     mode = F.when(worked, F.when(u < 0.45, "final").when(u < 0.65, "answer").otherwise("bare")).otherwise(F.when(u < 0.55, "bare").when(u < 0.85, "final").otherwise("answer"))
     tail = F.when(mode == "final", text("최종답: ", ans)).when(mode == "answer", text("정답: ", ans)).otherwise(ans.cast("string"))
     end = F.when(worked, LAST_STEPS).otherwise(d.choice("end", [LAST_PLAIN, LAST_FINAL]))
-    style = d.below("style", 3)
-    expr = F.concat(a.cast("string"), F.col("op"), b.cast("string"))
-    prompt = F.when(style == 0, text(expr, "=\n", end)).when(style == 1, text("다음을 계산하라. ", expr, "\n", end)).otherwise(text(ask, "\n", end))
+    expr = F.concat(a.cast("string"), op, b.cast("string"))
+    prompt = F.when(style == 0, text(expr, "=\n", end)).when(style == 1, text("다음을 계산하라. ", expr, "\n", end)).otherwise(text(F.col("_ask"), "\n", end))
     out = F.when(worked, text(STEP_PREFIX, F.array_join(steps, " "), "\n", tail)).otherwise(tail)
-    names = F.element_at(F.array(*[F.lit(f"{kind}_{s}") for s in ("symbolic", "calc", "word")]), (style + 1).cast("int"))
-    return r.select(key, prompt.alias("input"), out.alias("output"), ans.cast("string").alias("final_answer"), F.lit(kind).alias("category"), names.alias("prompt_style"),
-                    F.when(worked, "1").otherwise("0").alias("has_cot"))
+    names = F.concat(c, F.lit("_"), F.element_at(F.array(*[F.lit(s) for s in ("symbolic", "calc", "word")]), (style + 1).cast("int")))
+    return r.select(key, prompt.alias("input"), out.alias("output"), ans.cast("string").alias("final_answer"), "category", names.alias("prompt_style"), F.when(worked, "1").otherwise("0").alias("has_cot"))
 
 
 # ------------------------------------------------------------------ word problems

@@ -125,6 +125,29 @@ def test_arithmetic_answers(spark, kind):
                     assert a >= b and any(int(x) < int(y) for x, y in zip(str(a)[::-1], str(b)[::-1]))
 
 
+def test_operand_cells_hold_every_valid_pair_once():
+    from itertools import product
+
+    def pairs(kind):
+        for cell in N.operand_cells(kind):
+            for entries in product(*[[(x * f, y * f) for x, y in t] for f, t in cell]):
+                yield tuple(map(sum, zip(*entries, strict=True)))
+
+    digits = lambda x: [int(c) for c in reversed(str(x))]
+    two = [(a, b) for a in range(10, 100) for b in range(10, 100)]
+    three = [(a, b) for a in range(100, 1000) for b in range(100, 1000)]
+    carry = lambda a, b: any(x + y >= 10 for x, y in zip(digits(a), digits(b), strict=True))
+    borrow = lambda a, b: a >= b and any(x < y for x, y in zip(digits(a), digits(b), strict=True))
+    want = {
+        "add_carry_d2": [p for p in two if carry(*p)], "sub_borrow_d2": [p for p in two if borrow(*p)], "mul_2x2_hard": [(a, b) for a, b in two if a % 10 * (b % 10) >= 10 or a // 10 * (b % 10) >= 10],
+        "mul_2x2_easy": two, "mul_1x1": [(a, b) for a in range(2, 10) for b in range(2, 10)], "add_carry_d3": [p for p in three if carry(*p)], "sub_borrow_d3": [p for p in three if borrow(*p)],
+        "div_2by1_easy": [(q * b, b) for q in range(2, 100) for b in range(2, 10) if 10 <= q * b < 100], "div_3by1_easy": [(q * b, b) for q in range(2, 100) for b in range(2, 10) if 100 <= q * b < 1000],
+    }
+    for kind, valid in want.items():
+        assert sorted(pairs(kind)) == sorted(valid), kind
+        assert sum(N.cell_sizes(N.operand_cells(kind))) == len(valid)
+
+
 def test_generated_rows_do_not_depend_on_partitions(spark):
     a = N.generator_mix(spark.range(300).repartition(1), "id", 5).orderBy("id").collect()
     assert a == N.generator_mix(spark.range(300).repartition(13), "id", 5).orderBy("id").collect()

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("shaping", "filtering", "sampling", "joining", "tasks", "inout")
+FAMILIES = ("shaping", "filtering", "sampling", "joining", "tasks", "inout", "rules")
 
 
 def load():

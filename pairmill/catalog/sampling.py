@@ -116,7 +116,7 @@ def _(t):
 
 @case("m01_seeded_shuffle", f"SELECT doc_id, {rk(42, 'doc_id')}::BIGINT AS place FROM documents")
 def _(t):
-    return S.hash_ranked(t.documents.select(ID), 42, ID, rank="place").select(ID, F.col("place").cast("long").alias("place"))
+    return S.seeded_shuffle(t.documents.select(ID), 42, ID).select(ID, F.col("place").cast("long").alias("place"))
 
 
 @case("m02_per_source_cap", f"SELECT doc_id, source FROM (SELECT doc_id, source, {rk(42, 'doc_id', 'PARTITION BY source')} rn FROM documents) WHERE rn<=30")

@@ -235,9 +235,8 @@ EXPL = f"""k AS (SELECT doc_id, {toks('text', 1)} AS k FROM documents),
  SELECT k.doc_id, coalesce(c.top,0)::BIGINT AS top, {rnd('coalesce(c.top::DOUBLE/c.total,0)')} AS share,
  coalesce(c.total>=24 AND c.top::DOUBLE/c.total>0.30, false) AS noisy FROM k LEFT JOIN c USING (doc_id)""")
 def _(t):
-    d = docs(t, X.words("text", LATIN).alias("k")).select(D, F.size("k").alias("n"), X.top_count(F.col("k")).alias("top"))
-    share = X.ratio(F.col("top"), F.col("n"))
-    return d.select(D, "top", r6(share).alias("share"), ((F.col("n") >= 24) & (share > 0.30)).alias("noisy"))
+    d = docs(t, X.words("text", LATIN).alias("k")).select(D, F.size("k").alias("n"), X.top_count(F.col("k")).alias("top"), X.top_token_share(F.col("k")).alias("share"))
+    return d.select(D, "top", r6(F.col("share")).alias("share"), ((F.col("n") >= 24) & (F.col("share") > 0.30)).alias("noisy"))
 
 
 @case("t12_max_bigram_count", f"""WITH {EXPL}, g AS (SELECT doc_id, unnest(list_zip(k[1:len(k)-1], k[2:])) AS b FROM k WHERE len(k)>1),

@@ -87,9 +87,19 @@ def sequence_rule(d: Draw) -> Column:
     return item(text("수열 ", shown, ", ? 다음 수를 규칙 기반으로 설명하고 답하라."), text("규칙이 번갈아 ×", mul, ", +", add, " 이므로 다음 수는 ", nxt, "입니다."), nxt, "sequence")
 
 
+def sequence_open_parts() -> tuple[str, str, str]:
+    """Prompt, reason and answer of the fixed ambiguous case."""
+    return "2, 6, 7, 21, 23, 69, ? 다음 수는?", "가능한 규칙이 여러 개라 다음 수를 하나로 단정할 수 없습니다.", "알 수 없음"
+
+
 def sequence_open() -> Column:
-    """The fixed ambiguous case."""
-    return item(F.lit("2, 6, 7, 21, 23, 69, ? 다음 수는?"), F.lit("가능한 규칙이 여러 개라 다음 수를 하나로 단정할 수 없습니다."), F.lit("알 수 없음"), "sequence")
+    return item(*[F.lit(x) for x in sequence_open_parts()], "sequence")
+
+
+def sequences(df: DataFrame, key: str, seed, one_in: int = 8) -> DataFrame:
+    """Sequence rows for the ids of ``df``; one in so many is the ambiguous case."""
+    d = Draw(seed, key)
+    return df.select(key, F.when(d.below("open", one_in) == 0, sequence_open()).otherwise(sequence_rule(d)).alias("_i")).select(key, "_i.*")
 
 
 def syllogism(d: Draw) -> Column:

@@ -99,9 +99,9 @@ def take_first(df: DataFrame, n: int, pos: str, groups: Sequence[str] = ()) -> D
     return position_ranked(df, pos, groups, "_r", limit=F.lit(n)).drop("_r")
 
 
-def seeded_shuffle(df: DataFrame, seed, key: str) -> DataFrame:
-    """All rows in seeded random order (range-partitioned sort)."""
-    return df.orderBy(order_key(seed, key), key)
+def seeded_shuffle(df: DataFrame, seed, key: str, place: str = "place") -> DataFrame:
+    """All rows in seeded random order, with their place in it (from 1), so that the order outlives later shuffles."""
+    return hash_ranked(df, seed, key, rank=place).orderBy(place)
 
 
 def repeat_cap(df: DataFrame, key: str, pos: str, short_len: int = 72, short_cap: int = 5, long_cap: int = 10) -> DataFrame:

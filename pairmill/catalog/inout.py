@@ -1,16 +1,16 @@
 """Scans and sources (S) and sinks (K): rows go out to the shared folder and are read back."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from pairmill.catalog.base import CODE, PAIRS, QA, case, cln, cnt, div, norm, r6, rnd, strp
 from pairmill.catalog.shaping import SYM, LET
 from pairmill.functions import text as X
 from pairmill.schema import LATIN
+from pairmill.session import cut_lineage
 from pairmill.sources import binary as B
 from pairmill.sources import files as FL
 from pairmill.sources import jsonl as J
+from pairmill.sources import mounted as MT
 from pairmill.sources import sinks as K
 
 D = "doc_id"
@@ -114,6 +114,18 @@ def _(t):
     return d.groupBy("repo", "kind").agg(F.count("*").alias("members"), F.sum("size").alias("bytes"))
 
 
+@case("s06_archive_ranges", f"""WITH {CODE}, m AS (SELECT 'own/'||replace(repo,'#','') AS repo, path, CASE WHEN p_partkey%500=0 THEN repeat(code, 200) ELSE code END AS code FROM code WHERE NOT contains(path,'/config/'))
+ SELECT repo, CASE WHEN regexp_matches(path,'\\.(py|ts|java|go)$') THEN 'code' WHEN regexp_matches(path,'\\.md$') THEN 'doc' ELSE 'other' END AS kind, CASE WHEN strlen(code)>20000 THEN 'oversize' ELSE 'ok' END AS status, count(*)::BIGINT AS members,
+ sum(strlen(code))::BIGINT AS bytes, sum(CASE WHEN strlen(code)<=20000 THEN strlen(code) ELSE 0 END)::BIGINT AS read FROM m GROUP BY ALL""")
+def _(t):
+    code = F.when(F.col("p_partkey") % 500 == 0, F.repeat("code", F.lit(200))).otherwise(F.col("code"))
+    c = t.code.select(F.concat(F.lit("own__"), F.replace("repo", F.lit("#"), F.lit(""))).alias("archive"), F.concat_ws("/", "p_partkey", "path").alias("member"), code.alias("code"))
+    paths = cut_lineage(MT.write_archives(c, K.shared_folder(t.spark, "archives"), "archive", "member", "code"))
+    m = MT.read_members(MT.archive_index(paths), 20_000, ("config",), 1 << 20)
+    d = m.select(B.repo_of("path").alias("repo"), B.member_kind("member").alias("kind"), "status", "size", F.coalesce(F.octet_length("content"), F.lit(0)).alias("n"))
+    return d.groupBy("repo", "kind", "status").agg(F.count("*").alias("members"), F.sum("size").alias("bytes"), F.sum("n").alias("read"))
+
+
 @case("s07_file_discovery", """SELECT source, CASE WHEN source IN ('src1','src2') THEN 'excluded_by_path_token' END AS reason FROM documents GROUP BY source""")
 def _(t):
     path = K.shared_folder(t.spark, "tree")
@@ -145,7 +157,7 @@ def block_files(t, name):
 @case("s08_bounded_probe", f"""WITH {okrows(180)}, m AS (SELECT file, {norm('i')} AS i, {norm('o')} AS o, lang, tier FROM ok), b AS (SELECT *, i||chr(10)||o AS b FROM m)
  SELECT file, count(*)::BIGINT AS parsed, {rnd("avg((i<>'' AND o<>'')::INT)")} AS chat_ratio, {rnd('avg(tier::INT)')} AS tier_ratio, {rnd(f"avg((lang='fr' OR ({div(cnt('b', SYM), cnt('b', LET))})>=0.16)::INT)")} AS script_ratio FROM b GROUP BY file""")
 def _(t):
-    p = FL.probe(J.jsonl_scan(t.spark, block_files(t, "probe")), 180, LATIN)
+    p = FL.probe(MT.head_scan(t.spark, block_files(t, "probe"), 180), 180, LATIN)
     return p.select(F.regexp_extract("path", r"file=([^/]+)/", 1).alias("file"), "parsed", *[r6(F.col(c)).alias(c) for c in ("chat_ratio", "tier_ratio", "script_ratio")])
 
 
@@ -153,14 +165,14 @@ def _(t):
  p AS (SELECT file, avg((i<>'' AND o<>'')::INT) AS chat, avg(tier::INT) AS tier, avg((lang='fr' OR ({div(cnt('b', SYM), cnt('b', LET))})>=0.16)::INT) AS script FROM b GROUP BY file)
  SELECT file, CASE WHEN chat<0.66 THEN 'probe_not_chat' WHEN script<0.30 THEN 'probe_not_ko' WHEN tier<=0 THEN 'probe_no_tier' END AS reason FROM p""")
 def _(t):
-    p = FL.probe(J.jsonl_scan(t.spark, block_files(t, "probe")), 180, LATIN)
+    p = FL.probe(MT.head_scan(t.spark, block_files(t, "probe"), 180), 180, LATIN)
     return p.select(F.regexp_extract("path", r"file=([^/]+)/", 1).alias("file"), FL.probe_reason(0.66).alias("reason"))
 
 
 @case("s08_probe_keys", f"""WITH {okrows(160)}, k AS (SELECT file, unnest(CASE WHEN o IS NULL AND NOT tier THEN ['id','language','source','input'] WHEN o IS NULL THEN ['id','language','source','input','_meta_quality_tier'] WHEN NOT tier THEN ['id','language','source','input','output'] ELSE ['id','language','source','input','output','_meta_quality_tier'] END) AS key FROM ok)
  SELECT file, key, count(*)::BIGINT AS n FROM k GROUP BY ALL""")
 def _(t):
-    k = FL.top_keys(J.jsonl_scan(t.spark, block_files(t, "keys")))
+    k = FL.top_keys(MT.head_scan(t.spark, block_files(t, "keys"), 160), 160)
     return k.select(F.regexp_extract("path", r"file=([^/]+)/", 1).alias("file"), "key", "n")
 
 
@@ -190,8 +202,8 @@ def _(t):
     path = K.shared_folder(t.spark, "manifest")
     d = t.documents
     K.write_manifest({"totals": d.agg(F.count("*").alias("rows")), "per_source": d.groupBy("source").agg(F.count("*").alias("n"))}, {"seed": 42, "probe_lines": 180}, path, t.spark)
-    m = t.spark.read.schema("config string, totals array<struct<rows:long>>, per_source array<struct<source:string,n:long>>").json(path)
-    return m.select(F.col("totals")[0]["rows"].alias("rows"), F.size("per_source").cast("long").alias("sources"), F.get_json_object("config", "$.seed").cast("long").alias("seed"))
+    config, parts = K.read_manifest(t.spark, path)
+    return parts["totals"].select("rows", F.lit(parts["per_source"].count()).cast("long").alias("sources"), F.lit(config["seed"]).cast("long").alias("seed"))
 
 
 @case("k03_sources_tsv_sink", "SELECT source, count(*)::BIGINT AS scanned, count(*) FILTER (n_chars>1000)::BIGINT AS kept, 30::BIGINT AS cap FROM documents GROUP BY source")
@@ -231,8 +243,7 @@ def _(t):
 
     path = K.shared_folder(t.spark, "logs")
     K.append_log(log_rows(t).drop("event_id"), path)
-    name = f"log_{uuid.uuid4().hex}"
-    counts = status_counts(log_stream(t.spark, path))
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", K.shared_folder(t.spark, "logs-state")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return t.spark.table(name)
+    rows = K.shared_folder(t.spark, "logs-rows")
+    q = log_stream(t.spark, path).writeStream.outputMode("append").format("parquet").option("path", rows).option("checkpointLocation", K.shared_folder(t.spark, "logs-state"))
+    q.trigger(availableNow=True).start().awaitTermination()
+    return status_counts(t.spark.read.parquet(rows))

@@ -52,16 +52,35 @@ def _offsets(df: DataFrame, groups: Sequence[str], value: Column) -> DataFrame:
     )
 
 
+def _tree_offsets(df: DataFrame, value: Column) -> DataFrame:
+    """As ``_offsets`` of a whole table whose blocks are whole numbers, without a window over all of them.
+
+    Blocks are summed by 2^16, these sums again by 2^16, and running sums are made inside each node of that tree, so no
+    window has more than 65,536 rows, whatever the number of blocks.
+    """
+    blocks = df.groupBy("_block").agg(value.alias("_v")).withColumn("_b1", F.floor(F.col("_block") / POSITION_BLOCK))
+    middle = blocks.groupBy("_b1").agg(F.sum("_v").alias("_v1")).withColumn("_b2", F.floor(F.col("_b1") / POSITION_BLOCK))
+    top = middle.groupBy("_b2").agg(F.sum("_v1").alias("_v2"))
+
+    def before(v: str, node: Column | str, order: str) -> Column:
+        return F.coalesce(F.sum(v).over(Window.partitionBy(node).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    top = top.select("_b2", before("_v2", F.lit(0), "_b2").alias("_s2"), F.sum("_v2").over(Window.partitionBy(F.lit(0))).alias("_total"))
+    middle = middle.join(top, "_b2").select("_b1", (F.col("_s2") + before("_v1", "_b2", "_b1")).alias("_s1"), "_total")
+    return blocks.join(middle, "_b1").select("_block", (F.col("_s1") + before("_v", "_b1", "_block")).alias("_start"), "_total")
+
+
 def ranked(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], block: Column,
-           rank: str = "rank", total: str | None = None, limit: Column | None = None, few_blocks: bool = False) -> DataFrame:
+           rank: str = "rank", total: str | None = None, limit: Column | None = None, few_blocks: bool = False, numbered: bool = False) -> DataFrame:
     """Exact 1-based rank inside each group (all rows if ``groups`` is empty).
 
     ``block`` must be a coarse, order-preserving function of the first order column.
     ``limit`` drops blocks that start beyond it before any row is sorted. ``few_blocks`` says
-    that the number of blocks has a fixed bound, which makes the summed table broadcastable.
+    that the number of blocks has a fixed bound, which makes the summed table broadcastable. ``numbered``: blocks are whole
+    numbers, and any number of them can be summed in order.
     """
     d = df.withColumn("_block", block)
-    off = _offsets(d, groups, F.count("*"))
+    off = _tree_offsets(d, F.count("*")) if numbered and not groups else _offsets(d, groups, F.count("*"))
     if limit is not None:
         off = off.filter(F.col("_start") < limit)
     joined = d.join(F.broadcast(off) if few_blocks else off, [*groups, "_block"])
@@ -86,7 +105,7 @@ def hash_ranked(df: DataFrame, seed, key: str | Sequence[str], groups: Sequence[
 def position_ranked(df: DataFrame, pos: str, groups: Sequence[str] = (), rank: str = "rank", total: str | None = None,
                     limit: Column | None = None) -> DataFrame:
     """Rank in input order by an integer position."""
-    return ranked(df, groups, [pos], F.floor(F.col(pos) / POSITION_BLOCK), rank, total, limit)
+    return ranked(df, groups, [pos], F.floor(F.col(pos) / POSITION_BLOCK), rank, total, limit, numbered=True)
 
 
 def take(df: DataFrame, n: int, seed, key, groups: Sequence[str] = ()) -> DataFrame:

@@ -49,11 +49,13 @@ def repo_of(path) -> "F.Column":
 
 
 def archive_members(archives: DataFrame, max_bytes: int = 2_000_000, skip: tuple[str, ...] = ()) -> DataFrame:
-    """(path, content) of zip files -> (path, member, size, content), one row per file member.
+    """(path, content) of zip files -> (path, member, size, status, content), one row per file member.
 
-    A task reads one archive at a time and yields members in small batches; members over
-    ``max_bytes`` and folders named in ``skip`` are left out, as in the source rules.
+    A task reads one archive at a time and yields members in small batches; members over ``max_bytes`` have status "oversize" and
+    no content, folders named in ``skip`` are left out, as in the source rules. For archives in a mounted store see
+    ``mounted.read_members``, which spreads one archive over many tasks.
     """
+    names = ["path", "member", "size", "status", "content"]
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -62,16 +64,17 @@ def archive_members(archives: DataFrame, max_bytes: int = 2_000_000, skip: tuple
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for m in z.infolist():
                         low = "/" + m.filename.lower()
-                        if m.is_dir() or m.file_size > max_bytes or any(f"/{s}/" in low for s in skip):
+                        if m.is_dir() or any(f"/{s}/" in low for s in skip):
                             continue
-                        rows.append((path, m.filename, m.file_size, z.read(m)))
+                        over = m.file_size > max_bytes
+                        rows.append((path, m.filename, m.file_size, "oversize" if over else "ok", None if over else z.read(m)))
                         if len(rows) >= 64:
-                            yield pd.DataFrame(rows, columns=["path", "member", "size", "content"])
+                            yield pd.DataFrame(rows, columns=names)
                             rows = []
                 if rows:
-                    yield pd.DataFrame(rows, columns=["path", "member", "size", "content"])
+                    yield pd.DataFrame(rows, columns=names)
 
-    return archives.select("path", "content").mapInPandas(unpack, "path string, member string, size long, content binary")
+    return archives.select("path", "content").mapInPandas(unpack, "path string, member string, size long, status string, content binary")
 
 
 def member_kind(name) -> "F.Column":

@@ -24,6 +24,11 @@ def jsonl_scan(spark: SparkSession, path, schema: T.StructType = RAW_SCHEMA) ->
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
     )
+    return parsed_lines(raw, schema)
+
+
+def parsed_lines(raw: DataFrame, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
+    """``raw`` (line and its lineage) with ``status`` and the parsed row."""
     v = F.try_parse_json(X.strip("line"))
     status = (
         F.when(X.strip("line") == "", "blank").when(v.isNull(), "json_decode")

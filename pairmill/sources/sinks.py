@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pairmill.session import shared_folder as shared_folder
 
@@ -18,12 +18,23 @@ def write_jsonl(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
 
 
 def write_manifest(parts: dict[str, DataFrame], config: dict, path: str, spark: SparkSession) -> None:
-    """One JSON document from one-row aggregates and the run settings."""
-    doc = spark.range(1).select(F.lit(json.dumps(config, ensure_ascii=False, sort_keys=True)).alias("config"))
+    """A folder with the run settings and any number of tables: each table's tasks write its files, and a small listing (settings,
+    and name, schema and rows of every table) is written last. Without its listing a manifest does not count as written."""
+    listing = [("", json.dumps(config, ensure_ascii=False, sort_keys=True), 0)]
     for name, df in parts.items():
-        one = df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
-        doc = doc.crossJoin(F.broadcast(one))
-    doc.coalesce(1).write.mode("overwrite").json(path)
+        df.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{name}")
+        listing.append((name, df.schema.json(), spark.read.schema(df.schema).json(f"{path}/{name}").count()))
+    spark.createDataFrame(listing, "part string, content string, rows long").coalesce(1).write.mode("overwrite").json(f"{path}/listing")
+
+
+def read_manifest(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataFrame]]:
+    """(settings, tables) of a written manifest; an error if it has no listing, or a table has other rows than the listing says."""
+    rows = spark.read.schema("part string, content string, rows long").json(f"{path}/listing").collect()  # one row per table
+    parts = {r["part"]: spark.read.schema(StructType.fromJson(json.loads(r["content"]))).json(f"{path}/{r['part']}") for r in rows if r["part"]}
+    for r in rows:
+        if r["part"] and parts[r["part"]].count() != r["rows"]:
+            raise ValueError(f"{path}/{r['part']} is not what its listing says")
+    return json.loads(next(r["content"] for r in rows if not r["part"])), parts
 
 
 def write_tsv(df: DataFrame, path: str) -> None:

@@ -125,6 +125,54 @@ def test_arithmetic_answers(spark, kind):
                     assert a >= b and any(int(x) < int(y) for x, y in zip(str(a)[::-1], str(b)[::-1]))
 
 
+def test_heads_of_files_stop_reading(spark, tmp_path):
+    from pairmill.sources.mounted import head_of, head_scan
+
+    line = '{"input": "question %d", "output": "an answer of some length"}'
+    (tmp_path / "a.jsonl").write_text("\n".join(line % k for k in range(200_000)))
+    (tmp_path / "b.jsonl").write_bytes(b'{"input": "x"}\r\n\r\nnot json\rlast \xff')
+    lines, read = head_of(str(tmp_path / "a.jsonl"), 180)
+    assert len(lines) == 180 and read < 40_000 and lines[7].decode() == line % 7
+    got = head_scan(spark, f"file:{tmp_path}", 5, "*.jsonl").orderBy("path", "pos").collect()
+    assert [r["status"] for r in got] == ["ok"] * 5 + ["ok", "blank", "json_decode", "json_decode"]
+    assert got[-1]["line"] == "last \ufffd" and got[0]["row"]["input"] == "question 0"
+
+
+def test_archive_members_by_place(spark, tmp_path):
+    from pairmill.sources import mounted as MT
+
+    with zipfile.ZipFile(tmp_path / "own__big__main.zip", "w") as z:
+        for k in range(300):
+            z.writestr(f"src/f{k}.py" if k % 3 else f"node_modules/f{k}.js", f"x = {k}\n" * (1 + k * 5))
+        z.writestr("empty/", "")
+    paths = spark.createDataFrame([(f"file:{tmp_path}/own__big__main.zip",)], "path string")
+    index = MT.archive_index(paths)
+    assert index.count() == 300
+    got = MT.read_members(index, max_bytes=5000, skip=("node_modules",), range_bytes=20_000)
+    rows = got.collect()
+    assert len(rows) == 200 and got.select(F.spark_partition_id()).distinct().count() > 3
+    for r in rows:
+        k = int(r["member"][5:-3])
+        want = f"x = {k}\n" * (1 + k * 5)
+        assert r["size"] == len(want) and (r["status"], r["content"]) == (("oversize", None) if len(want) > 5000 else ("ok", bytearray(want.encode())))
+    with pytest.raises(ValueError):
+        MT.local("hdfs://host/x.zip")
+
+
+def test_manifest_counts_when_its_listing_is_there(spark, tmp_path):
+    from pairmill.sources import sinks as K
+
+    path = f"file:{tmp_path}/m"
+    big = spark.range(1_000_000).withColumn("name", F.when(F.col("id") % 2 == 0, "even"))
+    K.write_manifest({"rows": big, "none": spark.range(0)}, {"seed": 4, "name": "é"}, path, spark)
+    config, parts = K.read_manifest(spark, path)
+    assert config == {"seed": 4, "name": "é"} and parts["rows"].count() == 1_000_000 and parts["none"].count() == 0
+    assert parts["rows"].filter("name IS NULL").count() == 500_000 and parts["rows"].schema == big.schema
+    spark.range(1).write.mode("append").json(f"{path}/none")
+    with pytest.raises(ValueError):
+        K.read_manifest(spark, path)
+
+
 def test_operand_cells_hold_every_valid_pair_once():
     from itertools import product
 

@@ -129,3 +129,13 @@ def test_backfill_targets():
 def test_replay_rounds_half_to_even(spark):
     a, b = spark.range(10), spark.range(100, 103)
     assert S.replay_mix(a, b, 0.8, 0.2, 1, "id").filter("_stage3b_mix <> ''").count() == round(10 * 0.2 / 0.8)
+
+
+def test_position_ranks_by_a_tree_of_blocks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(S, "POSITION_BLOCK", 4)
+    rnd = random.Random(3)
+    pos = rnd.sample(range(-50, 3000), 400) + [2**40 + k for k in range(30)]
+    got = S.position_ranked(spark.createDataFrame([(p,) for p in pos], "pos long").repartition(7), "pos", rank="r", total="n").collect()
+    assert {r["pos"]: r["r"] for r in got} == {p: k for k, p in enumerate(sorted(pos), 1)} and {r["n"] for r in got} == {430}

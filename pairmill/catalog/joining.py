@@ -340,7 +340,14 @@ def _(t):
     return g.select("label", F.col("pos").cast("long").alias("pos"), r6(F.col("value")).alias("value"))
 
 
-@case("a16_group_principal_vector")
+@case("a16_group_principal_vector", f"""WITH RECURSIVE u AS (SELECT vec_id, label::BIGINT AS label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS v FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)),
+ p AS (SELECT vec_id, label, unnest(range(0, 64)) AS i, unnest(v) AS x FROM u), m AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM p GROUP BY ALL),
+ c AS (SELECT label, i, j, avg(x * y) - any_value(mi.m) * any_value(mj.m) AS c FROM (SELECT a.label, a.i, b.i AS j, a.x, b.x AS y FROM p a JOIN p b USING (vec_id, label)) z JOIN m mi USING (label, i) JOIN (SELECT label, i AS j, m FROM m) mj USING (label, j) GROUP BY label, i, j),
+ r AS (SELECT label, list(q ORDER BY i) AS a FROM (SELECT label, i, list(c ORDER BY j) AS q FROM c GROUP BY label, i) GROUP BY label),
+ s AS (SELECT label, 0 AS k, a FROM r UNION ALL SELECT label, k + 1, list_transform(a, lambda x: list_transform(a, lambda y: list_dot_product(x, y) / t)) FROM (SELECT *, list_sum(list_transform(a, lambda x: list_dot_product(x, x))) AS t FROM s WHERE k < 22)),
+ d AS (SELECT label, a, list_transform(range(1, 65), lambda k: a[k][k]) AS g FROM s WHERE k = 22), w AS (SELECT label, a[list_position(g, list_max(g))] AS w FROM d), l AS (SELECT label, list(m ORDER BY i) AS mean, any_value(n) AS n FROM m GROUP BY label),
+ o AS (SELECT label, CASE WHEN n < 3 THEN list_transform(mean, lambda x: x / sqrt(list_dot_product(mean, mean))) ELSE list_transform(w, lambda x: x * sign(list_dot_product(w, mean)) / sqrt(list_dot_product(w, w))) END AS v FROM w JOIN l USING (label))
+ SELECT label, pos::BIGINT AS pos, {rnd('v[pos + 1]')} AS value FROM (SELECT label, v, unnest(range(0, 64)) AS pos FROM o)""")
 def _(t):
     g = A.group_principal_vectors(t.embeddings.select(F.col("label").cast("long").alias("label"), "embedding"), "label", "embedding", 64)
     return g.select("label", F.posexplode("value").alias("pos", "value")).select("label", F.col("pos").cast("long").alias("pos"), r6(F.col("value")).alias("value"))

@@ -5,6 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from pairmill.catalog.base import CHAT, PAIRS, QA, case, cln, jac, norm, r6, rnd, strp, toks
+from pairmill.catalog.shaping import FMT
 from pairmill.functions import text as X
 from pairmill.operators import dedup as D
 from pairmill.operators import sample as S
@@ -283,10 +284,33 @@ def _(t):
     return S.fill_budget(d, "tokens", 400_000, 17, ID).select(ID, "tokens")
 
 
-AUG = "CASE doc_id%5 WHEN 0 THEN 'extract_signatures' WHEN 1 THEN 'summary_extract' ELSE '' END"
 
+STAGE_POOLS = (
+    ("stage1_base_lm", 30, "base"),
+    ("stage2_curriculum", 15, "cur OR (base AND tokens >= 900) OR act"),
+    ("stage3_distill", 10, "dis OR (ko AND tokens <= 1400 AND i <= 600 AND o <= 220 AND (base OR act)) OR (code AND tokens <= 900 AND o <= 140)"),
+    ("stage4_instruction", 4, "(dis AND tokens <= 1100) OR (ko AND tokens <= 1200 AND o <= 240) OR (act AND tokens <= 1400)"),
+)
 
-@case("m22_curriculum_stages")
+
+def stages_sql():
+    """Every stage walks its candidates in its own order, one row a step, as the sequential fill does."""
+    parts, done = [], []
+    for k, (name, share, pool) in enumerate(STAGE_POOLS):
+        free = "".join(f" AND {ID} NOT IN (SELECT {ID} FROM s{j})" for j in range(k))
+        parts.append(f"o{k} AS (SELECT {ID}, tokens AS t, {rk(f'42{k}', ID)} AS n FROM x WHERE ({pool}) AND tokens <= 40000{free})")
+        parts.append(f"""w{k} AS (SELECT 0::BIGINT AS n, 0::BIGINT AS total, false AS took UNION ALL SELECT w.n + 1, w.total + CASE WHEN w.total + o.t <= b THEN o.t ELSE 0 END, w.total + o.t <= b
+   FROM w{k} w JOIN o{k} o ON o.n = w.n + 1, (SELECT sum(tokens)::BIGINT * {share} // 100 AS b FROM x))""")
+        parts.append(f"s{k} AS (SELECT {ID} FROM w{k} JOIN o{k} USING (n) WHERE took)")
+        done.append(f"SELECT {ID}, '{name}' AS stage, tokens FROM s{k} JOIN x USING ({ID})")
+    done.append(f"SELECT {ID}, 'over_length', tokens FROM x WHERE tokens > 40000 AND ({' OR '.join(f'({p})' for _, _, p in STAGE_POOLS)})")
+    aug = {0: "cur", 1: "dis"}
+    flags = ", ".join(f"{ID} % 5 = {k} AS {n}" for k, n in aug.items())
+    return f"""WITH RECURSIVE {PAIRS}, x AS (SELECT {ID}, (strlen({FMT}) + 2)::BIGINT AS tokens, {flags}, {ID} % 5 > 1 AS base, task_type = 'korean' AS ko, task_type = 'code' AS code, length(input) AS i, length(output) AS o,
+  contains(input, 'The') OR contains(output, 'Released') AS act FROM pairs), {', '.join(parts)} {' UNION ALL '.join(done)}"""
+
+
+@case("m22_curriculum_stages", stages_sql())
 def _(t):
     p = t.pairs
     rows = p.select(
@@ -295,7 +319,7 @@ def _(t):
         F.length("output").alias("output_chars"), (F.col("input").contains("The") | F.col("output").contains("Released")).alias("has_action"))
     total = int(rows.agg(F.sum("tokens")).first()[0])
     budgets = [("stage1_base_lm", total * 30 // 100), ("stage2_curriculum", total * 15 // 100), ("stage3_distill", total * 10 // 100), ("stage4_instruction", total * 4 // 100)]
-    st = S.curriculum_stages(rows, budgets, 42, ID, ["extract_signatures"], ["summary_extract"], 40_000)
+    st = S.curriculum_stages(rows, budgets, 42, ID, ["extract_signatures"], ["summary_extract"], 40_000, rejected="over_length")
     return st.select(ID, "stage", "tokens")
 
 

@@ -9,6 +9,8 @@ source, so a source with a third of all rows is spread over as many tasks as it
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -427,8 +429,11 @@ def stage_pools(df: DataFrame, curriculum: Sequence[str], distill: Sequence[str]
 
 
 def curriculum_stages(df: DataFrame, budgets: Sequence[tuple[str, int]], seed, key: str, curriculum: Sequence[str],
-                      distill: Sequence[str], max_tokens: int = 12_000) -> DataFrame:
-    """Each stage fills its budget from keys no earlier stage used."""
+                      distill: Sequence[str], max_tokens: int = 12_000, rejected: str | None = None) -> DataFrame:
+    """Each stage fills its budget from keys no earlier stage used.
+
+    Rows of over ``max_tokens`` fit no stage; with ``rejected`` those that stand in a pool come too, as the stage of that name.
+    """
     from pairmill.session import cut_lineage
 
     pools = stage_pools(df, curriculum, distill)
@@ -441,4 +446,7 @@ def curriculum_stages(df: DataFrame, budgets: Sequence[tuple[str, int]], seed, k
             cand = cand.join(done, key, "left_anti")
         sel = cut_lineage(fill_budget(cand, "tokens", budget, f"{seed}{i}", key, max_tokens).withColumn("stage", F.lit(name)))
         done = sel if done is None else done.unionByName(sel)
+    if rejected is not None:
+        pooled = reduce(or_, [F.col(name) for name, _ in budgets])
+        done = done.select(key, "stage").unionByName(narrow.filter(pooled & (F.col("tokens") > max_tokens)).select(key, F.lit(rejected).alias("stage")))
     return df.join(done.select(key, "stage"), key)

@@ -4,6 +4,7 @@ table, or from ``spark.range`` for free-standing sets."""
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from itertools import permutations
@@ -14,6 +15,11 @@ from pyspark.sql import functions as F
 from pairmill.operators.sample import order_key, uniform
 
 
+def constants(values: Sequence, kind: str = "") -> Column:
+    """An array of constants, folded into one literal when the plan is made; building it takes one call, not one per value."""
+    return F.from_json(F.lit(json.dumps(list(values), ensure_ascii=False)), kind or f"array<{'string' if isinstance(values[0], str) else 'bigint'}>")
+
+
 class Draw:
     """Seeded draws for one id column."""
 
@@ -30,7 +36,7 @@ class Draw:
         return self.below(name, hi - lo + 1) + lo
 
     def choice(self, name: str, items: Sequence) -> Column:
-        return F.element_at(F.array(*[F.lit(x) for x in items]), (self.below(name, len(items)) + 1).cast("int"))
+        return F.element_at(constants(items), (self.below(name, len(items)) + 1).cast("int"))
 
     def chance(self, name: str) -> Column:
         return uniform(self.bits(name))
@@ -50,13 +56,22 @@ def item(prompt: Column, reason: Column, answer: Column, category: str) -> Colum
     )
 
 
+def let(values: dict[str, Column], body) -> Column:
+    """``body`` of named values that are worked out once a row; a column that stands in an arm of a CASE is worked out wherever it is used."""
+    once = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.transform(once, lambda s: body(*[s[k] for k in values]))[0]
+
+
 def orders_of(letters: str) -> list[str]:
     """All ordered picks of three letters."""
     return ["".join(p) for p in permutations(letters, 3)]
 
 
 def compare_smallest(d: Draw) -> Column:
-    p = d.choice("names", orders_of("ABCD"))
+    return let({"p": d.choice("names", orders_of("ABCD"))}, _compared)
+
+
+def _compared(p: Column) -> Column:
     a, b, c = (F.substring(p, i, 1) for i in (1, 2, 3))
     return item(text(a, "는 ", b, "보다 크고, ", b, "는 ", c, "보다 크다. 가장 작은 것은 누구인가?"),
                 text(a, " > ", b, " > ", c, " 이므로 가장 작은 것은 ", c, "입니다."), c, "compare_smallest")
@@ -69,17 +84,21 @@ def reduced(num: Column, den: Column, top: int = 12) -> Column:
 
 
 def probability(d: Draw) -> Column:
-    red, blue = d.between("red", 1, 6), d.between("blue", 1, 6)
-    total = red + blue
-    ans = reduced(blue, total)
+    return let({"red": d.between("red", 1, 6), "blue": d.between("blue", 1, 6)}, lambda red, blue: let({"red": red, "blue": blue, "total": red + blue, "ans": reduced(blue, red + blue)}, _drawn))
+
+
+def _drawn(red: Column, blue: Column, total: Column, ans: Column) -> Column:
     return item(text("주머니에 빨간 공 ", red, "개와 파란 공 ", blue, "개가 있다. 하나를 무작위로 뽑을 때 파란 공일 확률은?"),
                 text("전체 ", total, "개 중 파란 공이 ", blue, "개이므로 확률은 ", blue, "/", total, "이고 기약분수는 ", ans, "입니다."), ans, "probability")
 
 
 def sequence_rule(d: Draw) -> Column:
     """x mul, + add, x mul, + add, x mul; the next step adds."""
-    mul, add = d.choice("mul", [2, 3]).cast("long"), d.between("add", 1, 5)
-    xs = [d.between("start", 2, 12)]
+    return let({"mul": d.choice("mul", [2, 3]).cast("long"), "add": d.between("add", 1, 5), "start": d.between("start", 2, 12)}, _alternating)
+
+
+def _alternating(mul: Column, add: Column, start: Column) -> Column:
+    xs = [start]
     for i in range(5):
         xs.append(xs[-1] * mul if i % 2 == 0 else xs[-1] + add)
     shown = F.concat_ws(", ", *[x.cast("string") for x in xs])
@@ -103,9 +122,11 @@ def sequences(df: DataFrame, key: str, seed, one_in: int = 8) -> DataFrame:
 
 
 def syllogism(d: Draw) -> Column:
-    p = d.choice("terms", orders_of("ABCDE"))
+    return let({"p": d.choice("terms", orders_of("ABCDE")), "yes": d.below("mode", 2) == 0}, _concluded)
+
+
+def _concluded(p: Column, yes: Column) -> Column:
     a, b, c = (F.substring(p, i, 1) for i in (1, 2, 3))
-    yes = d.below("mode", 2) == 0
     q1 = text("모든 ", a, "는 ", b, "다. 모든 ", b, "는 ", c, "다. 그러면 모든 ", a, "는 ", c, "인가?")
     r1 = text(a, "가 모두 ", b, "에 포함되고 ", b, "가 모두 ", c, "에 포함되므로 예입니다.")
     q2 = text("모든 ", a, "는 ", b, "다. 어떤 ", b, "는 ", c, "다. 그러면 어떤 ", a, "는 ", c, "인가?")
@@ -125,8 +146,8 @@ RELATIONS = (
 
 def relation(d: Draw) -> Column:
     rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("pqar", r)]) for r in RELATIONS])
-    r = F.element_at(rows, (d.below("item", len(RELATIONS)) + 1).cast("int"))
-    return item(text(r["p"], " 위 두 문장을 함께 보면 '", r["q"], "'가 참인가? 예/아니오로 답하라."), r["r"], r["a"], "sentence_relation_yesno")
+    picked = F.element_at(rows, (d.below("item", len(RELATIONS)) + 1).cast("int"))
+    return let({"r": picked}, lambda r: item(text(r["p"], " 위 두 문장을 함께 보면 '", r["q"], "'가 참인가? 예/아니오로 답하라."), r["r"], r["a"], "sentence_relation_yesno"))
 
 
 # ------------------------------------------------------------------ arithmetic
@@ -246,21 +267,20 @@ def operands(d: Draw, kind: Column, kinds: Sequence[str] = ARITHMETIC_KINDS) ->
     lists = list(dict.fromkeys(t for c in cells for _, t in c)) + [((0, 0),)]
     longest = max(len(c) for c in cells)
     padded = [[(1, lists[-1])] * (longest - len(c)) + c for c in cells]
-    ints = lambda values: F.expr(f"array({', '.join(map(str, values))})")
-    table = F.expr(f"array({', '.join('array(' + ', '.join(str(x * _PACK + y) for x, y in t) + ')' for t in lists)})")
+    table = constants([[x * _PACK + y for x, y in t] for t in lists], "array<array<bigint>>")
     ends = [sum(cell_sizes(cells)[: k + 1]) for k in range(len(cells))]
-    which = (F.array_position(F.array(*[F.lit(k) for k in kinds]), kind) - 1).cast("int")
-    place = F.conv(F.substring(order_key(d.seed, kind, d.key), 1, 15), 16, 10).cast("long") % F.get(ints(f"{t}L" for t in totals), which) + F.get(ints(f"{sum(totals[:k])}L" for k in range(len(totals))), which)
+    which = (F.array_position(constants(kinds), kind) - 1).cast("int")
+    place = F.conv(F.substring(order_key(d.seed, kind, d.key), 1, 15), 16, 10).cast("long") % F.get(constants(totals), which) + F.get(constants([sum(totals[:k]) for k in range(len(totals))]), which)
 
     def unranked(place: Column, cell: Column) -> Column:
-        rest, packed = place - F.get(ints(f"{e - s}L" for e, s in zip(ends, cell_sizes(cells), strict=True)), cell), F.lit(0)
+        rest, packed = place - F.get(constants([e - s for e, s in zip(ends, cell_sizes(cells), strict=True)]), cell), F.lit(0)
         for i in reversed(range(longest)):
-            t = F.get(table, F.get(ints(lists.index(c[i][1]) for c in padded), cell))
-            packed = packed + F.get(t, (rest % F.size(t)).cast("int")) * F.get(ints(f"{c[i][0]}L" for c in padded), cell)
+            t = F.get(table, F.get(constants([lists.index(c[i][1]) for c in padded]), cell).cast("int"))
+            packed = packed + F.get(t, (rest % F.size(t)).cast("int")) * F.get(constants([c[i][0] for c in padded]), cell)
             rest = F.floor(rest / F.size(t))
         return packed
 
-    at = F.transform(F.array(F.struct(place.alias("p"))), lambda s: F.struct(s["p"].alias("p"), F.size(F.filter(ints(f"{e}L" for e in ends), lambda e: e <= s["p"])).alias("c")))
+    at = F.transform(F.array(F.struct(place.alias("p"))), lambda s: F.struct(s["p"].alias("p"), F.size(F.filter(constants(ends), lambda e: e <= s["p"])).alias("c")))
     both = F.transform(at, lambda s: unranked(s["p"], s["c"]))
     return F.transform(both, lambda x: F.struct(F.floor(x / _PACK).alias("a"), (x % _PACK).alias("b")))[0]
 
@@ -309,32 +329,47 @@ def arithmetic(df: DataFrame, key: str, kind: str | Column, seed) -> DataFrame:
 
 
 def clock(d: Draw) -> Column:
-    per, days = d.between("per", 1, 18), d.between("days", 2, 30)
+    return let({"per": d.between("per", 1, 18), "days": d.between("days", 2, 30)}, _drift)
+
+
+def _drift(per: Column, days: Column) -> Column:
     ans = text(per * days, "분")
     return item(text("시계가 하루에 ", per, "분 느려진다. 정확한 시간에 맞춘 뒤 ", days, "일이 지나면 몇 분 차이인가?"), text(per, "분씩 ", days, "일이면 ", per * days, "분입니다."), ans, "clock_drift")
 
 
 def ratio_problem(d: Draw) -> Column:
-    a, b, m = d.between("ra", 1, 9), d.between("rb", 1, 9), d.between("unit", 5, 80)
-    left, right = d.choice("left", ["설탕", "연필", "빨간 구슬", "남학생"]), d.choice("right", ["밀가루", "공책", "파란 구슬", "여학생"])
+    numbers = {"a": d.between("ra", 1, 9), "b": d.between("rb", 1, 9), "m": d.between("unit", 5, 80)}
+    return let({**numbers, "left": d.choice("left", ["설탕", "연필", "빨간 구슬", "남학생"]), "right": d.choice("right", ["밀가루", "공책", "파란 구슬", "여학생"])}, _shared)
+
+
+def _shared(a: Column, b: Column, m: Column, left: Column, right: Column) -> Column:
     return item(text(left, "과 ", right, "의 비율이 ", a, ":", b, "이다. ", right, "이 ", b * m, "개라면 ", left, "은 몇 개인가?"),
                 text(right, " ", b * m, "개는 비율 ", b, "에 해당하므로 한 단위는 ", m, "이고, ", left, "은 ", a, "단위라서 ", a * m, "개이다."), (a * m).cast("string"), "ratio")
 
 
 def linear(d: Draw) -> Column:
-    x, off, mul = d.between("x", 2, 60), d.between("off", 2, 12), d.between("lmul", 2, 9)
+    return let({"x": d.between("x", 2, 60), "off": d.between("off", 2, 12), "mul": d.between("lmul", 2, 9)}, _solved)
+
+
+def _solved(x: Column, off: Column, mul: Column) -> Column:
     goal = (x + off) * mul
     return item(text("어떤 수에 ", off, "을 더하고 ", mul, "를 곱하면 ", goal, "가 된다. 그 수를 구하라."), text(goal, "÷", mul, "=", x + off, ", ", x + off, "-", off, "=", x), x.cast("string"), "linear_add_then_mul")
 
 
 def latex_fraction(d: Draw) -> Column:
-    n, m = d.between("num", 1, 20), d.between("den", 2, 20)
+    return let({"n": d.between("num", 1, 20), "m": d.between("den", 2, 20)}, _fraction)
+
+
+def _fraction(n: Column, m: Column) -> Column:
     return item(text("분수 ", n, "/", m, "를 LaTeX 수식으로 써라."), F.lit("분자와 분모를 차례로 쓴다."), text("\\frac{", n, "}{", m, "}"), "latex_fraction")
 
 
 def latex_equation(d: Draw) -> Column:
-    up, a, b, c = d.between("upper", 3, 12), d.between("ca", 2, 9), d.between("cb", 1, 12), d.between("cc", 20, 120)
-    total = d.below("form", 2) == 0
+    numbers = {"up": d.between("upper", 3, 12), "a": d.between("ca", 2, 9), "b": d.between("cb", 1, 12), "c": d.between("cc", 20, 120)}
+    return let({**numbers, "total": d.below("form", 2) == 0}, _equation)
+
+
+def _equation(up: Column, a: Column, b: Column, c: Column, total: Column) -> Column:
     return item(F.when(total, text("1부터 ", up, "까지의 합을 나타내는 시그마 수식을 LaTeX로 써라.")).otherwise(text("일차방정식 ", a, "x + ", b, " = ", c, "를 LaTeX로 써라.")),
                 F.lit("식을 그대로 옮긴다."), F.when(total, text("\\sum_{i=1}^{", up, "} i")).otherwise(text(a, "x+", b, "=", c)), "latex_equation")
 
@@ -359,7 +394,8 @@ def generate(df: DataFrame, key: str, name: str, seed) -> DataFrame:
 def generator_mix(df: DataFrame, key: str, seed, weights: Sequence[tuple[str, float]] = MIX_WEIGHTS) -> DataFrame:
     """Weighted choice of a generator per row; only the chosen one is evaluated."""
     d = Draw(seed, key)
-    u, acc, out = d.chance("kind"), 0.0, None
+    df = df.select(key, d.chance("kind").alias("_u"))
+    u, acc, out = F.col("_u"), 0.0, None
     for name, w in weights[:-1]:
         acc += w
         out = F.when(u <= round(acc, 6), GENERATORS[name](d)) if out is None else out.when(u <= round(acc, 6), GENERATORS[name](d))

@@ -19,7 +19,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables not p
 @pytest.mark.parametrize("name", list(catalog.ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = catalog.QUERIES[name](spark, SF)
     want = con.sql(catalog.ORACLE[name])

@@ -185,6 +185,32 @@ def test_topk_jaccard_with_and_without_hot_tokens(spark, monkeypatch, hot_rows):
     assert got == want
 
 
+def test_topk_of_copies_keeps_the_leaders_only(spark):
+    """Equal keywords: the k best bases and first places stay, and what rounding could tie with them."""
+    rows = [(i, ["a", "b"], 0.5 if i % 2 else 0.25, i) for i in range(200)] + [(900, ["b", "a"], 0.5 - 1e-12, 900), (901, ["c"], 0.1, 901)]
+    d = spark.createDataFrame(rows, "item long, _kw array<string>, _base double, _pos long").withColumn("_kw", F.array_sort("_kw"))
+    assert sorted(r["item"] for r in J._leaders(d, 3).collect()) == [1, 3, 5, 900, 901]
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_topk_jaccard_of_many_copies_and_short_items(spark, k):
+    rnd = random.Random(5)
+    words = [f"t{i}" for i in range(60)]
+    pick = lambda n: sorted({words[min(59, int(rnd.expovariate(0.12)))] for _ in range(n)})
+    rules = [(i, pick(rnd.choice([1, 2, 4, 14])) if i % 4 else ["t0", "t1"], i % 50) for i in range(500)]
+    qs = [(i, pick(rnd.choice([1, 5, 30])) if i % 5 else ["t0", "t2", "zz"]) for i in range(80)]
+    want = {}
+    for q, toks in qs:
+        s = sorted((-round(jac(set(toks), set(w)) + min(0.08, 0.01 * math.log1p(u)), 9), r) for r, w, u in rules if set(toks) & set(w))
+        want[q] = [(r, -x) for x, r in s[:k]]
+    qd = spark.createDataFrame(qs, "q long, toks array<string>")
+    rd = spark.createDataFrame(rules, "r long, kw array<string>, uses int")
+    got = {}
+    for row in J.topk_jaccard(qd, rd, "q", "toks", "r", "kw", "uses", "r", k).orderBy("q", "rank").collect():
+        got.setdefault(row["q"], []).append((row["r"], row["score"]))
+    assert got == {q: w for q, w in want.items() if w}
+
+
 def test_subset_closure_on_a_chain_and_a_loop(spark):
     edges = [("p", f"n{i}", f"n{i + 1}") for i in range(20)] + [("q", "a", "b"), ("q", "b", "a")]
     d = spark.createDataFrame(edges, "p string, a string, b string")

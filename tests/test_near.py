@@ -211,6 +211,15 @@ def test_topk_jaccard_of_many_copies_and_short_items(spark, k):
     assert got == {q: w for q, w in want.items() if w}
 
 
+def test_compose_layers_sums_vectors_in_the_row(spark):
+    hits = spark.createDataFrame([(1, 10, 1.0), (1, 11, 0.5), (1, 12, 1.0), (2, 13, 1.0)], "q long, v long, score double")
+    recs = spark.createDataFrame([(10, 0, [1.0, 0.0]), (11, 0, [0.0, 2.0, 0.5]), (12, 1, [30.0, 40.0]), (13, 0, None)], "v long, layer long, vec array<float>")
+    d = J.compose_layers(hits, recs, "q", "v", "layer", "vec", F.lit(1.0))
+    got = {(r["q"], r["layer"], r["pos"]): round(r["value"], 9) for r in d.collect()}
+    assert got == {(1, 0, 0): 1.0, (1, 0, 1): 1.0, (1, 0, 2): 0.25, (1, 1, 0): 1.2, (1, 1, 1): 1.6}
+    assert "posexplode" not in d._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[1]
+
+
 def test_subset_closure_on_a_chain_and_a_loop(spark):
     edges = [("p", f"n{i}", f"n{i + 1}") for i in range(20)] + [("q", "a", "b"), ("q", "b", "a")]
     d = spark.createDataFrame(edges, "p string, a string, b string")

@@ -130,3 +130,10 @@ def test_field_classify(spark):
 def test_file_language_and_extension(spark):
     d = spark.createDataFrame([(0, "src/A.PY"), (1, "b.tsx"), (2, "noext"), (3, "x.tar.gz")], "i int, s string")
     assert values(d, C.language_of_path("s")) == ["Python", "TSX", "Unknown", "Unknown"]
+
+
+def test_counts_without_a_class(spark):
+    rows = [(None, 0, 0), ("", 0, 0), ("a b\u00a0\t1", 3, 3), ("\U0001f600 é—\U0001d7d8", 4, 2), ("  ..  ", 2, 0)]
+    d = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, t string")
+    got = {r["i"]: (r["n"], r["a"]) for r in d.select("i", X.count_without("t", f" {X.ODD_BLANK}").alias("n"), X.alnum_count("t").alias("a")).collect()}
+    assert got == {i: r[1:] for i, r in enumerate(rows)}

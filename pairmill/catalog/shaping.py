@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pairmill.catalog.base import (BLANK, CHAT, LET, PAIRS, SYM, TOK, case, cln, cnt, div, jac, kterms, norm, r6, rnd,
                                    rtoks, stem, strp, toks)
 from pairmill.functions import text as X
+from pairmill.functions.counts import repeats
 from pairmill.schema import LATIN
 
 D = "doc_id"
@@ -245,8 +246,8 @@ def _(t):
  coalesce(len(k.k)>=8 AND ((c.top>=4 AND c.top::DOUBLE/c.total>=0.24) OR b.big>=3), false) AS repetition_bad
  FROM k LEFT JOIN c USING (doc_id) LEFT JOIN b USING (doc_id)""")
 def _(t):
-    return docs(t, X.top_count(X.bigrams(X.words("text", LATIN, 1))).alias("big"),
-                X.repetition_bad("text", LATIN).alias("repetition_bad"))
+    n, top, big = (F.get("r", F.lit(i)) for i in range(3))
+    return docs(t, repeats(X.words("text", LATIN, 1)).alias("r")).select(D, big.alias("big"), X.repetition_rule(n, top, big).alias("repetition_bad"))
 
 
 def runs(c: str, k: int, src: str = "documents", key: str = "doc_id") -> str:

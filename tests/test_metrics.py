@@ -132,8 +132,22 @@ def test_file_language_and_extension(spark):
     assert values(d, C.language_of_path("s")) == ["Python", "TSX", "Unknown", "Unknown"]
 
 
+def test_counts_of_tokens_in_batches(spark):
+    from pairmill.functions.counts import most_frequent, repeats
+
+    rows = [(1, ["b", "a", "b", "a", "c"]), (2, []), (3, ["x"]), (4, ["z", "y", "y", "z", "z", "y", "z"])]
+    d = spark.createDataFrame(rows, "i long, k array<string>").repartition(1)
+    got = {r["i"]: (r["m"], r["r"]) for r in d.select("i", most_frequent(F.col("k"), 2).alias("m"), repeats(F.col("k")).alias("r")).collect()}
+    assert got == {1: (["b", "a"], [5, 2, 2]), 2: ([], [0, 0, 0]), 3: (["x"], [1, 1, 0]), 4: (["z", "y"], [7, 4, 2])}
+
+
 def test_counts_without_a_class(spark):
     rows = [(None, 0, 0), ("", 0, 0), ("a b\u00a0\t1", 3, 3), ("\U0001f600 é—\U0001d7d8", 4, 2), ("  ..  ", 2, 0)]
     d = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, t string")
     got = {r["i"]: (r["n"], r["a"]) for r in d.select("i", X.count_without("t", f" {X.ODD_BLANK}").alias("n"), X.alnum_count("t").alias("a")).collect()}
     assert got == {i: r[1:] for i, r in enumerate(rows)}
+
+
+def test_repetition_finds_tokens_once(spark):
+    d = spark.range(1).select(F.lit("a b a b a b c d").alias("t")).select(X.repetition_bad("t").alias("r"))
+    assert d._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1

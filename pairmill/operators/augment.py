@@ -11,6 +11,7 @@ from pairmill.functions import classify as C
 from pairmill.functions import filters as R
 from pairmill.functions import score as Q
 from pairmill.functions import text as X
+from pairmill.functions.counts import most_frequent
 from pairmill.functions.lexicon import KOREAN, Lexicon
 from pairmill.operators.sample import order_key, uniform
 from pairmill.schema import HANGUL, Script
@@ -63,33 +64,16 @@ def signature_lines(c, n: int = 14) -> Column:
     return F.slice(F.array_distinct(F.filter(lines(c), ok)), 1, n)
 
 
-def counted(toks: Column, n: int) -> Column:
-    """``n`` most frequent tokens, first seen wins ties, inside the row.
-
-    Sort (token, position), find where runs start, and read each run's size off the next
-    start: linear after the sort, no exploding and no exchange.
-    """
-    def runs(s):
-        size = F.size(s)
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))),
-                          lambda i: (size > 0) & ((i == 0) | (F.get(s, i)["t"] != F.get(s, F.greatest(i - 1, F.lit(0)))["t"])))
-        return bind(starts, lambda st: F.transform(st, lambda b, k: F.struct(
-            (b - F.coalesce(F.get(st, k + 1), size)).alias("neg"), F.get(s, b)["i"].alias("i"), F.get(s, b)["t"].alias("t"))))
-
-    pairs = F.sort_array(F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-    return F.transform(F.slice(F.sort_array(bind(pairs, runs)), 1, n), lambda x: x["t"])
-
-
 def identifiers(c, n: int = 12, script: Script = HANGUL) -> Column:
     toks = F.regexp_extract_all(X.text(c), F.lit(WORD.format(script=script.symbols)), F.lit(0))
     drop = STOPWORDS + CODE_WORDS
     keep = F.filter(toks, lambda t: (F.length(t) >= 3) & ~F.lower(t).isin(*drop) & ~t.rlike(r"\A[0-9_]+\z"))
-    return counted(keep, n)
+    return most_frequent(keep, n)
 
 
 def keywords(c, n: int = 6, script: Script = HANGUL) -> Column:
     toks = F.regexp_extract_all(F.lower(X.text(c)), F.lit(WORD.format(script=script.symbols)), F.lit(0))
-    return counted(F.filter(toks, lambda t: ~t.isin(*STOPWORDS)), n)
+    return most_frequent(F.filter(toks, lambda t: ~t.isin(*STOPWORDS)), n)
 
 
 def longest_keywords(*cols, n: int = 14, script: Script = HANGUL) -> Column:

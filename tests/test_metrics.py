@@ -151,3 +151,11 @@ def test_counts_without_a_class(spark):
 def test_repetition_finds_tokens_once(spark):
     d = spark.range(1).select(F.lit("a b a b a b c d").alias("t")).select(X.repetition_bad("t").alias("r"))
     assert d._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+
+
+def test_answers_of_one_item_are_not_dealt_out_by_it(spark):
+    from pairmill.operators import joins as J
+
+    a = spark.range(10).select(F.lit("x").alias("id"), F.lit("yes").alias("stdout"))
+    d = J.with_expectations(a, J.expectation_frame(spark, {"x": {"all": ["yes"]}}))
+    assert "BroadcastHashJoin" in d._jdf.queryExecution().sparkPlan().toString() and d.filter("matches").count() == 10

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,10 @@ OLD, NEW = 0.7, 0.3
 MISS, SKETCH, FOLD_ROWS = 1e-8, 128, 4096
 #: Leftovers of a bucket that are compared with one another; larger ones get another hub.
 PAIR_ROWS = 8
+#: Rows of a bucket whose sketches are compared with one another where they are sent, and pairs a row that may come of it.
+LOCAL_ROWS, LOCAL_PAIRS = 256, 4
+#: One row in so many is counted to find buckets of very many rows; steps of a coordinate on the way to the cosine.
+COUNTED, STEPS = 16, 32767
 
 
 def unit(c: str) -> Column:
@@ -60,7 +65,7 @@ def _signs(c: str, dim: int, bands: int, bits: int, seed: int = 7):
 
     @F.pandas_udf("array<long>")
     def signs(v: pd.Series) -> pd.Series:
-        m = np.asarray(v.tolist(), dtype="float32").reshape(len(v), dim)
+        m = np.concatenate(v.to_list()).astype("float32").reshape(len(v), dim)
         s = m @ planes > 0
         band = (s[:, : bands * bits].reshape(len(m), bands, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
         sketch = np.packbits(s[:, bands * bits :], axis=1).view(np.int64)
@@ -75,62 +80,132 @@ def _sketch_cut(angle: float) -> int:
     return math.ceil(SKETCH * p + 6 * math.sqrt(SKETCH * p * (1 - p)))
 
 
+def _met_in_buckets(cut: int):
+    """Rows sorted by (bucket, _id) -> pairs (_id, _hub) of a bucket that differ in at most ``cut`` sketch bits; the rows of
+    a bucket of too many rows or pairs come out as they are (_hub null), for the hubs."""
+    words = [f"s{k}" for k in range(SKETCH // 64)]
+
+    def met(t: pa.Table):
+        h, s = t["bucket"].to_numpy(), [t[w].to_numpy().view(np.uint64) for w in words]  # counts of signed numbers are those of their size
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(first, len(h)))
+        at = np.repeat(np.arange(len(first)), size)
+        # Rows of the same bucket that follow a row; none where the bucket is too large.
+        behind = np.where(size[at] <= LOCAL_ROWS, first[at] + size[at] - 1 - np.arange(len(h)), 0)
+        ones, two, step, left = [], [], 1, np.flatnonzero(behind > 0)
+        while len(left):
+            far = sum(np.bitwise_count(w[left] ^ w[left + step]).astype(np.int64) for w in s)
+            ones.append(left[far <= cut])
+            two.append(ones[-1] + step)
+            step += 1
+            left = left[behind[left] >= step]
+        one, two = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (ones, two))
+        crowded = (size > LOCAL_ROWS) | (np.bincount(at[one], minlength=len(first)) > LOCAL_PAIRS * size)
+        keep = ~crowded[at[one]]
+        ids, rest, names = t["_id"], t.filter(pa.array(crowded[at])), ["bucket", "_id", "_hub", *words]
+        none = pa.nulls(int(keep.sum()), pa.int64())
+        yield from pa.table([none, ids.take(pa.array(two[keep])), ids.take(pa.array(one[keep])), *[none] * len(words)], names=names).to_batches()
+        yield from pa.table([rest["bucket"], rest["_id"], pa.nulls(len(rest), ids.type), *[rest[w] for w in words]], names=names).to_batches()
+
+    def run(batches):
+        tail = None  # the last bucket seen, whose rows may go on in the next batch
+        for b in batches:
+            t = pa.Table.from_batches([b]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([b])])
+            if not len(t):
+                continue
+            h = t["bucket"].to_numpy()
+            cut_at = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
+            tail = t.slice(cut_at)
+            if cut_at:
+                yield from met(t.slice(0, cut_at))
+        if tail is not None:
+            yield from met(tail)
+
+    return run
+
+
 def linked_sets(v: DataFrame, keys: Sequence[str], angle: float, dim: int) -> DataFrame:
     """(_id, comp) of the rows of ``v`` (keys, _id, _v) that have a neighbour: any two rows of equal keys within ``angle`` share their set.
 
-    Buckets are bands of sign bits, two more of them than the rows of the largest key group need to stand alone, and as many
-    bands as ``MISS`` asks for. The members of a bucket meet its hub, the least row, and not one another: those within
-    ``angle`` are done, as all their neighbours are within twice the angle of the hub, and what is that close joins the hub's
-    set. So sets may be coarser than need be, never finer. The rest of a bucket gets another hub, or is compared if few.
+    Buckets are bands of sign bits, so long that about eight rows of the largest key group meet in one by chance, and as many
+    bands as ``MISS`` asks for. Rows travel once, as bucket, id and sketch; sketches are compared in the bucket, and only
+    pairs that may be linked get their cosine. In buckets of too many rows or links the members meet a hub, the least
+    row, and not one another: those within ``angle`` are done, as all their neighbours are within twice the angle of the hub,
+    and what is that close joins the hub's set. So sets may be coarser than need be, never finer. The rest of such a bucket
+    gets another hub, or is compared if few.
     """
-    most = v.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
-    bits = min(62, max(8, math.ceil(math.log2(most)) + 2))
+    n, most = v.groupBy(*keys).count().agg(F.sum("count"), F.max("count")).first()
+    bits = min(62, max(8, math.ceil(math.log2(most or 1)) - 3))
     bands = math.ceil(math.log(MISS) / math.log1p(-((1 - angle / math.pi) ** bits)))
-    bucket = [*keys, "band", "bits"]
-    s = v.select("_id", *keys, _signs("_v", dim, bands, bits).alias("_s"))
-    sketch = F.struct("_id", *[F.get("_s", F.lit(bands + k)).alias(f"s{k}") for k in range(SKETCH // 64)]).alias("me")
-    rows = s.select(*keys, sketch, F.posexplode(F.slice("_s", 1, bands)).alias("band", "bits"))
-    far = sum((F.bit_count(F.col(f"me.s{k}").bitwiseXOR(F.col(f"hub.s{k}"))) for k in range(SKETCH // 64)), F.lit(0))
-    vectors = v.select("_id", "_v")
-    edges = None
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        """Distinct (_id, _hub) with the cosine; vectors travel once per pair and hubs of very many rows not at all."""
+    words = [f"s{k}" for k in range(SKETCH // 64)]
+
+    def bucketed(v: DataFrame) -> DataFrame:
+        s = v.select("_id", *keys, _signs("_v", dim, bands, bits).alias("_s"))
+        sketch = [F.get("_s", F.lit(bands + k)).alias(w) for k, w in enumerate(words)]
+        return s.select("_id", *keys, *sketch, F.posexplode(F.slice("_s", 1, bands)).alias("band", "bits")).select(F.xxhash64(*keys, "band", "bits").alias("bucket"), "_id", *words)
+
+    far = sum((F.bit_count(F.col(f"me.{w}").bitwiseXOR(F.col(f"hub.{w}"))) for w in words), F.lit(0))
+    # The cosine is taken of coordinates in whole steps of 1 / STEPS: at most this much off.
+    slack = 2 * math.sqrt(dim) / STEPS
+    vectors = v.select("_id", F.struct(*keys).alias("_k"), F.transform("_v", lambda x: F.round(x * STEPS).cast("short")).alias("_q"))
+
+    def measured(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+        """Distinct (_id, _hub) of equal keys with the cosine; vectors travel once per pair and hubs of very many rows not at all."""
         one = stored(pairs.join(vectors, "_id"), "pairs")
-        two = hot_lookup(one, vectors.select(F.col("_id").alias("_hub"), F.col("_v").alias("_w")), "_hub")
-        return two.select("_id", "_hub", dot(F.col("_v"), F.col("_w")).alias("cos"))
+        two = hot_lookup(one, vectors.select(F.col("_id").alias("_hub"), F.col("_k").alias("_l"), F.col("_q").alias("_w")), "_hub")
+        return two.filter(F.col("_k").eqNullSafe(F.col("_l"))).select("_id", "_hub", (dot(F.col("_q").cast("array<double>"), F.col("_w").cast("array<double>")) / STEPS**2).alias("cos"))
 
     def met(rows: DataFrame, hubs: DataFrame) -> DataFrame:
         """Each row of a bucket next to its hub; buckets of very many rows meet it by broadcast."""
         total, most = hubs.agg(F.sum("n"), F.max("n")).first()
         limit = max(HOT_ROWS, total * HOT_SHARE)
         if most <= limit:
-            return rows.join(hubs, bucket)
+            return rows.join(hubs, "bucket")
         hot = hubs.filter(F.col("n") > limit)
-        cold = rows.join(F.broadcast(hot.select(*bucket)), bucket, "left_anti").join(hubs, bucket)
-        return rows.join(F.broadcast(hot), bucket).select(*cold.columns).unionByName(cold)
-
+        cold = rows.join(F.broadcast(hot.select("bucket")), "bucket", "left_anti").join(hubs, "bucket")
+        return rows.join(F.broadcast(hot), "bucket").select(*cold.columns).unionByName(cold)
+
+    # Buckets of very many rows are told by a part of the rows and not sent to one task; they have hubs at once.
+    rows, hot = bucketed(v), None
+    limit = max(HOT_ROWS, (n or 0) * bands * HOT_SHARE)
+    if (n or 0) > limit / 2:
+        part = bucketed(v.filter(F.pmod(F.xxhash64("_id"), F.lit(COUNTED)) == 0))
+        many = cut_lineage(part.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") * COUNTED > limit / 2).select("bucket"))
+        if not many.isEmpty():
+            hot = rows.join(F.broadcast(many), "bucket", "left_semi")
+            rows = rows.join(F.broadcast(many), "bucket", "left_anti")
+    kind = v.select(F.col("_id"), F.col("_id").alias("_hub")).schema.fields
+    schema = T.StructType([T.StructField("bucket", T.LongType()), *(T.StructField(f.name, f.dataType) for f in kind), *(T.StructField(w, T.LongType()) for w in words)])
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "_id")
+    local = stored(dealt.mapInArrow(_met_in_buckets(_sketch_cut(angle)), schema), "met")
+    pairs = local.filter("_hub IS NOT NULL").select("_id", "_hub").distinct()
+    edges = stored(measured(pairs, vectors).filter(F.col("cos") >= math.cos(angle) - slack).select(F.col("_hub").alias("u"), F.col("_id").alias("v")), "edges")
+    crowded = local.filter("_hub IS NULL").select("bucket", "_id", *words)
+    rows = (crowded if hot is None else crowded.unionByName(hot)).select("bucket", F.struct("_id", *words).alias("me"))
+    rows = rows if hot is None else stored(rows, "crowded")
+    # The rounds take the vectors of the rows in such buckets only, mostly a small part.
+    some = stored(vectors.join(rows.select("me._id").distinct(), "_id", "left_semi"), "some") if not rows.isEmpty() else vectors
     while True:
-        hubs = stored(rows.groupBy(*bucket).agg(F.min("me").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "hubs")
+        hubs = stored(rows.groupBy("bucket").agg(F.min("me").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "hubs")
         if hubs.isEmpty():
             break
         both = met(rows, hubs).filter(F.col("me._id") != F.col("hub._id"))
         pairs = both.filter(far <= _sketch_cut(2 * angle)).select(F.col("me._id").alias("_id"), F.col("hub._id").alias("_hub")).distinct()
-        seen = stored(measured(pairs), "seen")
-        close = seen.filter(F.col("cos") >= math.cos(min(math.pi, 2 * angle))).select(F.col("_hub").alias("u"), F.col("_id").alias("v"))
-        edges = close if edges is None else edges.unionByName(close)
-        done = seen.filter(F.col("cos") >= math.cos(angle)).select(F.struct("_id", "_hub").alias("pair"))
-        rest = both.withColumn("pair", F.struct(F.col("me._id").alias("_id"), F.col("hub._id").alias("_hub"))).join(done, "pair", "left_anti").select(*bucket, "me")
+        seen = stored(measured(pairs, some), "seen")
+        close = seen.filter(F.col("cos") >= math.cos(min(math.pi, 2 * angle)) - slack).select(F.col("_hub").alias("u"), F.col("_id").alias("v"))
+        edges = edges.unionByName(close)
+        done = seen.filter(F.col("cos") >= math.cos(angle) + slack).select(F.struct("_id", "_hub").alias("pair"))
+        rest = both.withColumn("pair", F.struct(F.col("me._id").alias("_id"), F.col("hub._id").alias("_hub"))).join(done, "pair", "left_anti").select("bucket", "me")
         rest = stored(rest, "rest")
-        size = rest.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1")
-        few = rest.join(size.filter(F.col("n") <= PAIR_ROWS), bucket).drop("n")
-        two = few.join(few.withColumnRenamed("me", "hub"), bucket).filter((F.col("me._id") > F.col("hub._id")) & (far <= _sketch_cut(angle)))
-        more = measured(two.select(F.col("me._id").alias("_id"), F.col("hub._id").alias("_hub")).distinct())
-        edges = edges.unionByName(stored(more.filter(F.col("cos") >= math.cos(angle)).select(F.col("_hub").alias("u"), F.col("_id").alias("v")), "edges"))
-        rows = stored(rest.join(size.filter(F.col("n") > PAIR_ROWS), bucket, "left_semi"), "crowded")
-    if edges is None:
-        return v.select("_id", F.col("_id").alias("comp")).limit(0)
+        size = rest.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        few = rest.join(size.filter(F.col("n") <= PAIR_ROWS), "bucket").drop("n")
+        two = few.join(few.withColumnRenamed("me", "hub"), "bucket").filter((F.col("me._id") > F.col("hub._id")) & (far <= _sketch_cut(angle)))
+        more = measured(two.select(F.col("me._id").alias("_id"), F.col("hub._id").alias("_hub")).distinct(), some)
+        edges = edges.unionByName(stored(more.filter(F.col("cos") >= math.cos(angle) - slack).select(F.col("_hub").alias("u"), F.col("_id").alias("v")), "edges"))
+        rows = stored(rest.join(size.filter(F.col("n") > PAIR_ROWS), "bucket", "left_semi"), "crowded")
     edges = cut_lineage(edges)
+    if edges.isEmpty():
+        return v.select("_id", F.col("_id").alias("comp")).limit(0)
     return components(edges.select(F.explode(F.array("u", "v")).alias("_id")).distinct(), edges, "_id")
 
 
@@ -250,17 +325,19 @@ def vector_merge(df: DataFrame, vid: str, groups: Sequence[str], order: str, vec
     sizes = sets.groupBy("comp").agg(F.count("*").alias("_size"))
     sets = stored(hot_lookup(sets, sizes, "comp"), "sets")
     out = [*keys, "_id", "_sc", "_kw", "members", "_v"]
-    alone = v.join(sets, "_id", "left_anti").withColumn("members", F.lit(1).cast("long")).select(*out)
+    large = not sets.filter(F.col("_size") > fold_rows).isEmpty()
+    told = v.join(sets, "_id", "left")
+    told = stored(told, "told") if large else told
+    alone = told.filter("comp IS NULL").withColumn("members", F.lit(1).cast("long")).select(*out)
     schema = T.StructType([*v.select(*keys).schema.fields, v.schema["_id"], *T.StructType.fromDDL("_sc double, _kw array<string>, members long, _v array<double>").fields])
 
     def streamed(rows: DataFrame) -> DataFrame:
         d = rows.select(*keys, "comp", "_id", "_o", "_v", "_kw", "_sc").repartition("comp").sortWithinPartitions("comp", "_o", "_id")
         return d.mapInPandas(_fold(dim, cosine, out), schema)
 
-    big = sets.filter(F.col("_size") > fold_rows)
-    merged = alone.unionByName(streamed(v.join(sets.filter(F.col("_size") <= fold_rows), "_id")))
-    if not big.isEmpty():
-        rows = stored(v.join(big, "_id"), "large-sets")
+    merged = alone.unionByName(streamed(told.filter(F.col("_size") <= fold_rows)))
+    if large:
+        rows = told.filter(F.col("_size") > fold_rows)
         checked = stored(one_vector_sets(rows, cosine, fold_rows), "checked-sets")
         rows = stored(hot_lookup(rows, checked.select("comp", "ok"), "comp"), "told-sets")
         mine, whole = rows.filter("ok"), checked.filter("ok").select("comp", "_v")

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,29 @@ def test_linked_sets_of_crowded_buckets(spark):
     assert len(set(comp.values())) > 1 and not {0, 59} <= {k for k in comp if comp[k] == comp.get(0)}
 
 
+def test_pairs_are_met_where_their_bucket_is_sent(monkeypatch):
+    """Sketches of a bucket are compared with one another, whatever the batches; too many rows or links come out whole, for the hubs."""
+    monkeypatch.setattr(V, "LOCAL_ROWS", 12)
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 7, 12, 13, 30, 1, 9, 10, 3]
+    rows, links, whole = [], set(), set()
+    for b, n in enumerate(sizes):
+        s = [[int(x) for x in rng.integers(-(1 << 63), 1 << 63, 2)] for _ in range(n)]
+        if b in (2, 7, 8):  # bucket 8 holds ten near rows, more links than four a row
+            s = [[s[0][0] ^ (1 << k % 60), s[0][1]] if b == 8 or k % 3 == 0 else s[k] for k in range(n)]
+        mine = [(b - 4, 1000 * b + k, *x) for k, x in enumerate(s)]
+        near = {(y[1], x[1]) for i, x in enumerate(mine) for y in mine[i + 1 :] if sum(bin((x[c] ^ y[c]) & (1 << 64) - 1).count("1") for c in (2, 3)) <= 32}
+        if n > 12 or len(near) > 4 * n:
+            whole |= {x[:2] for x in mine}
+        else:
+            links |= near
+        rows += mine
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("bucket", "_id", "s0", "s1"), x, strict=True)) for x in rows[k : k + 5]]) for k in range(0, len(rows), 5)]
+    out = [r for b in V._met_in_buckets(32)(batches) for r in b.to_pylist()]
+    assert len(links) == 3 + 3 and sorted((r["_id"], r["_hub"]) for r in out if r["_hub"] is not None) == sorted(links)
+    assert {(r["bucket"], r["_id"]) for r in out if r["_hub"] is None} == whole and len(whole) == 13 + 30 + 10
+
+
 def edits(a, b):
     prev = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

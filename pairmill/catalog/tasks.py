@@ -169,8 +169,7 @@ def snippet_sql(c):
  UNION ALL SELECT p_partkey, 'desc', 'This code mainly handles '||action||'. One potential risk is that '||CASE action {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in C.RISKS.items())} END||'.', length(sn)::BIGINT FROM g""")
 def _(t):
     c = t.code.select(P, F.when(F.col(P) % 2 == 0, F.concat(F.lit("See:\n```py\n"), "code", F.lit("```"))).otherwise(F.col("code")).alias("code"))
-    rows = G.snippet_rows(c, P, "code")
-    return rows.join(c.select(P, F.length(G.code_snippet("code")).cast("long").alias("n")), P).select(P, "kind", "output", "n")
+    return G.snippet_rows(c, P, "code", "n").select(P, "kind", "output", "n")
 
 
 LET6 = "CASE p_partkey%6 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' WHEN 4 THEN 'E' ELSE 'none' END"

@@ -206,9 +206,12 @@ def code_snippet(c, max_lines: int = 28, max_chars: int = 1200) -> Column:
     return F.regexp_replace(F.substring(out, 1, max_chars), r"(?U)[\s\x1c-\x1f]+\z", "")
 
 
-def snippet_rows(df: DataFrame, key: str, c: str) -> DataFrame:
-    """Language row (when known) and description row per code snippet."""
-    d = df.select(key, code_snippet(c).alias("_s")).filter("_s <> ''").withColumn("_g", C.language_of_code("_s")).withColumn("_a", C.code_action("_s"))
+def snippet_rows(df: DataFrame, key: str, c: str, size: str | None = None) -> DataFrame:
+    """Language row (when known) and description row per code snippet; ``size`` names a column for the snippet's length."""
+    # One-element explodes: a snippet and what is found in it are worked out once a row, not again wherever they are named.
+    d = df.select(key, F.explode(F.array(code_snippet(c))).alias("_s")).filter("_s <> ''")
+    d = d.select("*", F.explode(F.array(F.struct(C.language_of_code("_s").alias("g"), C.code_action("_s").alias("a")))).alias("_f"))
+    d = d.select(key, "_s", F.col("_f.g").alias("_g"), F.col("_f.a").alias("_a"), *([F.length("_s").cast("long").alias(size)] if size else []))
     body = F.concat(F.lit("Snippet:\n```text\n"), F.col("_s"), F.lit("\n```"))
     ask1 = "Identify the most likely programming language of the snippet and explain your reasoning in two short points.\n\n"
     ask2 = "Give a concise English description of what this code is mainly doing. Also mention one potential risk or edge case.\n\n"
@@ -218,7 +221,7 @@ def snippet_rows(df: DataFrame, key: str, c: str) -> DataFrame:
         F.when(F.col("_g.lang") != "Unknown", F.struct(F.lit("lang").alias("kind"), F.concat(F.lit(ask1), body).alias("input"), out1.alias("output"))),
         F.struct(F.lit("desc").alias("kind"), F.concat(F.lit(ask2), body).alias("input"), out2.alias("output")),
     )
-    return _fan_out(d, [F.get(rows, F.lit(0)), F.get(rows, F.lit(1))], [key])
+    return _fan_out(d, [F.get(rows, F.lit(0)), F.get(rows, F.lit(1))], [key, *([size] if size else [])])
 
 
 # ------------------------------------------------------------------ multiple choice and yes/no

@@ -43,11 +43,13 @@ def probe(scan: DataFrame, n: int = 180, script: Script = HANGUL, share: float =
     """Chat, tier, language and code ratios of the first ``n`` lines per file."""
     rows = first_lines(scan, n).filter("status = 'ok'").select("path", "row.*")
     inp, out = X.pick_first_non_empty(INPUT_KEYS), X.pick_first_non_empty(OUTPUT_KEYS)
-    both = R.merged(inp, out)
     hint = R.language_hint(["language", "segment_tag", "task_type"], script)
-    d = rows.select(
-        "path", ((inp != "") & (out != "")).cast("int").alias("chat"), (X.strip("_meta_quality_tier") != "").cast("int").alias("tier"),
-        (hint | (X.script_ratio_letters(both, script) >= share)).cast("int").alias("script"), R.has_any(both, C.CODE_MARKS).cast("int").alias("code"))
+    # One-element explodes: a row's texts are picked and merged once, not again wherever they are named.
+    d = rows.select("path", (X.strip("_meta_quality_tier") != "").cast("int").alias("tier"), hint.alias("_hint"), F.explode(F.array(F.struct(inp.alias("i"), out.alias("o")))).alias("_p"))
+    i, o = F.col("_p.i"), F.col("_p.o")
+    d = d.select("path", "tier", "_hint", ((i != "") & (o != "")).cast("int").alias("chat"), F.explode(F.array(R.merged(i, o))).alias("_both"))
+    d = d.select("path", "tier", "chat", (F.col("_hint") | (X.script_ratio_letters("_both", script) >= share)).cast("int").alias("script"),
+                 R.has_any(F.col("_both"), C.CODE_MARKS).cast("int").alias("code"))
     return d.groupBy("path").agg(F.count("*").alias("parsed"), F.avg("chat").alias("chat_ratio"), F.avg("tier").alias("tier_ratio"),
                                  F.avg("script").alias("script_ratio"), F.avg("code").alias("code_ratio"))
 

@@ -235,6 +235,32 @@ def test_topk_jaccard_of_many_copies_and_short_items(spark, k):
     assert got == {q: w for q, w in want.items() if w}
 
 
+def _sent(spark):
+    """Rows that tasks have written to shuffles so far, by stage."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {s.stageId(): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+
+def test_topk_jaccard_sends_rows_not_pairs(spark):
+    """Nearly every query shares words with every rule: what is shuffled stays within three times the words of both sides."""
+    rnd = random.Random(7)
+    words = [f"t{i}" for i in range(300)]
+    rules = [(i, [*rnd.sample(words, 12), f"own{i}"], rnd.randint(0, 49)) for i in range(1500)]
+    qs = [(i, rnd.sample(words, 25)) for i in range(1500)]
+    qd = spark.createDataFrame(qs, "q long, toks array<string>")
+    rd = spark.createDataFrame(rules, "r long, kw array<string>, uses int")
+    before = _sent(spark)
+    got = {}
+    for row in J.topk_jaccard(qd, rd, "q", "toks", "r", "kw", "uses", "r", 3).collect():
+        got.setdefault(row["q"], []).append((row["rank"], row["r"]))
+    assert 0 < sum(n for stage, n in _sent(spark).items() if stage not in before) < 3 * (1500 * 13 + 1500 * 25)
+    for q, toks in qs[::50]:
+        s = sorted((-round(jac(set(toks), set(w)) + min(0.08, 0.01 * math.log1p(u)), 9), r) for r, w, u in rules if set(toks) & set(w))
+        assert sorted(got[q]) == [(i + 1, r) for i, (_, r) in enumerate(s[:3])]
+
+
 def test_compose_layers_sums_vectors_in_the_row(spark):
     hits = spark.createDataFrame([(1, 10, 1.0), (1, 11, 0.5), (1, 12, 1.0), (2, 13, 1.0)], "q long, v long, score double")
     recs = spark.createDataFrame([(10, 0, [1.0, 0.0]), (11, 0, [0.0, 2.0, 0.5]), (12, 1, [30.0, 40.0]), (13, 0, None)], "v long, layer long, vec array<float>")
